@@ -35,7 +35,7 @@ from .components import components
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 #: Random hubs of a bucket in each later round.
-HUBS = 4
+HUBS = 2
 _RANDOM = np.random.Generator(np.random.PCG64(5))
 #: For each bin, all bins in a random order of its own, itself first.
 _ORDER = np.stack([np.concatenate([[i], (p := _RANDOM.permutation(BINS))[p != i]]) for i in range(BINS)])
