@@ -1,0 +1,461 @@
+"""Each operator against a brute-force version, on small fixtures with hard cases and on driver tables."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewright.llm import bpe, fingerprint, html, minhash, mixing, private, quality, rules, substrings, toxicity
+from tidewright.llm.common import Words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, at long, h long"
+SPACE = "[\x20\x09-\x0d]+"
+BASE = "the old harbour pilot wrote down every tide and every wind that he met on his way to the far islands and back again"
+
+
+def words(text):
+    return [w for w in re.split(SPACE, text or "") if w]
+
+
+def fixture_rows():
+    texts = [
+        BASE * 3, BASE * 3, BASE * 3 + " once more", None, "", "  \n\t ", "one", "one", "one two three", "One TWO three",
+        "a b c d", "a b c d e", "x " * 300, "café 😀 naïve text", "\x0b\x0c mixed\x0bspaces\x0cinside", BASE.upper(), "mail a.b@c.de, call +1 (415) 555-0100 or 10.0.0.1 now",
+        "card 4111 1111 1111 1111 and iban DE89 3704 0044 0532 0130 00", "you are an idiot, a pathetic loser. trash!", "word " * 20 + BASE, "long " + "y" * 200_000, BASE + "\n" + BASE + "\n" + BASE,
+    ]
+    rows = [(i, t, "en", None if i % 7 == 3 else f"s{i % 3}", len(t or ""), "k", i, i) for i, t in enumerate(texts)]
+    return rows + [rows[0], rows[6], (500, BASE + " island", None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame(fixture_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def pairs(df):
+    return sorted([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], key=lambda x: (x[0], x[1] or ""))
+
+
+# --- near duplicates
+
+
+def brute_components(rows, k, percent):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate(fold))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates(spark, hard, docs, k):
+    for df in (hard, docs):
+        got = minhash.near_duplicates(spark, df, k, 80).collect()
+        want = brute_components(pairs(df), k, 80)
+        assert len(got) == df.count()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_nothing(spark, empty):
+    assert minhash.near_duplicates(spark, empty).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    a, b = [f"w{i}" for i in range(400)], [f"w{i}" for i in range(40, 440)]
+    doc, h, n = minhash.shingles([" ".join(a).encode(), " ".join(b).encode()], 4)
+    one, two = minhash.signatures(doc, h, 2)
+    assert abs((one == two).mean() - 357 / 437) < 0.1
+
+
+# --- substrings
+
+
+def brute_substrings(rows, length):
+    first, every = {}, {i: words(t) for i, t in rows}
+    for i, w in every.items():
+        for j in range(len(w) - length + 1):
+            key = tuple(w[j : j + length])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, w in every.items():
+        gone = set()
+        for j in range(len(w) - length + 1):
+            if first[tuple(w[j : j + length])] < i:
+                gone.update(range(j, j + length))
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out[i] = (len(w), len(gone), kept)
+    return out
+
+
+def test_substrings(spark, hard, docs):
+    for df in (hard, docs):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.repeated_passages(spark, df, 13).collect()}
+        assert got == brute_substrings(pairs(df), 13)
+
+
+def test_substrings_of_nothing(spark, empty):
+    assert substrings.repeated_passages(spark, empty).count() == 0
+
+
+def test_words_are_split_like_the_contract():
+    texts = [BASE, "", " a\x0bb\x0c c\t", "é x y"]
+    w = Words([t.encode() for t in texts])
+    got = [[w.data[s:e].tobytes().decode() for s, e in zip(w.start[w.doc == i], w.end[w.doc == i], strict=True)] for i in range(4)]
+    assert got == [words(t) for t in texts]
+
+
+# --- personal data
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text, re.A):
+        out.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        luhn = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d)))
+        if 16 <= len(d) <= 19 and luhn % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+HARD_TEXTS = [
+    "a@b.c.@d.e a@b.c%d@e.f @x.y a@@b.c a@b a@b..c x@y.z-",
+    "1.2.3.4.5.6.7.8 999.1.1.1 256.1.1.1 1.2.3 01.02.03.004 00255.1.1.1 1..2.3.4",
+    "4111111111111111 4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 41111111111111112 5 4111 1111 1111 1111 12",
+    "+1 415 555 0100 +1(415)555-0100 ++12345678 +1 2 3 +12345678901234567 +1....2345678 é😀 +4930123456 end",
+    "😀 mail é.x@y.de 😀 10.0.0.1 é" * 3,
+    "1 " * 500 + "4111111111111111",
+    "", None,
+]
+
+
+def test_base_spans(spark, docs):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD_TEXTS)], "doc_id long, text string")
+    for d in (df, docs):
+        texts = {r.doc_id: r.text or "" for r in d.collect()}
+        got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found if s.kind in private.BASE] for r in private.detect(d).collect()}
+        assert got == {i: brute_spans(t) for i, t in texts.items()}
+
+
+def test_checksums_and_context(spark):
+    df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 ok"), (2, "iban DE88 3704 0044 0532 0130 00 ok"), (3, "ssn 123-45-6789"), (4, "part 123-45-6789")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in private.detect(df).collect()}
+    assert got == {1: [("iban", 5, 32)], 2: [], 3: [("ssn", 4, 15)], 4: []}
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "to é a@b.de, 10.0.0.1 and +1 (415) 555-0100."), (2, "nothing"), (3, None), (4, "a@10.0.0.1")], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", private.redact(F.col("text")).alias("t")).collect()}
+    assert got == {1: "to é <EMAIL>, <IP> and <PHONE>.", 2: "nothing", 3: None, 4: "<EMAIL>"}
+
+
+# --- quality rules
+
+
+def brute_counts(text):
+    w = words(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(windows)
+    inside = {j for i, g in enumerate(windows) if often[g] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(inside)
+
+
+def test_rule_counts(spark, hard, docs):
+    for df in (hard, docs):
+        got = rules.judge(spark, df).collect()
+        want = {i: brute_counts(t) for i, t in pairs(df)}
+        assert len(got) == df.count()
+        for r in got:
+            n, chars, symbols, dup, rep = want[r.doc_id]
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
+            assert r.base_failed == (n < 50 or 100 * rep > 50 * n)
+            assert not (r.kept and r.base_failed)
+            assert r.kept or r.base_failed or r.soft_failed
+
+
+def test_bad_hosts_lose_soft_failures(spark):
+    clean = " ".join(f"word{i}" for i in range(80))
+    odd = clean + " " + "### " * 0 + " ".join(f"$$${i}$$$" for i in range(30))
+    rows = [(i, odd, "bad") for i in range(60)] + [(100 + i, clean, "bad") for i in range(5)] + [(200 + i, clean if i else odd, "good") for i in range(60)]
+    got = {r.doc_id: r.kept for r in rules.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i] for i in range(60)) and all(got[100 + i] for i in range(5)) and all(got[200 + i] for i in range(60))
+
+
+def test_rules_keep_all_columns(spark, hard, empty):
+    kept = rules.keep(spark, hard)
+    assert kept.columns == hard.columns and kept.count() == rules.judge(spark, hard).where("kept").count()
+    assert rules.judge(spark, empty).count() == 0
+
+
+# --- mixing
+
+
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        total = sum(weight[s] for s in free)
+        full = {s for s in free if left * weight[s] / total > 3 * sizes[s]}
+        if not full:
+            return target | {s: left * weight[s] / total for s in free}
+        for s in full:
+            target[s] = 3.0 * sizes[s]
+        left -= sum(3 * sizes[s] for s in full)
+        free -= full
+    return target
+
+
+def test_mix(spark, hard, docs):
+    for df in (hard, docs):
+        rows = mixing.mix(df).collect()
+        sizes, taken, want = Counter(), Counter(), {i: len(words(t)) for i, t in pairs(df)}
+        largest = Counter()
+        for r in rows:
+            assert r.size == want[r.doc_id] and 0 <= r.taken <= 3 * r.size
+            sizes[r.source] += r.size
+            taken[r.source] += r.taken
+            largest[r.source] = max(largest[r.source], r.size)
+        target = brute_targets(dict(sizes))
+        for r in rows:
+            assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
+            # Rows with one id share a hash, so two of them may come together.
+            assert abs(taken[r.source] - r.target) <= 2 * largest[r.source] / 2 + 1
+        again = {(r.doc_id, r.taken) for r in mixing.mix(df.repartition(5)).collect()}
+        assert again == {(r.doc_id, r.taken) for r in rows}
+
+
+def test_mix_sample_has_all_columns(spark, hard, empty):
+    out = mixing.sample(hard)
+    assert out.columns == hard.columns
+    assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(hard).collect())
+    assert mixing.mix(empty).count() == 0
+
+
+# --- fingerprints
+
+
+def test_fingerprints(spark, hard, docs, empty):
+    for df in (docs, hard):
+        rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda x: (-x[0], x[1]))
+        want = []
+        for i, (d, t) in enumerate(rows):
+            after, n = rows[(i + 1) % len(rows)][1], len(t) // 3
+            edited = t[: len(t) - n] + after[:n]
+            a, b, c = (fingerprint.fingerprint(x.encode()) for x in (t, edited, after))
+            want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
+        got = [tuple(r) for r in fingerprint.fingerprints(df).collect()]
+        assert sorted(got) == sorted(want)
+    assert fingerprint.fingerprints(empty).count() == 0
+
+
+def test_likeness():
+    text = " ".join(f"word{i * i}" for i in range(900)).encode()
+    one, two = fingerprint.fingerprint(text), fingerprint.fingerprint(text[:3000] + b"changed" + text[3000:])
+    other = fingerprint.fingerprint(" ".join(f"term{i * 7 + 3}" for i in range(900)).encode())
+    assert fingerprint.likeness(one, one) == 1 and fingerprint.likeness(one, two) > 0.8 and fingerprint.likeness(one, other) < 0.3
+    assert fingerprint.common("abcde", "axcye") == 3
+    assert len(fingerprint.fingerprint(b"z" * 100_000)) < 20
+
+
+def test_fingerprint_blocks_agree(monkeypatch):
+    text = b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(400))
+    whole = fingerprint.fingerprint(text)
+    monkeypatch.setattr(fingerprint, "BLOCK", 97)
+    assert fingerprint.fingerprint(text) == whole
+
+
+# --- BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def test_bpe(hard, docs, tokenizer):
+    for df in (hard, docs):
+        texts = {(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()}
+        got = bpe.encode(df, bpe.default_path()).collect()
+        want = {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in texts}
+        assert len(got) == df.count()
+        for r in got:
+            assert r.ids == want[r.doc_id] and r.decoded == tokenizer.decode(want[r.doc_id], skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b <|endoftext|", "don't I'LL we're", "  \n\n x  ", "  x​", "١٢٣ ½ Ⅷ 漢字かな 한글", "é 🏴‍☠️", "a" * 5000, "ab" * 3000 + "é" * 500, "=" * 700, "\x00\x01\x1c\x85"])
+def test_bpe_of_hard_texts(text, tokenizer):
+    vocab = bpe.Vocabulary(bpe.vocabulary(bpe.default_path()))
+    ids = vocab.encode(text)
+    assert ids == tokenizer.encode(text, add_special_tokens=False).ids and vocab.decode(ids) == text
+
+
+# --- HTML
+
+PAGES = [
+    (
+        '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now, a long advert text that is longer than most.</div>'
+        "<article><h1>Head line</h1><p><b>First &amp; long paragraph\n with  white space.<br>More<p>Short.</p><aside>Side text</aside><p>Last &lt;one&gt;</p></article><footer>&copy; Foot</footer></body></html>",
+        "Head line First & long paragraph with white space. More Short. Last <one>",
+    ),
+    ("<body><div id=menu><a href=x>a</a></div><div><p>" + "A paragraph of text that is long enough. " * 3 + "</p><p>Short.</p></div><div class='comments'><p>" + "reader comment " * 20 + "</p></div>", ("A paragraph of text that is long enough. " * 3).strip() + " Short."),
+    ("<article><form><input value='x'>Sign up</form><p>Text</p><div class='cookie-notice'>We use cookies</div><!-- no <p>this</p> --><style>p{}</style><p>End", "Text End"),
+    ("", ""), (None, ""), ("<p></p>", ""), ("plain text", "plain text"), ("<article><p>cut off in a ta", "cut off in a ta"), ("<script>never closed <p>x</p>", ""),
+]
+
+
+def test_main_text(spark):
+    df = spark.createDataFrame([(i, f"u{i}", h, "x") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
+    assert got == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)}
+
+
+def test_regions():
+    assert html.regions([0, 0, 5, 60, 50, 0, 0, 0, 0, 70, 0, 0, 0], 40) == [(2, 5), (9, 10)]
+    assert html.regions([], 40) == [] and html.regions([0, 0], 0) == []
+
+
+def test_generated_pages(spark, sf):
+    got = html.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    source = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in got:
+        inner = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)
+        if inner:
+            import html as h
+
+            blocks = re.split(r"</?(?:p|h1)>", inner[1])
+            want = " ".join(x for b in blocks if (x := " ".join(h.unescape(re.sub(r"<[^>]*>", lambda m: " " if "br" in m[0] else "", b)).split())))
+            assert r.text == want
+
+
+# --- classifiers
+
+
+def held_out_rows(spark, name, folder="/root/testdata/sf0.01"):
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    from tidewright.llm import queries
+
+    rows = queries.queries()[name](spark, folder).collect()
+    return [(r, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels], rows
+
+
+def auc(scored):
+    good, bad = [s for s, y in scored if y], [s for s, y in scored if not y]
+    return sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_toxicity_held_out(spark):
+    own, rows = held_out_rows(spark, "op4_toxicity")
+    assert auc([(r.score, y.toxic) for r, y in own]) > 0.8
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    clean = [r.predicted for r, y in own if not y.toxic]
+    assert sum(clean) <= 0.05 * len(clean)
+
+
+def test_quality_held_out(spark):
+    own, rows = held_out_rows(spark, "op3_quality_classifier")
+    assert auc([(r.tail_probability, y.quality) for r, y in own]) > 0.9
+    assert all(0 <= r.top_probability <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
+
+
+def test_classifiers_on_hard_rows(spark, hard, empty):
+    model = toxicity.DEFAULT
+    got = {r.doc_id: r for r in toxicity.score(hard, model).collect()}
+    assert got[18].predicted == 1 and got[3].predicted == got[0].predicted == 0
+    assert toxicity.score(empty, model).count() == 0
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.train(hard, none) is toxicity.DEFAULT
+    kept = {r.doc_id: r.kept for r in quality.score(hard, quality.fit(hard, quality.grades(none))).collect()}
+    assert kept[0] and not kept[3] and not kept[4] and not kept[5]
+
+
+def test_grammar():
+    lexicon = toxicity.Lexicon({})
+    out = lambda t: toxicity.clause_output(t, lexicon)
+    assert out("you are an idiot") > out("an idiot") > out("he said an idiot") > 0
+    assert out("not an idiot") < out("an idiot") and out("kill the light") == 0 < out("i will kill you")
+    assert toxicity.matched("fine. such trash, really. ok", lexicon) == [" such trash"]
+
+
+def test_ordinal_recovers_thresholds():
+    import numpy as np
+
+    from tidewright.llm.linear import Ordinal
+
+    rng = np.random.default_rng(1)
+    x, n = rng.normal(size=(3000, 3)), 3000
+    grade = ((x @ [2.0, -1.0, 0.0] + rng.logistic(size=n))[:, None] > np.array([-1.0, 0.5, 2.0])).sum(axis=1)
+    m = Ordinal(3, 4, l2=1e-5, steps=600).fit(np.repeat(np.arange(n), 3), np.tile(np.arange(3), n), x.reshape(-1), grade, np.ones(n))
+    assert np.allclose(m.weights, [2, -1, 0], atol=0.2) and np.allclose(m.thresholds, [-1, 0.5, 2], atol=0.25)
+    assert (np.diff(m.tails(np.array([0.3]))[0]) < 0).all()
+
+
+# --- the pipeline
+
+
+def test_pipeline(spark, sf, hard, empty):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "mixture", "tokens"]
+    for start in (spark.read.parquet(f"{sf}/documents.parquet"), hard, empty):
+        now = start
+        for i, (_, stage) in enumerate(p.STAGES):
+            now = stage(spark, now, sf).cache()
+            if i < 4:
+                assert now.columns == p.COLUMNS
+            now.count()
+        vocab = bpe.Vocabulary(bpe.vocabulary(bpe.default_path()))
+        for r in now.collect():
+            assert r.ids == vocab.encode(r.decoded)
+    assert p.run(spark, sf).count() > 0
+
+
+def test_near_duplicate_stage_keeps_one_of_each(spark, docs):
+    import corpus_pipeline as p
+
+    kept = {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()}
+    assert kept == {root for _, root in brute_components(pairs(docs), 5, 80).values()}
+
+

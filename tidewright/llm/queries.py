@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, fingerprint, html, minhash, mixing, private, quality, rules, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html.op1,
+        "op2_personal_data": private.op2,
+        "op3_quality_classifier": quality.op3,
+        "op4_toxicity": toxicity.op4,
         "op5_minhash_near_dedup": minhash.op5,
+        "op6_quality_rules": rules.op6,
+        "op7_fingerprints": fingerprint.op7,
+        "op8_substring_dedup": substrings.op8,
+        "op9_source_mixing": mixing.op9,
+        "op10_bpe": bpe.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": rules.SQL, "op9_source_mixing": mixing.SQL}
