@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store
+from .common import BROADCAST_ROWS, Store
 
 
 def components(store: Store, edges: DataFrame) -> DataFrame:
@@ -16,16 +16,20 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
     Self loops and repeated edges do no harm; an empty table gives an empty result."""
     now = store.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        # A table of nodes is no larger than the links, which are counted; beyond the bound it is shuffled.
+        few = now.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        sent = F.broadcast if few else lambda df: df
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = both.join(sent(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = store.write(large.where("a <> b").distinct())
-        # Small star: a's smaller neighbours (all rows now point down) go to the least of them.
+        # Small star: all rows now point down; a's smaller neighbours go to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = large.join(sent(low), "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
         then = store.write(small.where("a <> b").distinct())
         # Done when every node points to one node that points nowhere.
-        unsettled = then.groupBy("a").count().where("count > 1").limit(1).count() or then.join(then.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        first = then.groupBy("a").agg(F.count("*").alias("n"))
+        unsettled = then.join(sent(first.select(F.col("a").alias("b"), "n")), "b", "left_semi").limit(1).count() or first.where("n > 1").limit(1).count()
         store.drop(now, large)
         now = then
         if not unsettled:

@@ -6,9 +6,10 @@
 2. Documents with equal shingle sets become one class, told by a 128-bit sum over the set, which its
    smallest doc_id stands for. Only class representatives go on, so a group of copies costs one row.
 3. BANDS bands of ROWS bins give bucket keys. In a bucket each member is linked to a hub only, never
-   to all others: n rows, not n * n. The hub is the smallest id first, then the member with most links so
-   far and a few random members; these later stars only join members that are still in different components.
-   Rounds go on until one finds no new link.
+   to all others: n rows, not n * n. The hub is the smallest id; then, in buckets that still hold several
+   components, the member with most links and a few random ones. Stars can miss a link between two
+   members that are both too far from every hub, so documents of buckets that still hold several
+   components get an exact search by their rarest shingles, for pairs of different components only.
 4. Every candidate link is confirmed on both whole shingle sets, 100 * both >= PERCENT * either.
 5. Alternating stars turn confirmed links into components.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
@@ -34,7 +35,7 @@ from .components import components
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
-#: Random hubs of a bucket in each later round.
+#: Random hubs of a bucket in the second stars.
 HUBS = 2
 _RANDOM = np.random.Generator(np.random.PCG64(5))
 #: For each bin, all bins in a random order of its own, itself first.
@@ -132,6 +133,44 @@ def similar(k: int, percent: int):
     return check
 
 
+def rare_pairs(store: Store, docs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``docs`` (a, root) that may be alike enough and have different roots; none is missed.
+
+    Shingles are put in one order, rare ones first. Two sets that overlap by the least allowed share
+    one of their first shingles, so early that enough can follow it in both (prefix and position filters).
+    What copies of one text have in common is frequent, so it comes late in that order and is hardly
+    ever compared; a member that lost its links to edits of its own is found by what it shares with few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            n = b.num_rows
+            doc, h, count = shingles(utf8(b.column(2)), k)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(count, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(signed(h)))], names=["a", "root", "n", "h"])
+
+    share = percent / 100
+    # Floating point must never raise a bound.
+    overlap = lambda n, m: F.ceil((n + m) * (share / (1 + share)) - 1e-6)
+    least = lambda n: F.ceil(n * share - 1e-6)
+    sets = docs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "root", "text").mapInArrow(run, "a long, root long, n long, h array<long>")
+    token = store.write(sets.select("a", "root", "n", F.explode("h").alias("h")))
+    often = token.groupBy("h").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("df", "h"))
+    first = token.join(often, "h").withColumn("i", place).where(F.col("i") <= F.col("n") - least(F.col("n")) + 1)
+    first = store.write(first.where("df > 1").select("h", "a", "root", "n", "i"))
+    # Positions that no partner with this shingle is small enough for go.
+    smallest = first.groupBy("h").agg(F.min("n").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "m")
+    first = first.join(smallest, "h").where(F.col("i") <= F.col("n") - overlap(F.col("n"), F.greatest(F.col("m"), least(F.col("n")))) + 1).drop("m")
+    first = store.write(first)
+    # All but the largest component at each shingle are compared with the others there.
+    mains = first.groupBy("h", "root").agg(F.count("*").alias("size")).groupBy("h").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    small = first.join(mains, "h").where("root <> most.root").select("h", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    size = overlap(F.col("n"), F.col("m"))
+    near = (F.col("root") != F.col("root_b")) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1 >= size) & (F.least("n", "m") >= size)
+    pairs = first.join(small, "h").where(near)
+    return store.write(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text, and more).
 
@@ -155,25 +194,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         return store.write(pairs.join(one, "a").join(two, "b").where(alike("text_a", "text_b")).select("a", "b"))
 
     links = confirmed(member.where("a <> hub").select("a", F.col("hub").alias("b")).distinct())
-    tried = member.where("a <> hub").select("a", F.col("hub").alias("b")).distinct()
-    roots, turn = components(store, links), 0
-    while True:
-        turn += 1
-        degree = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
-        known = member.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").join(degree, "a", "left").select("key", "a", F.coalesce("root", "a").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-        known = store.write(known)
-        # Buckets that hold one component need no more stars.
-        hubs = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("links", "a", "root")).alias("most"), *[F.min(F.struct(F.xxhash64("a", F.lit(turn * HUBS + i)), "a", "root")).alias(f"any{i}") for i in range(HUBS)]).where("low < high")
-        hubs = hubs.select("key", F.explode(F.array(*[F.struct(F.col(f"{c}.a").alias("b"), F.col(f"{c}.root").alias("r")) for c in ("most", *(f"any{i}" for i in range(HUBS)))])).alias("hub")).select("key", "hub.*")
-        pairs = known.join(hubs, "key").where("root <> r").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = store.write(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = confirmed(pairs)
-        store.drop(known)
-        if not new.limit(1).count():
-            break
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
-        old, roots = roots, components(store, links)
-        store.drop(old)
+    roots = components(store, links)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        found = roots.select(F.col("node").alias("a"), "root")
+        return rows.join(found, "a", "left").withColumn("root", F.coalesce("root", "a"))
+
+    def contracted(new: DataFrame) -> DataFrame:
+        """The components with more links: they join whole components, so only their roots are looked at."""
+        ends = rooted(rooted(new).select("root", F.col("b").alias("a")).withColumnRenamed("root", "other")).select(F.col("other").alias("a"), F.col("root").alias("b"))
+        merged = components(store, ends)
+        both = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return store.write(both.unionByName(merged.join(roots, "node", "left_anti")))
+
+    # Second stars, in buckets that hold several components: the member with most links, and random ones.
+    degree = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
+    known = store.write(rooted(member).join(degree, "a", "left").select("key", "a", "root", F.coalesce("links", F.lit(0)).alias("links")))
+    hub = lambda order: F.max(F.struct(order, "a", "root"))
+    hubs = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub("links").alias("h0"), *[hub(F.xxhash64("a", F.lit(i))).alias(f"h{i}") for i in range(1, HUBS + 1)]).where("low < high")
+    hubs = hubs.select("key", F.explode(F.array(*[F.struct(F.col(f"h{i}.a").alias("b"), F.col(f"h{i}.root").alias("r")) for i in range(HUBS + 1)])).alias("hub")).select("key", "hub.*")
+    pairs = known.join(hubs, "key").where("root <> r").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    roots = contracted(confirmed(pairs))
+    # The rest, exactly: documents in buckets that still hold several components.
+    open_keys = rooted(member).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    open_docs = store.write(rooted(member.join(open_keys, "key", "left_semi").select("a").distinct()))
+    roots = contracted(confirmed(rare_pairs(store, open_docs, texts, k, percent)))
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
