@@ -1,41 +1,8 @@
-"""Registered queries and the SQL that checks them."""
+"""All registered queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import arena, chat, corpus, numbers, tokenizer  # noqa: F401  (each registers its queries)
+from .plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its DuckDB SQL where SQL can express it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(r"""
-    WITH p AS (SELECT source, unnest(regexp_split_to_array(text, '\n\s*')) AS para FROM documents),
-         c AS (SELECT source, count(*) AS n_paragraphs, sum(length(para))::BIGINT AS n_chars
-               FROM (SELECT source, trim(regexp_replace(para, '\s+', ' ', 'g')) AS para FROM p) WHERE length(para) >= 200 GROUP BY source)
-    SELECT source, n_paragraphs, n_chars, round(n_paragraphs / sum(n_paragraphs) OVER (), 4) AS share FROM c""")
-def paragraphs_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    docs = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", r"\n\s*")).alias("para"))
-    docs = docs.select("source", F.trim(F.regexp_replace("para", r"\s+", " ")).alias("para")).where(F.length("para") >= 200)
-    counts = docs.groupBy("source").agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("para")).alias("n_chars"))
-    return counts.withColumn("share", F.round(F.col("n_paragraphs") / F.sum("n_paragraphs").over(Window.partitionBy()), 4))
+__all__ = ["ORACLES", "QUERIES"]
