@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": rules.SQL, "op9_source_mixing": mixing.SQL}
+    return {"op5_minhash_near_dedup": minhash.SQL, "op6_quality_rules": rules.SQL, "op8_substring_dedup": substrings.SQL, "op9_source_mixing": mixing.SQL}
