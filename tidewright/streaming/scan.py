@@ -18,7 +18,10 @@ def resumable_filter(spark: SparkSession, source: str, schema: StructType, keep:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(format).load(source)
     query = stream.where(keep).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*")
+    if not found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
 def restart(spark: SparkSession, out: str, checkpoint: str) -> None:
