@@ -85,7 +85,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
 
     single = id_join(docs.select("ord", "text"), copies, "ord", "left_anti")
     found = single.mapInArrow(seeds, "seed long, ord long")
-    often = found.groupBy("seed").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("seed")
+    # Written first, so that both sides of each join are plain exchanges and a hot key's side can be split.
+    often = store.write(found.groupBy("seed").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("seed"))
     hits = store.write(found.join(often, "seed").groupBy("ord").agg(F.collect_set("seed").alias("seeds")))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
 
     passages = single.join(hits, "ord").select("ord", "text", "seeds").mapInArrow(extend, "one long, two long, ord long, at int")
     passages = store.write(passages)
-    earliest = passages.groupBy("one", "two").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("one", "two", "first")
+    earliest = store.write(passages.groupBy("one", "two").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("one", "two", "first"))
     covered = passages.join(earliest, ["one", "two"]).where("ord > first").groupBy("ord").agg(F.collect_set("at").alias("at"))
     covered = covered.withColumn("copy", F.lit(False)).unionByName(copies.select("ord", F.array().cast("array<int>").alias("at"), F.lit(True).alias("copy")))
     covered = store.write(covered)
@@ -136,7 +137,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     out = docs.join(covered, "ord", "left").select("doc_id", "text", "at", "copy").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
-    store.drop(same, copies, hits, passages)
+    store.drop(same, copies, often, hits, passages, earliest)
     return out
 
 
