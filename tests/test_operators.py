@@ -363,3 +363,61 @@ def test_resumable_scan(spark, tmp_path, small):
     assert scan.resumable_filter(*args).count() == len(again)
     scan.restart(spark, out, state)
     assert scan.resumable_filter(*args).count() == len(again)
+
+
+# --- compositions
+
+
+def test_examples_and_batches(spark):
+    rows = [(i, [("user", f"q{i}"), ("bot", f"hello {i}")]) for i in range(60)] + [(99, [("user", "a"), ("user", "b")])]
+    convs = spark.createDataFrame(rows, f"conv_id long, turns {TURNS}")
+    built = chat.examples(convs, letters, 0, 24, rewrite=corpus.dialect).cache()
+    assert built.count() == 60 and built.where("split = 'validation'").count() == 1
+    s = chat.summary(convs, built).first()
+    assert (s.n, s.skipped) == (60, 1) and s.truncated_share == s.truncated / 60
+    got = chat.batches(built.where("split = 'train'"), 3, 4).collect()
+    assert len(got) == 12 and all(len(r.x) == len(r.y) == 23 for r in got)
+    assert sorted((r.batch, r.place) for r in got) == [(b, p) for b in range(3) for p in range(4)]
+
+
+def test_calibrate_and_export(spark, tmp_path):
+    reg = arena.Registry()
+    reg.player("echo", arena.echo)
+    reg.judge("first", lambda p, a, b: F.struct(F.when(a == p, "B").otherwise("A").alias("winner"), F.lit("").alias("reason")), "v1")
+    prompts = spark.createDataFrame([("c", "p", "gold"), ("c", "q", None)], "category string, prompt string, gold string")
+    row = arena.calibrate(prompts, reg).first()
+    assert (row.n, row.agree, row.miss_rate) == (1, 1, 0.0)
+    paths = arena.export_all(log(spark, ROWS), str(tmp_path), n_boot=2)
+    assert spark.read.option("header", True).csv(paths["matches"]).count() == 5
+    assert spark.read.option("header", True).csv(paths["head_to_head"]).columns == ["model", "a", "b", "c"]
+
+
+def test_books_and_peek(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"{i}.txt").write_text("*** START OF THE PROJECT GUTENBERG EBOOK X ***\n" + "\n\n".join(f"paragraph {i} {j} " * 20 for j in range(5)) + "\n*** END OF THE PROJECT GUTENBERG EBOOK X ***")
+    rows = text.books(spark, str(tmp_path))
+    assert rows.count() == 10 and rows.select("key").distinct().count() == 10
+    assert corpus.peek(rows, "key", 3).collect() == corpus.peek(rows.repartition(4), "key", 3).collect()
+
+
+def test_config(tmp_path):
+    from tidewright import config
+
+    (tmp_path / "a.py").write_text("from tidewright.config import Config\nconfig = Config(dataset='x')\n")
+    (tmp_path / "b.py").write_text("from tidewright.config import Config\ndef make_config():\n    return Config(block_size=7)\n")
+    (tmp_path / "c.py").write_text("x = 1\n")
+    assert config.load(str(tmp_path / "a.py")).dataset == "x" and config.load(str(tmp_path / "b.py")).block_size == 7
+    with pytest.raises(AttributeError):
+        config.load(str(tmp_path / "c.py"))
+
+
+def test_vocabulary_size():
+    assert tokens.vocabulary_size({"vocab": {"a": 0}}, 9) == 1 and tokens.vocabulary_size(None, 9) == 9
+
+
+def test_code_reaches_executors(spark):
+    from tidewright import ship
+
+    ship.to_executors(spark)
+    ship.to_executors(spark)
+    assert spark.sparkContext.applicationId in ship._SENT

@@ -255,3 +255,29 @@ def derived_log(events: DataFrame) -> DataFrame:
     rows = rows.where("model_a <> model_b AND va IS NOT NULL AND vb IS NOT NULL")
     winner = F.when(F.col("va") > F.col("vb"), F.col("model_a")).when(F.col("va") < F.col("vb"), F.col("model_b")).otherwise("tie")
     return rows.select(F.col("event_id").alias("seq"), "model_a", "model_b", F.concat(F.lit("judge"), F.col("event_id") % 3).alias("judge"), F.concat(F.lit("v"), F.floor(F.col("event_id") / 3) % 2).alias("judge_version"), winner.alias("winner"))
+
+
+def calibrate(prompts: DataFrame, registry: Registry) -> DataFrame:
+    """Judge every player's answer against the known one (category, prompt, gold), both ways round, and count."""
+    units = []
+    for name, (play, _) in registry.players.items():
+        answer = play(F.col("prompt"))
+        for judge_name, (judge, version) in registry.judges.items():
+            c = consolidate(judge(F.col("prompt"), F.col("gold"), answer), judge(F.col("prompt"), answer, F.col("gold")))
+            units.append(F.struct(F.lit(name).alias("model"), F.lit(judge_name).alias("judge"), F.lit(version).alias("judge_version"), c["slot"].alias("slot")))
+    judged = prompts.where("gold IS NOT NULL AND gold <> ''").select("category", F.explode(F.array(*units)).alias("u")).select("category", "u.*")
+    return calibration(judged)
+
+
+MATCH_COLUMNS = ["seq", "model_a", "model_b", "judge", "judge_version", "winner"]
+
+
+def export_all(matches: DataFrame, out: str, versions: dict[str, str] | None = None, n_boot: int = 200) -> dict[str, str]:
+    """Three CSV reports: matches and head to head over all versions, the leaderboard over the wanted ones."""
+    from ..sources.sinks import csv
+
+    board = leaderboard(matches, versions, n_boot)
+    reports = {"matches": (matches.orderBy("seq"), MATCH_COLUMNS), "leaderboard": (board, board.columns), "head_to_head": ((m := matrix(matches)).orderBy("model"), m.columns)}
+    for name, (df, columns) in reports.items():
+        csv(df, columns, f"{out}/{name}")
+    return {name: f"{out}/{name}" for name in reports}

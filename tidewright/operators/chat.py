@@ -106,3 +106,32 @@ def prompt_window(turns: Column, tokens, eos: int, block: int, reserve: int) ->
         return F.slice(ids, F.greatest(F.size(ids) - budget, F.lit(0)) + 1, budget)
 
     return F.when(F.size(turns) > 0, F.element_at(F.transform(F.array(both), window), 1)).otherwise(F.slice(cue(False), F.greatest(F.size(cue(False)) - budget, F.lit(0)) + 1, budget))
+
+
+def examples(convs: DataFrame, tokens, eos: int, block: int, val_fraction: float = 0.02, seed: int = 1337, rewrite=None) -> DataFrame:
+    """conv_id, split, input_ids, labels, truncated of (conv_id, turns): rewritten, masked, shuffled and split.
+
+    Conversations without anything to learn go; the validation part has max(1, floor(n * fraction)) rows."""
+    from .corpus import fraction_split
+
+    if rewrite is not None:
+        convs = convs.withColumn("turns", map_bot(F.col("turns"), rewrite))
+    rows = convs.select("conv_id", masked(F.col("turns"), tokens, eos, block).alias("e")).where("e IS NOT NULL").select("conv_id", "e.input_ids", "e.labels", "e.truncated")
+    return fraction_split(rows, "conv_id", val_fraction, seed)
+
+
+def summary(convs: DataFrame, built: DataFrame) -> DataFrame:
+    """n, skipped, truncated and the share of truncated examples."""
+    n = convs.agg(F.count("*").alias("all"))
+    out = built.agg(F.count("*").alias("n"), F.count_if("truncated").alias("truncated")).join(n)
+    return out.select("n", (F.col("all") - F.col("n")).alias("skipped"), "truncated", (F.col("truncated") / F.greatest("n", F.lit(1))).alias("truncated_share"))
+
+
+def batches(built: DataFrame, n: int, size: int, seed: int = 1337) -> DataFrame:
+    """batch, place, x, y: n batches of ``size`` examples drawn with replacement, shifted for next-token training."""
+    from .order import digest, ordered_index
+
+    rows = ordered_index(built, "conv_id", name="_at")
+    total = built.count()
+    draws = built.sparkSession.range(n * size).select(F.floor(F.col("id") / size).alias("batch"), (F.col("id") % size).alias("place"), (digest(F.col("id"), seed) % max(1, total)).alias("_at"))
+    return draws.join(rows, "_at").select("batch", "place", shifted(F.struct("input_ids", "labels")).alias("s")).select("batch", "place", "s.x", "s.y")

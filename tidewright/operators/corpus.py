@@ -129,3 +129,8 @@ def dialect_sql(column: str) -> str:
         for a, b in ((word, other), (word.capitalize(), other[0].upper() + other[1:])):
             column = "regexp_replace({}, '(^|[^A-Za-z''])({})($|[^A-Za-z''])', '\\1{}\\3', 'g')".format(column, a, b.replace("'", "''"))
     return column
+
+
+def peek(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """One row, chosen by a seeded order."""
+    return shuffle_select(df, key, 1, seed)

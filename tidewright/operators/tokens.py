@@ -213,3 +213,8 @@ def ranks(tokenizer: dict, special: tuple[str, ...] = ("<|endoftext|>",)) -> lis
 
     back = {c: b for b, c in enumerate(byte_letters())}
     return [(b64encode(bytes(back[c] for c in t)).decode(), i) for t, i in sorted(tokenizer["vocab"].items(), key=lambda x: x[1]) if t not in special]
+
+
+def vocabulary_size(tokenizer: dict | None, configured: int) -> int:
+    """The tokenizer's size where there is one, else the configured one."""
+    return len(tokenizer["vocab"]) if tokenizer else configured

@@ -53,3 +53,20 @@ def token_file(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([i // block], pa.int64()), pa.array([ids[i : i + block]], pa.list_(pa.int32()))], names=["file", "block", "ids"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, ids array<int>")
+
+
+def fetch(url: str, timeout: float = 60.0, agent: str = "tidewright/0.1") -> str:
+    """A text from the web, read on the driver; what isn't UTF-8 is replaced."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:
+        return answer.read().decode("utf-8", "replace")
+
+
+def books(spark: SparkSession, path: str, min_chars: int = 200) -> DataFrame:
+    """key and text: the paragraphs of staged books, without their licence headers and footers."""
+    from ..operators import corpus
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), corpus.strip_book(F.col("value")).alias("text"))
+    out = corpus.paragraphs(files, min_chars)
+    return out.select(F.concat_ws(":", "file", F.lpad(F.col("ord").cast("string"), 9, "0")).alias("key"), "text")
