@@ -36,7 +36,7 @@ def repeated_words(ws: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(again, lambda p: F.array(p, p + 1, p + 2)))))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("at")))
-    return F.when(F.size(ws) > 3, let(F.array_sort(windows), covered)).otherwise(0)
+    return F.when(F.size(ws) > 3, let(F.sort_array(windows), covered)).otherwise(0)
 
 
 def counts(text: Column) -> Column:
