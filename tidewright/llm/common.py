@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: White space that separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that the vectorised kernels handle at once (a single longer text is handled alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows up to which an id table may be broadcast: 2 million longs are 16 MB of payload.
 BROADCAST_ROWS = 2_000_000
 

@@ -118,7 +118,7 @@ def similar(k: int, percent: int):
         out, i = [], 0
         while i < len(a):
             j, size = i, 0
-            while j < len(a) and (j == i or size + len(a[j]) + len(b[j]) <= 4 << 20):
+            while j < len(a) and (j == i or size + len(a[j]) + len(b[j]) <= 2 << 20):
                 size += len(a[j]) + len(b[j])
                 j += 1
             doc, h, count = shingles(a[i:j] + b[i:j], k)
