@@ -120,6 +120,26 @@ def test_substrings(spark, hard, docs):
         assert got == brute_substrings(pairs(df), 13)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    pool = [f"w{i} v{i * 7 % 91}" for i in range(200)]
+    one, two, three = (" ".join(pool[a : a + 40]) for a in (0, 50, 100))
+    long = " ".join(f"only{i}" for i in range(500))
+    rows = [(1, one), (2, two + " tail"), (None, one), (None, three), (None, long + " " + two), (None, "short"), (None, None), (5, one), (5, three + " more"), (5, "a b"), (5, long), (7, three)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first, want = {}, []
+    rank = lambda i: 2**63 if i is None else i
+    grams = lambda w: [tuple(w[j : j + 13]) for j in range(len(w) - 12)]
+    for i, t in rows:
+        for g in grams(words(t)):
+            first[g] = min(first.get(g, rank(i)), rank(i))
+    for i, t in rows:
+        w = words(t)
+        gone = {p for j, g in enumerate(grams(w)) if first[g] < rank(i) for p in range(j, j + 13)}
+        want.append((rank(i), len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = [(rank(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substrings.repeated_passages(spark, df, 13).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_substrings_of_nothing(spark, empty):
     assert substrings.repeated_passages(spark, empty).count() == 0
 

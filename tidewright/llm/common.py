@@ -76,7 +76,7 @@ class Store:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def id_join(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def id_join(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Join with a table of ids: broadcast when a count proves it small, shuffled otherwise."""
     n = ids.limit(BROADCAST_ROWS + 1).count()
     return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, on, how)

@@ -16,8 +16,9 @@ A document that equals an earlier one word for word is wholly covered by it; suc
 work at once and only their first one is searched.
 
 Null or empty texts have no words and lose none. Fewer than LENGTH words can't repeat a passage. Rows
-with an equal doc_id are one document: a passage repeated only among them isn't in a smaller doc_id.
-A null doc_id comes after all others, and rows without one count as one document.
+with an equal doc_id rank alike: a passage repeated only among them isn't in a smaller doc_id. A null
+doc_id comes after all others. Each row is judged on its own text: where an id is null, or comes with
+different texts, a digest of the text (key) goes with it through all steps.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, Words, chunks, id_join, mix, read, signed, utf8
+from .common import BROADCAST_ROWS, Store, Words, chunks, id_join, mix, read, signed, utf8
 
 SEED = 4
 _LAST = 2**63 - 1
@@ -67,12 +68,26 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
             place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first, w.count).astype(np.uint64)
             np.add.at(x, w.doc, mix(w.hash + mix(place, 5), 7))
             np.add.at(y, w.doc, mix(w.hash + mix(place, 11), 13))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count.astype(np.int64)), pa.array(signed(x)), pa.array(signed(y))], names=["ord", "n_words", "x", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(w.count.astype(np.int64)), pa.array(signed(x)), pa.array(signed(y))], names=["ord", "own", "n_words", "x", "y"])
 
-    same = docs.select("ord", "text").mapInArrow(digest, "ord long, n_words long, x long, y long")
+    own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    same = docs.select("ord", "text", own.alias("own")).mapInArrow(digest, "ord long, own binary, n_words long, x long, y long")
     same = store.write(same)
+    reused = same.where(F.col("ord") != _LAST).groupBy("ord").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    reused = store.write(reused.where("a < b OR c < d").select("ord", F.lit(True).alias("reused")))
+    n_reused = reused.limit(BROADCAST_ROWS + 1).count()
+
+    def keyed(df: DataFrame, own: Column) -> DataFrame:
+        """With key: empty where the id alone tells a row's text, so that it costs nothing in a shuffle; if reused ids are too many to broadcast, no row's is."""
+        if n_reused > BROADCAST_ROWS:
+            return df.withColumn("key", own)
+        if not n_reused:
+            return df.withColumn("key", F.when(F.col("ord") == _LAST, own).otherwise(F.lit(b"")))
+        return df.join(F.broadcast(reused), "ord", "left").withColumn("key", F.when((F.col("ord") == _LAST) | F.col("reused"), own).otherwise(F.lit(b""))).drop("reused")
+
+    docs, same = keyed(docs, own), keyed(same, F.col("own"))
     firsts = same.where(F.col("n_words") >= length).groupBy("x", "y", "n_words").agg(F.min("ord").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = store.write(same.join(firsts, ["x", "y", "n_words"]).where("ord > first").select("ord").distinct())
+    copies = store.write(same.join(firsts, ["x", "y", "n_words"]).where("ord > first").select("ord", "key").distinct())
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -80,14 +95,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
             _, where, h = anchors(w, length)
             fresh = np.ones(len(where), bool)
             fresh[1:] = where[1:] != where[:-1]
-            ids = b.column(0).to_numpy()[w.doc[where[fresh]]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[fresh])), pa.array(ids)], names=["seed", "ord"])
+            doc = w.doc[where[fresh]]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[fresh])), pa.array(b.column(0).to_numpy()[doc]), b.column(2).take(pa.array(doc))], names=["seed", "ord", "key"])
 
-    single = id_join(docs.select("ord", "text"), copies, "ord", "left_anti")
-    found = single.mapInArrow(seeds, "seed long, ord long")
+    single = id_join(docs.select("ord", "text", "key"), copies, ["ord", "key"], "left_anti")
+    found = single.select("ord", "text", "key").mapInArrow(seeds, "seed long, ord long, key binary")
     # Written first, so that both sides of each join are plain exchanges and a hot key's side can be split.
     often = store.write(found.groupBy("seed").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("seed"))
-    hits = store.write(found.join(often, "seed").groupBy("ord").agg(F.collect_set("seed").alias("seeds")))
+    hits = store.write(found.join(often, "seed").groupBy("ord", "key").agg(F.collect_set("seed").alias("seeds")))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -103,14 +118,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
                 two += mix(w.hash[start + j], 201 + j)
             doc = w.doc[start]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(mix(one, 1))), pa.array(signed(mix(two, 2))), pa.array(b.column(0).to_numpy()[doc]), pa.array((start - w.first[doc]).astype(np.int32))], names=["one", "two", "ord", "at"]
+                [pa.array(signed(mix(one, 1))), pa.array(signed(mix(two, 2))), pa.array(b.column(0).to_numpy()[doc]), b.column(3).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32))],
+                names=["one", "two", "ord", "key", "at"],
             )
 
-    passages = single.join(hits, "ord").select("ord", "text", "seeds").mapInArrow(extend, "one long, two long, ord long, at int")
+    passages = single.join(hits, ["ord", "key"]).select("ord", "text", "seeds", "key").mapInArrow(extend, "one long, two long, ord long, key binary, at int")
     passages = store.write(passages)
     earliest = store.write(passages.groupBy("one", "two").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("one", "two", "first"))
-    covered = passages.join(earliest, ["one", "two"]).where("ord > first").groupBy("ord").agg(F.collect_set("at").alias("at"))
-    covered = covered.withColumn("copy", F.lit(False)).unionByName(copies.select("ord", F.array().cast("array<int>").alias("at"), F.lit(True).alias("copy")))
+    covered = passages.join(earliest, ["one", "two"]).where("ord > first").groupBy("ord", "key").agg(F.collect_set("at").alias("at"))
+    covered = covered.withColumn("copy", F.lit(False)).unionByName(copies.select("ord", "key", F.array().cast("array<int>").alias("at"), F.lit(True).alias("copy")))
     covered = store.write(covered)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +152,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
             removed = np.bincount(w.doc, weights=out, minlength=len(texts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    out = docs.join(covered, "ord", "left").select("doc_id", "text", "at", "copy").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    out = docs.join(covered, ["ord", "key"], "left").select("doc_id", "text", "at", "copy").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
     store.drop(same, copies, often, hits, passages, earliest)
     return out
 
