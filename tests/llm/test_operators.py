@@ -438,6 +438,18 @@ def test_grammar():
     assert toxicity.matched("fine. such trash, really. ok", lexicon) == [" such trash"]
 
 
+def test_clauses_are_whole_however_long():
+    lexicon = toxicity.Lexicon({})
+    far = "some other words " * 40
+    score = lambda t: sum(toxicity.clause_output(c, lexicon) for c in toxicity.matched(t, lexicon))
+    assert score(f"you {far} idiot") > score(f"{far} idiot") > score(f"was said {far} idiot") == score(f"\u201c{far} idiot") > 0
+    text = f"one. he said {far} idiot and {far} moron, fine. {far}, you {far} loser"
+    assert toxicity.matched(text, lexicon) == [f" he said {far} idiot and {far} moron", f" you {far} loser"]
+    # The window's edge once fell inside skill, whose rest is a word of violence.
+    text = f"skill {'x' * 387} you idiot"
+    assert toxicity.matched(text, lexicon) == [text]
+
+
 def test_ordinal_recovers_thresholds():
     import numpy as np
 

@@ -49,7 +49,8 @@ NEGATED, WEAK_NEGATED, WEAK_REPORTED, STRONG_TARGET = 3, 0.5, 0.6, 1.25
 FIXED_WEIGHT, THREAT_WEIGHT = 4.0, 5.0
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:,\n\r…]")
+_ENDS = ".!?;:,\n\r…"
+_CLAUSE = re.compile(f"[{_ENDS}]")
 _QUOTES = frozenset("\"“„«")
 _CLASSES = {w: "violence" for w in VIOLENCE} | {w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
 
@@ -126,7 +127,8 @@ def matched(text: str, lexicon: Lexicon) -> list[str]:
     for m in lexicon.find(text):
         if m.start() < done:
             continue
-        start = max((c.end() for c in _CLAUSE.finditer(text, max(done, m.start() - 400), m.start())), default=max(done, m.start() - 400))
+        # From the end of the last clause that was taken on, so that no letter is searched again.
+        start = max(done, 1 + max(text.rfind(c, done, m.start()) for c in _ENDS))
         end = _CLAUSE.search(text, m.end())
         done = end.start() if end else len(text)
         out.append(text[start:done])
