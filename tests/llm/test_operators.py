@@ -371,6 +371,24 @@ def test_main_text(spark):
     assert got == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)}
 
 
+WRAPPED = [
+    ("<body><nav>Menu</nav><div class='content has-sidebar'><article><h1>Head</h1><p>Text of it.</p></article></div></body>", "Head Text of it."),
+    ("<div id=page class='header-fixed'><div class='sidebar'><p>Side text.</p></div><div><p>LONG</p><p>Short.</p></div></div><p>A line of the page's own that is outside.</p>", "LONG Short. A line of the page's own that is outside."),
+    ("<div class='has-sidebar'><article><p>Text</p><div class='related'><article>Other</article></div></article></div><div class='comments'><article>LONG</article></div>", "Text"),
+    ("<body class=x><svg width='1'/><article><p>After a drawing</p></article></body>", "After a drawing"),
+    ("<div><svg><path d='x'></div><article>One <svg><text>no</text></svg>two</article>", "One two"),
+    ("<article><p>Before</p><video src=x><p>after</p></article>", "Before after"), ("<p>LONG</p><iframe src=x>", "LONG"),
+    ("<div><p>LONG LONG LONG</p><div class=ad>Buy</div><p>Short.</p><div class=ad>Buy</div><p>LONG LONG</p></div>", "LONG LONG LONG Short. LONG LONG"),
+    ("<div><p>LONG LONG LONG</p><div class=ad>Buy</div><p>The end.</p></div>", "LONG LONG LONG The end."),
+    ("<div><p>LONG</p><nav>x</nav><p><a href=x>Only a link that is long enough to be a region</a></p></div>", "LONG"),
+]
+
+
+def test_main_text_is_whole():
+    long = "A paragraph of text that is long enough, and goes on for a while."
+    assert [html.main_text(h.replace("LONG", long)) for h, _ in WRAPPED] == [t.replace("LONG", long) for _, t in WRAPPED]
+
+
 def test_regions():
     assert html.regions([0, 0, 5, 60, 50, 0, 0, 0, 0, 70, 0, 0, 0], 40) == [(2, 5), (9, 10)]
     assert html.regions([], 40) == [] and html.regions([0, 0], 0) == []

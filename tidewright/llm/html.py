@@ -4,16 +4,18 @@
    becomes one line with single spaces. What can't be the main text by its markup leaves no text but a gap
    of empty lines: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class,
    id or role names an advert, a notice, comments and the like. Where a page marks its article or main
-   part, lines outside of it count as such gaps too.
+   part, lines outside of it count as such gaps too. A named element that holds the page's main part or most
+   of its text is a wrapper whose name says something else (has-sidebar, header-fixed); see wrappers().
 2. The text length of a line with its BLOCK - 1 followers is the line's block length. A surge point is a
    line whose block length rises above the threshold (with lines of text after it), a dive point the next
    line at which it falls to nothing. The text between a surge and its dive is a region.
 3. Where the page marks its article all of its regions are kept: short paragraphs between long ones are
-   inside a region, and gaps only cut out what isn't text. Otherwise regions with a fair share of
-   the longest region's text are kept, and none that consists of links.
+   inside a region, and gaps only cut out what isn't text. Otherwise the main text runs from the first
+   to the last region with a fair share of the longest region's text, and on to regions that follow or lead
+   up to it after a single gap. Short regions in that stretch are kept, and none that consists of links.
 
 Null and empty pages, and pages without text, give the empty text. Tags that are never closed end with
-the element around them. Nested or repeated article elements are one main part each.
+the element around them; embedded ones (svg, video and the like) without any end tag after them hold nothing. Nested or repeated article elements are one main part each.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .common import read
 #: Lines in a block, least block length of a surge without a marked article, and a region's least share of the longest.
 BLOCK, SURGE, SHARE = 3, 40, 0.2
 #: Element names of HTML by their part in a page.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title"}
+EMBEDDED = {"noscript", "template", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "head", "fieldset", "label"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,24 +42,82 @@ BLOCKS = {
     "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 #: Parts of class, id and role names of what isn't main text.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|comments?|disqus|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widget|related|recommended|share|sharing|social|search|login|toolbar|pagination|pager|copyright|complementary|contentinfo)(?:$|[\s_-]|\d)",
-    re.I,
+_NAMES = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|comments?|disqus|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widget|related|recommended|share|sharing|social|search|login|toolbar|pagination|pager|copyright|complementary|contentinfo)"
 )
+NAMED = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-]|\d)", re.I)
+#: The whole of a class, id or role consists of such names.
+EXACT = re.compile(rf"(?:^|\s){_NAMES}(?:[_-]{_NAMES})*(?:$|\s)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
+class Named:
+    """An element with an aside's name: the named one around it, its offset, its name, and unlinked letters
+    in it (text), in it and inside a marked main part (main), and of main parts that begin in it (held)."""
+
+    def __init__(self, parent: int, offset: int, exact: bool, in_main: bool):
+        self.parent, self.offset, self.exact, self.in_main = parent, offset, exact, in_main
+        self.text = self.main = self.held = 0
+
+
+def wrappers(named: list[Named]) -> frozenset[int]:
+    """Offsets of named elements that are wrappers of the page's main text, found from the page inwards.
+
+    In a wrapper (or the page) a named element is one if it holds more than half of the text, enough for a region, and is named so in
+    part only, or nothing worth a region is left outside of it. Where nothing is left outside, one that
+    holds a main part is as well; one by an exact name only where no other is. Beside a marked main part with text of its own only elements inside that count."""
+    every, held = [x.text for x in named], [x.held for x in named]
+    for i in range(len(named) - 1, 0, -1):
+        every[named[i].parent] += every[i]
+        held[named[i].parent] += held[i]
+    children: dict[int, list[int]] = {}
+    for i in range(1, len(named)):
+        children.setdefault(named[i].parent, []).append(i)
+    out, todo = set(), [0]
+    while todo:
+        at = todo.pop()
+        around = named[at]
+        alone = around.text <= SURGE
+        some = [i for i in children.get(at, ()) if named[i].in_main or not around.main]
+        holders = sum(held[i] > 0 for i in some)
+        chosen: list[int] = []
+        for exact in (False, True):
+            if not chosen:
+                for i in some:
+                    most = every[i] > SURGE and 2 * every[i] > every[at] and (alone or not exact)
+                    if named[i].exact == exact and (most or held[i] and alone and (not exact or holders == 1)):
+                        chosen.append(i)
+        out.update(named[i].offset for i in chosen)
+        todo += chosen
+    return frozenset(out)
+
+
 class Lines:
-    """The lines of a page, (text, letters inside links, inside a marked main part); a gap is (None, 0, main)."""
+    """The lines of a page, (text, letters inside links, inside a marked main part); a gap is (None, 0, main).
 
-    def __init__(self, html: str):
+    Elements that start at an offset in ``exempt`` are no asides whatever their names are."""
+
+    def __init__(self, html: str, exempt: frozenset[int] = frozenset()):
         self.lines: list[tuple[str | None, int, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
-        open_tags: list[tuple[str, bool, bool]] = []  # name, is aside, is main
+        open_tags: list[tuple[str, bool, bool, int]] = []  # name, is aside, is main, place in named or 0
         asides = mains = links = at = 0
+        # The page and its named asides, with the text in them that no other aside holds; hard counts the other asides.
+        self.named = [Named(-1, -1, False, False)]
+        hard = within = inner = home = 0
+        last: dict[str, int] = {}
+
+        def closed(t: tuple[str, bool, bool, int]) -> None:
+            nonlocal asides, hard, within, inner
+            asides -= t[1]
+            hard -= t[1] and not t[3]
+            inner -= t[0] in MAIN and not hard
+            if t[3]:
+                within = self.named[t[3]].parent
+
         search, n = _TOKEN.search, len(html)
         while at < n:
             m = search(html, at)
@@ -65,6 +126,12 @@ class Lines:
                 self.parts.append(text)
                 if links:
                     self.linked += len(text)
+            if text and not hard and not links:
+                size = len(text) if not text.isspace() else 0
+                self.named[within].text += size
+                if inner:
+                    self.named[within].main += size
+                    self.named[home].held += size
             if not m:
                 break
             at = m.end()
@@ -77,11 +144,10 @@ class Lines:
                         self.end(mains > 0)
                     continue
                 while open_tags:
-                    t, aside, main = open_tags.pop()
+                    t, _, main, _ = tag = open_tags.pop()
                     if t in BLOCKS or t in ASIDE:
                         self.end(mains > 0)
-                    if aside:
-                        asides -= 1
+                    closed(tag)
                     if main:
                         mains -= 1
                         self.gap(False)
@@ -96,6 +162,10 @@ class Lines:
             if name == "br" or name == "wbr":
                 self.parts.append(" " if name == "br" else "")
                 continue
+            if name in EMBEDDED and name not in last:
+                last[name] = max((c.start() for c in re.finditer(rf"</{name}(?=[\s/>])", html, re.I)), default=-1)
+            if name in EMBEDDED and last[name] < at:
+                continue
             if name in VOID or m[3].endswith("/") and name not in BLOCKS:
                 if name == "hr":
                     self.end(mains > 0)
@@ -104,36 +174,54 @@ class Lines:
             closes = ("p",) if name in BLOCKS or name in ASIDE else ()
             if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
                 closes = ("p", name)
-            while open_tags and (open_tags[-1][0] in closes or closes and open_tags[-1][0] not in BLOCKS and open_tags[-1][0] not in ASIDE and any(t[0] in closes for t in open_tags[-4:])):
-                t, aside, main = open_tags.pop()
-                asides -= aside
+            while open_tags and (open_tags[-1][0] in closes or closes and open_tags[-1][0] not in BLOCKS and open_tags[-1][0] not in ASIDE and open_tags[-1][0] not in EMBEDDED and any(t[0] in closes for t in open_tags[-4:])):
+                t, *_ = tag = open_tags.pop()
+                closed(tag)
                 links -= t == "a"
                 if t in closes:
                     self.end(mains > 0)
                     break
-            aside = name in ASIDE or bool(m[3]) and self.named(m[3], name)
-            if name in BLOCKS or aside:
+            kind = self.kind(m[3], name) if m[3] and name not in ASIDE and name not in EMBEDDED else ""
+            if kind in ("exact", "part") and m.start() in exempt:
+                kind = ""
+            place = 0
+            if kind in ("exact", "part") and not hard:
+                place = len(self.named)
+                self.named.append(Named(within, m.start(), kind == "exact", inner > 0))
+                within = place
+            aside = name in ASIDE or name in EMBEDDED or bool(kind)
+            if name in BLOCKS or aside and name not in EMBEDDED:
                 self.end(mains > 0)
             if aside:
                 asides += 1
-                self.gap(mains > 0)
+                hard += not place
+                if name not in EMBEDDED:
+                    self.gap(mains > 0)
+            if name in MAIN and not hard:
+                if not inner:
+                    home = within
+                inner += 1
             main = name in MAIN and not asides
             if main:
                 self.gap(False)
                 mains += 1
             links += name == "a"
-            open_tags.append((name, aside, main))
+            open_tags.append((name, aside, main, place))
         self.end(mains > 0)
 
     @staticmethod
-    def named(attributes: str, name: str) -> bool:
+    def kind(attributes: str, name: str) -> str:
+        """What its attributes make of an element: hidden, an aside by an exact name or by a part of one, or nothing."""
         if name in ("html", "body", "article", "main"):
-            return False
+            return ""
+        out = ""
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values)
-            if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true" or NAMED.search(value):
-                return True
-        return False
+            if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
+                return "hidden"
+            if out != "exact" and NAMED.search(value):
+                out = "exact" if EXACT.search(value) else "part"
+        return out
 
     def end(self, main: bool) -> None:
         """Close the line that is open, if it has text."""
@@ -177,16 +265,29 @@ def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by one space."""
     if not html:
         return ""
-    lines = Lines(html).lines
+    page = Lines(html)
+    if exempt := wrappers(page.named):
+        page = Lines(html, exempt)
+    lines = page.lines
     marked = any(main and text for text, _, main in lines)
     lengths = [len(text) if text and (main or not marked) else 0 for text, _, main in lines]
-    found = regions(lengths, 0 if marked else SURGE) or regions(lengths, 0)
+    found = regions(lengths, 0)
     if not marked and found:
         weigh = [sum(lengths[a:b]) for a, b in found]
         free = [sum(max(0, lengths[i] - lines[i][1]) for i in range(a, b)) for a, b in found]
         real = [2 * f >= w for f, w in zip(free, weigh, strict=True)]
-        top = max((w for w, r in zip(weigh, real, strict=True) if r), default=0)
-        found = [x for x, w, r in zip(found, weigh, real, strict=True) if r and w >= SHARE * top]
+        surges = set(regions(lengths, SURGE)) or set(found)
+        top = max((w for x, w, r in zip(found, weigh, real, strict=True) if r and x in surges), default=0)
+        fair = [i for i, (x, w, r) in enumerate(zip(found, weigh, real, strict=True)) if r and x in surges and w >= SHARE * top]
+        if fair:
+            first, last = fair[0], fair[-1]
+            while first and real[first - 1] and found[first][0] - found[first - 1][1] <= BLOCK:
+                first -= 1
+            while last + 1 < len(found) and real[last + 1] and found[last + 1][0] - found[last][1] <= BLOCK:
+                last += 1
+            found = [x for x, r in zip(found[first : last + 1], real[first : last + 1], strict=True) if r]
+        else:
+            found = []
     return " ".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
 
 
