@@ -282,6 +282,13 @@ def test_merges_and_ids_match_the_library(spark, small, tmp_path):
         tokens.check_vocabulary({"vocab": {}})
 
 
+def test_rare_words_count_as_well(spark):
+    # More distinct words than the cap that train once had, and a rare one that holds the most frequent pair.
+    often = spark.range(2_000_001).select(F.repeat(F.concat(F.lit(" "), F.col("id").cast("string")), 2).alias("text"))
+    rare = spark.createDataFrame([("zy" * 3_000_000,)], "text string")
+    assert tokens.train(often.unionByName(rare), 258)["merges"] == [["z", "y"]]
+
+
 def test_windows(spark):
     rows = [(i, list(range(sum(range(i)) + 0, sum(range(i + 1))))) for i in range(60)]
     flat = [x for _, ids in rows for x in ids]

@@ -15,8 +15,6 @@ from .order import digest, running_total
 
 #: Fixed value: the pattern that splits a text into words, in Java's dialect. White space is spelled out, as \s is Unicode in the trainer's.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?U:[^\s\p{L}\p{N}]+)|(?U:\s+(?!\S))|(?U:\s+)"
-#: Distinct words (the most frequent ones) that the merge loop looks at: it bounds the driver's memory.
-MAX_WORDS = 2_000_000
 
 
 def split_words(text: Column) -> Column:
@@ -35,13 +33,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), max_words: int = MAX_WORDS) -> dict:
+def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), max_words: int | None = None) -> dict:
     """Tokenizer of byte-pair merges: {"vocab": token -> id, "merges": [[left, right], ...]}.
 
     Words are counted in Spark. The merge loop, sequential by nature, runs on the driver over distinct
-    words: it takes the most frequent pair (of equal ones that with the least left id, then right id) and updates
+    words, all of them unless a caller sets ``max_words`` (the most frequent ones), so its memory grows with them: it takes the most frequent pair (of equal ones that with the least left id, then right id) and updates
     only the words that hold it. Special tokens come first, then all bytes."""
-    rows = word_counts(docs).orderBy(F.desc("count"), "word").limit(max_words).collect()
+    counted = word_counts(docs)
+    rows = (counted if max_words is None else counted.orderBy(F.desc("count"), "word").limit(max_words)).collect()
     letters = byte_letters()
     names = [*special, *sorted(letters)]
     ids = {t: i for i, t in enumerate(names)}
