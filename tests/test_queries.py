@@ -41,6 +41,19 @@ def test_leaderboard(spark, sf):
         assert r.rating == ratings[r.model] and r.ci_low <= r.ci_high and r.wins == counts[r.model].wins and r.games == counts[r.model].games
 
 
+def test_queries_take_the_operators_defaults(spark, sf, monkeypatch):
+    from tidewright.operators import arena, tokens
+
+    seen = []
+    resamples = arena.resamples
+    monkeypatch.setattr(arena, "resamples", lambda matches, n, *more: seen.append(n) or resamples(matches, n, *more))
+    QUERIES["leaderboard"](spark, sf)
+    assert seen == [200]
+    got = [(r.left, r.right) for r in QUERIES["bpe_merges"](spark, sf).orderBy("rank").collect()]
+    own = tokens.train(spark.read.parquet(f"{sf}/documents.parquet"), 8192)
+    assert len(got) > 255 and got == [tuple(m) for m in own["merges"]]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -93,7 +93,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arena.leaderboard(_log(spark, sf_dir), n_boot=20)
+    return arena.leaderboard(_log(spark, sf_dir))
 
 
 _VERDICT = "['A', 'B', 'tie'][1 + (event_id * {0}) % 3]"

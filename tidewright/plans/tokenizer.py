@@ -22,7 +22,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokenizer(spark: SparkSession, sf_dir: str) -> dict:
-    return tokens.train(table(spark, sf_dir, "documents"), 512)
+    return tokens.train(table(spark, sf_dir, "documents"))
 
 
 @query()
