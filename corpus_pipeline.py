@@ -20,13 +20,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; five-word shingles, a similarity of 0.8."""
-    gone = minhash.near_duplicates(spark, docs, 5, 80).where(~F.col("kept")).select("doc_id").distinct()
-    docs = minhash.id_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
-    # Only rows whose id comes again are dealt out, so that one of them stays; a null id isn't an id.
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return docs
-    return minhash.id_join(docs, again, "doc_id", "left_anti").unionByName(minhash.id_join(docs, again, "doc_id").dropDuplicates(["doc_id"]))
+    docs = docs.select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return near_duplicate_rows(spark, docs)
+    gone = minhash.near_duplicates(spark, docs, 5, 80).where(~F.col("kept")).select("doc_id")
+    return minhash.id_join(docs, gone, "doc_id", "left_anti")
+
+
+def near_duplicate_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The same where ids are null or come again: a document is an id with a text, told by a 64-bit digest.
+
+    Of each group the row with the smallest id stays (null after all), then by a fixed order of its content.
+    Texts without shingles are like no other; of such rows only those with an equal id and text are one."""
+    rows = docs.withColumn("_unit", F.xxhash64("doc_id", "text"))
+    found = minhash.near_duplicates(spark, rows.select(F.col("_unit").alias("doc_id"), "text"), 5, 80)
+    rows = rows.join(found.select(F.col("doc_id").alias("_unit"), "n_shingles", "component_id").distinct(), "_unit")
+    alone = F.col("doc_id").isNull() & (F.col("n_shingles") == 0)
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", own.alias("own"), "source", "lang", "n_chars", "text")).alias("first")
+    return rows.where(~alone).groupBy("component_id").agg(first).select("first.*").select(*COLUMNS).unionByName(rows.where(alone).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

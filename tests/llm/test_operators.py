@@ -501,6 +501,17 @@ def test_pipeline(spark, sf, hard, empty):
     assert p.run(spark, sf).count() > 0
 
 
+def test_near_duplicate_stage_with_null_and_reused_ids(spark):
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (2, two), (None, one), (None, three), (None, three), (None, ""), (None, ""), (4, "x"), (4, "x"), (5, one + " more")]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", len(t)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(1, one, "s0"), (1, two, "s1"), (None, three, "s4"), (None, "", "s6"), (None, "", "s7"), (4, "x", "s8")], key=repr)
+    for d in (df, df.repartition(5, "source")):
+        assert sorted(((r.doc_id, r.text, r.source) for r in p.near_duplicates(spark, d, "").collect()), key=repr) == want
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark, docs):
     import corpus_pipeline as p
 
