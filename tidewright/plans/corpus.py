@@ -75,6 +75,27 @@ def combine_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.round("output_order", 6).alias("output_order"))
 
 
+def _every_part(spark: SparkSession, sf_dir: str) -> dict[str | None, DataFrame]:
+    """All sources of documents, a null one last; one row for each comes to the driver."""
+    docs = table(spark, sf_dir, "documents")
+    names = sorted((r.source for r in docs.select("source").distinct().collect()), key=lambda n: (n is None, n or ""))
+    return {n: docs.where(F.col("source").eqNullSafe(F.lit(n))).select("doc_id", "text") for n in names}
+
+
+@query()
+def combine_concat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _every_part(spark, sf_dir)
+    return corpus.combine(parts, dict.fromkeys(parts, 1.0), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query()
+def combine_interleave_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of 3, 1 and 1 in turn, in the order of the sources' names."""
+    parts = _every_part(spark, sf_dir)
+    out = corpus.combine(parts, {n: (3.0, 1.0, 1.0)[i % 3] for i, n in enumerate(parts)}, "doc_id")
+    return out.select("doc_id", "source", F.round("output_order", 6).alias("output_order"))
+
+
 @query(f"""
     WITH s AS (SELECT source, text, CASE WHEN row_number() OVER (ORDER BY {H_DOC}, doc_id) <= 50 THEN 'validation' ELSE 'train' END AS split FROM documents),
     t AS (SELECT source, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'validation') AS val_rows,
