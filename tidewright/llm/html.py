@@ -4,18 +4,24 @@
    becomes one line with single spaces. What can't be the main text by its markup leaves no text but a gap
    of empty lines: scripts, styles, forms, menus, headers, footers, sidebars, and elements whose class,
    id or role names an advert, a notice, comments and the like. Where a page marks its article or main
-   part, lines outside of it count as such gaps too. A named element that holds the page's main part or most
-   of its text is a wrapper whose name says something else (has-sidebar, header-fixed); see wrappers().
+   part, lines outside of it count as such gaps too; an article that is itself named a comment, an advert or
+   the like is no such part. A named element that holds the page's main part or most of its text is a
+   wrapper whose name says something else (has-sidebar, header-fixed); see wrappers().
 2. The text length of a line with its BLOCK - 1 followers is the line's block length. A surge point is a
-   line whose block length rises above the threshold (with lines of text after it), a dive point the next
-   line at which it falls to nothing. The text between a surge and its dive is a region.
-3. Where the page marks its article all of its regions are kept: short paragraphs between long ones are
-   inside a region, and gaps only cut out what isn't text. Otherwise the main text runs from the first
-   to the last region with a fair share of the longest region's text, and on to regions that follow or lead
-   up to it after a single gap. Short regions in that stretch are kept, and none that consists of links.
-
-Null and empty pages, and pages without text, give the empty text. Tags that are never closed end with
-the element around them; embedded ones (svg, video and the like) without any end tag after them hold nothing. Nested or repeated article elements are one main part each.
+   line whose block length rises above SURGE (with lines of text after it), a dive point the next
+   line at which it falls to nothing. The text between a surge and its dive is a region. SURGE is the same on
+   marked and other pages; a page on which nothing surges is taken from any text on.
+3. The main text runs from the first to the last region with a fair share of the longest region's text, and on
+   to regions without a surge of their own that follow or lead up to it: across one gap, in a marked part across
+   any number, as gaps there only cut out what isn't text. Short regions in that stretch are kept, and none
+   that consists of links.
+
+Edges. Null and empty pages, and pages without text, give the empty text; an empty table gives an empty result;
+equal rows are extracted each alone; other columns are left out, whatever their names. Time and memory follow a
+page's length, however long it is. Tags that are never closed end with the element around them; embedded
+ones (svg, video and the like) without any end tag after them hold nothing. Quotes count in a tag only around a
+value, after the equals sign; one that is never closed is a letter. Nested or repeated article elements are
+one main part each.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-#: Lines in a block, least block length of a surge without a marked article, and a region's least share of the longest.
+#: Lines in a block, least block length of a surge, and a region's least share of the longest.
 BLOCK, SURGE, SHARE = 3, 40, 0.2
 #: Element names of HTML by their part in a page.
 RAW = {"script", "style", "textarea", "title"}
@@ -41,16 +47,24 @@ BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
     "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+#: Elements that an end tag of another kind inside of them doesn't close.
+_FENCES = BLOCKS | ASIDE
 #: Parts of class, id and role names of what isn't main text.
 _NAMES = (
     r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|comments?|disqus|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|"
     r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widget|related|recommended|share|sharing|social|search|login|toolbar|pagination|pager|copyright|complementary|contentinfo)"
 )
+_READERS = r"(?:comments?|disqus|repl(?:y|ies)|responses?)"
 NAMED = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-]|\d)", re.I)
 #: The whole of a class, id or role consists of such names.
 EXACT = re.compile(rf"(?:^|\s){_NAMES}(?:[_-]{_NAMES})*(?:$|\s)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Names that part an article or main element from the page's own: readers' words, in part or whole.
+READERS = re.compile(rf"(?:^|[\s_-]){_READERS}(?:$|[\s_-]|\d)", re.I)
+#: The inside of a tag: runs of anything else, and values, which alone have quotes.
+_INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|\Z))|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+_NAMING = {"class", "id", "role"}
 
 
 class Named:
@@ -94,6 +108,16 @@ def wrappers(named: list[Named]) -> frozenset[int]:
     return frozenset(out)
 
 
+class Element:
+    """An open element: its name, whether it is an aside, a link, a marked main part (as the page's text
+    and as what holds text), whether its aside has no name, and its place in the list of named ones or 0."""
+
+    __slots__ = ("name", "aside", "hard", "main", "inner", "place")
+
+    def __init__(self, name: str, aside: bool, hard: bool, main: bool, inner: bool, place: int):
+        self.name, self.aside, self.hard, self.main, self.inner, self.place = name, aside, hard, main, inner, place
+
+
 class Lines:
     """The lines of a page, (text, letters inside links, inside a marked main part); a gap is (None, 0, main).
 
@@ -103,34 +127,29 @@ class Lines:
         self.lines: list[tuple[str | None, int, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
-        open_tags: list[tuple[str, bool, bool, int]] = []  # name, is aside, is main, place in named or 0
-        asides = mains = links = at = 0
+        # The open elements (None where an end tag has closed one below an open block), and their places by name.
+        self.open: list[Element | None] = []
+        self.where: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+        self.asides = self.mains = self.links = 0
         # The page and its named asides, with the text in them that no other aside holds; hard counts the other asides.
         self.named = [Named(-1, -1, False, False)]
-        hard = within = inner = home = 0
+        self.hard = self.within = self.inner = 0
+        home = at = 0
         last: dict[str, int] = {}
-
-        def closed(t: tuple[str, bool, bool, int]) -> None:
-            nonlocal asides, hard, within, inner
-            asides -= t[1]
-            hard -= t[1] and not t[3]
-            inner -= t[0] in MAIN and not hard
-            if t[3]:
-                within = self.named[t[3]].parent
-
         search, n = _TOKEN.search, len(html)
         while at < n:
             m = search(html, at)
             text = html[at : m.start() if m else n]
-            if text and not asides:
+            if text and not self.asides:
                 self.parts.append(text)
-                if links:
+                if self.links:
                     self.linked += len(text)
-            if text and not hard and not links:
+            if text and not self.hard and not self.links:
                 size = len(text) if not text.isspace() else 0
-                self.named[within].text += size
-                if inner:
-                    self.named[within].main += size
+                self.named[self.within].text += size
+                if self.inner:
+                    self.named[self.within].main += size
                     self.named[home].held += size
             if not m:
                 break
@@ -139,21 +158,7 @@ class Lines:
             if not name:
                 continue
             if m[1]:
-                if not any(t[0] == name for t in open_tags):
-                    if name in BLOCKS:
-                        self.end(mains > 0)
-                    continue
-                while open_tags:
-                    t, _, main, _ = tag = open_tags.pop()
-                    if t in BLOCKS or t in ASIDE:
-                        self.end(mains > 0)
-                    closed(tag)
-                    if main:
-                        mains -= 1
-                        self.gap(False)
-                    links -= t == "a"
-                    if t == name:
-                        break
+                self.end_tag(name)
                 continue
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -168,72 +173,121 @@ class Lines:
                 continue
             if name in VOID or m[3].endswith("/") and name not in BLOCKS:
                 if name == "hr":
-                    self.end(mains > 0)
+                    self.end()
                 continue
-            # A new block closes an open paragraph, a new item the item before it.
-            closes = ("p",) if name in BLOCKS or name in ASIDE else ()
-            if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                closes = ("p", name)
-            while open_tags and (open_tags[-1][0] in closes or closes and open_tags[-1][0] not in BLOCKS and open_tags[-1][0] not in ASIDE and open_tags[-1][0] not in EMBEDDED and any(t[0] in closes for t in open_tags[-4:])):
-                t, *_ = tag = open_tags.pop()
-                closed(tag)
-                links -= t == "a"
-                if t in closes:
-                    self.end(mains > 0)
-                    break
+            self.close_before(name)
             kind = self.kind(m[3], name) if m[3] and name not in ASIDE and name not in EMBEDDED else ""
             if kind in ("exact", "part") and m.start() in exempt:
                 kind = ""
             place = 0
-            if kind in ("exact", "part") and not hard:
+            if kind in ("exact", "part") and not self.hard:
                 place = len(self.named)
-                self.named.append(Named(within, m.start(), kind == "exact", inner > 0))
-                within = place
+                self.named.append(Named(self.within, m.start(), kind == "exact", self.inner > 0))
+                self.within = place
             aside = name in ASIDE or name in EMBEDDED or bool(kind)
             if name in BLOCKS or aside and name not in EMBEDDED:
-                self.end(mains > 0)
+                self.end()
             if aside:
-                asides += 1
-                hard += not place
+                self.asides += 1
+                self.hard += not place
                 if name not in EMBEDDED:
-                    self.gap(mains > 0)
-            if name in MAIN and not hard:
-                if not inner:
-                    home = within
-                inner += 1
-            main = name in MAIN and not asides
+                    self.gap(self.mains > 0)
+            inner = name in MAIN and not self.hard and not place
+            if inner:
+                if not self.inner:
+                    home = self.within
+                self.inner += 1
+            main = name in MAIN and not self.asides
             if main:
                 self.gap(False)
-                mains += 1
-            links += name == "a"
-            open_tags.append((name, aside, main, place))
-        self.end(mains > 0)
+                self.mains += 1
+            self.links += name == "a"
+            if name in _FENCES:
+                self.fences.append(len(self.open))
+            self.where.setdefault(name, []).append(len(self.open))
+            self.open.append(Element(name, aside, aside and not place, main, inner, place))
+        self.end()
 
     @staticmethod
     def kind(attributes: str, name: str) -> str:
-        """What its attributes make of an element: hidden, an aside by an exact name or by a part of one, or nothing."""
-        if name in ("html", "body", "article", "main"):
+        """What its attributes make of an element: hidden, an aside by an exact name or by a part of one, or nothing.
+
+        An article or main element goes by readers' names, and by others only if they are all of its name."""
+        if name in ("html", "body"):
             return ""
         out = ""
         for key, *values in _ATTRIBUTE.findall(attributes):
-            value = "".join(values)
-            if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
-                return "hidden"
-            if out != "exact" and NAMED.search(value):
-                out = "exact" if EXACT.search(value) else "part"
+            key, value = key.lower(), "".join(values)
+            if key == "hidden" or key == "aria-hidden" and value == "true":
+                return "" if name in MAIN else "hidden"
+            if key in _NAMING and out != "exact":
+                exact = bool(EXACT.search(value))
+                if NAMED.search(value) if name not in MAIN else exact or READERS.search(value):
+                    out = "exact" if exact else "part"
         return out
 
-    def end(self, main: bool) -> None:
+    def close(self, i: int) -> None:
+        """End the open element at place i; it stays in the list as None if others are above it."""
+        e = self.open[i]
+        self.where[e.name].pop()
+        if i == len(self.open) - 1:
+            self.open.pop()
+            while self.open and self.open[-1] is None:
+                self.open.pop()
+        else:
+            self.open[i] = None
+        if e.name in _FENCES:
+            self.end()
+            if self.fences[-1] == i:
+                self.fences.pop()
+        self.asides -= e.aside
+        self.hard -= e.hard
+        self.inner -= e.inner
+        self.links -= e.name == "a"
+        if e.place:
+            self.within = self.named[e.place].parent
+        if e.main:
+            self.mains -= 1
+            self.gap(False)
+
+    def end_tag(self, name: str) -> None:
+        """Close the innermost open element of that name with all in it; one that isn't a block, from within a
+        block that it holds, alone. Without one it ends the line, if it is a block's."""
+        places = self.where.get(name)
+        if not places:
+            if name in BLOCKS:
+                self.end()
+            return
+        i = places[-1]
+        if name not in _FENCES and name not in EMBEDDED and self.fences and self.fences[-1] > i:
+            self.close(i)
+            return
+        while len(self.open) > i:
+            self.close(len(self.open) - 1)
+
+    def close_before(self, name: str) -> None:
+        """A new block closes an open paragraph around it, a new item the item before it."""
+        closes = ("p",) if name in _FENCES else ()
+        if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
+            closes = ("p", name)
+        for c in closes:
+            i = self.where[c][-1] if self.where.get(c) else -1
+            # No other block stands between.
+            if i >= 0 and self.fences and self.fences[-1] <= i:
+                while len(self.open) > i:
+                    self.close(len(self.open) - 1)
+
+    def end(self) -> None:
         """Close the line that is open, if it has text."""
         if self.parts:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                self.lines.append((text, self.linked, main))
+                self.lines.append((text, self.linked, self.mains > 0))
             self.parts.clear()
         self.linked = 0
 
     def gap(self, main: bool) -> None:
-        self.end(main)
+        self.end()
         self.lines += [(None, 0, main)] * BLOCK
 
 
@@ -271,24 +325,26 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     marked = any(main and text for text, _, main in lines)
     lengths = [len(text) if text and (main or not marked) else 0 for text, _, main in lines]
+    surges = set(regions(lengths, SURGE))
     found = regions(lengths, 0)
-    if not marked and found:
-        weigh = [sum(lengths[a:b]) for a, b in found]
-        free = [sum(max(0, lengths[i] - lines[i][1]) for i in range(a, b)) for a, b in found]
-        real = [2 * f >= w for f, w in zip(free, weigh, strict=True)]
-        surges = set(regions(lengths, SURGE)) or set(found)
-        top = max((w for x, w, r in zip(found, weigh, real, strict=True) if r and x in surges), default=0)
-        fair = [i for i, (x, w, r) in enumerate(zip(found, weigh, real, strict=True)) if r and x in surges and w >= SHARE * top]
-        if fair:
-            first, last = fair[0], fair[-1]
-            while first and real[first - 1] and found[first][0] - found[first - 1][1] <= BLOCK:
-                first -= 1
-            while last + 1 < len(found) and real[last + 1] and found[last + 1][0] - found[last][1] <= BLOCK:
-                last += 1
-            found = [x for x, r in zip(found[first : last + 1], real[first : last + 1], strict=True) if r]
-        else:
-            found = []
-    return " ".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
+    weigh = [sum(lengths[a:b]) for a, b in found]
+    free = [sum(max(0, lengths[i] - lines[i][1]) for i in range(a, b)) for a, b in found]
+    real = [2 * f >= w for f, w in zip(free, weigh, strict=True)]
+    if not any(real):
+        # Only links, or no text at all: a marked part is what its page says that it is.
+        return " ".join(text for (text, _, _), n in zip(lines, lengths, strict=True) if n) if marked else ""
+    strong = [r and x in surges for x, r in zip(found, real, strict=True)]
+    strong = strong if any(strong) else real
+    top = max(w for w, s in zip(weigh, strong, strict=True) if s)
+    fair = [i for i, (w, s) in enumerate(zip(weigh, strong, strict=True)) if s and w >= SHARE * top]
+    first, last = fair[0], fair[-1]
+    reach = len(lines) if marked else BLOCK
+    while first and real[first - 1] and found[first][0] - found[first - 1][1] <= reach:
+        first -= 1
+    while last + 1 < len(found) and real[last + 1] and found[last + 1][0] - found[last][1] <= reach:
+        last += 1
+    kept = [x for x, r in zip(found[first : last + 1], real[first : last + 1], strict=True) if r]
+    return " ".join(lines[i][0] for a, b in kept for i in range(a, b) if lengths[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
