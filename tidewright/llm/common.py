@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` (a sum, a maximum) makes of an array up to each place, in n log n steps.
+
+    A fold that appends to its result copies it at each step; here each of log n rounds takes in what
+    stands 1, 2, 4, ... places before."""
+
+    def rounds(a: Column) -> Column:
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(a))
+        return F.aggregate(steps, a, lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, combine(x, F.get(acc, i - d))).otherwise(x)))
+
+    return let(values, rounds)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order: runs of anything but SPACE. Null has no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
@@ -44,19 +56,31 @@ _LOCAL: list[str] = []
 class Store:
     """Tables that cut lineage, as Parquet in the folder that the cluster shares.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (local tests) a
-    temporary folder is made. Losing an executor loses nothing: readers go back to the files."""
+    The folder is ``spark.checkpoint.dir`` of the session. Where it is unset, a session whose executors are
+    threads of the driver (tests) gets a temporary folder, and any other an error. Losing an executor
+    loses nothing: readers go back to the files. Tables are deleted by drop(), and what a result still
+    reads when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             if not _LOCAL:
                 _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tidewright-"))
             root = _LOCAL[0]
         self.root = f"{root.rstrip('/')}/tidewright-{uuid.uuid4().hex}"
         self.n = 0
         self.tables: dict[int, tuple[str, DataFrame]] = {}
+        path, fs = self._fs(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` now and return the written table."""
@@ -69,11 +93,10 @@ class Store:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
             if known := self.tables.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(known[0])
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                p, fs = self._fs(known[0])
+                fs.delete(p, True)
 
 
 def id_join(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
@@ -160,9 +183,3 @@ class Words:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-def in_parallel(*jobs: Callable[[], object]) -> list:
-    """Run independent Spark jobs side by side; any error is raised."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(j) for j in jobs]]

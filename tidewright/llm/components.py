@@ -16,8 +16,8 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
     Self loops and repeated edges do no harm; an empty table gives an empty result."""
     now = store.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        # A table of nodes is no larger than the links, which are counted; beyond the bound it is shuffled.
-        few = now.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        # n links have 2n nodes at most, so counting them bounds every table that is sent; beyond it they are shuffled.
+        few = 2 * now.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS
         sent = F.broadcast if few else lambda df: df
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))

@@ -7,9 +7,15 @@ The patterns are written so that Java's matcher finds the leftmost non-overlappi
 patterns in linear time: a match can only begin where a run of its letters begins (or where the match
 before it ended), and runs are taken possessively, so no run is scanned twice and none is backtracked.
 
-Base kinds (email, ip, card, phone) are always kept. A method kind (iban, ssn) is kept if its
-score reaches KEEP: its checksum counts as much as its words nearby. Null and empty texts have no
-spans. Repeated rows are each searched alone. Scores don't depend on other columns.
+Base kinds (email, ip, card, phone) are always kept. A method kind (iban, ssn, secret) is kept if its
+score reaches KEEP: its checksum, or a secret's mix of letters and digits, counts as much as the words within
+NEAR code points before it. A list of spans is put together by running sums and maxima in n log n steps,
+and a text is cut in pieces of PIECE code points before parts of it are taken, so that time follows a text's
+length however many spans it has.
+
+Edges. Null and empty texts have no spans; redacted, a null text stays null. An empty table gives an empty
+result. Repeated rows, and rows with an equal or null doc_id, are searched each alone. Spans and scores depend
+on the text only; other columns, whatever their names, are left out by detect() and kept by a caller of redact().
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import let, read, running
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kinds in the order of a span list, with the pattern of each.
@@ -28,14 +34,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score of a confirmed match without words nearby, by kind.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "ssn": 0.4}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "ssn": 0.4, "secret": 0.4}
 #: Words before a span (within NEAR code points) that speak for its kind, and ones that speak against any.
-CONTEXT = {"email": "e-?mail|contact|write to", "ip": r"\bip\b|address|host|server", "card": "card|visa|master|credit|debit|payment", "phone": "phone|tel|call|mobile|fax", "iban": "iban|account|bank|konto|transfer", "ssn": r"ssn|social security|tax id"}
+CONTEXT = {"email": "e-?mail|contact|write to", "ip": r"\bip\b|address|host|server", "card": "card|visa|master|credit|debit|payment", "phone": "phone|tel|call|mobile|fax", "iban": "iban|account|bank|konto|transfer", "ssn": r"ssn|social security|tax id", "secret": r"token|key|secret|passw|bearer|credential"}
 AGAINST = r"\bversion\b|\bisbn\b|\bissn\b|\border no|\bserial\b|\bexample only\b"
 NEAR, KEEP = 48, 0.6
+#: Matches before a span whose texts fill NEAR code points, the shortest one having four.
+_BEFORE = NEAR // 4
+#: Code points of the pieces that a text is cut into before parts of it are taken.
+PIECE = 1024
+_SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def _number(c: Column) -> Column:
@@ -71,33 +83,34 @@ def confirmed(kind: str, match: Column) -> Column:
         return mod97(match)
     if kind == "ssn":
         return ~match.rlike("^(000|666|9)") & ~match.rlike("-00-|0000$")
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= 10)
     return F.lit(True)
 
 
 def found(kind: str, text: Column) -> Column:
     """array<struct<kind, start, end, score>> of one kind's confirmed spans, in order."""
-    pattern, none = F.lit(PATTERNS[kind]), F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
 
     def place(matches: Column) -> Column:
-        steps = F.zip_with(matches, F.split(text, PATTERNS[kind], -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("done"))
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            return F.struct((start + F.coalesce(F.length(s["m"]), F.lit(0))).alias("at"), F.when(s["m"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(s["m"].alias("m"), start.alias("start")))).alias("done"))
-
-        placed = F.aggregate(steps, empty, step, lambda acc: acc["done"])
-        real = F.filter(placed, lambda s: confirmed(kind, s["m"]))
-
-        def scored(s: Column) -> Column:
-            before = F.lower(F.substr(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))))
+        gaps = F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(matches))
+        steps = F.zip_with(matches, gaps, lambda m, gap: F.struct(m.alias("m"), F.length(m).alias("n"), (F.length(gap) + F.length(m)).alias("step"), F.right(gap, F.lit(NEAR)).alias("gap"), F.right(m, F.lit(NEAR)).alias("tail")))
+        return let(steps, lambda s: let(running(F.transform(s, lambda x: x["step"]), lambda a, b: a + b), lambda ends: kept(s, ends)))
+
+    def kept(s: Column, ends: Column) -> Column:
+        placed = F.transform(s, lambda x, i: F.struct(x["m"].alias("m"), i.alias("i"), (F.get(ends, i) - x["n"]).alias("start"), F.get(ends, i).alias("end")))
+        real = F.filter(placed, lambda x: confirmed(kind, x["m"]))
+
+        def scored(x: Column) -> Column:
+            near = F.slice(s, F.greatest(x["i"] - _BEFORE, F.lit(0)) + 1, F.least(x["i"], F.lit(_BEFORE)))
+            before = F.concat(F.array_join(F.transform(near, lambda y: F.concat(y["gap"], y["tail"])), ""), F.get(s, x["i"])["gap"])
+            before = F.lower(F.right(before, F.lit(NEAR)))
             score = F.lit(PRIOR[kind]) + F.when(before.rlike(CONTEXT[kind]), 0.25).otherwise(0.0) - F.when(before.rlike(AGAINST), 0.3).otherwise(0.0)
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
         out = F.transform(real, scored)
-        return out if kind in BASE else F.filter(out, lambda s: s["score"] >= KEEP)
+        return out if kind in BASE else F.filter(out, lambda x: x["score"] >= KEEP)
 
-    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))
+    return let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: F.when(F.size(m) > 0, place(m)).otherwise(F.array().cast(_SPANS)))
 
 
 def spans(text: Column) -> Column:
@@ -118,16 +131,25 @@ def detect(docs: DataFrame) -> DataFrame:
 def redact(text: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one. Null stays null."""
 
-    def cover(t: Column, found_spans: Column) -> Column:
-        order = F.array_sort(F.transform(found_spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-
-        def step(acc: Column, s: Column) -> Column:
-            end, fresh = -s["less"], s["start"] >= acc["at"]
-            piece = F.concat(F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-            return F.struct(F.greatest(end, acc["at"]).alias("at"), F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        """The code points from a up to b."""
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        ends = lambda: F.concat(F.substr(piece(i), a % PIECE + 1), F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), F.substr(piece(j), F.lit(1), b % PIECE))
+        return F.when(i == j, F.substr(piece(i), a % PIECE + 1, b - a)).otherwise(ends())
 
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(order, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(t, acc["at"] + 1)))
+    def cover(t: Column, found_spans: Column) -> Column:
+        order = F.sort_array(F.transform(found_spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+        return let(order, lambda o: let(running(F.transform(o, lambda s: -s["less"]), F.greatest), lambda tops: joined(t, o, tops)))
+
+    def joined(t: Column, order: Column, tops: Column) -> Column:
+        # A span that begins where all before it have ended, with that end.
+        heads = F.transform(order, lambda s, i: F.struct(F.when(i > 0, F.get(tops, i - 1)).otherwise(0).alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))
+        heads = F.filter(heads, lambda h: h["start"] >= h["at"])
+        last = F.element_at(tops, -1)
+        pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        put = lambda p: F.concat(F.array_join(F.transform(heads, lambda h: F.concat(between(p, h["at"], h["start"]), F.lit("<"), F.upper(h["kind"]), F.lit(">"))), ""), between(p, last, F.length(t)))
+        return let(pieces, put)
 
     return let(text, lambda t: let(spans(t), lambda s: F.when(F.size(s) > 0, cover(t, s)).otherwise(t)))
 
@@ -137,4 +159,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect(read(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *[count(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return out.select("doc_id", *[count(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"), F.transform("found", lambda s: s["score"]).alias("scores"))
