@@ -1,21 +1,29 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words of a clause pass through composed transducers. Each has its own state and all move together:
-  insult    reads words of the lexicon and puts out their weight;
-  threat    waits for a target after a word of violence, and puts out nothing without one;
-  target    remembers whom the clause is about, which strengthens what comes next to it;
-  negation  after a negating word weakens what follows, for NEGATED words;
-  reported  after a verb of speech or an opening quote weakens what follows to the clause's end.
-What is scored is the matched clause: the sum of what came out on the way through it. A text's score
-is a logistic function of its clauses' sum, largest clause, share of its words, and number.
+A clause is read as a string of word classes: insult (a word of the lexicon), violence, target, negation,
+report, quote (an opening one) and other. Five weighted transducers stand in a cascade, each a transition table that reads what the
+one before it writes:
+  negation  after a negating word marks the next NEGATED words as weak;
+  reported  after a verb of speech or an opening quote marks all that follows as reported;
+  target    after a word for a person marks insults as aimed;
+  threat    pairs a word of violence with the next target, and puts out a weight for the pair only;
+  insult    puts out a factor for the word's own weight, by the marks that it carries.
+compose() makes one table of them, whose states are the reachable combinations of theirs; a clause walks
+through that table once. What is scored is the matched clause: the sum of the weights on its path. A text's
+score is a logistic function of its clauses' sum, largest clause, share of its words, and number.
 
 The lexicon is a short fixed one of insults, and stems learned from labels: beginnings of words (and
 whole words) that are found in toxic texts far more often than in others, by a likelihood ratio, weighted by the
 logarithm of their rates. The logistic is fitted with each training text's own counts left out of its weights.
 The fits use at most SAMPLE labelled rows outside the held-out quarter of ids and TOXIC_SAMPLE toxic ones
-(those with the least digests), and keep at most STEMS stems. Labels, languages, sources and ids
-are no input of a score. Null and empty texts match nothing and get the score of that. Without
-toxic labels, or any, the fixed lexicon and fixed coefficients are used.
+(those with the least digests); all of their stems are counted, and every one that passes the ratio is
+looked at. Labels, languages, sources and ids are no input of a score.
+
+Edges. Null and empty texts match nothing and get the score of that. Without toxic labels, or any others, the
+fixed lexicon and fixed coefficients are used; so they are where ``documents`` is empty. Of labels that come
+again for an id the largest counts; a null label is none. Rows of documents with an equal id are each scored on their own text,
+and each counts in a fit if the id is labelled. Texts of any length are read whole, a clause too, and other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +32,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Store, read
 from .linear import Ordinal
 from .quality import held_out
 
-SAMPLE, TOXIC_SAMPLE, STEMS, PREDICT = 6000, 3000, 2000, 0.3
+SAMPLE, TOXIC_SAMPLE, PREDICT = 6000, 3000, 0.3
 #: Least texts with a stem and least likelihood ratio (a chi-square with one degree of freedom) for the lexicon.
 LEAST_TEXTS, LEAST_RATIO = 3, 14.0
 STEM_LETTERS = range(3, 9)
@@ -52,7 +61,117 @@ _WORD = re.compile(r"[^\W\d_]+")
 _ENDS = ".!?;:,\n\r…"
 _CLAUSE = re.compile(f"[{_ENDS}]")
 _QUOTES = frozenset("\"“„«")
-_CLASSES = {w: "violence" for w in VIOLENCE} | {w: "target" for w in TARGETS} | {w: "negation" for w in NEGATIONS} | {w: "report" for w in REPORTS}
+_CLASSES = {w: "V" for w in VIOLENCE} | {w: "T" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS}
+
+#: Input letters: insult, violence, target, negation, report, quote, other.
+LETTERS = "IVTNRQO"
+
+
+class Transducer:
+    """A deterministic transducer: arcs[state][symbol] is (next state, symbol written, factor, weight).
+
+    A path's output is, for each word, its own weight (of the lexicon) times the arc's factor, plus the arc's weight."""
+
+    def __init__(self, start: object, arcs: dict[object, dict[str, tuple[object, str, float, float]]]):
+        self.start, self.arcs = start, arcs
+
+    def walk(self, symbols: list[str], weights: list[float]) -> tuple[list[str], float]:
+        """What is written for a string of symbols, and its output."""
+        state, written, out = self.start, [], 0.0
+        for symbol, own in zip(symbols, weights, strict=True):
+            state, symbol, factor, weight = self.arcs[state][symbol]
+            written.append(symbol)
+            out += own * factor + weight
+        return written, out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One transducer that writes what ``second`` writes for what ``first`` writes; factors and weights add up.
+
+    Its states are the pairs of states that are reached from the starts."""
+    start = (first.start, second.start)
+    arcs: dict[object, dict[str, tuple[object, str, float, float]]] = {}
+    todo = [start]
+    while todo:
+        at = todo.pop()
+        if at in arcs:
+            continue
+        arcs[at] = {}
+        for symbol, (one, middle, factor, weight) in first.arcs[at[0]].items():
+            two, written, more, plus = second.arcs[at[1]][middle]
+            arcs[at][symbol] = ((one, two), written, factor + more, weight + plus)
+            todo.append((one, two))
+    return Transducer(start, arcs)
+
+
+def _marked(letters: str, marks: str) -> list[str]:
+    """Each letter with each subset of the marks, in the order of the marks."""
+    some = [""]
+    for m in marks:
+        some += [x + m for x in some]
+    return [c + x for c in letters for x in some]
+
+
+def negation() -> Transducer:
+    """States: how many words are still weak. A quote is no word."""
+    arcs = {}
+    for left in range(NEGATED + 1):
+        mark, then = ("-" if left else ""), max(0, left - 1)
+        arcs[left] = {c: (left if c == "Q" else NEGATED if c == "N" else then, c + mark, 0.0, 0.0) for c in LETTERS}
+    return Transducer(0, arcs)
+
+
+def reported() -> Transducer:
+    """States: whether speech is reported, up to the clause's end. A quote holds for the word that follows it, a verb from the next word on."""
+    symbols = _marked(LETTERS, "-")
+    return Transducer(False, {said: {x: (said or x[0] in "RQ", x + ("~" if said else ""), 0.0, 0.0) for x in symbols} for said in (False, True)})
+
+
+def target() -> Transducer:
+    """States: whether somebody is spoken of."""
+    symbols = _marked(LETTERS, "-~")
+    return Transducer(False, {aimed: {x: (aimed or x[0] == "T", x + ("+" if aimed and x[0] == "I" else ""), 0.0, 0.0) for x in symbols} for aimed in (False, True)})
+
+
+def _weak(marks: str) -> float:
+    return (WEAK_NEGATED if "-" in marks else 1.0) * (WEAK_REPORTED if "~" in marks else 1.0)
+
+
+def threat() -> Transducer:
+    """States: the marks of a word of violence that waits for its target, or None."""
+    symbols = _marked(LETTERS, "-~+")
+    arcs: dict[object, dict[str, tuple[object, str, float, float]]] = {}
+    for waits in (None, "", "-", "~", "-~"):
+        arcs[waits] = {}
+        for x in symbols:
+            then = x[1:].replace("+", "") if x[0] == "V" else None if x[0] == "T" else waits
+            arcs[waits][x] = (then, x, 0.0, THREAT_WEIGHT * _weak(waits) if x[0] == "T" and waits is not None else 0.0)
+    return Transducer(None, arcs)
+
+
+def insult() -> Transducer:
+    """One state: an insult's marks give the factor of its own weight."""
+    return Transducer(0, {0: {x: (0, x, _weak(x[1:]) * (STRONG_TARGET if "+" in x else 1.0) if x[0] == "I" else 0.0, 0.0) for x in _marked(LETTERS, "-~+")}})
+
+
+def cascade() -> list[Transducer]:
+    return [negation(), reported(), target(), threat(), insult()]
+
+
+def grammar() -> list[list[tuple[int, float, float]]]:
+    """The composed transducer with numbered states: rows of (next state, factor, weight) by letter; 0 is the start."""
+    parts = cascade()
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = compose(whole, part)
+    number = {whole.start: 0}
+    for state in whole.arcs:
+        number.setdefault(state, len(number))
+    table = [[(0, 0.0, 0.0)] * len(LETTERS) for _ in number]
+    for state, arcs in whole.arcs.items():
+        for symbol, (then, _, factor, weight) in arcs.items():
+            table[number[state]][LETTERS.index(symbol)] = (number[then], factor, weight)
+    return table
 
 
 class Lexicon:
@@ -91,33 +210,31 @@ def _trie(words: list[str]) -> str:
     return build(root)
 
 
-def clause_output(clause: str, lexicon: Lexicon, weigh=None) -> float:
-    """What the composed transducers put out on the way through one clause."""
-    out = 0.0
-    negated = threat = 0
-    target = reported = False
+_GRAMMAR = grammar()
+_INSULT, _QUOTE, _OTHER = LETTERS.index("I"), LETTERS.index("Q"), LETTERS.index("O")
+_NUMBER = {w: LETTERS.index(c) for w, c in _CLASSES.items()}
+
+
+def letters(clause: str, lexicon: Lexicon) -> Iterator[tuple[int, str | None]]:
+    """The clause as numbers of input letters, with the entry of each insult. Opening quotes before a word are one letter."""
     at = 0
     for m in _WORD.finditer(clause):
-        reported |= not _QUOTES.isdisjoint(clause[at : m.start()])
+        if not _QUOTES.isdisjoint(clause[at : m.start()]):
+            yield _QUOTE, None
         at = m.end()
         word = m.group()
-        kind = _CLASSES.get(word)
-        weak = (WEAK_NEGATED if negated else 1.0) * (WEAK_REPORTED if reported else 1.0)
-        negated = max(0, negated - 1)
         stem = lexicon.stem(word)
+        yield (_INSULT, stem) if stem is not None else (_NUMBER.get(word, _OTHER), None)
+
+
+def clause_output(clause: str, lexicon: Lexicon, weigh=None) -> float:
+    """What the composed transducer puts out on its way through one clause."""
+    out, state = 0.0, 0
+    for letter, stem in letters(clause, lexicon):
+        state, factor, weight = _GRAMMAR[state][letter]
+        out += weight
         if stem is not None:
-            out += (lexicon.weights[stem] if weigh is None else weigh(stem)) * weak * (STRONG_TARGET if target else 1.0)
-        elif kind == "violence":
-            threat = weak
-        elif kind == "target":
-            if threat:
-                out += THREAT_WEIGHT * threat
-                threat = 0
-            target = True
-        elif kind == "negation":
-            negated = NEGATED
-        elif kind == "report":
-            reported = True
+            out += factor * (lexicon.weights[stem] if weigh is None else weigh(stem))
     return out
 
 
@@ -155,11 +272,11 @@ def stems(text: str) -> Counter:
     return out
 
 
-def ratio(a: int, b: int, n_a: int, n_b: int) -> float:
+def ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
     """Likelihood ratio of a of n_a against b of n_b."""
     n, both = n_a + n_b, a + b
     cells = ((a, n_a * both / n), (b, n_b * both / n), (n_a - a, n_a * (n - both) / n), (n_b - b, n_b * (n - both) / n))
-    return 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
+    return 2 * reduce(lambda x, y: x + y, [F.when((o > 0) & (e > 0), o * F.log(o / F.nullif(e, F.lit(0.0)))).otherwise(0.0) for o, e in cells])
 
 
 class Model:
@@ -207,25 +324,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, toxic_sample
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *[pa.array([found[s][j] for s in part], pa.int64()) for j in range(4)]], names=["stem", "tox_texts", "texts", "tox_words", "words"])
 
+    store = Store(docs.sparkSession)
     table = texts.mapInArrow(count, "stem string, tox_texts long, texts long, tox_words long, words long")
-    table = table.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("tox_texts", "texts", "tox_words", "words")])
-    n_tox, n_clean = min(sizes[True], toxic_sample), min(sizes[False], sample)
-    chance = F.col("tox_texts") * n_clean > 2 * F.col("texts") * n_tox
-    # At most 50 * STEMS rows come to the driver.
-    found = table.where((F.col("stem") == "\0") | (F.col("tox_texts") >= LEAST_TEXTS) & chance).orderBy(F.desc(F.col("stem") == "\0"), F.desc(F.col("tox_texts") / (F.col("texts") + 1) * F.sqrt("tox_texts")), "stem").limit(50 * STEMS).collect()
-    if not found or found[0].stem != "\0":
-        return DEFAULT
-    n_tox, n_clean, all_tox, all_clean = (found[0][c] for c in ("tox_texts", "texts", "tox_words", "words"))
-    if not n_tox or not n_clean:
+    table = store.write(table.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("tox_texts", "texts", "tox_words", "words")]))
+    whole = table.where(F.col("stem") == "\0").collect()
+    if not whole or not whole[0].tox_texts or not whole[0].texts:
         return DEFAULT
-    ranked = sorted(((ratio(r.tox_texts, r.texts, n_tox, n_clean), len(r.stem), r) for r in found[1:]), key=lambda x: (-x[0], -x[1], x[2].stem))
+    n_tox, n_clean, all_tox, all_clean = (whole[0][c] for c in ("tox_texts", "texts", "tox_words", "words"))
+    # Only what passes the test comes to the driver; it is bounded as the labelled texts are.
+    passed = (F.col("stem") != "\0") & (F.col("tox_texts") >= LEAST_TEXTS) & (F.col("tox_texts") * n_clean > 2 * F.col("texts") * n_tox) & (ratio(F.col("tox_texts"), F.col("texts"), n_tox, n_clean) >= LEAST_RATIO)
+    found = table.where(passed).withColumn("ratio", ratio(F.col("tox_texts"), F.col("texts"), n_tox, n_clean)).collect()
+    store.drop(table)
     chosen: dict[str, tuple[int, int, int]] = {}
-    for g, _, r in ranked:
+    begun: set[str] = set()
+    for r in sorted(found, key=lambda r: (-r.ratio, -len(r.stem), r.stem)):
         plain = r.stem.rstrip("$")
-        if g < LEAST_RATIO or len(chosen) >= STEMS:
-            break
-        if not any(plain[:k] in chosen for k in STEM_LETTERS) and not any(s.startswith(r.stem) for s in chosen):
+        # Not beside a beginning of its own, nor a beginning of one that was chosen.
+        if not any(plain[:k] in chosen for k in STEM_LETTERS) and r.stem not in begun:
             chosen[r.stem] = (r.tox_words, r.words, r.tox_texts)
+            begun.update(r.stem[:k] for k in range(1, len(r.stem) + 1))
     weights = {s: _weight(a, b, all_tox, all_clean) for s, (a, b, _) in chosen.items()}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
