@@ -6,9 +6,14 @@ word repeats the one before it; a text's counts are rooted and scaled to length
 expected grade and the tail probability by which texts are kept.
 
 The fit uses at most SAMPLE labelled rows outside the held-out quarter, those with the least digests of
-their ids; labels, ids and sources aren't features. Every row is scored over its whole text. Null and
-empty texts have no features and get the probabilities of the thresholds alone; they aren't kept. With
-no labels nothing is learned and every text that has words is kept.
+their ids; labels, ids and sources aren't features. Every row is scored over its whole text.
+
+Edges. Null and empty texts have no features and get the probabilities of the thresholds alone; they aren't kept. With
+no labels, or no documents that have one, nothing is learned and every text that has words is kept. Of labels that
+come again for an id the least grade counts; a row without a label for quality has no grade, and one that is
+good without a label for toxicity is grade 2. Rows of documents with an equal id are each scored, and fitted, on their own
+text, in an order by id and features that doesn't depend on how they were dealt. Texts of any length are read
+whole; other columns are left out, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,7 +93,7 @@ def fit(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE) -> Ordinal:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(offsets, pa.array(col.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))], names=["doc_id", "grade", "cols", "vals"])
 
     # At most ``sample`` rows are broadcast and come back, each with no more than DIMS columns.
-    table = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, grade int, cols array<short>, vals array<float>").toArrow().combine_chunks().sort_by("doc_id")
+    table = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInArrow(run, "doc_id long, grade int, cols array<short>, vals array<float>").withColumn("tie", F.xxhash64("grade", "cols", "vals")).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("tie", "ascending")])
     model = Ordinal(DIMS, GRADES)
     if not table.num_rows:
         return model
