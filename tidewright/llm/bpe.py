@@ -9,7 +9,10 @@ linked parts instead, with the same merges in the same order.
 Each task remembers the words it has encoded, up to REMEMBERED of them, and forgets the older half beyond it.
 
 Strings of special tokens in a text become those tokens, as the tokenizers library does by default.
-Null is the empty text, which has no ids and decodes to the empty text.
+
+Edges. Null is the empty text, which has no ids and decodes to the empty text. Repeated rows, and rows with an equal or
+null doc_id, are encoded each alone. An empty table gives an empty result. A text of more than WHOLE letters
+is split word by word, so that its words aren't held all at once. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .common import read
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 64
 REMEMBERED = 400_000
+#: Letters of a text whose words are listed at once.
+WHOLE = 1 << 20
 _NONE = 1 << 60
 
 
@@ -63,7 +68,8 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merge[ids[left] << 32 | ids[right]] = rank << 32 | ids[left + right]
-        self.split = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.split = lambda t: pattern.findall(t) if len(t) <= WHOLE else (m.group() for m in pattern.finditer(t))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, list[int]] = {}
 
@@ -128,9 +134,9 @@ class Vocabulary:
                 if len(w) <= SHORT:
                     known[w] = ids
             add(ids)
-        if len(known) > REMEMBERED:
-            for w in list(known)[: len(known) // 2]:
-                del known[w]
+            if len(known) > REMEMBERED:
+                for old in list(known)[: len(known) // 2]:
+                    del known[old]
         return out
 
     def decode(self, ids: list[int]) -> str:
