@@ -11,8 +11,10 @@ is the longest common subsequence (an edit distance of insertions and deletions)
 run of RUN letters (of half the shorter one, if that is less), which chance alone doesn't give.
 Equal fingerprints have likeness 1, two empty ones too.
 
-Null is the empty text. The document after the last one is the first; with one document it is itself.
-Order is by doc_id, descending, a null id last; rows with equal ids stand in the order of their texts.
+Edges. Null is the empty text. The document after the last one is the first; with one document it is itself.
+Order is by doc_id, descending, a null id last; rows with equal ids stand in the order of their texts. An empty
+table gives an empty result. A long text is hashed in blocks, whole; a range of documents is read as a
+stream, two texts at a time. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from .common import read
 
@@ -111,8 +114,8 @@ def likeness(a: str, b: str) -> float:
     return 0.0
 
 
-#: Ranges of doc_id that the documents are dealt into; the driver sees two numbers of each.
-RANGES = 512
+#: Bytes of text in a range of doc_id, which one task reads: LEAST_BYTES in up to FEW ranges, RANGE_BYTES at most in more.
+LEAST_BYTES, FEW, RANGE_BYTES = 8 << 20, 4096, 64 << 20
 #: Stands for a null doc_id.
 _NULL = -(2**63)
 
@@ -120,26 +123,29 @@ _NULL = -(2**63)
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, doc_id, text, last) dealt into ranges of doc_id, each range with the row that follows it.
 
-    Ranges come from approximate percentiles; the one shuffle is by range. Sorted in descending order,
-    a row's next document is the row after it: the extra row, of which ``last`` is true, closes each
-    range, so no order over all rows is needed and no range waits for another."""
+    There are as many ranges as the texts' bytes need, one for each task. Their ends come from a sort of the ids alone into ranges, of which the driver sees two
+    numbers each; the one shuffle of texts is by range. Sorted in descending order, a row's next document is the row
+    after it: the extra row, of which ``last`` is true, closes each range, so no order over all
+    rows is needed and no range waits for another."""
+    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("ord"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.agg(F.percentile_approx("ord", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col("ord")))
-    parts = sorted((r.part, r.high) for r in docs.select(part.alias("part"), "ord").groupBy("part").agg(F.max("ord").alias("high")).collect())
-    # The row after a range's last one is the first row of the range below it, and for the lowest that of the highest.
-    follows = [(p, parts[i - 1][1]) for i, (p, _) in enumerate(parts)]
-    dealt = docs.withColumn("part", part).withColumn("last", F.lit(False))
-    if follows:
-        owner = F.create_map(*[F.lit(x) for p, high in follows for x in (high, p)])
-        edge = docs.where(F.col("ord").isin([high for _, high in follows])).withColumn("part", owner[F.col("ord")])
-        # Among rows with that id the one whose text comes first.
-        edge = edge.groupBy("part").agg(F.min_by(F.struct("ord", "doc_id", "text"), "text").alias("e")).select("e.*", "part", F.lit(True).alias("last"))
-        dealt = dealt.unionByName(edge)
-    return dealt.repartition("part").sortWithinPartitions("part", "last", F.desc("ord"), "text").select("part", "doc_id", "text", "last")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = int(1 + max(size // RANGE_BYTES, min(size // LEAST_BYTES, FEW)))
+    ends = docs.select("ord").repartitionByRange(n, "ord").select(F.spark_partition_id().alias("p"), "ord").groupBy("p").agg(F.max("ord").alias("high")).collect()
+    shared = sc.broadcast(np.array(sorted({r.high for r in ends}), np.int64))
+
+    @arrow_udf("array<int>")
+    def to(ords: pa.Array) -> pa.Array:
+        """A row's range, and the range that it closes: the greatest id of each range follows the least one of the range above."""
+        ords, ends = ords.to_numpy(zero_copy_only=False), shared.value
+        part = np.searchsorted(ends, ords)
+        also = np.where(ends[part] == ords, (part + 1) % len(ends), -1)
+        both = np.stack([part, also], axis=1).reshape(-1)
+        sizes = 1 + (also >= 0)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(both[both >= 0], pa.int32()))
+
+    dealt = docs.select("ord", "doc_id", "text", F.posexplode(to("ord")).alias("place", "part")).withColumn("last", F.col("place") == 1)
+    return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "last", F.desc("ord"), "text").select("part", "doc_id", "text", "last")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
