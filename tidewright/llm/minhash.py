@@ -16,12 +16,18 @@
 With 42 bands of 6 bins a pair at a similarity of exactly 0.8 shares no bucket with probability
 (1 - 0.8 ** 6) ** 42, under 3e-6, and less above it.
 
-Null and empty texts, and texts without words, have no shingles: they are linked with nothing and kept.
-Equal doc_ids are one document to this operator (rows are returned as often as they came).
+Edges. Null and empty texts, and texts without words, have no shingles: they are linked with nothing and kept. A row is
+told by its doc_id. Where ids are null or come again, a row is told by a 64-bit digest of its id and text
+instead: rows with an equal id and text are one document, others are judged each on its own text, whatever the
+order of the rows; component_id is then the smallest id of a row reachable (null where none has one), and of
+rows without an id the one whose text has the least digest is kept, if no row with an id is. Rows are
+returned as often as they came. Texts of any length are read whole. An empty table gives an empty result.
+Other columns, whatever their names, are left out by near_duplicates() and kept by one_of_each().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,39 +160,85 @@ def rare_pairs(store: Store, docs: DataFrame, texts: DataFrame, k: int, percent:
     least = lambda n: F.ceil(n * share - 1e-6)
     sets = docs.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "root", "text").mapInArrow(run, "a long, root long, n long, h array<long>")
     token = store.write(sets.select("a", "root", "n", F.explode("h").alias("h")))
-    often = token.groupBy("h").agg(F.count("*").alias("df"))
+    # Both sides of each join by shingle are written tables, so that a hot shingle's side can be split.
+    often = store.write(token.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     place = F.row_number().over(Window.partitionBy("a").orderBy("df", "h"))
-    first = token.join(often, "h").withColumn("i", place).where(F.col("i") <= F.col("n") - least(F.col("n")) + 1)
+    first = token.join(often, "h", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("i", place).where(F.col("i") <= F.col("n") - least(F.col("n")) + 1)
     first = store.write(first.where("df > 1").select("h", "a", "root", "n", "i"))
     # Positions that no partner with this shingle is small enough for go.
-    smallest = first.groupBy("h").agg(F.min("n").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "m")
+    smallest = store.write(first.groupBy("h").agg(F.min("n").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "m"))
     first = first.join(smallest, "h").where(F.col("i") <= F.col("n") - overlap(F.col("n"), F.greatest(F.col("m"), least(F.col("n")))) + 1).drop("m")
-    first = store.write(first)
-    # All but the largest component at each shingle are compared with the others there.
+    # Sets that are alike enough differ in size by 1 / share at most, so in this measure by one at most.
+    first = store.write(first.withColumn("s", F.floor(F.log(F.col("n")) / math.log(1 / share) + 1e-9) if share < 1 else F.col("n")))
+    # All but the largest component at each shingle are compared with the others of like size there.
     mains = first.groupBy("h", "root").agg(F.count("*").alias("size")).groupBy("h").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    small = first.join(mains, "h").where("root <> most.root").select("h", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    mains = store.write(mains.select("h", F.col("most.root").alias("main")))
+    small = first.join(mains, "h").where("root <> main").select("h", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("m"), F.col("i").alias("j"), F.explode(F.array(F.col("s") - 1, "s", F.col("s") + 1)).alias("s"))
+    small = store.write(small)
     size = overlap(F.col("n"), F.col("m"))
     near = (F.col("root") != F.col("root_b")) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) + 1 >= size) & (F.least("n", "m") >= size)
-    pairs = first.join(small, "h").where(near)
+    pairs = first.join(small, ["h", "s"]).where(near)
     return store.write(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
+def _reused(docs: DataFrame) -> bool:
+    """Whether an id is null or comes again."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count())
+
+
+def _units(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``docs`` with n_shingles and component, told by a digest of id and text; root_id and own break ties in it."""
+    rows = docs.withColumn("_unit", F.xxhash64("doc_id", "text")).withColumn("_own", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = _linked(spark, rows.select(F.col("_unit").alias("doc_id"), "text").dropDuplicates(["doc_id"]), k, percent)
+    return rows.join(found.select(F.col("doc_id").alias("_unit"), F.col("n_shingles").alias("_n_shingles"), F.col("component_id").alias("_component")), "_unit")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text, and more).
 
     component_id is the smallest doc_id that links reach, the document's own where none do."""
+    docs = docs.select("doc_id", "text")
+    if not _reused(docs):
+        return _linked(spark, docs, k, percent)
+    rows = _units(spark, docs, k, percent)
+    least = rows.groupBy("_component").agg(F.min("doc_id").alias("_id"), F.min("_own").alias("_first"))
+    rows = rows.join(least, "_component").withColumn("component_id", F.when(F.col("_n_shingles") > 0, F.col("_id")).otherwise(F.col("doc_id")))
+    alone = F.col("_n_shingles") == 0
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("component_id")).otherwise(F.col("component_id").isNull() & (alone | (F.col("_own") == F.col("_first"))))
+    return rows.select("doc_id", F.col("_n_shingles").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, and more) without near-duplicates: of each group the one with the smallest id.
+
+    Where ids are null or come again, the row with the smallest id stays (null after all), then by a fixed order of
+    its content, so that one row of a group stays. Texts without shingles are like no other; of such rows
+    with an equal id and text one stays, and all that have no id."""
+    if not _reused(docs):
+        gone = _linked(spark, docs, k, percent).where(~F.col("kept")).select("doc_id")
+        return id_join(docs, gone, "doc_id", "left_anti")
+    own = docs.columns
+    rows = _units(spark, docs, k, percent)
+    alone = F.col("doc_id").isNull() & (F.col("_n_shingles") == 0)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_own", F.to_json(F.struct(*[c for c in own if c != "text"])).alias("rest"))
+    first = rows.where(~alone).groupBy("_component").agg(F.min_by(F.struct(*own), order).alias("row"))
+    return first.select("row.*").unionByName(rows.where(alone).select(*own))
+
+
+def _linked(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates() of rows with ids of their own."""
     store, alike = Store(spark), similar(k, percent)
     base = store.write(sketch(docs, k))
     real = base.where("n_shingles > 0")
     classes = store.write(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     # A representative's keys: one row for each class and band.
     reps = classes.select(F.col("rep").alias("doc_id"))
-    keys = real.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
+    keys = real.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
     shared = store.write(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("hub")).where("size > 1"))
     bucket = store.write(keys.join(shared, "key"))
     member = bucket.select("key", "hub", F.col("doc_id").alias("a"))
     texts = docs.select("doc_id", "text")
-    texts = store.write(id_join(texts, bucket.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    texts = store.write(id_join(texts, bucket.select("doc_id").distinct(), "doc_id"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
