@@ -83,6 +83,27 @@ def test_near_duplicates(spark, hard, docs):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_with_null_and_reused_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(2, one), (2, two), (5, one + " more"), (7, two + " more"), (None, three), (None, three + " x"), (9, None), (9, None), (None, "")]
+    want = sorted([(2, 2, True), (2, 2, True), (5, 2, False), (7, 2, False), (None, None, None), (None, None, None), (9, 9, True), (9, 9, True), (None, None, True)], key=repr)
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = minhash.near_duplicates(spark, df, 4, 80).collect()
+        assert sorted(((r.doc_id, r.component_id, None if r.doc_id is None and r.n_shingles else r.kept) for r in got), key=repr) == want
+        assert sum(r.kept for r in got if r.doc_id is None and r.n_shingles) == 1
+
+
+def test_near_duplicates_that_share_a_frequent_shingle(spark):
+    # Texts around one common passage, no two of them alike, and a few that are.
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, common + " " + " ".join(f"w{i}x{j}" for j in range(8 + i % 5))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(0, 120, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, df, 4, 80).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.near_duplicates(spark, empty).count() == 0
 
@@ -203,6 +224,50 @@ def test_redaction(spark):
     assert got == {1: "to é <EMAIL>, <IP> and <PHONE>.", 2: "nothing", 3: None, 4: "<EMAIL>"}
 
 
+def test_spans_of_long_texts_and_secrets(spark):
+    import time
+
+    text = " ".join(f"u{i}@m{i % 7}.example.com, 10.0.{i % 256}.{i % 251}" for i in range(25_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    start = time.time()
+    got = [(s.kind, s.start, s.end) for s in private.detect(df).collect()[0].found]
+    assert time.time() - start < 30 and len(got) == 50_000 and got == brute_spans(text)
+    assert df.select(private.redact(F.col("text")).alias("t")).collect()[0].t == " ".join(["<EMAIL>, <IP>"] * 25_000)
+    token = "0123456789abcdef0123456789abcdef01234567"
+    rows = [(1, f'token = "{token}" end'), (2, f"commit {token} end"), (3, "token " + "a" * 40), (4, f"the password is{' ' * 60}{token}")]
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.score) for s in r.found] for r in private.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("secret", 9, 49, 0.65)], 2: [], 3: [], 4: []}
+
+
+def brute_redaction(text, found):
+    out, at = [], 0
+    for start, less, kind in sorted((s, -e, k) for k, s, e in found):
+        if start >= at:
+            out.append(text[at:start] + f"<{kind.upper()}>")
+        at = max(at, -less)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_against_brute_force(spark, docs):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*HARD_TEXTS, "4111 1111 1111 111 1.2.3.4 and 1.2.3.4@b.cd é😀" * 300, "x" * 5000 + " a@b.de " + "é" * 3000])], "doc_id long, text string")
+    for d in (df, docs):
+        both = d.select("text", private.spans(F.col("text")).alias("found"), private.redact(F.col("text")).alias("t")).collect()
+        assert all(r.t == (None if r.text is None else brute_redaction(r.text, [(s.kind, s.start, s.end) for s in r.found])) for r in both)
+
+
+def test_op2_columns(spark, sf, docs):
+    from tidewright.llm import queries
+
+    rows = {r.doc_id: r for r in queries.queries()["op2_personal_data"](spark, sf).collect()}
+    for i, t in pairs(docs):
+        base = brute_spans(t or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        r = rows[i]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in base) for x in private.BASE)
+        assert r.n_spans == len(r.scores) == len([x for x in r.spans.split(",") if x]) and r.spans.startswith(listed)
+
+
 # --- quality rules
 
 
@@ -240,6 +305,17 @@ def test_bad_hosts_lose_soft_failures(spark):
     assert not any(got[i] for i in range(60)) and all(got[100 + i] for i in range(5)) and all(got[200 + i] for i in range(60))
 
 
+def test_hosts_decide_by_rate_and_severity(spark):
+    text = lambda n: " ".join(f"word{i}" + "#" * n for i in range(80))
+    # 0.3 of each host's documents fail, so what is over 0.5 / 0.3 times a limit goes: 100 * n symbols in 100 words against 25.
+    rows = [(100 * h + i, text(0 if i >= 30 else 1 if i < 15 else 3), f"host{h}") for h in range(3) for i in range(100)]
+    got = {r.doc_id: r for r in rules.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(r.severity == pytest.approx(0 if i % 100 >= 30 else 4 if i % 100 < 15 else 12) or r.severity < 1 for i, r in got.items())
+    assert {i for i, r in got.items() if not r.kept} == {100 * h + i for h in range(3) for i in range(30)}
+    mild = [(i, " ".join(f"word{j}" + ("#" if j < 24 else "") for j in range(80)) if i < 30 else text(0), "host") for i in range(100)]
+    assert all(r.kept and r.soft_failed == (r.doc_id < 30) for r in rules.judge(spark, spark.createDataFrame(mild, "doc_id long, text string, source string")).collect())
+
+
 def test_rules_keep_all_columns(spark, hard, empty):
     kept = rules.keep(spark, hard)
     assert kept.columns == hard.columns and kept.count() == rules.judge(spark, hard).where("kept").count()
@@ -308,6 +384,59 @@ def test_fingerprints(spark, hard, docs, empty):
     assert fingerprint.fingerprints(empty).count() == 0
 
 
+def brute_fingerprint(text):
+    """One byte at a time, with a list for the window."""
+    import xxhash
+
+    block = 3
+    while block * 64 < len(text):
+        block *= 2
+    window, prints = [0] * 7, []
+    hashes = []
+    for b in text:
+        window = window[1:] + [b]
+        shifted = 0
+        for i, x in enumerate(window):
+            shifted ^= x << (5 * (6 - i))
+        hashes.append((sum(window) + sum((i + 1) * x for i, x in enumerate(window)) + (shifted & 0xFFFFFFFF)) & 0xFFFFFFFF)
+    for size in (block, 2 * block):
+        letters, piece = "", b""
+        for i, h in enumerate(hashes):
+            piece += text[i : i + 1]
+            if h % size == size - 1 or i == len(text) - 1:
+                letters += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[xxhash.xxh32_intdigest(piece) % 64]
+                piece = b""
+        prints.append(re.sub(r"(.)\1{3,}", r"\1\1\1", letters))
+    return f"{block}:{prints[0]}:{prints[1]}"
+
+
+def brute_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_fingerprints_against_brute_force(docs):
+    some = [(t or "").encode() for _, t in pairs(docs)][:40] + [b"", b"a", b"ab" * 500, "é😀 ".encode() * 90]
+    prints = [fingerprint.fingerprint(t) for t in some]
+    assert prints == [brute_fingerprint(t) for t in some]
+    for a, b in zip(prints, prints[1:], strict=False):
+        one, two = a.split(":")[1], b.split(":")[1]
+        assert fingerprint.common(one, two) == brute_common(one, two)
+
+
+def test_ranges_follow_the_size(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, fingerprint.fingerprints(docs).collect()))
+    monkeypatch.setattr(fingerprint, "LEAST_BYTES", 1 << 13)
+    dealt = fingerprint.with_next(docs)
+    assert dealt.rdd.getNumPartitions() > 10 and dealt.select("part").distinct().count() > 10
+    assert sorted(map(tuple, fingerprint.fingerprints(docs).collect())) == whole
+
+
 def test_likeness():
     text = " ".join(f"word{i * i}" for i in range(900)).encode()
     one, two = fingerprint.fingerprint(text), fingerprint.fingerprint(text[:3000] + b"changed" + text[3000:])
@@ -389,6 +518,88 @@ def test_main_text_is_whole():
     assert [html.main_text(h.replace("LONG", long)) for h, _ in WRAPPED] == [t.replace("LONG", long) for _, t in WRAPPED]
 
 
+def test_main_text_of_hard_markup():
+    long = "A paragraph of text that is long enough, and goes on for a while."
+    pages = [
+        ("<article><p title=it's>First para</p><p>Second para</p></article>", "First para Second para"),
+        ("<article><p title='a>b' data-x=\"c>d\" e=f'g>One</p><p x = 'y>z'>Two</p></article>", "One Two"),
+        ("<article><p title=\"never closed>One</p><p>Two</p></article>", "One Two"),
+        ("<article>..story..</article><article class='comment'><p>reader says hi</p></article>", "..story.."),
+        (f"<article><p>{long}</p><section><article class='user-comment'>reader</article><article id='reply-2'>again</article></section></article>", long),
+        (f"<div><article class='comment'><p>{long}</p></article></div>", long),
+        (f"<article class='post comments-open'><p>{long}</p></article>", long),
+        ("<article><b><p>one</b> two</p><p>three</p></article>", "one two three"),
+        (f"<article><p>{long}</p><div class=ad>Buy</div><div class=ad>Buy</div><p>End.</p></article>", f"{long} End."),
+        (f"<article><p>{long}</p><nav>x</nav><ul><li><a href=x>{long}</a></li></ul><div class=ad>Buy</div><p>(c)</p></article>", long),
+        ("a < b, 3 > 2 <!-- > --><!--> c <3", "a < b, 3 > 2 c <3"),
+    ]
+    assert [html.main_text(h) for h, _ in pages] == [t for _, t in pages]
+
+
+def test_main_text_of_long_pages():
+    import time
+
+    n = 100_000
+    for page in ("<b>" * n + "</i>" * n, "<article>" + "<p>some words of a paragraph here" * n, "<div><a href='x'>" * n + "t" + "</a>" * n, '<a title="x' * n, "<p class='comment'>x" * n):
+        start = time.time()
+        html.main_text(page)
+        assert time.time() - start < 10
+
+
+def brute_main_text(lines):
+    """Step by step over (text, letters in links) of a page without a marked part; a gap is None."""
+    size = [0 if x is None else len(x[0]) for x in lines]
+    block = [sum(size[i : i + html.BLOCK]) for i in range(len(size))]
+    spans, i = [], 0
+    while i < len(size):
+        if not size[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(size) and block[j]:
+            j += 1
+        end = max(x for x in range(i, j) if size[x]) + 1
+        spans.append((i, end, any(size[x] and block[x] > html.SURGE for x in range(i, end))))
+        i = j
+    total = lambda s: sum(size[s[0] : s[1]])
+    real = [s for s in spans if 2 * sum(max(0, size[x] - lines[x][1]) for x in range(s[0], s[1]) if size[x]) >= total(s)]
+    strong = [s for s in real if s[2]] or real
+    if not strong:
+        return ""
+    fair = [s for s in strong if total(s) >= html.SHARE * max(map(total, strong))]
+    a, b = spans.index(fair[0]), spans.index(fair[-1])
+    while a and spans[a - 1] in real and spans[a][0] - spans[a - 1][1] <= html.BLOCK:
+        a -= 1
+    while b + 1 < len(spans) and spans[b + 1] in real and spans[b + 1][0] - spans[b][1] <= html.BLOCK:
+        b += 1
+    return " ".join(lines[x][0] for s in spans[a : b + 1] if s in real for x in range(s[0], s[1]) if size[x])
+
+
+def test_main_text_against_brute_force():
+    import random
+
+    for seed in range(400):
+        rng = random.Random(seed)
+        lines, page = [], []
+        for i in range(rng.randrange(1, 14)):
+            kind = rng.choice("pppsslag")
+            text = " ".join(f"w{i}x{j}" for j in range(rng.randrange(8, 40) if kind in "pl" else rng.randrange(1, 4)))
+            if kind in "ag":
+                page.append(rng.choice([f"<nav>{text}</nav>", f"<div class='advert'>{text}</div>", f"<script>{text}</script><footer><p>{text}</p></footer>"]))
+                lines += [None] * html.BLOCK
+            else:
+                page.append(f"<p><a href='#'>{text}</a></p>" if kind == "l" else f"<div><p>{text}</p></div>")
+                lines.append((text, len(text) if kind == "l" else 0))
+        assert html.main_text("<body>" + "".join(page) + "</body>") == brute_main_text(lines), seed
+
+
+def test_extraction_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    assert html.extract(spark.createDataFrame([], schema)).collect() == []
+    got = html.extract(spark.createDataFrame([(1, None, "<p>x</p>", "y", "z"), (1, None, "<p>x</p>", "y", "z"), (None, "u", None, None, None)], schema)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == [(1, None, "x", 1), (1, None, "x", 1), (None, "u", "", 0)]
+
+
 def test_regions():
     assert html.regions([0, 0, 5, 60, 50, 0, 0, 0, 0, 70, 0, 0, 0], 40) == [(2, 5), (9, 10)]
     assert html.regions([], 40) == [] and html.regions([0, 0], 0) == []
@@ -456,6 +667,125 @@ def test_grammar():
     assert toxicity.matched("fine. such trash, really. ok", lexicon) == [" such trash"]
 
 
+def brute_clause(clause, lexicon):
+    """The grammar by flags, word by word, without a table."""
+    out, negated, threat, aimed, said, at = 0.0, 0, 0.0, False, False, 0
+    for m in re.finditer(r"[^\W\d_]+", clause):
+        said |= any(c in '"\u201c\u201e\u00ab' for c in clause[at : m.start()])
+        at, word = m.end(), m.group()
+        weak = (0.5 if negated else 1) * (0.6 if said else 1)
+        negated = max(0, negated - 1)
+        if (stem := lexicon.stem(word)) is not None:
+            out += lexicon.weights[stem] * weak * (1.25 if aimed else 1)
+        elif word in toxicity.VIOLENCE:
+            threat = weak
+        elif word in toxicity.TARGETS:
+            out, threat, aimed = out + 5 * threat, 0.0, True
+        elif word in toxicity.NEGATIONS:
+            negated = 3
+        elif word in toxicity.REPORTS:
+            said = True
+    return out
+
+
+def test_composed_grammar_equals_its_parts_and_brute_force():
+    import itertools
+
+    lexicon = toxicity.Lexicon({"nast": 2.5})
+    words = {"I": "idiot", "V": "kill", "T": "you", "N": "not", "R": "said", "O": "light"}
+    for n in range(1, 6):
+        for letters in itertools.product(toxicity.LETTERS, repeat=n):
+            if "Q" in (letters[-1], *(a for a, b in itertools.pairwise(letters) if b == "Q")):
+                continue  # a quote counts with the word after it
+            text = "".join('"' if c == "Q" else words[c] + " " for c in letters)
+            symbols, weights, out = list(letters), [4.0 if c == "I" else 0.0 for c in letters], 0.0
+            for part in toxicity.cascade():
+                symbols, more = part.walk(symbols, weights)
+                out += more
+            assert toxicity.clause_output(text, lexicon) == pytest.approx(out) == pytest.approx(brute_clause(text, lexicon)), text
+    text = "nobody wrote \u201cyou nasty moron\u201d , they will not stab the nastier ones"
+    assert toxicity.clause_output(text, lexicon) == pytest.approx(brute_clause(text, lexicon))
+    one = toxicity.compose(toxicity.negation(), toxicity.reported())
+    assert one.walk(["N", "R", "I"], [0, 0, 1])[0] == ["N", "R-", "I-~"]
+
+
+def test_score_against_brute_force(spark, sf, docs, hard):
+    import math
+
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    lexicon = toxicity.Lexicon(model.weights)
+    for df in (docs, hard):
+        got = {}
+        for r in toxicity.score(df, model).collect():
+            got[r.doc_id] = r
+        for i, t in pairs(df):
+            outs = [x for c in re.split("[.!?;:,\n\r\u2026]", (t or "").lower()) if (x := brute_clause(c, lexicon)) > 0]
+            n, total = 1 + (t or "").count(" ") + (t or "").count("\n"), sum(outs)
+            row = [math.log1p(total), math.log1p(max(outs, default=0)), math.log1p(100 * total / (n + 20)), math.log1p(len(outs)), float(bool(outs))]
+            z = model.intercept + sum(a * b for a, b in zip(row, model.coefficients, strict=True))
+            assert got[i].score == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, z))))) and got[i].clauses == len(outs)
+
+
+def test_training_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 5 == 0)) for i in range(200)] * 2 + [(7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(empty, labels) is toxicity.DEFAULT
+    one, two = (toxicity.train(d, labels) for d in (docs, docs.repartition(7)))
+    assert one.weights == two.weights and list(one.coefficients) == list(two.coefficients)
+    a, b = (quality.fit(d, quality.grades(labels)) for d in (docs.unionByName(docs.limit(5)), docs.unionByName(docs.limit(5)).repartition(7)))
+    assert list(a.weights) == list(b.weights) and list(a.thresholds) == list(b.thresholds)
+    assert not quality.fit(empty, quality.grades(labels)).weights.any() and quality.score(empty, a).count() == 0
+
+
+def brute_features(text):
+    """Column -> value by plain integers, one word at a time."""
+    from tidewright.llm import common
+
+    full = 2**64 - 1
+
+    def mixed(x, salt=0):
+        x = (x + salt * 0xD1B54A32D192ED03) & full
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ (x >> 33)) * m) & full
+        return x ^ (x >> 33)
+
+    def word(w):
+        return mixed(sum(int(common._BYTE[b]) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(w)) & full)
+
+    def shape(w):
+        kinds = [48 if 48 <= b < 58 else 65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else b for b in w]
+        runs = [k for i, k in enumerate(kinds) if not i or k != kinds[i - 1]]
+        return mixed(sum(mixed(k + min(i, 12) * 257, 19) for i, k in enumerate(runs)) & full, 23)
+
+    ws = [w.encode() for w in words(text)]
+    hashes, shapes = [word(w) for w in ws], [shape(w) for w in ws]
+    half = quality.DIMS // 2
+    cols = Counter()
+    for i in range(len(ws)):
+        cols[hashes[i] % half] += 1
+        cols[half + shapes[i] % (half // 2)] += 1
+        cols[half + half // 2 + (mixed((shapes[i] * 3 + shapes[i - 1]) & full, 31) if i else 0) % (half // 2 - 2)] += 1
+        cols[quality.DIMS - 1 if i and hashes[i] == hashes[i - 1] else quality.DIMS - 2] += 1
+    norm = sum(cols.values()) ** 0.5
+    return {c: n**0.5 / norm for c, n in cols.items()}
+
+
+def test_quality_against_brute_force(spark, sf, docs, hard):
+    import math
+
+    import numpy as np
+
+    model = quality.fit(docs, quality.grades(spark.read.parquet(f"{sf}/labels.parquet")))
+    assert model.weights.any() and (np.diff(model.thresholds) > 0).all()
+    for df in (docs.where("doc_id < 60"), hard):
+        got = {r.doc_id: r for r in quality.score(df, model).collect()}
+        for i, t in pairs(df):
+            z = sum(model.weights[c] * v for c, v in brute_features(t).items())
+            tails = [1 / (1 + math.exp(-min(35, max(-35, z - x)))) for x in model.thresholds]
+            r = got[i]
+            assert (r.expected_grade, r.tail_probability, r.top_probability) == pytest.approx((sum(tails), tails[0], tails[-1]))
+            assert r.kept == (bool(words(t)) and tails[0] >= quality.KEEP)
+
+
 def test_clauses_are_whole_however_long():
     lexicon = toxicity.Lexicon({})
     far = "some other words " * 40
