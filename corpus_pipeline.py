@@ -14,50 +14,37 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go: null, empty and short texts among them. Rows are judged each on its own text."""
     return rules.keep(spark, docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; five-word shingles, a similarity of 0.8."""
-    docs = docs.select(*COLUMNS)
-    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
-        return near_duplicate_rows(spark, docs)
-    gone = minhash.near_duplicates(spark, docs, 5, 80).where(~F.col("kept")).select("doc_id")
-    return minhash.id_join(docs, gone, "doc_id", "left_anti")
+    """One document of each group stays, the one with the smallest id; five-word shingles, a similarity of 0.8.
 
-
-def near_duplicate_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The same where ids are null or come again: a document is an id with a text, told by a 64-bit digest.
-
-    Of each group the row with the smallest id stays (null after all), then by a fixed order of its content.
-    Texts without shingles are like no other; of such rows only those with an equal id and text are one."""
-    rows = docs.withColumn("_unit", F.xxhash64("doc_id", "text"))
-    found = minhash.near_duplicates(spark, rows.select(F.col("_unit").alias("doc_id"), "text"), 5, 80)
-    rows = rows.join(found.select(F.col("doc_id").alias("_unit"), "n_shingles", "component_id").distinct(), "_unit")
-    alone = F.col("doc_id").isNull() & (F.col("n_shingles") == 0)
-    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", own.alias("own"), "source", "lang", "n_chars", "text")).alias("first")
-    return rows.where(~alone).groupBy("component_id").agg(first).select("first.*").select(*COLUMNS).unionByName(rows.where(alone).select(*COLUMNS))
+    Null and reused ids, and texts without words, are told apart as one_of_each() says."""
+    return minhash.one_of_each(spark, docs.select(*COLUMNS), 5, 80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kinds; n_chars follows the text."""
+    """Personal data are replaced by their kinds; n_chars follows the text. Every row stays; a null text stays null."""
     out = docs.select(*COLUMNS).withColumn("text", private.redact(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come near their targets; a document stands as often as the mix takes it."""
+    """Sources come near their targets; a document stands as often as the mix takes it.
+
+    A null source is one of its own; equal rows are taken or left together; null and empty texts add nothing to a size."""
     return mixing.sample(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to its text."""
+    """Ids of every row, how many, and the text that they decode to; a null text is the empty one, without ids."""
     out = bpe.encode(docs, bpe.default_path())
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
+#: Each stage gives an empty table for an empty one, and leaves out columns other than COLUMNS, whatever their names.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
