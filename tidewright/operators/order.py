@@ -18,11 +18,25 @@ def digest(key: Column, seed: int) -> Column:
     return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), F.lit(1), F.lit(12)), 16, 10).cast("long")
 
 
-def range_cell(df: DataFrame, column: str, cells: int = 512) -> Column:
-    """A column's cell among ranges of about equal counts; equal values share a cell."""
-    cuts = df.agg(F.percentile_approx(column, [i / cells for i in range(1, cells)], 10_000)).first()[0] or []
+def range_cell(df: DataFrame, column: str, rows: int = 1 << 20, least: int = 512, most: int = 20_000) -> Column:
+    """A column's cell among ranges of about equal counts; equal values share a cell, and null goes to the first.
+
+    There is a cell for each ``rows`` rows, ``least`` and ``most`` bounding their number. A row finds its cell
+    by halving: the cuts are dealt into groups, and only those of its group are compared."""
+    cells = min(most, max(least, df.count() // rows))
+    shares = ",".join(f"{i / cells}D" for i in range(1, cells))
+    cuts = df.agg(F.expr(f"percentile_approx(`{column}`, array({shares}), {10 * cells})")).first()[0] or []
     cuts = sorted(set(cuts))
-    return F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col(column))) if cuts else F.lit(0)
+    if not cuts:
+        return F.lit(0)
+    width = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    below = lambda a, v: F.size(F.filter(a, lambda c: c < v))
+    value = F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
+    # The greatest cuts of the groups say which group holds the first cut that isn't below the value.
+    fixed = lambda a: f"array({','.join(f'{c}L' for c in a)})"
+    group = below(F.expr(fixed(g[-1] for g in groups)), value)
+    return F.when(group >= len(groups), len(cuts)).otherwise(group * width + below(F.get(F.expr(f"array({','.join(map(fixed, groups))})"), group), value))
 
 
 def _offset(df: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -40,12 +54,17 @@ def _with_offset(df: DataFrame, by: list[str], value: Column) -> DataFrame:
 
 
 def shuffled_index(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "position") -> DataFrame:
-    """Number the rows from 0 in the order of (digest of key, key), within each group of ``by`` if given."""
+    """Number the rows from 0 in the order of (digest of key, key), within each group of ``by`` if given.
+
+    A null key comes first. Rows with equal keys stand in the order of a digest of all their columns, so that
+    only wholly equal rows can change places."""
     by = by or []
-    df = df.withColumn("_h", digest(F.col(key), seed)).withColumn("_cell", F.shiftright("_h", 36))
-    within = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_h", key)) - 1
+    # Maps have no order and no hash; they are compared as JSON.
+    whole = [F.to_json(f.name) if f.dataType.typeName() in ("map", "struct", "array") else F.col(f"`{f.name}`") for f in df.schema]
+    df = df.withColumn("_tie", F.xxhash64(*whole)).withColumn("_h", F.coalesce(digest(F.col(key), seed), F.lit(0))).withColumn("_cell", F.shiftright("_h", 36))
+    within = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy("_h", F.col(key).asc_nulls_first(), "_tie")) - 1
     out = _with_offset(df, by, F.lit(1)).withColumn(name, (within + F.col("_before")).cast("long"))
-    return out.drop("_h", "_cell", "_before")
+    return out.drop("_h", "_cell", "_before", "_tie")
 
 
 def ordered_index(df: DataFrame, key: str, by: list[str] | None = None, name: str = "position") -> DataFrame:

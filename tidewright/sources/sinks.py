@@ -1,10 +1,19 @@
-"""Sinks: CSV with fixed columns, append-only JSON lines, token files, Markdown galleries."""
+"""Sinks: CSV with fixed columns, append-only JSON lines, token files, metrics, Markdown galleries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+from uuid import uuid4
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists, put_text
+
 
 def csv(df: DataFrame, columns: list[str], path: str) -> None:
     """The named columns with a header, one file for a small report; other columns are left out."""
@@ -15,23 +24,93 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_log(df: DataFrame, path: str) -> None:
+    """Append rows with seq to a log. Their seq goes on after the log's greatest, in their own order, and is written with
+    them, so that the order of the whole log doesn't depend on files."""
+    from .text import numbered_json
+
+    spark = df.sparkSession
+    last = numbered_json(spark, path, "").agg(F.max("seq")).first()[0] if exists(spark, path) else None
+    if last is not None:
+        least = df.agg(F.min("seq")).first()[0]
+        df = df.withColumn("seq", F.col("seq") + F.lit(max(0, last + 1 - (least or 0))))
+    append_json(df, path)
+
+
 def put_new(new: DataFrame, cache_path: str, key: str = "key") -> None:
     """Append the rows whose keys the cache doesn't hold."""
     spark = new.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if exists(spark, cache_path):
         new = new.join(spark.read.schema(new.schema).json(cache_path).select(key), key, "left_anti")
     append_json(new.dropDuplicates([key]), cache_path)
 
 
+def _bytes(ids: pa.ListArray) -> list[bytes | None]:
+    """Each list as little-endian 16-bit numbers; an id that doesn't fit is an error."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) and not (0 <= flat.min() and flat.max() < 1 << 16):
+        raise ValueError("token ids must be from 0 to 65535")
+    data = flat.astype("<u2").tobytes()
+    ends = np.cumsum([0, *[2 * (n or 0) for n in ids.value_lengths().to_pylist()]]).tolist()
+    return [data[a:b] if known else None for a, b, known in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
+
+
 def token_bytes(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """The rows with ``bytes``: their ids as little-endian 16-bit numbers, as a token file has them."""
-    pairs = F.transform(ids, lambda i: F.concat(F.substr(F.lpad(F.hex(i), F.lit(4), F.lit("0")), F.lit(3), F.lit(2)), F.substr(F.lpad(F.hex(i), F.lit(4), F.lit("0")), F.lit(1), F.lit(2))))
-    return encoded.withColumn("bytes", F.unhex(F.array_join(pairs, "")))
+    """The rows with ``bytes``: their ids as little-endian 16-bit numbers, as a token file has them. Other ids are an error."""
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    @arrow_udf("binary")
+    def pack(ids: pa.Array) -> pa.Array:
+        return pa.array(_bytes(ids), pa.binary())
+
+    return encoded.withColumn("bytes", pack(ids))
+
+
+def token_files(encoded: DataFrame, key: str, path: str, ids: str = "ids", file_ids: int = 1 << 27) -> list[tuple[str, int]]:
+    """Flat files of little-endian 16-bit ids, part-00000.bin and so on, that make one stream in the order of ``key``.
+
+    Returns each file with its number of ids. Files have about ``file_ids`` ids; one holds the whole stream if it is
+    shorter. Rows are dealt into ranges of the key and each task streams its range into a file of its own, which
+    gets its name when it is complete, so that a task that runs again does no harm. The folder must be one that
+    both Spark and Arrow's file systems reach (local, HDFS, S3 and the like)."""
+    spark = encoded.sparkSession
+    total = encoded.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0))).first()[0]
+    n = max(1, -(-total // file_ids))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        part, written = TaskContext.get().partitionId(), 0
+        draft, name = f"{folder}/_part-{part:05d}-{uuid4().hex}", f"{folder}/part-{part:05d}.bin"
+        with system.open_output_stream(draft) as out:
+            for b in batches:
+                data = b"".join(x for x in _bytes(b.column(0)) if x)
+                out.write(data)
+                written += len(data) // 2
+        system.move(draft, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([written], pa.int64())], names=["file", "n"])
+
+    rows = encoded.select(key, ids).where(F.size(ids) > 0)
+    rows = (rows.repartitionByRange(n, key) if n > 1 else rows.repartition(1)).sortWithinPartitions(key).select(ids)
+    return sorted((r.file, r.n) for r in rows.mapInArrow(write, "file string, n long").collect())
+
+
+def metrics_row(spark: SparkSession, root: str, day: str, model: str, row: dict) -> str:
+    """A run's metrics as one JSON file, root/day/model/metrics.json; returns its path."""
+    path = f"{root.rstrip('/')}/{day}/{model}/metrics.json"
+    put_text(spark, path, json.dumps(row, indent=2))
+    return path
 
 
 def gallery(samples: DataFrame, title: str) -> DataFrame:
-    """One Markdown text of (seq, prompt, completion, n_in, n_out) in the order of seq."""
+    """One Markdown text of (seq, prompt, completion, n_in, n_out) in the order of seq; a gallery is read by people, so it is small."""
     part = F.concat(F.lit("## "), "prompt", F.lit("\n\n"), "completion", F.lit("\n\n_"), F.col("n_in").cast("string"), F.lit(" in, "), F.col("n_out").cast("string"), F.lit(" out_\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", part.alias("t")))), lambda x: x["t"]), "\n")
     return samples.agg(F.concat(F.lit(f"# {title}\n\n"), body).alias("markdown"))
+
+
+def write_gallery(samples: DataFrame, title: str, path: str) -> None:
+    """The gallery as one file."""
+    put_text(samples.sparkSession, path, gallery(samples, title).first()[0])

@@ -6,19 +6,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import files
+
 PROMPT = "id string, category string, prompt string, gold string"
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, seq and value of all lines of text files: seq numbers them from 0, file by file in the order of their names.
+
+    Files are read by line in as many tasks as they have blocks. A line's number comes from its place in its block and
+    the counts of the blocks before it, so no task reads a whole file."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each block.
+    counts = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("_at")) - 1
+    return raw.withColumn("_in", within).join(counts, ["file", "block"]).select("file", (F.col("_from") + F.col("_in")).cast("long").alias("seq"), "value")
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """seq and line of a file's lines, without blank ones and ones that begin with #.
+    """seq and line of the files' lines, without blank ones and ones that begin with #."""
+    found = lines(spark, path).select("seq", F.trim("value").alias("line"))
+    return found.where("line <> '' AND NOT startswith(line, '#')")
 
-    seq is the line's number within its file (a file is one row until it is split), so it holds for any number of tasks."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")).withColumn("line", F.trim("line"))
-    return lines.where("line <> '' AND NOT startswith(line, '#')")
+
+def numbered_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines with seq: the one that a line carries, else its number."""
+    parsed = F.from_json("line", f"seq long{', ' if schema else ''}{schema}")
+    rows = json_lines(spark, path).select(F.col("seq").alias("_line"), parsed.alias("m")).select("_line", "m.*")
+    return rows.withColumn("seq", F.coalesce("seq", "_line")).drop("_line")
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -38,21 +57,37 @@ MATCH = "match_id string, prompt string, model_a string, model_b string, respons
 
 
 def matches(spark: SparkSession, path: str) -> DataFrame:
-    """A match log with seq, its order."""
-    return json_lines(spark, path).select(F.col("seq").cast("long").alias("seq"), F.from_json("line", MATCH).alias("m")).select("seq", "m.*")
+    """A match log with seq, its order; see numbered_json()."""
+    return numbered_json(spark, path, MATCH)
+
 
+def token_file(spark: SparkSession, path: str, block: int = 1 << 16, task_bytes: int = 1 << 26) -> DataFrame:
+    """file, block and ids of headerless files of little-endian 16-bit ids: a file, a folder of .bin files or a pattern.
 
-def token_file(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
-    """file, block and ids of headerless files of little-endian 16-bit ids."""
+    Files are read in ranges of about ``task_bytes`` bytes, one a task, so a file may have any length. The path must be
+    one that both Spark and Arrow's file systems reach."""
+    step = max(1, task_bytes // (2 * block)) * 2 * block
+    found = files(spark, path, ".bin") or files(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    for name, size in found:
+        if size % 2:
+            raise ValueError(f"{name} has an odd number of bytes")
+    ranges = [(name, start, min(step, size - start)) for name, size in found for start in range(0, size, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(data, "<u2").astype(np.int32)
-                for i in range(0, len(ids), block):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([i // block], pa.int64()), pa.array([ids[i : i + block]], pa.list_(pa.int32()))], names=["file", "block", "ids"])
+        from pyarrow import fs
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, ids array<int>")
+        for b in batches:
+            for name, start, size in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                system, inner = fs.FileSystem.from_uri(name)
+                with system.open_input_file(inner) as data:
+                    for at in range(start, start + size, 2 * block):
+                        ids = np.frombuffer(data.read_at(min(2 * block, start + size - at), at), "<u2").astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // (2 * block)], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["file", "block", "ids"])
+
+    rows = spark.createDataFrame(ranges, "file string, start long, size long").repartition(max(1, len(ranges)), "file", "start")
+    return rows.mapInArrow(run, "file string, block long, ids array<int>")
 
 
 def fetch(url: str, timeout: float = 60.0, agent: str = "tidewright/0.1") -> str:
