@@ -5,8 +5,9 @@ A match table has seq (its order is part of the data), model_a, model_b, judge,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +64,20 @@ def head_to_head(matches: DataFrame) -> DataFrame:
     return sides(matches).groupBy("model", "other").agg(n("win").alias("wins"), n("loss").alias("losses"), n("draw", "none").alias("ties"), F.count("*").alias("n"))
 
 
+def slot_counts(matches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, a_wins, b_wins, ties and games: who won by place; a winner that is nobody counts as a game only."""
+    winner = F.col("winner")
+    return matches.groupBy(*by).agg(F.count_if(winner == F.col("model_a")).alias("a_wins"), F.count_if((winner == F.col("model_b")) & (winner != F.col("model_a"))).alias("b_wins"), F.count_if(winner == "tie").alias("ties"), F.count("*").alias("games"))
+
+
 def matrix(matches: DataFrame) -> DataFrame:
-    """The table of wins-losses-ties, a row and a column for each model, in the order of names."""
+    """row_model and a column for each model, in the order of names: wins-losses-ties/n of the row's model, - for itself."""
     h = head_to_head(matches)
     names = [r.model for r in h.select("model").distinct().orderBy("model").collect()]
-    cell = F.concat_ws("-", "wins", "losses", "ties")
+    cell = F.concat(F.concat_ws("-", "wins", "losses", "ties"), F.lit("/"), F.col("n").cast("string"))
     out = h.groupBy("model").pivot("other", names).agg(F.first(cell))
-    return out.select("model", *[F.coalesce(F.col(f"`{n}`"), F.lit("0-0-0")).alias(n) for n in names])
+    cells = [F.when(F.col("model") == n, "-").otherwise(F.coalesce(F.col(f"`{n}`"), F.lit("0-0-0/0"))).alias(n) for n in names]
+    return out.select(F.col("model").alias("row_model"), *cells)
 
 
 def judge_versions(matches: DataFrame) -> DataFrame:
@@ -77,29 +85,47 @@ def judge_versions(matches: DataFrame) -> DataFrame:
     return matches.groupBy("judge").agg(F.sort_array(F.collect_set(F.coalesce("judge_version", F.lit("")))).alias("versions")).withColumn("mixed", F.size("versions") > 1)
 
 
-def ratings(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: float = BASE, unknown: float | None = None) -> DataFrame:
-    """by, model, rating after replaying each group's matches in order (seq).
-
-    A replay is sequential, so a group's log is folded in one row; groups run side by side. A winner that is
-    nobody leaves ratings as they are (the players are still rated), or scores ``unknown`` if given."""
-    names = [r.m for r in matches.select(F.explode(F.array("model_a", "model_b")).alias("m")).distinct().orderBy("m").collect()]
-    if not names:
-        return matches.select(*by, F.col("model_a").alias("model"), F.lit(base).alias("rating")).limit(0)
-    place = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+def replay(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: float = BASE, unknown: float | None = None) -> DataFrame:
+    """by, model, rating, and place: whether a model was the first, second, ... to be rated in its group.
+
+    A replay is sequential. Groups are dealt to tasks, each task reads its groups' matches in order, batch by
+    batch, and holds the ratings of one group only, so a log of any length needs no more than its models.
+    A winner that is nobody changes and rates nothing, or scores ``unknown`` if given. Of equal seq the names decide."""
     score = F.when(F.col("winner") == F.col("model_a"), 1.0).when(F.col("winner") == F.col("model_b"), 0.0).when(F.col("winner") == "tie", 0.5).otherwise(F.lit(unknown).cast("double"))
-    played = matches.select(*by, F.struct("seq", place[F.col("model_a")].alias("a"), place[F.col("model_b")].alias("b"), score.alias("s")).alias("m"))
-    logs = played.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("log")) if by else played.agg(F.array_sort(F.collect_list("m")).alias("log"))
+    rows = matches.select(*by, "seq", "model_a", "model_b", score.alias("score")).where("score IS NOT NULL")
+    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, "seq", "model_a", "model_b", "score")
+    keys = rows.select(*by).schema if by else None
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in keys] if by else []
+    names = [*by, "model", "rating", "place"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rated, kinds = None, {}, None
+
+        def done() -> pa.RecordBatch:
+            columns = [pa.array([group[i]] * len(rated), t) for i, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(rated), pa.string()), pa.array(list(rated.values()), pa.float64()), pa.array(range(len(rated)), pa.int64())], names=names)
+
+        for batch in batches:
+            kinds = batch.schema.types[: len(by)]
+            groups = zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True) if by else [()] * batch.num_rows
+            for key, a, b, s in zip(groups, *[batch.column(len(by) + i).to_pylist() for i in (1, 2, 3)], strict=True):
+                if key != group:
+                    if rated:
+                        yield done()
+                    group, rated = key, {}
+                x, y = rated.get(a, base), rated.get(b, base)
+                gain = k * (s - 1 / (1 + 10 ** ((y - x) / 400)))
+                rated[a] = x + gain
+                rated[b] = y - gain
+        if rated:
+            yield done()
+
+    return rows.mapInArrow(fold, ", ".join([*types, "model string", "rating double", "place long"]))
 
-    def step(r: Column, m: Column) -> Column:
-        gain = lambda pair: k * (m["s"] - expected(pair["x"], pair["y"]))
-        pair = F.struct(F.get(r, m["a"]).alias("x"), F.get(r, m["b"]).alias("y"))
-        moved = F.element_at(F.transform(F.array(pair), lambda p: F.struct((p["x"] + gain(p)).alias("x"), (p["y"] - gain(p)).alias("y"))), 1)
-        after = F.element_at(F.transform(F.array(moved), lambda p: F.transform(r, lambda v, i: F.when(i == m["a"], p["x"]).when(i == m["b"], p["y"]).otherwise(v))), 1)
-        return F.when(m["s"].isNull(), r).otherwise(after)
 
-    done = logs.select(*by, F.aggregate("log", F.array(*[F.lit(float(base)) for _ in names]), step).alias("r"), F.array_distinct(F.flatten(F.transform(F.filter("log", lambda m: m["s"].isNotNull()), lambda m: F.array(m["a"], m["b"])))).alias("seen"))
-    rows = done.select(*by, "seen", F.posexplode("r").alias("i", "rating")).where(F.array_contains("seen", F.col("i")))
-    return rows.select(*by, F.get(F.array(*map(F.lit, names)), F.col("i")).alias("model"), "rating")
+def ratings(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: float = BASE, unknown: float | None = None) -> DataFrame:
+    """by, model, rating after replaying each group's matches in order (seq); see replay()."""
+    return replay(matches, by, k, base, unknown).drop("place")
 
 
 def warm_start(matches: DataFrame, k: float = K, base: float = BASE) -> DataFrame:
@@ -107,31 +133,39 @@ def warm_start(matches: DataFrame, k: float = K, base: float = BASE) -> DataFram
     return ratings(matches, (), k, base, 0.5)
 
 
+#: Matches of a log that may be sent to all tasks.
+SENT = 1_000_000
+
+
 def resamples(matches: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
-    """n_boot samples of as many matches with replacement: columns of matches, replicate, seq (the draw's place)."""
+    """n_boot samples of as many matches with replacement: columns of matches, replicate, seq (the draw's place).
+
+    Columns named position, draw or replicate are replaced. The log is cached, as it is counted, cut and joined;
+    it is sent to all tasks if the count shows that it is short."""
+    matches = matches.drop("position", "draw", "replicate").cache()
     spark, n = matches.sparkSession, matches.count()
     draws = spark.range(n_boot * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).alias("draw"))
     draws = draws.withColumn("position", digest(F.concat_ws(":", "replicate", "draw"), seed) % n)
     numbered = ordered_index(matches, "seq").drop("seq")
-    return draws.join(numbered, "position").withColumnRenamed("draw", "seq").drop("position")
+    return draws.join(F.broadcast(numbered) if n <= SENT else numbered, "position").withColumnRenamed("draw", "seq").drop("position")
 
 
 def leaderboard(matches: DataFrame, versions: dict[str, str] | None = None, n_boot: int = 200, seed: int = 0, k: float = K, base: float = BASE) -> DataFrame:
-    """model, rating, ci_low, ci_high, wins, losses, draws, games, best first.
+    """model, rating, ci_low, ci_high, wins, losses, draws, games, best first, of equal ratings the one rated first.
 
-    The interval is the 2.5 and 97.5 percentile of the replicates that a model plays in (its rating, if
-    there are none); all three are rounded to one digit."""
+    Models that no scored match rates aren't listed. The interval is the 2.5 and 97.5 percentile of the replicates
+    that a model plays in (its rating, if there are none); all three are rounded to one digit."""
     matches = of_version(matches, versions)
-    out = counts(matches).join(ratings(matches, (), k, base), "model", "left").withColumn("rating", F.coalesce("rating", F.lit(base)))
+    out = replay(matches, (), k, base).join(counts(matches), "model")
     if n_boot:
-        boot = ratings(resamples(matches, n_boot, seed), ("replicate",), k, base)
+        boot = ratings(resamples(matches.select("seq", "model_a", "model_b", "winner"), n_boot, seed), ("replicate",), k, base)
         ci = boot.groupBy("model").agg(F.percentile("rating", F.lit(0.025)).alias("low"), F.percentile("rating", F.lit(0.975)).alias("high"))
         out = out.join(ci, "model", "left")
     else:
         out = out.withColumn("low", F.col("rating")).withColumn("high", F.col("rating"))
     rounded = lambda c: F.round(F.coalesce(c, "rating"), 1)
-    out = out.select("model", F.round("rating", 1).alias("rating"), rounded("low").alias("ci_low"), rounded("high").alias("ci_high"), "wins", "losses", "draws", "games")
-    return out.orderBy(F.desc("rating"), "model")
+    out = out.select("model", F.round("rating", 1).alias("rating"), rounded("low").alias("ci_low"), rounded("high").alias("ci_high"), "wins", "losses", "draws", "games", "place")
+    return out.orderBy(F.desc("rating"), "place").drop("place")
 
 
 def cache_key(*fields: str | Column) -> Column:
@@ -164,19 +198,23 @@ def calibration(judged: DataFrame) -> DataFrame:
 
 
 def pair_up(names: Iterable[str], rating: dict[str, float], played: set[frozenset[str]], seed: int = 0) -> list[tuple[str, str]]:
-    """Swiss pairing of a round's players: the lowest rated takes the nearest one that it hasn't met, else the nearest.
+    """A round's pairs. In the order of ratings (of equal ones a seeded digest's) each player that is still free
+    gets the free one after it that it hasn't met, or else any, the nearest of these. ``played`` grows.
 
-    The registry of players is small and the choice is sequential, so this runs on the driver. ``played`` grows."""
+    The registry of players is small and each choice depends on the ones before, so this runs on the driver."""
     from hashlib import md5
 
-    left = sorted(names, key=lambda n: (rating.get(n, BASE), md5(f"{seed}:{n}".encode()).hexdigest()))
-    out = []
-    while len(left) > 1:
-        a = left.pop(0)
-        b = left.pop(next((i for i, n in enumerate(left) if frozenset((a, n)) not in played), 0))
-        played.add(frozenset((a, b)))
-        out.append((a, b))
-    return out
+    ranked = sorted(names, key=lambda n: (rating.get(n, BASE), md5(f"{seed}:{n}".encode()).hexdigest()))
+    met = lambda i, j: frozenset((ranked[i], ranked[j])) in played
+    free, pairs = dict.fromkeys(range(len(ranked))), []
+    for i in range(len(ranked)):
+        rivals = [(met(i, j), j) for j in free if j > i] if i in free else []
+        if rivals:
+            _, j = min(rivals)
+            del free[i], free[j]
+            pairs.append((ranked[i], ranked[j]))
+    played.update(map(frozenset, pairs))
+    return pairs
 
 
 Player = Callable[[Column], Column]
@@ -197,6 +235,75 @@ def coin(seed: int) -> Judge:
     return judge
 
 
+def from_texts(answer: Callable[[list[str]], list[str]]) -> Player:
+    """A player that answers batches of prompts in Python, a model that a task loads once or a remote one: see remote()."""
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    @arrow_udf("string")
+    def play(prompts: pa.Array) -> pa.Array:
+        return pa.array(answer(prompts.to_pylist()), pa.string())
+
+    return play
+
+
+def judge_prompt(prompt: str, a: str, b: str, rubric: str) -> str:
+    """What a judging model reads: the rubric and both answers. A fixed format."""
+    return f"{rubric}\n---\nPrompt:\n{prompt}\n\n---\nResponse A:\n{a}\n\n---\nResponse B:\n{b}\n"
+
+
+#: The rubric of a judge that has no other.
+RUBRIC = 'Compare two responses to one prompt by correctness, by what is left out and by what is made up.\nAnswer with JSON only: {"winner": "A" or "B" or "tie", "reason": "<a sentence>"}\n'
+
+
+def from_verdicts(answer: Callable[[list[str]], list[str]], rubric: str = RUBRIC) -> Judge:
+    """A judge whose model answers batches of judge_prompt() texts with JSON; anything else is a tie."""
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    @arrow_udf("string")
+    def ask(prompts: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
+        texts = [judge_prompt(*x, rubric) for x in zip(prompts.to_pylist(), one.to_pylist(), two.to_pylist(), strict=True)]
+        return pa.array(answer(texts), pa.string())
+
+    return lambda prompt, a, b: verdict(ask(prompt, a, b))
+
+
+def remote(url: str, model: str, key: str | None = None, system: str | None = None, tries: int = 3, timeout: float = 60.0, **settings) -> Callable[[list[str]], list[str]]:
+    """Answers of a chat service over HTTP (messages in, choices out), one request for each text; for from_texts() and from_verdicts()."""
+
+    def answer(texts: list[str]) -> list[str]:
+        import json
+        import time
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        out = []
+        for text in texts:
+            messages = [{"role": "system", "content": system}] if system else []
+            body = json.dumps({"model": model, "messages": [*messages, {"role": "user", "content": text}], **settings}).encode()
+            request = Request(url, body, {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})})
+            for again in range(tries):
+                try:
+                    with urlopen(request, timeout=timeout) as reply:
+                        out.append(json.loads(reply.read())["choices"][0]["message"]["content"] or "")
+                    break
+                except URLError:
+                    if again == tries - 1:
+                        raise
+                    time.sleep(2**again)
+        return out
+
+    return answer
+
+
+def key_values(items: Iterable[str]) -> dict[str, str]:
+    """name=value settings; the first = divides them, and one without is an error."""
+    parts = [item.partition("=") for item in items]
+    for name, sign, _ in parts:
+        if not sign:
+            raise ValueError(f"expected name=value, got {name!r}")
+    return {name: value for name, _, value in parts}
+
+
 class Registry:
     """Named players (one configuration for each name) and judges with versions (the last one counts)."""
 
@@ -216,13 +323,14 @@ class Registry:
 def tournament(spark: SparkSession, registry: Registry, prompts: list[str], rounds: int = 3, k: float = K, base: float = BASE, seed: int = 0, log: DataFrame | None = None) -> DataFrame:
     """Swiss rounds over every prompt; returns the new rows of the match table.
 
-    Ratings carry over from one prompt to the next and from an earlier ``log``. Answers and verdicts of a
+    Ratings carry over from one prompt to the next and from an earlier ``log``, whose greatest seq the new rows follow. Answers and verdicts of a
     round are columns of one small table; a round ends early when every pair has met."""
-    rating = {n: base for n in registry.players}
+    rating, first = {n: base for n in registry.players}, 0
     if log is not None:
         rating |= {r.model: r.rating for r in warm_start(log, k, base).collect()}
+        first = 1 + (log.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0])
     rows: list[tuple] = []
-    every = len(rating) * (len(rating) - 1) // 2
+    every = len(registry.players) * (len(registry.players) - 1) // 2
     for prompt in prompts:
         played: set[frozenset[str]] = set()
         for turn in range(rounds):
@@ -242,7 +350,7 @@ def tournament(spark: SparkSession, registry: Registry, prompts: list[str], roun
                 gain = k * (score - 1 / (1 + 10 ** ((rating[r.b] - rating[r.a]) / 400)))
                 rating[r.a] += gain
                 rating[r.b] -= gain
-                rows.append((len(rows), prompt, r.a, r.b, r.judge, r.version, winner, r.reason))
+                rows.append((first + len(rows), prompt, r.a, r.b, r.judge, r.version, winner, r.reason))
     return spark.createDataFrame(rows, "seq long, prompt string, model_a string, model_b string, judge string, judge_version string, winner string, reason string")
 
 
@@ -277,7 +385,17 @@ def export_all(matches: DataFrame, out: str, versions: dict[str, str] | None = N
     from ..sources.sinks import csv
 
     board = leaderboard(matches, versions, n_boot)
-    reports = {"matches": (matches.orderBy("seq"), MATCH_COLUMNS), "leaderboard": (board, board.columns), "head_to_head": ((m := matrix(matches)).orderBy("model"), m.columns)}
+    reports = {"matches": (matches.orderBy("seq"), MATCH_COLUMNS), "leaderboard": (board, board.columns), "head_to_head": ((m := matrix(matches)).orderBy("row_model"), m.columns)}
     for name, (df, columns) in reports.items():
         csv(df, columns, f"{out}/{name}")
     return {name: f"{out}/{name}" for name in reports}
+
+
+def export_calibration(counted: DataFrame, out: str) -> dict[str, str]:
+    """The rows of calibration() as JSON lines and as CSV, in their order."""
+    from ..sources.sinks import csv
+
+    paths = {"json": f"{out}/calibration.jsonl", "csv": f"{out}/calibration.csv"}
+    counted.coalesce(1).write.mode("overwrite").json(paths["json"])
+    csv(counted, counted.columns, paths["csv"])
+    return paths
