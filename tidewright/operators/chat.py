@@ -43,6 +43,11 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t, i: F.concat(lead(t["role"], i == 0), t["text"])), "")
 
 
+def instruction_prompt(instruction: Column) -> Column:
+    """The prompt for a single instruction, stripped of outer white space. A fixed format, another one than that of conversations."""
+    return F.concat(F.lit("### Instruction:\n"), F.regexp_replace(instruction, r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", ""), F.lit("\n\n### Response:\n"))
+
+
 def whole_text_tokens(text: Column) -> Column:
     """Stand-in tokens: the length in code points of each run of letters, spaces or signs. Any array<int> expression will do instead."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\s?[^\s]+|\s"), F.lit(0)), lambda w: F.length(w))

@@ -29,8 +29,9 @@ def unwrap(text: Column) -> Column:
 
 
 def paragraphs(df: DataFrame, min_chars: int = 200, delimiter: str = r"\n\s*\n", column: str = "text") -> DataFrame:
-    """One row for each unwrapped paragraph of at least ``min_chars`` code points, in place of the text; keeps the other columns."""
-    rest = [c for c in df.columns if c != column]
+    """One row for each unwrapped paragraph of at least ``min_chars`` code points, in place of the text; keeps the
+    other columns, but for one named ord, whose place its number takes."""
+    rest = [c for c in df.columns if c not in (column, "ord")]
     out = df.select(*rest, F.posexplode(F.split(column, delimiter)).alias("ord", column)).withColumn(column, unwrap(F.col(column)))
     return out.where(F.length(column) >= min_chars)
 
@@ -62,7 +63,11 @@ def shuffle_select(df: DataFrame, key: str, n: int, seed: int = 1337) -> DataFra
 
 
 def exact_split(df: DataFrame, key: str, n_val: int, seed: int = 1337) -> DataFrame:
-    """``split``: exactly n_val validation rows of a seeded order (all, if there are fewer), the rest train."""
+    """``split``: exactly n_val validation rows of a seeded order (all, if there are fewer), the rest train.
+
+    Null keys come first in that order; rows with equal keys are told apart by their other columns. A column named
+    split is replaced."""
+    df = df.drop("split")
     out = shuffled_index(df, key, seed, name="_position")
     return out.withColumn("split", F.when(F.col("_position") < n_val, "validation").otherwise("train")).drop("_position")
 
@@ -73,32 +78,36 @@ def fraction_split(df: DataFrame, key: str, fraction: float = 0.02, seed: int =
 
 
 def combine(parts: dict[str, DataFrame], weights: dict[str, float], key: str, seed: int = 1337) -> DataFrame:
-    """One table of several sources, each a table with ``key``; adds ``source`` and ``output_order``.
+    """One table of several sources, each a table with ``key``; adds ``source`` and ``output_order``. See combine_by().
+
+    Columns of the sources that are named source or output_order are replaced."""
+    tables = [d.drop("output_order").withColumn("source", F.lit(n).cast("string")) for n, d in parts.items()]
+    return combine_by(reduce(DataFrame.unionByName, tables), {n: weights[n] for n in parts}, key, seed)
+
+
+def combine_by(df: DataFrame, weights: dict[str | None, float], key: str, seed: int = 1337) -> DataFrame:
+    """A table with a ``source`` for each row (one of the names in ``weights``, which may be null), mixed by weight.
 
     One source passes as it is, and equal weights give a plain union (output_order null). Otherwise sources are
     interleaved by probability until each is used up once: with p_i its share of the weights, the
     output has T = max(n_i / p_i) rows, round(T * p_i) of them from source i, whose rows come again in
-    the same order when they run out. Positions follow (k + jitter) / p_i, a digest's draw for the k-th row."""
-    tables = {n: d.withColumn("source", F.lit(n)) for n, d in parts.items()}
-    if len(set(weights.values())) <= 1 or len(parts) == 1:
-        return reduce(DataFrame.unionByName, tables.values()).withColumn("output_order", F.lit(None).cast("double"))
-    total = sum(weights.values())
-    share = {n: w / total for n, w in weights.items()}
-    sizes = {n: d.count() for n, d in tables.items()}
-    longest = max(sizes[n] / share[n] for n in parts)
-    out = []
-    for name, d in tables.items():
-        if not sizes[name]:
-            continue
-        rows, n, p = round(longest * share[name]), sizes[name], share[name]
-        indexed = shuffled_index(d, key, seed, name="_i")
-        # Row i is taken at k = i, i + n, i + 2n, ... below the source's number of output rows.
-        turns = F.sequence(F.lit(0), F.floor((F.lit(rows - 1) - F.col("_i")) / n).cast("int"))
-        indexed = indexed.where(F.col("_i") < rows).withColumn("_turn", F.explode(turns))
-        k = F.col("_i") + F.col("_turn") * n
-        jitter = digest(F.concat(F.lit(f"{name}:"), k.cast("string")), seed) / float(1 << 48)
-        out.append(indexed.withColumn("output_order", (k + jitter) / p).drop("_i", "_turn"))
-    return reduce(DataFrame.unionByName, out)
+    the same order when they run out. Positions follow (k + jitter) / p_i, a digest's draw for the k-th row.
+    The driver sees one count a source."""
+    df = df.drop("output_order")
+    if len(set(weights.values())) <= 1:
+        return df.withColumn("output_order", F.lit(None).cast("double"))
+    sizes = {r.source: r["count"] for r in df.groupBy("source").count().collect()}
+    share = {n: w / sum(weights.values()) for n, w in weights.items()}
+    longest = max((sizes[n] / share[n] for n in weights if n in sizes), default=0.0)
+    rows = [(n, round(longest * share[n]), sizes[n], share[n]) for n in weights if n in sizes]
+    plan = df.sparkSession.createDataFrame(rows, "_source string, _rows long, _n long, _p double")
+    # One row for each weight.
+    placed = shuffled_index(df, key, seed, ["source"], "_i").join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source"))).where(F.col("_i") < F.col("_rows"))
+    # Row i is taken at k = i, i + n, i + 2n, ... below the source's number of output rows.
+    placed = placed.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1 - F.col("_i")) / F.col("_n")))))
+    k = F.col("_i") + F.col("_turn") * F.col("_n")
+    jitter = digest(F.concat(F.coalesce("source", F.lit("None")), F.lit(":"), k.cast("string")), seed) / float(1 << 48)
+    return placed.withColumn("output_order", (k + jitter) / F.col("_p")).drop("_i", "_turn", "_source", "_rows", "_n", "_p")
 
 
 def row_shares(df: DataFrame) -> DataFrame:
@@ -115,20 +124,19 @@ DIALECT = [
 ]
 
 
+#: Each word and phrase as it is found, also with a capital, and what stands for it.
+DIALECT_FORMS = {a: b for word, other in DIALECT for a, b in ((word, other), (word.capitalize(), other[0].upper() + other[1:]))}
+_DIALECT = r"(?<![A-Za-z'])(?:" + "|".join(sorted(DIALECT_FORMS, key=lambda w: (-len(w), w))) + r")(?![A-Za-z'])"
+
+
 def dialect(text: Column) -> Column:
-    """Rewrite by the dictionary: whole words of ASCII letters, lower and capitalised forms, one pattern at a time."""
-    for word, other in sorted(DIALECT, key=lambda x: (-len(x[0]), x[0])):
-        for a, b in ((word, other), (word.capitalize(), other[0].upper() + other[1:])):
-            text = F.regexp_replace(text, f"(^|[^A-Za-z'])({a})($|[^A-Za-z'])", f"$1{b}$3")
-    return text
-
-
-def dialect_sql(column: str) -> str:
-    """The same rewrite as DuckDB SQL."""
-    for word, other in sorted(DIALECT, key=lambda x: (-len(x[0]), x[0])):
-        for a, b in ((word, other), (word.capitalize(), other[0].upper() + other[1:])):
-            column = "regexp_replace({}, '(^|[^A-Za-z''])({})($|[^A-Za-z''])', '\\1{}\\3', 'g')".format(column, a, b.replace("'", "''"))
-    return column
+    """Rewrite by the dictionary in one pass: whole words of ASCII letters and apostrophes, a phrase before its words.
+
+    The letters around a word aren't part of the match, so of equal neighbours each is rewritten; what was
+    rewritten isn't read again. Null stays null."""
+    table = F.create_map(*[F.lit(x) for pair in DIALECT_FORMS.items() for x in pair])
+    found = F.regexp_extract_all(text, F.lit(_DIALECT), F.lit(0))
+    return F.array_join(F.zip_with(F.split(text, _DIALECT, -1), found, lambda gap, word: F.concat(gap, F.coalesce(table[word], F.lit("")))), "")
 
 
 def peek(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -15,6 +15,11 @@ def perplexity(df: DataFrame, loss: str, tokens: str, by: tuple[str, ...] = ())
     return df.groupBy(*by).agg(n.alias("n_tokens"), mean.alias("loss"), F.exp(mean).alias("perplexity"))
 
 
+def mean_loss(df: DataFrame, loss: str, by: tuple[str, ...] = ("split",)) -> DataFrame:
+    """by, n (batches) and loss, the mean over batches whatever their tokens."""
+    return df.groupBy(*by).agg(F.count(loss).alias("n"), F.avg(loss).alias("loss"))
+
+
 def learning_rate(step: Column, peak: float, floor: float, warmup: int, decay: int) -> Column:
     """Linear warm-up, then a cosine down to the floor."""
     ratio = (step - warmup) / float(max(1, decay - warmup))
