@@ -52,6 +52,42 @@ def test_combine(spark):
     assert {r.key for r in mixed} == {*range(10), *range(100, 105)}
 
 
+def test_exact_split_of_null_and_equal_keys(spark):
+    rows = [(None, "a"), (None, "b"), (1, "x"), (1, "y"), (1, "y"), (2, "z")]
+    df = spark.createDataFrame(rows, "key long, text string")
+    for n in range(8):
+        one, two = (sorted(map(repr, corpus.exact_split(d, "key", n).collect())) for d in (df, df.repartition(5)))
+        assert one == two and sum("validation" in r for r in one) == min(n, 6)
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a" * 30, 7, "old", 5, [9])], "key long, text string, ord int, source string, output_order int, ids array<int>")
+    assert corpus.paragraphs(df, 10).first().ord == 0
+    both = corpus.combine({"a": df, "b": df}, {"a": 1.0, "b": 3.0}, "key").collect()
+    assert {r.source for r in both} == {"a", "b"} and all(isinstance(r.output_order, float) for r in both)
+    assert tokens.encode(df, tokens.train(df, 258)).first().ids[-1] == 0
+    clash = log(spark, ROWS).selectExpr("*", "1 AS position", "2 AS draw", "3 AS replicate")
+    assert sorted({r.replicate for r in arena.resamples(clash, 2).collect()}) == [0, 1]
+
+
+def reference_dialect(text):
+    import re
+
+    forms = {}
+    for word, other in corpus.DIALECT:
+        forms |= {word: other, word.capitalize(): other[0].upper() + other[1:]}
+    pattern = "|".join(sorted(map(re.escape, forms), key=len, reverse=True))
+    return re.sub(rf"(?<![A-Za-z'])({pattern})(?![A-Za-z'])", lambda m: forms[m[1]], text)
+
+
+def test_dialect_of_neighbours(spark):
+    texts = ["the the sea and and", "My friend, my friend friends my my friend", "'the the' the's theirs", "", "the\nthe\tThe", "é the é you,you;you"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", corpus.dialect(F.col("t")).alias("d")).collect()}
+    assert got == {i: reference_dialect(t) for i, t in enumerate(texts)} | {9: None}
+    assert got[0] == "th' th' briny deep an' an'"
+
+
 def test_dialect(spark):
     assert one(spark, corpus.dialect(F.lit("Hello my friend, you and the sea. Theirs"))) == "Ahoy me hearty, ye an' th' briny deep. Theirs"
 
@@ -63,6 +99,14 @@ def test_ordered_index_and_running_total(spark):
     assert order.ordered_index(df.limit(0), "k").count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 2, 7, 512, 3000])
+def test_range_cells(spark, cells):
+    df = spark.range(2000).select(((F.col("id") * 37) % 1009 - 500).alias("k"))
+    cell = order.range_cell(df, "k", least=cells)
+    rows = sorted((r.k, r.c) for r in df.select("k", cell.alias("c")).collect())
+    assert [c for _, c in rows] == sorted(c for _, c in rows) and len({c for _, c in rows}) > min(cells, 900) / 2
+
+
 # --- chat
 
 
@@ -126,6 +170,10 @@ def test_prompt_window(spark, block):
     assert [r.w for r in df.select(chat.prompt_window(F.col("turns"), letters, 0, block, 8).alias("w")).collect()] == [reference_window(c, block - 8, 0) for c in convs]
 
 
+def test_instruction_prompt(spark):
+    assert one(spark, chat.instruction_prompt(F.lit(" \tdo it\n"))) == "### Instruction:\ndo it\n\n### Response:\n"
+
+
 def test_instructions(spark):
     df = spark.createDataFrame([(1, " do it ", None, "done"), (2, "with", " ctx\t", "ok"), (3, " ", "x", "y"), (4, "a", "b", None)], "conv_id long, instruction string, context string, response string")
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.instructions(df).collect()}
@@ -184,6 +232,84 @@ def test_versions(spark):
     assert arena.of_version(m, {"j": "v1"}).count() == 4 and arena.of_version(m, None).count() == 5
 
 
+def test_leaderboard_lists_rated_models_in_the_order_of_their_rating_and_first_match(spark):
+    rows = [("z", "y", "j", "", "tie"), ("b", "a", "j", "", "tie"), ("q", "r", "j", "", "nobody"), ("a", "q", "j", "", "nobody")]
+    board = arena.leaderboard(log(spark, rows).repartition(3), n_boot=0).collect()
+    assert [(r.model, r.rating, r.games) for r in board] == [("z", 1500.0, 1), ("y", 1500.0, 1), ("b", 1500.0, 1), ("a", 1500.0, 2)]
+    assert arena.leaderboard(log(spark, rows[2:]), n_boot=3).collect() == []
+
+
+def test_replay_by_groups_and_batches(spark):
+    rows = [(g, i, f"m{(i * 7 + g) % 5}", f"m{(i * 3 + g) % 5 + 5}", ("tie", f"m{(i * 7 + g) % 5}", f"m{(i * 3 + g) % 5 + 5}")[i % 3]) for g in range(3) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "g long, seq long, model_a string, model_b string, winner string").repartition(7)
+    got = {(r.g, r.model): r.rating for r in arena.ratings(df, ("g",)).collect()}
+    want = {(g, m): x for g in range(3) for m, x in replay([(a, b, "", "", w) for h, _, a, b, w in rows if h == g]).items()}
+    assert got == pytest.approx(want)
+
+
+def test_published_head_to_head(spark):
+    rows = [x for _ in range(45) for x in (("s3", "s8", "j", "", "tie"), ("gpt", "s3", "j", "", "gpt"), ("s8", "s3", "j", "", "tie"))] + [("gpt", "s8", "j", "", "nobody")]
+    got = arena.matrix(log(spark, rows)).orderBy("row_model")
+    assert got.columns == ["row_model", "gpt", "s3", "s8"]
+    assert [tuple(r) for r in got.collect()] == [("gpt", "-", "45-0-0/45", "0-0-1/1"), ("s3", "0-45-0/45", "-", "0-0-90/90"), ("s8", "0-0-1/1", "0-0-90/90", "-")]
+
+
+def test_slot_counts(spark):
+    r = arena.slot_counts(log(spark, ROWS)).first()
+    assert (r.a_wins, r.b_wins, r.ties, r.games) == (3, 0, 1, 5)
+
+
+def test_key_values():
+    assert arena.key_values(["a=1", "b=x=y", "c="]) == {"a": "1", "b": "x=y", "c": ""}
+    with pytest.raises(ValueError):
+        arena.key_values(["a"])
+
+
+def test_players_and_judges_in_python(spark):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = body["messages"][-1]["content"]
+            answer = json.dumps({"winner": "A", "reason": body["model"]}) if "Response A:" in said else said.upper()
+            data = json.dumps({"choices": [{"message": {"content": answer}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/chat"
+    play, judge = arena.from_texts(arena.remote(url, "m")), arena.from_verdicts(arena.remote(url, "j"))
+    df = spark.createDataFrame([("hi",), ("yo",)], "p string").select("p", play(F.col("p")).alias("r"))
+    rows = df.select("p", "r", judge(F.col("p"), F.col("r"), F.col("p")).alias("v")).collect()
+    server.shutdown()
+    assert [(r.p, r.r, tuple(r.v)) for r in rows] == [("hi", "HI", ("A", "j")), ("yo", "YO", ("A", "j"))]
+    assert arena.judge_prompt("p", "a", "b", "R") == "R\n---\nPrompt:\np\n\n---\nResponse A:\na\n\n---\nResponse B:\nb\n"
+
+
+def test_forced_repeats(spark):
+    # The weakest has met all; it takes the nearest, though the others haven't met.
+    played = {frozenset("ab"), frozenset("ac"), frozenset("ad")}
+    assert arena.pair_up("abcd", {"a": 1, "b": 2, "c": 3, "d": 4}, played) == [("a", "b"), ("c", "d")]
+    assert frozenset("cd") in played
+
+
+def test_tournament_goes_on_after_a_log(spark):
+    reg = arena.Registry()
+    for n in "ab":
+        reg.player(n, arena.echo)
+    reg.judge("coin", arena.coin(1))
+    rows = arena.tournament(spark, reg, ["one"], rounds=2, log=log(spark, ROWS)).collect()
+    assert [r.seq for r in rows] == [5]
+
+
 def test_leaderboard_without_bootstrap(spark):
     rows = arena.leaderboard(log(spark, ROWS), n_boot=0).collect()
     assert all(r.ci_low == r.rating == r.ci_high for r in rows) and [r.rating for r in rows] == sorted((r.rating for r in rows), reverse=True)
@@ -253,6 +379,11 @@ def test_perplexity(spark):
     assert r.perplexity == pytest.approx(math.exp(1.25))
 
 
+def test_mean_loss(spark):
+    rows = spark.createDataFrame([("train", 1.0), ("train", 2.0), ("val", 4.0), ("val", None)], "split string, loss double")
+    assert {r.split: (r.n, r.loss) for r in metrics.mean_loss(rows, "loss").collect()} == {"train": (2, 1.5), "val": (1, 4.0)}
+
+
 # --- tokens
 
 
@@ -282,6 +413,20 @@ def test_merges_and_ids_match_the_library(spark, small, tmp_path):
         tokens.check_vocabulary({"vocab": {}})
 
 
+@pytest.mark.parametrize("size", [262, 300, 900])
+def test_merges_of_runs_match_the_library(spark, sf, size):
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    texts = ["aaaaaaa aaa aa a", "abababab babab", "aabaabaab aab", "xyxyxxyy" * 3, "ééé é", "=====", "1111 111 11"] * 3
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
+    lib = Tokenizer(models.BPE())
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    lib.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=size, special_tokens=["<|endoftext|>"], initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
+    own = tokens.train(spark.createDataFrame([(t,) for t in texts], "text string"), size)
+    assert own["vocab"] == lib.get_vocab() and own["merges"] == [list(m) for m in json.loads(lib.to_str())["model"]["merges"]]
+    assert tokens.train(spark.createDataFrame([], "text string"), 300)["merges"] == []
+
+
 def test_rare_words_count_as_well(spark):
     # More distinct words than the cap that train once had, and a rare one that holds the most frequent pair.
     often = spark.range(2_000_001).select(F.repeat(F.concat(F.lit(" "), F.col("id").cast("string")), 2).alias("text"))
@@ -332,19 +477,92 @@ def test_registry_and_build(spark, tmp_path, small):
         registry.read_recipe(spark, str(tmp_path / "none.json"))
 
 
-def test_shards():
-    assert registry.shards_for(1, 1000, 10) == [0]
-    assert registry.shards_for(1000, 1000, 10) == list(range(10))
-    some = registry.shards_for(300, 1000, 100)
-    assert some == sorted(set(some)) and some[0] == 0 and some[-1] == 99 and 30 <= len(some) <= 40
+def test_shards(spark, tmp_path):
+    assert registry.shards_for(1, 116_000, 43) == [0, 21, 42]
+    assert registry.shards_for(5_000_000, 116_000, 43) == list(range(43))
+    for n in range(0, 5_000_000, 70_001):
+        k = math.ceil(n / 116_000) + 2
+        assert registry.shards_for(n, 116_000, 43) == (list(range(43)) if k >= 43 else sorted({round(i * 42 / (k - 1)) for i in range(k)}))
+    for i in range(10):
+        spark.range(i * 100, i * 100 + 100).selectExpr("id", "'x' AS text").coalesce(1).write.parquet(f"{tmp_path}/raw/{i}")
+    import shutil
+    from pathlib import Path
+
+    (tmp_path / "all" / "en").mkdir(parents=True)
+    for i in range(10):
+        shutil.copy(next(Path(f"{tmp_path}/raw/{i}").glob("*.parquet")), f"{tmp_path}/all/en/train-{i:05d}.parquet")
+    got = {r.id // 100 for r in registry.shard_scan(spark, f"{tmp_path}/all/en", 150, 100, columns=("id",)).collect()}
+    assert got == {0, 3, 6, 9}
+    assert registry.named_config(f"{tmp_path}/all", "en", "train")(spark).columns == ["text"]
+    assert registry.named_config(f"{tmp_path}/all", "en", "train-00003", ("id",))(spark).count() == 100
 
 
 def test_token_file(spark, tmp_path):
     ids = [1, 2, 65535, 0, 513]
-    row = sinks.token_bytes(spark.createDataFrame([(ids,)], "ids array<int>")).first()
-    (tmp_path / "t.bin").write_bytes(row.bytes)
+    row = sinks.token_bytes(spark.createDataFrame([(ids,), (None,), ([],)], "ids array<int>")).collect()
+    (tmp_path / "t.bin").write_bytes(row[0].bytes)
+    assert row[1].bytes is None and row[2].bytes == b""
     back = text.token_file(spark, str(tmp_path / "t.bin"), 2).orderBy("block").collect()
-    assert [x for r in back for x in r.ids] == ids
+    assert [x for r in back for x in r.ids] == ids and [len(r.ids) for r in back] == [2, 2, 1]
+    with pytest.raises(Exception, match="65535"):
+        sinks.token_bytes(spark.createDataFrame([([65536],)], "ids array<int>")).collect()
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError):
+        text.token_file(spark, str(tmp_path / "odd.bin"))
+
+
+@pytest.mark.parametrize("file_ids", [1 << 30, 5000])
+def test_token_files(spark, tmp_path, file_ids):
+    rows = [(i, [(i * 7 + j) % 65536 for j in range(i % 50)]) for i in range(1000)]
+    flat = [x for _, ids in rows for x in ids]
+    df = spark.createDataFrame(rows, "key long, ids array<int>").repartition(6)
+    written = sinks.token_files(df, "key", str(tmp_path / "out"), file_ids=file_ids)
+    assert sum(n for _, n in written) == len(flat) and (len(written) == 1) == (file_ids > len(flat))
+    import numpy as np
+
+    assert np.concatenate([np.fromfile(f, "<u2") for f, _ in written]).tolist() == flat
+    back = text.token_file(spark, str(tmp_path / "out"), 64, task_bytes=1000).orderBy("file", "block").collect()
+    assert [x for r in back for x in r.ids] == flat
+    windows = tokens.windows(spark.createDataFrame([(i, r.ids) for i, r in enumerate(back)], "key long, ids array<int>"), "key", 16, 20).collect()
+    assert all(r.x == flat[r.start : r.start + 16] for r in windows)
+
+
+def test_lines_are_numbered_over_files_and_blocks(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" + ("\n" if i % 3 else "") for i in range(500)))
+    want = [x for name in "ab" for x in (tmp_path / f"{name}.txt").read_text().splitlines()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = sorted((r.seq, r.value) for r in text.lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(want))
+
+
+def test_appended_logs_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for rows in (ROWS[:2], ROWS[2:3], ROWS[3:]):
+        sinks.append_log(log(spark, rows).repartition(3), path)
+    got = text.matches(spark, path)
+    assert sorted((r.seq, r.model_a, r.winner) for r in got.collect()) == [(i, r[0], r[4]) for i, r in enumerate(ROWS)]
+    assert {r.model: r.rating for r in arena.ratings(got).collect()} == pytest.approx(replay(ROWS))
+
+
+def test_small_files(spark, tmp_path):
+    path = sinks.metrics_row(spark, str(tmp_path), "2025-01-02", "m", {"perplexity": {"loss": 1.5}, "n": 2})
+    assert path.endswith("/2025-01-02/m/metrics.json") and json.loads((tmp_path / "2025-01-02/m/metrics.json").read_text()) == {"perplexity": {"loss": 1.5}, "n": 2}
+    samples = spark.createDataFrame([(1, "a", "x", 3, 4)], "seq long, prompt string, completion string, n_in long, n_out long")
+    sinks.write_gallery(samples, "T", str(tmp_path / "g.md"))
+    assert (tmp_path / "g.md").read_text().startswith("# T\n\n## a\n\nx")
+
+
+def test_shared_folders(spark):
+    from tidewright import storage
+
+    folder = storage.shared_folder(spark)
+    storage.put_text(spark, f"{folder}/x", "é")
+    assert storage.exists(spark, f"{folder}/x") and [n for _, n in storage.files(spark, folder)] == [2]
 
 
 def test_sinks(spark, tmp_path):
@@ -396,7 +614,9 @@ def test_calibrate_and_export(spark, tmp_path):
     assert (row.n, row.agree, row.miss_rate) == (1, 1, 0.0)
     paths = arena.export_all(log(spark, ROWS), str(tmp_path), n_boot=2)
     assert spark.read.option("header", True).csv(paths["matches"]).count() == 5
-    assert spark.read.option("header", True).csv(paths["head_to_head"]).columns == ["model", "a", "b", "c"]
+    assert spark.read.option("header", True).csv(paths["head_to_head"]).columns == ["row_model", "a", "b", "c"]
+    out = arena.export_calibration(arena.calibrate(prompts, reg), str(tmp_path / "cal"))
+    assert spark.read.json(out["json"]).first().agree == 1 and spark.read.option("header", True).csv(out["csv"]).columns[-1] == "miss_rate"
 
 
 def test_books_and_peek(spark, tmp_path):

@@ -48,7 +48,8 @@ def test_queries_take_the_operators_defaults(spark, sf, monkeypatch):
     resamples = arena.resamples
     monkeypatch.setattr(arena, "resamples", lambda matches, n, *more: seen.append(n) or resamples(matches, n, *more))
     QUERIES["leaderboard"](spark, sf)
-    assert seen == [200]
+    QUERIES["bootstrap_ci"](spark, sf)
+    assert seen == [200, 200]
     got = [(r.left, r.right) for r in QUERIES["bpe_merges"](spark, sf).orderBy("rank").collect()]
     own = tokens.train(spark.read.parquet(f"{sf}/documents.parquet"), 8192)
     assert len(got) > 255 and got == [tuple(m) for m in own["merges"]]
@@ -62,12 +63,12 @@ def test_combining_all_sources(spark, sf, tmp_path):
     few = [(r.doc_id, r.text, None if r.source == "src3" else r.source) for r in docs if r.source in ("src0", "src3", "src4", "src7")]
     spark.createDataFrame(few, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     parts = {s: sorted((i for i, _, x in few if x == s), key=lambda i: (draw(i), i)) for s in ("src0", "src4", "src7", None)}
-    got = {r.source: (r.n, r.chars) for r in QUERIES["combine_concat_all"](spark, str(tmp_path)).collect()}
+    got = {r.source: (r.n, r.chars) for r in QUERIES["combine_concat"](spark, str(tmp_path)).collect()}
     assert got == {s: (len(ids), sum(len(t) for _, t, x in few if x == s)) for s, ids in parts.items()}
     share = dict(zip(parts, (3 / 8, 1 / 8, 1 / 8, 3 / 8), strict=True))
     longest = max(len(ids) / share[s] for s, ids in parts.items())
     want = [(ids[k % len(ids)], s, (k + draw(f"{s}:{k}") / 2**48) / share[s]) for s, ids in parts.items() for k in range(round(longest * share[s]))]
-    rows = sorted(((r.doc_id, r.source, r.output_order) for r in QUERIES["combine_interleave_all"](spark, str(tmp_path)).collect()), key=lambda r: r[2])
+    rows = sorted(((r.doc_id, r.source, r.output_order) for r in QUERIES["combine_interleave"](spark, str(tmp_path)).collect()), key=lambda r: r[2])
     want.sort(key=lambda r: r[2])
     assert [r[:2] for r in rows] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(rows, want, strict=True))
 

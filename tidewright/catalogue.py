@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import arena, chat, corpus, numbers, tokenizer  # noqa: F401  (each registers its queries)
+from .plans import arena, chat, corpus, numbers, sources, tokenizer  # noqa: F401  (each registers its queries)
 from .plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

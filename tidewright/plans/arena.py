@@ -38,15 +38,21 @@ def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The driver's events have these five types.
 _TYPES = ("click", "error", "purchase", "signup", "view")
-_CELLS = ", ".join(f"coalesce(max(cell) FILTER (other = '{t}'), '0-0-0') AS {t}" for t in _TYPES)
+_CELLS = ", ".join(f"CASE row_model WHEN '{t}' THEN '-' ELSE max(CASE other WHEN '{t}' THEN printf('%d-%d-%d/%d', w, l, t, w + l + t) ELSE '0-0-0/0' END) END AS {t}" for t in _TYPES)
 
 
-@query(f"""WITH {_LOG}, h AS (SELECT model, other, count(*) FILTER (result = 'win') || '-' || count(*) FILTER (result = 'loss') || '-' || count(*) FILTER (result = 'draw') AS cell FROM s GROUP BY model, other)
-    SELECT model, {_CELLS} FROM h GROUP BY model""")
+@query(f"""WITH {_LOG}, g AS (SELECT model AS row_model, other, coalesce(result, 'draw') AS result FROM s),
+    h AS (SELECT row_model, other, count(*) FILTER (result = 'win') AS w, count(*) FILTER (result = 'loss') AS l, count(*) FILTER (result = 'draw') AS t FROM g GROUP BY ALL)
+    SELECT row_model, {_CELLS} FROM h GROUP BY row_model""")
 def head_to_head_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.matrix(_log(spark, sf_dir))
 
 
+@query(f"WITH {_LOG} SELECT judge, sum((winner = model_a)::INT)::BIGINT AS a_wins, sum((winner = model_b)::INT)::BIGINT AS b_wins, sum((winner = 'tie')::INT)::BIGINT AS ties, count(*) AS games FROM m GROUP BY judge")
+def slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arena.slot_counts(_log(spark, sf_dir), ("judge",))
+
+
 @query(f"WITH {_LOG} SELECT judge, string_agg(DISTINCT judge_version, ',' ORDER BY judge_version) AS versions, count(DISTINCT judge_version) > 1 AS mixed FROM m GROUP BY judge")
 def judge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.judge_versions(_log(spark, sf_dir)).withColumn("versions", F.array_join("versions", ","))
@@ -57,41 +63,35 @@ def version_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.of_version(_log(spark, sf_dir), {"judge1": "v1"}).groupBy("judge", "judge_version").agg(F.count("*").alias("n"))
 
 
-def _replay(draws: str) -> str:
-    """Recursive SQL that replays draws(g, i, a, b, s), players being places in a list of names (p), from 1500 each."""
-    return f"""
-    p AS (SELECT list(DISTINCT model ORDER BY model) AS names FROM s),
-    d AS ({draws}),
-    e(g, i, r) AS (SELECT g, 0::BIGINT, list_transform((SELECT names FROM p), lambda x: 1500.0::DOUBLE) FROM (SELECT DISTINCT g FROM d)
-      UNION ALL SELECT e.g, d.i, list_transform(e.r, lambda x, j: CASE
-        WHEN j = d.a THEN x + 8.0 * (d.s - 1 / (1 + pow(10.0, (e.r[d.b] - e.r[d.a]) / 400)))
-        WHEN j = d.b THEN x - 8.0 * (d.s - 1 / (1 + pow(10.0, (e.r[d.b] - e.r[d.a]) / 400))) ELSE x END)
-      FROM e JOIN d ON d.g = e.g AND d.i = e.i + 1),
-    f AS (SELECT g, unnest((SELECT names FROM p)) AS model, unnest(r) AS rating FROM e WHERE i = (SELECT max(i) FROM d))"""
-
+# Ratings by places in the list of names, 1500 each, moved by one match [place of a, place of b, score] after the other.
+_FOLD = """list_reduce(list([a, b, s]::DOUBLE[] ORDER BY i), lambda r, m: list_transform(r, lambda x, j: CASE
+        WHEN j = m[1] THEN x + 8.0::DOUBLE * (m[3] - 1 / (1 + pow(10.0::DOUBLE, (r[m[2]::INT] - r[m[1]::INT]) / 400)))
+        WHEN j = m[2] THEN x - 8.0::DOUBLE * (m[3] - 1 / (1 + pow(10.0::DOUBLE, (r[m[2]::INT] - r[m[1]::INT]) / 400))) ELSE x END),
+        list_transform((SELECT names FROM p), lambda x: 1500.0::DOUBLE))"""
+_NAMES = "p AS (SELECT list(DISTINCT model ORDER BY model) AS names FROM s)"
+_SCORED = f"""{_NAMES}, o AS (SELECT seq, list_position((SELECT names FROM p), model_a) AS a, list_position((SELECT names FROM p), model_b) AS b,
+    CASE winner WHEN model_a THEN 1.0 WHEN model_b THEN 0.0 ELSE 0.5 END::DOUBLE AS s, row_number() OVER (ORDER BY seq) - 1 AS k FROM m)"""
+_POINT = f"{_SCORED}, f AS (SELECT unnest((SELECT names FROM p)) AS model, unnest((SELECT {_FOLD} FROM (SELECT *, seq AS i FROM o))) AS rating)"
+_BOOT = f"""{_SCORED}, d AS (SELECT g, t, {H.format(seed=0, key="(g || ':' || t)")} % (SELECT count(*) FROM m) AS k FROM range(200) x(g), range((SELECT count(*) FROM m)) y(t)),
+    z AS (SELECT g, {_FOLD} AS r, list_distinct(list(a) || list(b)) AS seen FROM (SELECT g, t AS i, a, b, s FROM d JOIN o USING (k)) GROUP BY g),
+    c AS (SELECT model, round(quantile_cont(rating, 0.025), 1) AS ci_low, round(quantile_cont(rating, 0.975), 1) AS ci_high
+          FROM (SELECT unnest((SELECT names FROM p)) AS model, unnest(r) AS rating, unnest(range(1, len(r) + 1)) AS j, seen FROM z) WHERE list_contains(seen, j) GROUP BY model)"""
 
-_SCORE = "CASE winner WHEN model_a THEN 1.0 WHEN model_b THEN 0.0 ELSE 0.5 END::DOUBLE"
-_ONE = f"SELECT 0 AS g, row_number() OVER (ORDER BY seq) AS i, list_position((SELECT names FROM p), model_a) AS a, list_position((SELECT names FROM p), model_b) AS b, {_SCORE} AS s FROM m"
 
-
-@query(f"WITH RECURSIVE {_LOG}, {_replay(_ONE)} SELECT model, round(rating, 1) AS rating FROM f")
+@query(f"WITH {_LOG}, {_POINT} SELECT model, round(rating, 1) AS rating FROM f")
 def elo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.ratings(_log(spark, sf_dir)).select("model", F.round("rating", 1).alias("rating"))
 
 
-_BOOT = f"""SELECT g, t + 1 AS i, list_position((SELECT names FROM p), model_a) AS a, list_position((SELECT names FROM p), model_b) AS b, {_SCORE} AS s
-    FROM (SELECT g, t, {H.format(seed=0, key="(g || ':' || t)")} % (SELECT count(*) FROM m) AS k FROM range(20) x(g), range((SELECT count(*) FROM m)) y(t)) q
-    JOIN (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM m) w USING (k)"""
-
-
-@query(f"""WITH RECURSIVE {_LOG}, {_replay(_BOOT)}
-    SELECT model, round(quantile_cont(rating, 0.025), 1) AS ci_low, round(quantile_cont(rating, 0.975), 1) AS ci_high FROM f GROUP BY model""")
+@query(f"WITH {_LOG}, {_BOOT} SELECT * FROM c")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boot = arena.ratings(arena.resamples(_log(spark, sf_dir), 20), ("replicate",))
+    boot = arena.ratings(arena.resamples(_log(spark, sf_dir), 200), ("replicate",))
     return boot.groupBy("model").agg(F.round(F.percentile("rating", F.lit(0.025)), 1).alias("ci_low"), F.round(F.percentile("rating", F.lit(0.975)), 1).alias("ci_high"))
 
 
-@query()
+@query(f"""WITH {_LOG}, {_BOOT}, f AS (SELECT unnest((SELECT names FROM p)) AS model, unnest((SELECT {_FOLD} FROM (SELECT *, seq AS i FROM o))) AS rating)
+    SELECT model, round(rating, 1) AS rating, ci_low, ci_high, wins, losses, draws, games FROM f JOIN c USING (model) JOIN
+    (SELECT model, count(*) FILTER (result = 'win') AS wins, count(*) FILTER (result = 'loss') AS losses, count(*) FILTER (result = 'draw') AS draws, count(*) AS games FROM s GROUP BY model) USING (model)""")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.leaderboard(_log(spark, sf_dir))
 
@@ -146,3 +146,24 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = arena.sides(_log(spark, sf_dir)).select("model").distinct()
     return names.select(F.col("model").alias("model_a")).join(names.select(F.col("model").alias("model_b")), F.col("model_a") < F.col("model_b"))
+
+
+@query("""WITH n AS (SELECT list(model ORDER BY r, h) AS v FROM (SELECT DISTINCT event_type AS model, 1500 AS r, md5('3:' || event_type) AS h FROM events))
+    SELECT 0 AS turn, v[1] AS model_a, v[2] AS model_b FROM n UNION ALL SELECT 0, v[3], v[4] FROM n""")
+def swiss_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first round of the event types, none of which is rated yet."""
+    names = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
+    return spark.createDataFrame([(0, a, b) for a, b in arena.pair_up(names, {}, set(), 3)], "turn int, model_a string, model_b string")
+
+
+@query()
+def tournament_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swiss rounds of three players and two judges, with each type of event as a prompt, after the derived log."""
+    registry = arena.Registry()
+    registry.player("echo", arena.echo)
+    registry.player("upper", F.upper)
+    registry.player("reverse", arena.from_texts(lambda texts: [(t or "")[::-1] for t in texts]))
+    registry.judge("coin", arena.coin(3), "v1")
+    registry.judge("model", arena.from_verdicts(lambda texts: ['{"winner": "%s", "reason": "length"}' % "AB"[len(t) % 2] for t in texts]), "v1")
+    prompts = sorted(r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
+    return arena.tournament(spark, registry, prompts, log=_log(spark, sf_dir))

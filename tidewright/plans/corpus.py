@@ -52,47 +52,28 @@ def shuffle_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.shuffle_select(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-def _parts(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
-    return {n: docs.where(F.col("source") == n).select("doc_id", "text") for n in names}
+def _mixed(spark: SparkSession, sf_dir: str, weights: tuple[float, ...]) -> DataFrame:
+    """All sources of documents by weights that repeat in the order of their names, a null one last; a row for each comes to the driver."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    names = sorted((r.source for r in docs.select("source").distinct().collect()), key=lambda n: (n is None, n or ""))
+    return corpus.combine_by(docs, {n: weights[i % len(weights)] for i, n in enumerate(names)}, "doc_id")
 
 
-@query("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
+@query("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
 def combine_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _parts(spark, sf_dir, ("src0", "src1", "src2"))
-    return corpus.combine(parts, dict.fromkeys(parts, 1.0), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return _mixed(spark, sf_dir, (1.0,)).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
 @query(f"""
-    WITH w AS (SELECT * FROM (VALUES ('src0', 3.0::DOUBLE), ('src1', 1.0::DOUBLE), ('src2', 1.0::DOUBLE)) t(source, weight)),
-    n AS (SELECT source, weight / (SELECT sum(weight) FROM w) AS p, count(*) AS n FROM documents JOIN w USING (source) GROUP BY source, weight),
+    WITH w AS (SELECT source, n, [3.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+    n AS (SELECT source, weight / (SELECT sum(weight) FROM w) AS p, n FROM w),
     t AS (SELECT source, p, n, round_even((SELECT max(n / p) FROM n) * p, 0)::BIGINT AS total FROM n),
     i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {H_DOC}, doc_id) - 1 AS i FROM documents),
-    o AS (SELECT i.doc_id, i.source, k, p FROM t, unnest(range(total)) u(k), i WHERE i.source = t.source AND i.i = k % n)
-    SELECT doc_id, source, round((k + {H.format(seed=1337, key="(source || ':' || k)")} / 281474976710656.0::DOUBLE) / p, 6) AS output_order FROM o""")
+    o AS (SELECT i.doc_id, i.source, k, p FROM (SELECT *, unnest(range(total)) AS k FROM t) t JOIN i ON i.source IS NOT DISTINCT FROM t.source AND i.i = k % n)
+    SELECT doc_id, source, round((k + {H.format(seed=1337, key="(coalesce(source, 'None') || ':' || k)")} / 281474976710656.0::DOUBLE) / p, 6) AS output_order FROM o""")
 def combine_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = corpus.combine(_parts(spark, sf_dir, ("src0", "src1", "src2")), {"src0": 3.0, "src1": 1.0, "src2": 1.0}, "doc_id")
-    return out.select("doc_id", "source", F.round("output_order", 6).alias("output_order"))
-
-
-def _every_part(spark: SparkSession, sf_dir: str) -> dict[str | None, DataFrame]:
-    """All sources of documents, a null one last; one row for each comes to the driver."""
-    docs = table(spark, sf_dir, "documents")
-    names = sorted((r.source for r in docs.select("source").distinct().collect()), key=lambda n: (n is None, n or ""))
-    return {n: docs.where(F.col("source").eqNullSafe(F.lit(n))).select("doc_id", "text") for n in names}
-
-
-@query()
-def combine_concat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _every_part(spark, sf_dir)
-    return corpus.combine(parts, dict.fromkeys(parts, 1.0), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
-
-
-@query()
-def combine_interleave_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of 3, 1 and 1 in turn, in the order of the sources' names."""
-    parts = _every_part(spark, sf_dir)
-    out = corpus.combine(parts, {n: (3.0, 1.0, 1.0)[i % 3] for i, n in enumerate(parts)}, "doc_id")
+    out = _mixed(spark, sf_dir, (3.0, 1.0, 1.0))
     return out.select("doc_id", "source", F.round("output_order", 6).alias("output_order"))
 
 
@@ -109,21 +90,29 @@ def recipe_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.row_shares(docs).join(totals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
-@query(f"SELECT doc_id, {corpus.dialect_sql('text')} AS text FROM documents")
-def dialect_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", corpus.dialect(F.col("text")).alias("text"))
+def dialect_sql(text: str) -> str:
+    """The dialect as DuckDB SQL: a text is cut into words and what stands between them, and each piece is looked at with its neighbours."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in corpus.DIALECT_FORMS.items() if " " not in a)
+    (small, small_to), (large, large_to) = sorted(((a, b) for a, b in corpus.DIALECT_FORMS.items() if " " in a), reverse=True)
+    (one, two), (capital, _) = small.split(" "), large.split(" ")
+    firsts = f"({quoted(one)}, {quoted(capital)})"
+    piece = f"""CASE WHEN x = {quoted(one)} AND t[i + 1] = ' ' AND t[i + 2] = {quoted(two)} THEN {quoted(small_to)}
+        WHEN x = {quoted(capital)} AND t[i + 1] = ' ' AND t[i + 2] = {quoted(two)} THEN {quoted(large_to)}
+        WHEN x = ' ' AND i > 1 AND t[i - 1] IN {firsts} AND t[i + 1] = {quoted(two)} THEN ''
+        WHEN x = {quoted(two)} AND i > 2 AND t[i - 1] = ' ' AND t[i - 2] IN {firsts} THEN ''
+        ELSE coalesce(MAP {{{words}}}[x], x) END"""
+    pieces = f"regexp_extract_all({text}, '[A-Za-z'']+|[^A-Za-z'']+')"
+    return f"list_transform([{pieces}], lambda t: array_to_string(list_transform(t, lambda x, i: {piece}), ''))[1]"
 
 
-@query("SELECT source, count(*) AS n, sha256(min(text)) AS first_sha FROM documents GROUP BY source")
-def materialized_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column pruning and a count by source over the cached table."""
-    docs = corpus.prune(table(spark, sf_dir, "documents"), ("source", "text"))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.min("text"), 256).alias("first_sha"))
+#: Texts with equal neighbours, phrases and apostrophes beside the documents.
+_HARD = [(-1, "the the sea and and"), (-2, "My friend, my friend's friend my my friend friends"), (-3, "The 'the the' theirs\nyou You YOU to-to to.to"), (-4, ""), (-5, "é the é")]
+_HARD_SQL = " UNION ALL ".join("SELECT {}, '{}'".format(i, t.replace("'", "''")) for i, t in _HARD)
 
 
-@query("SELECT to_json({'name': 'documents', 'rows': map_from_entries(list({'k': split, 'v': n} ORDER BY split))}) AS manifest FROM "
-       f"(SELECT split, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY {H_DOC}, doc_id) <= 50 THEN 'validation' ELSE 'train' END AS split FROM documents) GROUP BY split)")
-def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.exact_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50).groupBy("split").count()
-    out = rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "count")))).alias("rows"))
-    return out.select(F.to_json(F.struct(F.lit("documents").alias("name"), "rows")).alias("manifest"))
+@query(f"SELECT doc_id, {dialect_sql('text')} AS text FROM (SELECT doc_id, text FROM documents UNION ALL {_HARD_SQL})")
+def dialect_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and some short texts that are hard."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_HARD, "doc_id long, text string"))
+    return docs.select("doc_id", corpus.dialect(F.col("text")).alias("text"))

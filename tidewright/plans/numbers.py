@@ -15,6 +15,19 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_returnflag", "n_tokens", F.round("loss", 6).alias("loss"), F.round("perplexity", 6).alias("perplexity"))
 
 
+@query("SELECT l_returnflag AS split, count(l_discount) AS n, round(avg(l_discount), 9) AS loss FROM lineitem GROUP BY l_returnflag")
+def mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("split"), "l_discount")
+    return metrics.mean_loss(rows, "l_discount").withColumn("loss", F.round("loss", 9))
+
+
+@query("SELECT source, least(greatest(1, round_even(2.0::DOUBLE * sum(n_chars) / (4 * 16 * 2), 0)), 5000)::BIGINT AS steps FROM documents GROUP BY source")
+def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of two epochs of each source, 5000 at most."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")).collect()
+    return spark.createDataFrame([(r.source, metrics.horizon(2.0, r.n, 4, 16, 2, 5000)) for r in rows], "source string, steps long")
+
+
 @query("""SELECT id AS step, round(CASE WHEN id < 100 THEN 3e-4 * (id + 1) / 101 WHEN id > 900 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (id - 100) / 800.0)) * (3e-4 - 3e-5) END, 10) AS rate FROM range(1000) t(id)""")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1000).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 3e-4, 3e-5, 100, 900), 10).alias("rate"))

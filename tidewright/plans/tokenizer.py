@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import tokens
+from ..operators import corpus, tokens
+from .corpus import H
 from .register import query, table
 
 
 @query(r"SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, ' ?[\p{L}]+|[\p{N}]+')) AS word FROM documents) GROUP BY word")
 def word_counts_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by a pattern without look-ahead, which SQL engines have too."""
-    words = F.regexp_extract_all("text", F.lit(r" ?[\p{L}]+|[\p{N}]+"), F.lit(0))
-    return table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return tokens.word_counts(table(spark, sf_dir, "documents"), pattern=r" ?[\p{L}]+|[\p{N}]+")
 
 
-@query()
+#: White space as the tokenizer has it, for a pattern without (?U).
+_W = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
+
+
+@query(rf"""WITH m AS (SELECT regexp_replace(text, '([{_W}])([{_W}][^{_W}])', '\1' || chr(1) || '\2', 'g') AS t FROM documents)
+    SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(t, '(?:''s|''t|''re|''ve|''m|''ll|''d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}\x01]+|[{_W}]+')) AS word FROM m) GROUP BY word""")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In SQL, which has no look-ahead, a mark is put before the last of several spaces that a word follows."""
     return tokens.word_counts(table(spark, sf_dir, "documents"))
 
 
@@ -45,13 +51,41 @@ def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.running_total(docs, "doc_id", "n")
 
 
-@query()
+@query(f"""WITH f AS (SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents),
+    g AS (SELECT list_transform(string_split(t, ''), lambda c: ord(c)::INT) AS ids FROM f),
+    d AS (SELECT draw, {H.format(seed=1337, key="draw")} % ((SELECT len(ids) FROM g) - 65) AS start FROM range(256) r(draw))
+    SELECT draw, start, array_to_string(ids[start + 1:start + 64], ' ') AS x, array_to_string(ids[start + 2:start + 65], ' ') AS y FROM d, g""")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the flat stream of code points."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
-    return tokens.windows(docs, "doc_id", 64, 256)
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("ids"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return tokens.windows(docs, "doc_id", 64, 256).select("draw", "start", joined("x"), joined("y"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def text_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return tokens.fingerprint(rows).withColumnRenamed("path", "doc_id")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def decode_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of every document decode to, by a vocabulary learned from all of them."""
+    docs, own = table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer(spark, sf_dir)
+    return tokens.decode(tokens.encode(docs, own, end=False), own).select("doc_id", F.sha2("decoded", 256).alias("sha256"))
+
+
+@query(f"""WITH s AS (SELECT len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n, CASE WHEN row_number() OVER (ORDER BY {H.format(seed=1337, key="doc_id")}, doc_id) <= 50 THEN 'validation' ELSE 'train' END AS split FROM documents)
+    SELECT split, sum(CASE WHEN n > 0 THEN n + 1 ELSE 0 END)::BIGINT AS n_tokens FROM s GROUP BY split""")
+def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by split, words and an end token standing in for a tokenizer's."""
+    words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")
+    ids = F.when(F.size(words) > 0, F.concat(F.transform(words, lambda w: F.length(w)), F.array(F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
+    return tokens.token_totals(corpus.exact_split(docs, "doc_id", 50))
+
+
+@query()
+def token_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned vocabulary as base64 and rank."""
+    return spark.createDataFrame(tokens.ranks(_tokenizer(spark, sf_dir)), "token string, rank long")
