@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +17,13 @@ from .order import digest, running_total
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?U:[^\s\p{L}\p{N}]+)|(?U:\s+(?!\S))|(?U:\s+)"
 
 
-def split_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+def split_words(text: Column, pattern: str = WORD) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def word_counts(docs: DataFrame, column: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, column: str = "text", pattern: str = WORD) -> DataFrame:
     """word and count over all texts; counts are summed in each task before the shuffle."""
-    return docs.select(F.explode(split_words(F.col(column))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return docs.select(F.explode(split_words(F.col(column), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
 
 
 def byte_letters() -> list[str]:
@@ -33,61 +33,106 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class _Words:
+    """The letters of all distinct words, linked to their neighbours, as arrays: some 20 bytes a letter.
+
+    ``sym`` is a letter's token (-1 once it is merged into the one before it), ``after`` and ``before`` the places of its
+    neighbours in the word (-1 at its ends), ``weight`` how often its word comes, ``at`` the places of each token."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray, of_byte: np.ndarray):
+        words = words.cast(pa.large_binary())
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        kind = np.int32 if len(data) < 2**31 else np.int64
+        self.sym = of_byte[data].astype(np.int32)
+        self.after, self.before = np.arange(1, len(data) + 1, dtype=kind), np.arange(-1, len(data) - 1, dtype=kind)
+        ends = np.cumsum(sizes)[sizes > 0]
+        self.after[ends - 1] = -1
+        self.before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
+        self.word, self.counts = np.repeat(np.arange(len(sizes), dtype=kind), sizes), counts
+        order = np.argsort(self.sym, kind="stable").astype(kind)
+        tokens, first = np.unique(self.sym[order], return_index=True)
+        self.at = dict(zip(tokens.tolist(), np.split(order, first[1:]), strict=False))
+
+    def pairs(self, left: np.ndarray) -> tuple[list[int], list[int]]:
+        """The pairs that begin at some places (each with one after it), as left << 32 | right, and how often they come."""
+        keys = self.sym[left].astype(np.int64) << 32 | self.sym[self.after[left]]
+        names, where = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, where, self.counts[self.word[left]])
+        return names.tolist(), sums.tolist()
+
+    def merge(self, a: int, b: int, new: int) -> np.ndarray:
+        """Find every a before b, from the left, for which put() will put ``new``; the places of the pairs that go."""
+        here = self.at.get(a, np.zeros(0, np.int64))
+        here = self.at[a] = here[self.sym[here] == a]
+        here = here[self.after[here] >= 0]
+        here = np.sort(here[self.sym[self.after[here]] == b])
+        if a == b and len(here):
+            # In a run of equal tokens every other place.
+            start = np.concatenate([[True], self.after[here[:-1]] != here[1:]])
+            run = np.maximum.accumulate(np.where(start, np.arange(len(here)), 0))
+            here = here[(np.arange(len(here)) - run) % 2 == 0]
+        self.here, self.second = here, self.after[here]
+        left, right = self.before[here], self.after[self.second]
+        self.right, self.new = right, new
+        return np.unique(np.concatenate([left[left >= 0], here, self.second[right >= 0]]))
+
+    def put(self) -> np.ndarray:
+        """Do what merge() found; the places of the pairs that come."""
+        here, right = self.here, self.right
+        self.sym[here], self.sym[self.second] = self.new, -1
+        self.after[here] = right
+        self.before[right[right >= 0]] = here[right >= 0]
+        self.at[self.new] = np.sort(np.concatenate([self.at.get(self.new, here[:0]), here]))
+        left = self.before[here]
+        return np.unique(np.concatenate([left[left >= 0], here[right >= 0]]))
+
+
 def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), max_words: int | None = None) -> dict:
     """Tokenizer of byte-pair merges: {"vocab": token -> id, "merges": [[left, right], ...]}.
 
-    Words are counted in Spark. The merge loop, sequential by nature, runs on the driver over distinct
-    words, all of them unless a caller sets ``max_words`` (the most frequent ones), so its memory grows with them: it takes the most frequent pair (of equal ones that with the least left id, then right id) and updates
-    only the words that hold it. Special tokens come first, then all bytes."""
+    Words are counted in Spark. The merge loop, sequential by nature, runs on the driver over arrays of the distinct
+    words' letters (all words, unless a caller sets ``max_words``, the most frequent ones), some 20 bytes for each. It
+    takes the most frequent pair (of equal ones that with the least left id, then right id) and looks only at the
+    places of the pair's first token. Special tokens come first, then all bytes."""
     counted = word_counts(docs)
-    rows = (counted if max_words is None else counted.orderBy(F.desc("count"), "word").limit(max_words)).collect()
+    table = (counted if max_words is None else counted.orderBy(F.desc("count"), "word").limit(max_words)).toArrow().combine_chunks()
     letters = byte_letters()
     names = [*special, *sorted(letters)]
     ids = {t: i for i, t in enumerate(names)}
-    words = [[ids[letters[b]] for b in r.word.encode()] for r in rows]
-    weights = [r["count"] for r in rows]
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            pairs[p] += weights[i]
-            where[p].add(i)
+    words = table["word"].combine_chunks() if table.num_rows else pa.array([], pa.string())
+    state = _Words(words, table["count"].to_numpy().astype(np.int64), np.array([ids[c] for c in letters], np.int32))
+    pairs: dict[int, int] = {}
+    step = 1 << 20
+    for i in range(0, len(state.sym), step):
+        for p, n in zip(*state.pairs(i + np.flatnonzero(state.after[i : i + step] >= 0)), strict=True):
+            pairs[p] = pairs.get(p, 0) + n
     heap = [(-n, p) for p, n in pairs.items()]
     heapq.heapify(heap)
     merges = []
     while heap and len(names) < vocab_size:
-        n, (a, b) = heapq.heappop(heap)
-        if pairs[a, b] != -n:
-            if pairs[a, b] > 0:
-                heapq.heappush(heap, (-pairs[a, b], (a, b)))
+        n, p = heapq.heappop(heap)
+        if pairs.get(p, 0) != -n:
+            if pairs.get(p, 0) > 0:
+                heapq.heappush(heap, (-pairs[p], p))
             continue
         if n == 0:
             break
+        a, b = p >> 32, p & 0xFFFFFFFF
         token = names[a] + names[b]
         new = ids.setdefault(token, len(names))
         if new == len(names):
             names.append(token)
         merges.append([names[a], names[b]])
-        changed: set[tuple[int, int]] = set()
-        for i in where.pop((a, b)):
-            old, w, k = words[i], [], 0
-            while k < len(old):
-                if k + 1 < len(old) and old[k] == a and old[k + 1] == b:
-                    w.append(new)
-                    k += 2
-                else:
-                    w.append(old[k])
-                    k += 1
-            for p in zip(old, old[1:], strict=False):
-                pairs[p] -= weights[i]
-            for p in zip(w, w[1:], strict=False):
-                pairs[p] += weights[i]
-                where[p].add(i)
-                changed.add(p)
-            words[i] = w
-        pairs.pop((a, b), None)
-        for p in changed:
-            heapq.heappush(heap, (-pairs[p], p))
+        for q, m in zip(*state.pairs(state.merge(a, b, new)), strict=True):
+            pairs[q] -= m
+            if not pairs[q]:
+                del pairs[q]
+        for q, m in zip(*state.pairs(state.put()), strict=True):
+            pairs[q] = pairs.get(q, 0) + m
+            heapq.heappush(heap, (-pairs[q], q))
     return {"vocab": ids, "merges": merges}
 
 
@@ -119,7 +164,10 @@ def _apply(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
 
 
 def encode(docs: DataFrame, tokenizer: dict, end: bool = True, column: str = "text") -> DataFrame:
-    """The rows with ids; with ``end`` a text that has any ids ends with the end token. Each task encodes a word once."""
+    """The rows with ids (in place of a column of that name); with ``end`` a text that has any ids ends with the end token.
+
+    Each task encodes a word once."""
+    docs = docs.drop("ids", "_words")
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     eot = check_vocabulary(tokenizer) if end else None
     split = docs.withColumn("_words", split_words(F.col(column)))
