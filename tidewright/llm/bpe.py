@@ -27,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tokens import byte_letters
 from .common import read
 
 #: Fixed value: the pattern that byte-level vocabularies of this family split text by.
@@ -38,19 +39,12 @@ WHOLE = 1 << 20
 _NONE = 1 << 60
 
 
-def printable() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the rest moved up from 256."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE file."""
 
     def __init__(self, content: str):
         spec = json.loads(content)
-        model, byte = spec["model"], printable()
+        model, byte = spec["model"], {c: b for b, c in enumerate(byte_letters())}
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec["normalizer"]:
             raise ValueError("not a plain byte-level BPE vocabulary")
         ids = model["vocab"]

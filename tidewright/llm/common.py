@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import hadoop, shared_folder
+
 #: White space that separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that the vectorised kernels handle at once (a single longer text is handled alone).
@@ -50,37 +50,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
 
 
-_LOCAL: list[str] = []
-
-
 class Store:
-    """Tables that cut lineage, as Parquet in the folder that the cluster shares.
+    """Tables that cut lineage, as Parquet in a folder that the cluster shares; see shared_folder().
 
-    The folder is ``spark.checkpoint.dir`` of the session. Where it is unset, a session whose executors are
-    threads of the driver (tests) gets a temporary folder, and any other an error. Losing an executor
-    loses nothing: readers go back to the files. Tables are deleted by drop(), and what a result still
-    reads when the application ends."""
+    Losing an executor loses nothing: readers go back to the files. Tables are deleted by drop(), and what a
+    result still reads when the application ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            master = spark.sparkContext.master
-            if not master.startswith("local") or master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            if not _LOCAL:
-                _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tidewright-"))
-            root = _LOCAL[0]
-        self.root = f"{root.rstrip('/')}/tidewright-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, shared_folder(spark)
         self.n = 0
         self.tables: dict[int, tuple[str, DataFrame]] = {}
-        path, fs = self._fs(self.root)
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` now and return the written table."""
@@ -95,7 +74,7 @@ class Store:
         """Delete written tables that nothing reads any more."""
         for t in tables:
             if known := self.tables.pop(id(t), None):
-                p, fs = self._fs(known[0])
+                p, fs = hadoop(self.spark, known[0])
                 fs.delete(p, True)
 
 
