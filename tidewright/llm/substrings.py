@@ -13,12 +13,15 @@
    they cover is a maximal repeat of at least LENGTH words, and it is removed.
 
 A document that equals an earlier one word for word is wholly covered by it; such copies leave the
-work at once and only their first one is searched.
+work at once and only their first one is searched. Texts are read by one vectorised pass for digests and anchors,
+again for the extension where they have a repeated seed, and once more to be cut; they are shuffled for the
+extension, and for the cut only where something is cut, as long as a count proves that list short.
 
-Null or empty texts have no words and lose none. Fewer than LENGTH words can't repeat a passage. Rows
+Edges. Null or empty texts have no words and lose none. Fewer than LENGTH words can't repeat a passage. Rows
 with an equal doc_id rank alike: a passage repeated only among them isn't in a smaller doc_id. A null
 doc_id comes after all others. Each row is judged on its own text: where an id is null, or comes with
-different texts, a digest of the text (key) goes with it through all steps.
+different texts, a digest of the text (key) goes with it through all steps. Texts of any length are read whole. An empty
+table gives an empty result. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -59,21 +62,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
     store = Store(spark)
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            texts = utf8(b.column(1))
-            w = Words(texts)
-            n = len(texts)
-            x, y = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            w = Words(utf8(b.column(2)))
+            x, y = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
             place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first, w.count).astype(np.uint64)
             np.add.at(x, w.doc, mix(w.hash + mix(place, 5), 7))
             np.add.at(y, w.doc, mix(w.hash + mix(place, 11), 13))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(w.count.astype(np.int64)), pa.array(signed(x)), pa.array(signed(y))], names=["ord", "own", "n_words", "x", "y"])
+            _, where, h = anchors(w, length)
+            fresh = np.ones(len(where), bool)
+            fresh[1:] = where[1:] != where[:-1]
+            ends = np.cumsum(np.bincount(w.doc[where[fresh]], minlength=b.num_rows))
+            seeds = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(signed(h[fresh])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(w.count.astype(np.int64)), pa.array(signed(x)), pa.array(signed(y)), seeds], names=["doc_id", "ord", "own", "n_words", "x", "y", "seeds"])
 
     own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    same = docs.select("ord", "text", own.alias("own")).mapInArrow(digest, "ord long, own binary, n_words long, x long, y long")
-    same = store.write(same)
-    reused = same.where(F.col("ord") != _LAST).groupBy("ord").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
+    base = docs.select("doc_id", "ord", "text", own.alias("own")).mapInArrow(sketch, "doc_id long, ord long, own binary, n_words long, x long, y long, seeds array<long>")
+    base = store.write(base)
+    reused = base.where(F.col("ord") != _LAST).groupBy("ord").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"))
     reused = store.write(reused.where("a < b OR c < d").select("ord", F.lit(True).alias("reused")))
     n_reused = reused.limit(BROADCAST_ROWS + 1).count()
 
@@ -85,24 +91,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
             return df.withColumn("key", F.when(F.col("ord") == _LAST, own).otherwise(F.lit(b"")))
         return df.join(F.broadcast(reused), "ord", "left").withColumn("key", F.when((F.col("ord") == _LAST) | F.col("reused"), own).otherwise(F.lit(b""))).drop("reused")
 
-    docs, same = keyed(docs, own), keyed(same, F.col("own"))
-    firsts = same.where(F.col("n_words") >= length).groupBy("x", "y", "n_words").agg(F.min("ord").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = store.write(same.join(firsts, ["x", "y", "n_words"]).where("ord > first").select("ord", "key").distinct())
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            w = Words(utf8(b.column(1)))
-            _, where, h = anchors(w, length)
-            fresh = np.ones(len(where), bool)
-            fresh[1:] = where[1:] != where[:-1]
-            doc = w.doc[where[fresh]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[fresh])), pa.array(b.column(0).to_numpy()[doc]), b.column(2).take(pa.array(doc))], names=["seed", "ord", "key"])
-
-    single = id_join(docs.select("ord", "text", "key"), copies, ["ord", "key"], "left_anti")
-    found = single.select("ord", "text", "key").mapInArrow(seeds, "seed long, ord long, key binary")
-    # Written first, so that both sides of each join are plain exchanges and a hot key's side can be split.
+    docs, base_keyed = keyed(docs, own), keyed(base, F.col("own"))
+    # Both sides of each join are written tables or short ones, so that a hot key's side can be split.
+    firsts = store.write(base.where(F.col("n_words") >= length).groupBy("x", "y", "n_words").agg(F.min("ord").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    few = firsts.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
+    same = base_keyed.select("doc_id", "ord", "key", "n_words", "x", "y")
+    copied = store.write(same.join(F.broadcast(firsts) if few else firsts, ["x", "y", "n_words"]).where("ord > first").select("doc_id", "ord", "key", "n_words"))
+    copies = copied.select("ord", "key").distinct()
+    found = id_join(base_keyed.select("ord", "key", "seeds"), copies, ["ord", "key"], "left_anti").select(F.explode("seeds").alias("seed"), "ord", "key")
     often = store.write(found.groupBy("seed").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("seed"))
     hits = store.write(found.join(often, "seed").groupBy("ord", "key").agg(F.collect_set("seed").alias("seeds")))
+    store.drop(base, often, firsts)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -122,24 +121,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
                 names=["one", "two", "ord", "key", "at"],
             )
 
-    passages = single.join(hits, ["ord", "key"]).select("ord", "text", "seeds", "key").mapInArrow(extend, "one long, two long, ord long, key binary, at int")
+    passages = docs.join(hits, ["ord", "key"]).select("ord", "text", "seeds", "key").mapInArrow(extend, "one long, two long, ord long, key binary, at int")
     passages = store.write(passages)
+    store.drop(hits)
     earliest = store.write(passages.groupBy("one", "two").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("one", "two", "first"))
-    covered = passages.join(earliest, ["one", "two"]).where("ord > first").groupBy("ord", "key").agg(F.collect_set("at").alias("at"))
-    covered = covered.withColumn("copy", F.lit(False)).unionByName(copies.select("ord", "key", F.array().cast("array<int>").alias("at"), F.lit(True).alias("copy")))
-    covered = store.write(covered)
+    covered = store.write(passages.join(earliest, ["one", "two"]).where("ord > first").groupBy("ord", "key").agg(F.collect_set("at").alias("at")))
+    store.drop(passages, earliest)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             texts = utf8(b.column(1))
             w = Words(texts)
             gone = np.zeros(len(w.hash) + 1, np.int64)
-            lists, copy = b.column(2), b.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+            lists = b.column(2)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
             begin = np.repeat(w.first, sizes) + lists.flatten().to_numpy()
             np.add.at(gone, begin, 1)
             np.add.at(gone, begin + length, -1)
-            out = (np.cumsum(gone)[:-1] > 0) | copy[w.doc]
+            out = np.cumsum(gone)[:-1] > 0
             # Every kept word with the byte after it, which becomes a space; a text's last one goes.
             stay, data = ~out, w.data.copy()
             data[w.end[stay]] = 32
@@ -152,9 +151,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
             removed = np.bincount(w.doc, weights=out, minlength=len(texts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    out = docs.join(covered, ["ord", "key"], "left").select("doc_id", "text", "at", "copy").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
-    store.drop(same, copies, often, hits, passages, earliest)
-    return out
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    whole = copied.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
+    done = covered.select("ord", "key", F.lit(True).alias("cut")).unionByName(copies.withColumn("cut", F.lit(False)))
+    if done.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4:
+        # Only texts that lose a part are shuffled.
+        told = docs.join(F.broadcast(done), ["ord", "key"], "left")
+        some = told.where("cut").drop("cut").join(covered, ["ord", "key"]).select("doc_id", "text", "at")
+        rest = told.where("cut IS NULL").select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"))
+        return some.mapInArrow(cut, schema).unionByName(rest.mapInArrow(cut, schema)).unionByName(whole)
+    left = id_join(docs, copies, ["ord", "key"], "left_anti")
+    return left.join(covered, ["ord", "key"], "left").select("doc_id", "text", "at").mapInArrow(cut, schema).unionByName(whole)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
