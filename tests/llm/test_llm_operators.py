@@ -360,6 +360,17 @@ def test_mix(spark, hard, docs):
         assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    from tidewright.llm.common import Store
+
+    sizes = {f"host{i * 7919 % 1000}": (i * 31 % 97) ** 2 for i in range(500)} | {None: 40}
+    monkeypatch.setattr(mixing, "RANGE", 60)
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(Store(spark), df).collect()}
+    want = brute_targets(sizes)
+    assert got == {s: pytest.approx(t) for s, t in want.items()}
+
+
 def test_mix_sample_has_all_columns(spark, hard, empty):
     out = mixing.sample(hard)
     assert out.columns == hard.columns

@@ -10,9 +10,13 @@ are summed by source and the top bits of the hash, the bucket that holds the res
 only that bucket is split by the next bits, until a single hash value is left, which is taken if that
 comes nearer. Budgets nest: a larger target takes what a smaller one takes, and more.
 
-A document's hash depends on its doc_id and text only, so reruns and other partitionings agree, and
-repeated rows are taken or left together. Null texts have size 0. A null source is a source of its own.
-Sources without words have target 0. An empty table gives an empty mix.
+Places and running sums over sources come from ranges of them with offsets, so that no task sees all
+sources where they are many (hosts, say); sums over sources and the level are single rows.
+
+Edges. A document's hash depends on its doc_id and text only, so reruns and other partitionings agree, and
+repeated rows are taken or left together. Null and empty texts have size 0, texts of any length are counted whole. A null
+doc_id is an id like others. A null source is a source of its own. Sources without words have target 0. An empty
+table gives an empty mix. sample() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,25 +37,42 @@ def ticket(seed: int = 1) -> Column:
     return F.conv(F.substr(F.md5(key.cast("binary")), F.lit(1), F.lit(BITS // 4)), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+#: Sources in a range that one task orders.
+RANGE = 200_000
+
+
+def _before(store: Store, rows: DataFrame, order: list[Column], n: int, **sums: Column) -> DataFrame:
+    """``rows``, with the sum of each of ``sums`` over the rows before each one in ``order``.
+
+    The rows are dealt into n ranges, summed in each, and the sums of the ranges before are added."""
+    rows = store.write(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    ranges = rows.groupBy("range").agg(*[F.sum(c).alias(f"{k}_all") for k, c in sums.items()])
+    lower = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    offsets = ranges.select("range", *[F.coalesce(F.sum(f"{k}_all").over(lower), F.lit(0)).alias(f"{k}_below") for k in sums])
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(F.broadcast(offsets), "range")
+    return placed.withColumns({k: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{k}_below") for k, c in sums.items()}).drop("range", *[f"{k}_below" for k in sums])
+
+
+def targets(store: Store, sizes: DataFrame) -> DataFrame:
     """source, source_size, target of a table (source, source_size) with a row for each source."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS)) + 1)
-    x = sizes.withColumn("weight", weight).withColumn("full", CAP * F.col("source_size") / F.col("weight"))
-    every = Window.partitionBy()
-    before = Window.orderBy("full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(every) - CAP * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    x = x.withColumn("level", total / rest)
+    n = 1 + sizes.count() // RANGE
+    name = F.col("source").asc_nulls_last()
+    x = _before(store, sizes, [name], n, place=F.lit(1))
+    x = x.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS)).cast("int") + 1)).withColumn("full", CAP * F.col("source_size") / F.col("weight"))
+    x = store.write(_before(store, x, [F.col("full").asc(), name], n, sizes_before=F.col("source_size"), weights_before=F.col("weight")))
+    total = x.agg(F.sum("source_size").alias("sizes"), F.sum("weight").alias("weights")).first()
+    level = (F.lit(total.sizes) - CAP * F.col("sizes_before")) / (F.lit(total.weights) - F.col("weights_before"))
     # The first source that the level doesn't fill, in that order, sets the level of all that aren't full.
-    x = x.withColumn("level", F.min_by(F.when(F.col("level") <= F.col("full"), F.col("level")), F.when(F.col("level") <= F.col("full"), F.struct("full", F.coalesce("source", F.lit("\U0010ffff"))))).over(every))
-    return x.select("source", "source_size", F.least(CAP * F.col("source_size").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    first = x.withColumn("level", level).where("level <= full").agg(F.min_by("level", F.struct("full", F.coalesce("source", F.lit("\U0010ffff")))).alias("level")).first()
+    return x.select("source", "source_size", F.least(CAP * F.col("source_size").cast("double"), F.lit(first.level).cast("double") * F.col("weight")).alias("target"))
 
 
 def plan(store: Store, tickets: DataFrame) -> DataFrame:
     """source, source_size, target, times, limit, take_limit for each source of (source, size, h)."""
     sizes = tickets.groupBy("source").agg(F.sum("size").alias("source_size"))
-    now = targets(sizes).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    now = targets(store, store.write(sizes)).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     now = store.write(now.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")))
     for shift in range(BITS - STEP, -1, -STEP):
         cell = F.shiftright("h", shift)
