@@ -141,6 +141,14 @@ def test_substrings(spark, hard, docs):
         assert got == brute_substrings(pairs(df), 13)
 
 
+def test_substrings_with_hot_keys(spark, docs, monkeypatch):
+    # Every key that comes twice in the sample is hot, so both ways to find its ends are taken.
+    monkeypatch.setattr(substrings, "HOT", 2)
+    monkeypatch.setattr(substrings, "SAMPLED", 10_000)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.repeated_passages(spark, docs, 13).collect()}
+    assert got == brute_substrings(pairs(docs), 13)
+
+
 def test_substrings_of_rows_that_share_an_id(spark):
     pool = [f"w{i} v{i * 7 % 91}" for i in range(200)]
     one, two, three = (" ".join(pool[a : a + 40]) for a in (0, 50, 100))

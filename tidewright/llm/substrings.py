@@ -4,11 +4,13 @@
    tie) is an anchor. A passage of LENGTH = SEED + SPAN - 1 words selects the same anchor wherever it
    stands, so no repeat of that length is without a common anchor, though only some 2 / (SPAN + 1) of all
    positions are kept.
-2. Join. Anchors that start in two documents or more are repeated; the rest, nearly all, are dropped. The
-   least and greatest doc_id of an anchor are found with partial sums before the shuffle, so a passage
-   that a third of all documents hold costs one row for each map task there.
+2. Join. Anchors that start in two documents or more are repeated; the rest, nearly all, are dropped. Rows are
+   dealt once by their anchor to find its least and greatest doc_id. Anchors that are frequent in a bounded sample
+   of the rows aren't dealt: their ends are found with partial sums in each map task and sent back to the rows, so
+   a passage that a third of all documents hold lands in no single task; see ends().
 3. Extend. A repeated seed grows to the left and right to all passages of LENGTH words that selected it.
-   Each such passage is compared by its 128-bit content hash with the first document that holds it.
+   Each such passage is compared by its 128-bit content hash with the first document that holds it, found like
+   the ends of an anchor.
 4. Maximal repeats. Passages found in an earlier document are merged where they overlap or touch; what
    they cover is a maximal repeat of at least LENGTH words, and it is removed.
 
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Store, Words, chunks, id_join, mix, read, signed, utf8
@@ -57,6 +59,23 @@ def anchors(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, where, best
 
 
+#: Rows of a sample, and how often a key must stand in it to be a hot one. So hot keys are SAMPLED / HOT at most, and any
+#: other key holds some HOT / SAMPLED of all rows, a hundred-thousandth, at most; which ones are hot changes no result.
+SAMPLED, HOT = 2_000_000, 20
+
+
+def ends(store: Store, rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """``rows`` (of which there are n) with low and high, the least and greatest ord of all rows with their keys.
+
+    Rows are dealt by key, but for those of hot keys, whose ends are so few that they are sent to all tasks."""
+    hot = store.write(rows.sample(min(1.0, SAMPLED / max(1, n)), seed=11).groupBy(*keys).count().where(F.col("count") >= HOT).select(*keys))
+    every = Window.partitionBy(*keys)
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").withColumns({"low": F.min("ord").over(every), "high": F.max("ord").over(every)})
+    some = rows.join(F.broadcast(hot), keys, "left_semi")
+    known = store.write(some.groupBy(*keys).agg(F.min("ord").alias("low"), F.max("ord").alias("high")))
+    return cold.unionByName(rows.join(F.broadcast(known), keys).select(*cold.columns))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text's remaining words, joined by a space)."""
     store = Store(spark)
@@ -99,9 +118,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
     copied = store.write(same.join(F.broadcast(firsts) if few else firsts, ["x", "y", "n_words"]).where("ord > first").select("doc_id", "ord", "key", "n_words"))
     copies = copied.select("ord", "key").distinct()
     found = id_join(base_keyed.select("ord", "key", "seeds"), copies, ["ord", "key"], "left_anti").select(F.explode("seeds").alias("seed"), "ord", "key")
-    often = store.write(found.groupBy("seed").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("seed"))
-    hits = store.write(found.join(often, "seed").groupBy("ord", "key").agg(F.collect_set("seed").alias("seeds")))
-    store.drop(base, often, firsts)
+    n_seeds = base.agg(F.sum(F.size("seeds").cast("long"))).first()[0] or 0
+    hits = store.write(ends(store, found, n_seeds, ["seed"]).where("low < high").groupBy("ord", "key").agg(F.collect_set("seed").alias("seeds")))
+    store.drop(base, firsts)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -124,9 +143,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, length: int = 13) ->
     passages = docs.join(hits, ["ord", "key"]).select("ord", "text", "seeds", "key").mapInArrow(extend, "one long, two long, ord long, key binary, at int")
     passages = store.write(passages)
     store.drop(hits)
-    earliest = store.write(passages.groupBy("one", "two").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("one", "two", "first"))
-    covered = store.write(passages.join(earliest, ["one", "two"]).where("ord > first").groupBy("ord", "key").agg(F.collect_set("at").alias("at")))
-    store.drop(passages, earliest)
+    covered = store.write(ends(store, passages, passages.count(), ["one", "two"]).where("ord > low").groupBy("ord", "key").agg(F.collect_set("at").alias("at")))
+    store.drop(passages)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
