@@ -86,15 +86,18 @@ def cache_put_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT string_split(string_agg(text, '' ORDER BY doc_id), '') AS v FROM documents),
     c AS (SELECT unnest(list_transform(v, lambda x: ord(x)::BIGINT % 65536)) AS id, unnest(range(len(v))) AS place FROM f)
-    SELECT place // 65536 AS block, count(*) AS n, sum(id)::BIGINT AS id_sum, sum(id * (place % 997))::BIGINT AS order_sum FROM c GROUP BY ALL""")
+    SELECT count(*) AS n, sum(id)::BIGINT AS id_sum, sum(id * (place % 997))::BIGINT AS order_sum FROM c""")
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' code points as one flat file of 16-bit ids, read again by blocks."""
+    """The documents' code points as flat files of 16-bit ids, read again by blocks; the files make one stream in the order of their names."""
     folder = f"{shared_folder(spark)}/stream"
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c) % 65536).alias("ids"))
-    sinks.token_files(docs, "doc_id", folder, file_ids=1 << 40)
+    written = sinks.token_files(docs, "doc_id", folder, file_ids=1 << 20)
+    firsts = [(name.rsplit("/", 1)[1], sum(n for _, n in written[:i])) for i, (name, _) in enumerate(written)]
+    blocks = text.token_file(spark, folder).withColumn("name", F.substring_index("file", "/", -1))
+    blocks = blocks.join(F.broadcast(spark.createDataFrame(firsts, "name string, first long")), "name")
     add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    placed = F.transform("ids", lambda x, i: x.cast("long") * ((F.col("block") * 65536 + i) % 997))
-    return text.token_file(spark, folder).select("block", F.size("ids").cast("long").alias("n"), add(F.col("ids")).alias("id_sum"), add(placed).alias("order_sum"))
+    placed = F.transform("ids", lambda x, i: x.cast("long") * ((F.col("first") + F.col("block") * 65536 + i) % 997))
+    return blocks.agg(F.sum(F.size("ids")).cast("long").alias("n"), F.sum(add(F.col("ids"))).alias("id_sum"), F.sum(add(placed)).alias("order_sum"))
 
 
 @query("SELECT count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS sha256 FROM documents WHERE doc_id % 10 IN (0, 3, 6, 9)")

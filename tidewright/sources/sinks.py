@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import exists, put_text
+from ..storage import arrow_path, exists, put_text
 
 
 def csv(df: DataFrame, columns: list[str], path: str) -> None:
@@ -78,9 +78,7 @@ def token_files(encoded: DataFrame, key: str, path: str, ids: str = "ids", file_
     n = max(1, -(-total // file_ids))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, folder = fs.FileSystem.from_uri(path)
+        system, folder = arrow_path(path)
         system.create_dir(folder, recursive=True)
         part, written = TaskContext.get().partitionId(), 0
         draft, name = f"{folder}/_part-{part:05d}-{uuid4().hex}", f"{folder}/part-{part:05d}.bin"

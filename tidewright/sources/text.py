@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import files
+from ..storage import arrow_path, files
 
 PROMPT = "id string, category string, prompt string, gold string"
 
@@ -76,11 +76,9 @@ def token_file(spark: SparkSession, path: str, block: int = 1 << 16, task_bytes:
     ranges = [(name, start, min(step, size - start)) for name, size in found for start in range(0, size, step)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for b in batches:
             for name, start, size in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                system, inner = fs.FileSystem.from_uri(name)
+                system, inner = arrow_path(name)
                 with system.open_input_file(inner) as data:
                     for at in range(start, start + size, 2 * block):
                         ids = np.frombuffer(data.read_at(min(2 * block, start + size - at), at), "<u2").astype(np.int32)

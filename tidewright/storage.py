@@ -58,5 +58,14 @@ def files(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[str, i
             name = s.getPath().getName()
             if not s.isDirectory() and name.endswith(suffix) and name[0] not in "._":
                 uri = s.getPath().toUri()
-                found.append((uri.getPath() if uri.getScheme() == "file" else s.getPath().toString(), s.getLen()))
+                found.append((f"file://{uri.getPath()}" if uri.getScheme() == "file" else s.getPath().toString(), s.getLen()))
     return sorted(found)
+
+
+def arrow_path(path: str):
+    """Arrow's file system for a path and the path in it, in any Python process; local paths may hold any letters."""
+    from pyarrow import fs
+
+    if "://" not in path or path.startswith("file://"):
+        return fs.LocalFileSystem(), path.removeprefix("file://")
+    return fs.FileSystem.from_uri(path)
