@@ -34,67 +34,77 @@ def byte_letters() -> list[str]:
 
 
 class _Words:
-    """The letters of all distinct words, linked to their neighbours, as arrays: some 20 bytes a letter.
+    """The letters of all distinct words, with the ways to their neighbours, as narrow arrays: some 8 bytes a letter.
 
-    ``sym`` is a letter's token (-1 once it is merged into the one before it), ``after`` and ``before`` the places of its
-    neighbours in the word (-1 at its ends), ``weight`` how often its word comes, ``at`` the places of each token."""
+    ``sym`` is a letter's token (``dead`` once it is merged into the one before it), ``after`` and ``before`` how far its
+    neighbours in the word are (0 at its ends; the longest word sets the width of these numbers), ``ends`` where words
+    end, ``counts`` how often they come, ``at`` the places of each token."""
 
-    def __init__(self, words: pa.Array, counts: np.ndarray, of_byte: np.ndarray):
+    def __init__(self, words: pa.Array, counts: np.ndarray, of_byte: np.ndarray, dead: int):
         words = words.cast(pa.large_binary())
         offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         sizes = np.diff(offsets)
-        kind = np.int32 if len(data) < 2**31 else np.int64
-        self.sym = of_byte[data].astype(np.int32)
-        self.after, self.before = np.arange(1, len(data) + 1, dtype=kind), np.arange(-1, len(data) - 1, dtype=kind)
-        ends = np.cumsum(sizes)[sizes > 0]
-        self.after[ends - 1] = -1
-        self.before[(np.cumsum(sizes) - sizes)[sizes > 0]] = -1
-        self.word, self.counts = np.repeat(np.arange(len(sizes), dtype=kind), sizes), counts
-        order = np.argsort(self.sym, kind="stable").astype(kind)
-        tokens, first = np.unique(self.sym[order], return_index=True)
-        self.at = dict(zip(tokens.tolist(), np.split(order, first[1:]), strict=False))
+        self.kind = kind = np.int32 if len(data) < 2**31 else np.int64
+        self.dead, self.counts, self.ends = dead, counts, np.cumsum(sizes).astype(kind)
+        self.sym = of_byte.astype(np.min_scalar_type(dead))[data]
+        gap = np.min_scalar_type(int(sizes.max(initial=1)))
+        self.after, self.before = np.ones(len(data), gap), np.ones(len(data), gap)
+        last = self.ends[sizes > 0]
+        self.after[last - 1] = 0
+        self.before[last - sizes[sizes > 0]] = 0
+        parts: dict[int, list[np.ndarray]] = {}
+        step = 1 << 22
+        for i in range(0, len(data), step):
+            order = np.argsort(self.sym[i : i + step], kind="stable")
+            tokens, first = np.unique(self.sym[i : i + step][order], return_index=True)
+            for t, places in zip(tokens.tolist(), np.split((order + i).astype(kind), first[1:]), strict=True):
+                parts.setdefault(t, []).append(places)
+        self.at = {t: np.concatenate(p) for t, p in parts.items()}
 
     def pairs(self, left: np.ndarray) -> tuple[list[int], list[int]]:
         """The pairs that begin at some places (each with one after it), as left << 32 | right, and how often they come."""
-        keys = self.sym[left].astype(np.int64) << 32 | self.sym[self.after[left]]
+        keys = self.sym[left].astype(np.int64) << 32 | self.sym[left + self.after[left]].astype(np.int64)
         names, where = np.unique(keys, return_inverse=True)
         sums = np.zeros(len(names), np.int64)
-        np.add.at(sums, where, self.counts[self.word[left]])
+        np.add.at(sums, where, self.counts[np.searchsorted(self.ends, left.astype(self.kind), "right")])
         return names.tolist(), sums.tolist()
 
+    def _around(self, here: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places before ``here``, and those of ``ends`` that have a place after them."""
+        back = self.before[here]
+        return np.unique(np.concatenate([(here - back)[back > 0], ends[self.after[ends] > 0]]).astype(self.kind))
+
     def merge(self, a: int, b: int, new: int) -> np.ndarray:
         """Find every a before b, from the left, for which put() will put ``new``; the places of the pairs that go."""
-        here = self.at.get(a, np.zeros(0, np.int64))
+        here = self.at.get(a, np.zeros(0, self.kind))
         here = self.at[a] = here[self.sym[here] == a]
-        here = here[self.after[here] >= 0]
-        here = np.sort(here[self.sym[self.after[here]] == b])
+        here = here[self.after[here] > 0]
+        here = np.sort(here[self.sym[here + self.after[here]] == b])
         if a == b and len(here):
             # In a run of equal tokens every other place.
-            start = np.concatenate([[True], self.after[here[:-1]] != here[1:]])
+            start = np.concatenate([[True], here[:-1] + self.after[here[:-1]] != here[1:]])
             run = np.maximum.accumulate(np.where(start, np.arange(len(here)), 0))
             here = here[(np.arange(len(here)) - run) % 2 == 0]
-        self.here, self.second = here, self.after[here]
-        left, right = self.before[here], self.after[self.second]
-        self.right, self.new = right, new
-        return np.unique(np.concatenate([left[left >= 0], here, self.second[right >= 0]]))
+        self.here, self.second, self.new = here, (here + self.after[here]).astype(self.kind), new
+        return self._around(here, np.concatenate([here, self.second]))
 
     def put(self) -> np.ndarray:
         """Do what merge() found; the places of the pairs that come."""
-        here, right = self.here, self.right
-        self.sym[here], self.sym[self.second] = self.new, -1
-        self.after[here] = right
-        self.before[right[right >= 0]] = here[right >= 0]
+        here, second = self.here, self.second
+        more = self.after[second]
+        way = np.where(more > 0, self.after[here] + more, 0).astype(more.dtype)
+        self.sym[here], self.sym[second], self.after[here] = self.new, self.dead, way
+        self.before[(here + way)[more > 0]] = way[more > 0]
         self.at[self.new] = np.sort(np.concatenate([self.at.get(self.new, here[:0]), here]))
-        left = self.before[here]
-        return np.unique(np.concatenate([left[left >= 0], here[right >= 0]]))
+        return self._around(here, here)
 
 
 def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), max_words: int | None = None) -> dict:
     """Tokenizer of byte-pair merges: {"vocab": token -> id, "merges": [[left, right], ...]}.
 
     Words are counted in Spark. The merge loop, sequential by nature, runs on the driver over arrays of the distinct
-    words' letters (all words, unless a caller sets ``max_words``, the most frequent ones), some 20 bytes for each. It
+    words' letters (all words, unless a caller sets ``max_words``, the most frequent ones), some 8 bytes for each. It
     takes the most frequent pair (of equal ones that with the least left id, then right id) and looks only at the
     places of the pair's first token. Special tokens come first, then all bytes."""
     counted = word_counts(docs)
@@ -103,11 +113,12 @@ def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("
     names = [*special, *sorted(letters)]
     ids = {t: i for i, t in enumerate(names)}
     words = table["word"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-    state = _Words(words, table["count"].to_numpy().astype(np.int64), np.array([ids[c] for c in letters], np.int32))
+    state = _Words(words, table["count"].to_numpy().astype(np.int64), np.array([ids[c] for c in letters]), max(vocab_size, len(names)))
+    del table, words
     pairs: dict[int, int] = {}
     step = 1 << 20
     for i in range(0, len(state.sym), step):
-        for p, n in zip(*state.pairs(i + np.flatnonzero(state.after[i : i + step] >= 0)), strict=True):
+        for p, n in zip(*state.pairs(i + np.flatnonzero(state.after[i : i + step] > 0)), strict=True):
             pairs[p] = pairs.get(p, 0) + n
     heap = [(-n, p) for p, n in pairs.items()]
     heapq.heapify(heap)
