@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html, minhash, mixing, private, quality, rules, substrings, toxicity
+from . import audit, bpe, codes, fingerprint, html, idfiles, minhash, mixing, private, quality, rules, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substrings.op8,
         "op9_source_mixing": mixing.op9,
         "op10_bpe": bpe.op10,
+        "op11_vector_codes": codes.op11,
+        "op12_filter_audit": audit.op12,
+        "op13_token_files": idfiles.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": minhash.SQL, "op6_quality_rules": rules.SQL, "op8_substring_dedup": substrings.SQL, "op9_source_mixing": mixing.SQL}
+    return {"op5_minhash_near_dedup": minhash.SQL, "op6_quality_rules": rules.SQL, "op8_substring_dedup": substrings.SQL, "op9_source_mixing": mixing.SQL, "op11_vector_codes": codes.SQL, "op12_filter_audit": audit.SQL}
