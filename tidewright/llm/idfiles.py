@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -43,9 +44,11 @@ BLOCK, LEAST = 1 << 18, 4
 #: A file's bytes of text, and rows, about.
 FILE_BYTES, FILE_ROWS = 64 << 20, 1 << 20
 #: Words that a task remembers, and new ones that are encoded together.
-REMEMBERED, TOGETHER = 1_000_000, 4096
+REMEMBERED, TOGETHER = 1_000_000, 512
 #: A letter that is one token of its own between spaces.
 MARK, BETWEEN = b"\x01", b" \x01 "
+#: ASCII signs, which the vocabulary's pattern takes together.
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 MAGIC = b"TWREPAIR"
 _BITS = 17
 
@@ -85,23 +88,35 @@ class Encoder:
         # Word w has the ids from first[w] to first[w + 1].
         self.ids, self.first = np.array([self.end], np.int32), np.array([0, 1], np.int64)
 
+    def _plain(self, word: bytes) -> list[int] | None:
+        """Ids of a word of ASCII letters and the signs after them, by the library's model alone, as its pattern cuts it there; None for another."""
+        stem = word.rstrip(SIGNS)
+        if not stem.isalpha():
+            return None
+        tokenize = self.tokenizer.model.tokenize
+        ids = [t.id for t in tokenize(stem.lower().decode())]
+        if len(stem) < len(word):
+            ids += [t.id for t in tokenize(word[len(stem) :].decode())]
+        return ids
+
     def _learn(self) -> None:
         """Ids of the words that are new."""
-        words, flats, sizes = self.known.new, [self.ids], []
-        self.known.new = []
-        for i in range(0, len(words), TOGETHER):
-            some = words[i : i + TOGETHER]
-            if any(MARK in w for w in some):
-                found = [np.array(self._ids(w), np.int32) for w in some]
-                flats += found
-                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        words, self.known.new = self.known.new, []
+        found = [self._plain(w) for w in words]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for at in range(0, len(rest), TOGETHER):
+            some = rest[at : at + TOGETHER]
+            if any(MARK in words[i] for i in some):
+                for i in some:
+                    found[i] = self._ids(words[i])
                 continue
-            flat = np.array(self._ids(BETWEEN.join(some)), np.int32)
-            marks = flat == self.mark
-            flats.append(flat[~marks])
-            sizes.append(np.diff(np.flatnonzero(marks), prepend=-1, append=len(flat)) - 1)
-        self.ids = np.concatenate(flats)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+            flat = np.array(self._ids(BETWEEN.join(words[i] for i in some)), np.int32)
+            marks = np.flatnonzero(flat == self.mark).tolist()
+            for i, a, b in zip(some, [-1, *marks], [*marks, len(flat)], strict=True):
+                found[i] = flat[a + 1 : b].tolist()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text in UTF-8 has with its end, and all these ids."""
