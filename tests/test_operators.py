@@ -384,6 +384,17 @@ def test_mean_loss(spark):
     assert {r.split: (r.n, r.loss) for r in metrics.mean_loss(rows, "loss").collect()} == {"train": (2, 1.5), "val": (1, 4.0)}
 
 
+def test_long_conversations_have_their_window_in_little_time(spark):
+    import time
+
+    turns = F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.struct(F.when(i % 2 == 1, "user").otherwise("bot").alias("role"), F.concat(F.lit("say "), i.cast("string")).alias("text")))
+    start = time.time()
+    got = spark.range(1).select(chat.prompt_window(turns, letters, 0, 1000, 8).alias("w")).first().w
+    assert time.time() - start < 30
+    conv = [("user" if i % 2 else "bot", f"say {i}") for i in range(1, 10_001)]
+    assert got == reference_window(conv[-200:], 992, 0)
+
+
 # --- tokens
 
 
@@ -400,7 +411,7 @@ def test_merges_and_ids_match_the_library(spark, small, tmp_path):
     lib.pre_tokenizer, lib.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
     lib.train_from_iterator([r.text for r in small.collect()], trainers.BpeTrainer(vocab_size=300, special_tokens=["<|endoftext|>"], initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False))
     own = tokens.train(small, 300)
-    tokens.save(own, str(tmp_path / "t.json"))
+    tokens.save(spark, own, str(tmp_path / "t.json"))
     again = Tokenizer.from_file(str(tmp_path / "t.json"))
     assert own["vocab"] == lib.get_vocab()
     rows = tokens.decode(tokens.encode(small, own, end=False), own).collect()
@@ -427,6 +438,56 @@ def test_merges_of_runs_match_the_library(spark, sf, size):
     assert tokens.train(spark.createDataFrame([], "text string"), 300)["merges"] == []
 
 
+@pytest.mark.parametrize("tasks", [1, 2, 5])
+def test_merges_of_several_tasks(spark, sf, tasks):
+    """Each merge found by counting all pairs anew, and the same by words dealt to tasks."""
+    texts = ["aaaaaaa aaa aa a", "abababab babab", "aabaabaab aab", "xyxyxxyy" * 3, "ab abc abcd bcd cd", "1111 111 11"] * 3 + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()]
+    counted = tokens.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    names = ["<|endoftext|>", *sorted(tokens.byte_letters())]
+    words = [[[names.index(tokens.byte_letters()[b]) for b in r.word.encode()], r["count"]] for r in counted.collect()]
+    want = []
+    while len(names) < 420:
+        pairs = {}
+        for ids, n in words:
+            for p in zip(ids, ids[1:], strict=False):
+                pairs[p] = pairs.get(p, 0) + n
+        a, b = min(pairs, key=lambda p: (-pairs[p], p))
+        want.append((names[a], names[b]))
+        if names[a] + names[b] not in names:
+            names.append(names[a] + names[b])
+        new = names.index(names[a] + names[b])
+        for w in words:
+            ids, i = w[0], 0
+            while i < len(ids) - 1:
+                if ids[i] == a and ids[i + 1] == b:
+                    ids[i : i + 2] = [new]
+                i += 1
+    assert tokens.merges(counted, 420, tasks=tasks) == want
+
+
+def test_long_words_are_encoded_in_little_time(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    own = tokens.train(spark.createDataFrame([("the tide and the wind " * 3 + "nineteen inns in the inner hand",)], "text string"), 290)
+    ranks = {tuple(m): i for i, m in enumerate(own["merges"])}
+    encoder = tokens._Encoder(own)
+    for _ in range(500):
+        word = "".join(rng.choices("theindaw ", k=rng.randint(0, 80)))
+        parts = [tokens.byte_letters()[b] for b in word.encode()]
+        while pairs := [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]:
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert encoder.ids(word) == [own["vocab"][p] for p in parts]
+    start = time.time()
+    long = "".join(rng.choices("thein", k=1_000_000))
+    row = tokens.encode(spark.createDataFrame([(long,), (None,)], "text string"), own, end=False).orderBy(F.col("text").isNull()).collect()
+    assert time.time() - start < 30 and row[1].ids == []
+    back = {i: t for t, i in own["vocab"].items()}
+    assert "".join(back[i] for i in row[0].ids) == long
+
+
 def test_rare_words_count_as_well(spark):
     # More distinct words than the cap that train once had, and a rare one that holds the most frequent pair.
     often = spark.range(2_000_001).select(F.repeat(F.concat(F.lit(" "), F.col("id").cast("string")), 2).alias("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bound, sums_to_end
+
 # Fixed values of the rendered format, and the label that a loss ignores.
 USER_PREFIX, BOT_PREFIX, TURN_SEP, IGNORE = "User: ", "Pirate: ", "\n", -100
 
@@ -102,15 +104,18 @@ def prompt_window(turns: Column, tokens, eos: int, block: int, reserve: int) ->
     cue = lambda some: tokens(F.lit((TURN_SEP if some else "") + BOT_PREFIX))
 
     def window(p: Column) -> Column:
-        n = F.size(p)
-        # Sizes of the rest of the conversation after each turn, from the end.
-        after = F.reverse(F.aggregate(F.reverse(p), F.array(F.size(cue(True))), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(t["tail"])))))
-        fits = F.filter(F.sequence(F.lit(1), n), lambda i: (F.size(F.element_at(p, i)["head"]) + F.element_at(after, i + 1) <= budget) | (i == n))
-        start = F.element_at(fits, 1)
-        ids = F.concat(F.element_at(p, start)["head"], F.flatten(F.transform(F.slice(p, start + 1, n - start), lambda t: t["tail"])), cue(True))
-        return F.slice(ids, F.greatest(F.size(ids) - budget, F.lit(0)) + 1, budget)
-
-    return F.when(F.size(turns) > 0, F.element_at(F.transform(F.array(both), window), 1)).otherwise(F.slice(cue(False), F.greatest(F.size(cue(False)) - budget, F.lit(0)) + 1, budget))
+        n, end = F.size(p), cue(True)
+
+        def latest(after: Column) -> Column:
+            """``after`` has the sizes of the turns from each one on, as they are when they aren't the first."""
+            rest = lambda i: F.coalesce(F.get(after, i + 1), F.lit(0)) + F.size(end)
+            fits = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.size(F.get(p, i)["head"]) + rest(i) <= budget) | (i == n - 1))
+            return bound(F.array_min(fits), lambda start: F.concat(F.get(p, start)["head"], F.flatten(F.transform(F.slice(p, start + 2, n), lambda t: t["tail"])), end))
+
+        joined = bound(sums_to_end(F.transform(p, lambda t: F.size(t["tail"]))), latest)
+        return bound(joined, lambda ids: F.slice(ids, F.greatest(F.size(ids) - budget, F.lit(0)) + 1, budget))
+
+    return F.when(F.size(turns) > 0, bound(both, window)).otherwise(F.slice(cue(False), F.greatest(F.size(cue(False)) - budget, F.lit(0)) + 1, budget))
 
 
 def examples(convs: DataFrame, tokens, eos: int, block: int, val_fraction: float = 0.02, seed: int = 1337, rewrite=None) -> DataFrame:

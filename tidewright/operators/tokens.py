@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from base64 import b64encode
+from collections.abc import Callable, Iterator
+from itertools import islice
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import SharedSum, put_text, shared_folder
 from .order import digest, running_total
 
 #: Fixed value: the pattern that splits a text into words, in Java's dialect. White space is spelled out, as \s is Unicode in the trainer's.
@@ -100,60 +105,142 @@ class _Words:
         return self._around(here, here)
 
 
-def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), max_words: int | None = None) -> dict:
-    """Tokenizer of byte-pair merges: {"vocab": token -> id, "merges": [[left, right], ...]}.
+#: Letters of distinct words that a training task holds, about, where there are tasks enough.
+TASK_LETTERS = 1 << 24
 
-    Words are counted in Spark. The merge loop, sequential by nature, runs on the driver over arrays of the distinct
-    words' letters (all words, unless a caller sets ``max_words``, the most frequent ones), some 8 bytes for each. It
-    takes the most frequent pair (of equal ones that with the least left id, then right id) and looks only at the
-    places of the pair's first token. Special tokens come first, then all bytes."""
-    counted = word_counts(docs)
-    table = (counted if max_words is None else counted.orderBy(F.desc("count"), "word").limit(max_words)).toArrow().combine_chunks()
-    letters = byte_letters()
-    names = [*special, *sorted(letters)]
-    ids = {t: i for i, t in enumerate(names)}
-    words = table["word"].combine_chunks() if table.num_rows else pa.array([], pa.string())
-    state = _Words(words, table["count"].to_numpy().astype(np.int64), np.array([ids[c] for c in letters]), max(vocab_size, len(names)))
-    del table, words
-    pairs: dict[int, int] = {}
-    step = 1 << 20
-    for i in range(0, len(state.sym), step):
-        for p, n in zip(*state.pairs(i + np.flatnonzero(state.after[i : i + step] > 0)), strict=True):
-            pairs[p] = pairs.get(p, 0) + n
-    heap = [(-n, p) for p, n in pairs.items()]
-    heapq.heapify(heap)
-    merges = []
-    while heap and len(names) < vocab_size:
-        n, p = heapq.heappop(heap)
-        if pairs.get(p, 0) != -n:
-            if pairs.get(p, 0) > 0:
-                heapq.heappush(heap, (-pairs[p], p))
+
+def _independent(heap: list[tuple[int, int]], pairs: dict[int, int], ids: dict[str, int], names: list[str], room: int) -> list[tuple[int, int, int]]:
+    """The merges that come next and can't influence each other, as (left, right, new); they leave the heap, and new tokens get their ids.
+
+    Pairs are taken by falling count, then by left and right id, until one begins with a right or ends with a left part
+    of one taken before. What a merge of a and b makes more frequent, (x, ab) or (ab, y), is at most as frequent as
+    (x, a) or (b, y) was, which isn't taken and so comes after all that are; and of equal counts a pair with a new id comes last. So
+    one by one they would be taken in the same order. That doesn't hold for a pair of equal tokens, nor for a token that
+    exists already: such a pair is the last of its batch."""
+    batch: list[tuple[int, int, int]] = []
+    lefts, rights = set(), set()
+    while heap and len(batch) < room:
+        n, p = heap[0]
+        now = pairs.get(p, 0)
+        if now != -n:
+            heapq.heappop(heap)
+            if now > 0:
+                heapq.heappush(heap, (-now, p))
             continue
-        if n == 0:
-            break
         a, b = p >> 32, p & 0xFFFFFFFF
+        if a in rights or b in lefts:
+            break
+        heapq.heappop(heap)
         token = names[a] + names[b]
+        known = token in ids
         new = ids.setdefault(token, len(names))
-        if new == len(names):
+        if not known:
             names.append(token)
-        merges.append([names[a], names[b]])
-        for q, m in zip(*state.pairs(state.merge(a, b, new)), strict=True):
-            pairs[q] -= m
+        batch.append((a, b, new))
+        if known or a == b:
+            break
+        lefts.add(a)
+        rights.add(b)
+    return batch
+
+
+def _learn(words: pa.Array, counts: np.ndarray, names: list[str], vocab_size: int, over_all: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, str]]:
+    """The merges, from a part of the words; every part does the same, and ``over_all`` adds up their keys and numbers."""
+    letters = byte_letters()
+    ids = {t: i for i, t in enumerate(names)}
+    state = _Words(words, counts, np.array([ids[c] for c in letters]), max(vocab_size, len(names)))
+    pairs: dict[int, int] = {}
+    heap: list[tuple[int, int]] = []
+
+    def add(own: dict[int, int]) -> None:
+        """Add what the counts of all parts have changed by."""
+        keys, changes = over_all(np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
+        for q, m in zip(keys.tolist(), changes.tolist(), strict=True):
+            pairs[q] = pairs.get(q, 0) + m
             if not pairs[q]:
                 del pairs[q]
-        for q, m in zip(*state.pairs(state.put()), strict=True):
-            pairs[q] = pairs.get(q, 0) + m
-            heapq.heappush(heap, (-pairs[q], q))
-    return {"vocab": ids, "merges": merges}
+            elif m > 0:
+                heapq.heappush(heap, (-pairs[q], q))
+
+    def gather(into: dict[int, int], left: np.ndarray, sign: int) -> None:
+        for q, m in zip(*state.pairs(left), strict=True):
+            into[q] = into.get(q, 0) + sign * m
+
+    first: dict[int, int] = {}
+    step = 1 << 20
+    for i in range(0, len(state.sym), step):
+        gather(first, i + np.flatnonzero(state.after[i : i + step] > 0), 1)
+    add(first)
+    merges = []
+    while len(names) < vocab_size and (batch := _independent(heap, pairs, ids, names, vocab_size - len(names))):
+        changed: dict[int, int] = {}
+        for a, b, new in batch:
+            merges.append((names[a], names[b]))
+            gather(changed, state.merge(a, b, new), -1)
+            gather(changed, state.put(), 1)
+        add(changed)
+    return merges
+
+
+def merges(counted: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), tasks: int | None = None) -> list[tuple[str, str]]:
+    """Left and right of the byte-pair merges, in order, of a table of distinct words (word, count), which is read twice.
+
+    The most frequent pair is merged first, of equal ones that with the least left id, then right id; special tokens
+    come first, then all bytes. Words are dealt to tasks by hash, and a task keeps its words' letters for the whole training, some 8 bytes
+    for each. The tasks are a barrier stage: in each round all take the same batch of merges that can't influence each other, apply
+    it to their words and add up, through the shared folder, by how much pairs' counts have changed. So every task knows all pairs' counts,
+    whose number is bounded by the vocabulary's square and not by the corpus; nothing of it passes the driver. Losing an
+    executor repeats the stage from the table. A session needs as many free cores as the stage has tasks; ``tasks`` sets another
+    number than one for each TASK_LETTERS letters, at most the session's cores."""
+    spark = counted.sparkSession
+    names = [*special, *sorted(byte_letters())]
+    if tasks is None:
+        size = counted.agg(F.coalesce(F.sum(F.octet_length("word").cast("long")), F.lit(0))).first()[0]
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-size // TASK_LETTERS)))
+    folder = f"{shared_folder(spark)}/rounds"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        held = [(b.column(0), b.column(1).to_numpy()) for b in batches]
+        words = pa.concat_arrays([w for w, _ in held]) if held else pa.array([], pa.string())
+        counts = np.concatenate([np.zeros(0, np.int64), *[n for _, n in held]])
+        # Task 0 names a folder of this attempt.
+        attempt = context.allGather(uuid4().hex)[0]
+        total = SharedSum(f"{folder}/{attempt}", context.partitionId(), tasks)
+        found = _learn(words, counts, list(names), vocab_size, total.add)
+        if context.partitionId() == 0 and found:
+            left, right = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["rank", "left", "right"])
+
+    rows = counted.select("word", F.col("count").cast("long").alias("count")).repartition(tasks, "word")
+    found = rows.mapInArrow(run, "rank long, left string, right string", barrier=True).collect()
+    return [(r.left, r.right) for r in sorted(found, key=lambda r: r["rank"])]
+
 
+def train(docs: DataFrame, vocab_size: int = 8192, special: tuple[str, ...] = ("<|endoftext|>",), max_words: int | None = None) -> dict:
+    """Tokenizer of byte-pair merges, learned by merges(): {"vocab": token -> id, "merges": [[left, right], ...]}.
 
-def save(tokenizer: dict, path: str, special: tuple[str, ...] = ("<|endoftext|>",)) -> None:
-    """The tokenizer as a file of the tokenizers library."""
+    Distinct words are written in the shared folder (all of them, unless a caller sets ``max_words``, the most frequent ones); only
+    the merges come to the driver."""
+    spark = docs.sparkSession
+    counted = word_counts(docs)
+    if max_words is not None:
+        counted = counted.orderBy(F.desc("count"), "word").limit(max_words)
+    path = f"{shared_folder(spark)}/words"
+    counted.write.option("compression", "zstd").parquet(path)
+    learned = merges(spark.read.schema(counted.schema).parquet(path), vocab_size, special)
+    ids = {t: i for i, t in enumerate([*special, *sorted(byte_letters())])}
+    for left, right in learned:
+        ids.setdefault(left + right, len(ids))
+    return {"vocab": ids, "merges": [list(m) for m in learned]}
+
+
+def save(spark: SparkSession, tokenizer: dict, path: str, special: tuple[str, ...] = ("<|endoftext|>",)) -> None:
+    """The tokenizer as a file of the tokenizers library, in any file system that Spark knows."""
     added = [{"id": tokenizer["vocab"][s], "content": s, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for s in special]
     level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
     model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, **tokenizer}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model}, f, ensure_ascii=False)
+    put_text(spark, path, json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": added, "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model}, ensure_ascii=False))
 
 
 def check_vocabulary(tokenizer: dict, end: str = "<|endoftext|>") -> int:
@@ -165,19 +252,62 @@ def check_vocabulary(tokenizer: dict, end: str = "<|endoftext|>") -> int:
     return tokenizer["vocab"][end]
 
 
-def _apply(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    while len(parts) > 1:
-        rank, i = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts
+#: Words that a task remembers.
+REMEMBERED = 500_000
+
+
+class _Encoder:
+    """Ids of words by a tokenizer's merges: of all pairs of neighbours that of the least rank is joined first, of equal ones the leftmost."""
+
+    def __init__(self, tokenizer: dict):
+        ids = tokenizer["vocab"]
+        self.of_byte = [ids[c] for c in byte_letters()]
+        self.joined = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed([*enumerate(tokenizer["merges"])])}
+        self.known: dict[str, list[int]] = {}
+
+    def ids(self, word: str) -> list[int]:
+        found = self.known.get(word)
+        if found is None:
+            found = self.merged([self.of_byte[b] for b in word.encode()])
+            if len(word) < 256:
+                if len(self.known) >= REMEMBERED:
+                    # The older half goes.
+                    self.known = dict(islice(self.known.items(), REMEMBERED // 2, None))
+                self.known[word] = found
+        return found
+
+    def merged(self, parts: list[int]) -> list[int]:
+        """Parts are a list linked both ways, and pairs wait in a heap, so a word of n bytes takes n log n steps.
+
+        A pair that has changed since it was put there is passed over."""
+        joined, n = self.joined, len(parts)
+        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = []
+        for i in range(n - 1):
+            if found := joined.get((parts[i], parts[i + 1])):
+                waiting.append((found[0], i, parts[i], parts[i + 1]))
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, a, b = heapq.heappop(waiting)
+            j = following[i]
+            if j >= n or parts[i] != a or parts[j] != b:
+                continue
+            parts[i], parts[j] = joined[a, b][1], -1
+            k = following[i] = following[j]
+            if k < n:
+                previous[k] = i
+                if found := joined.get((parts[i], parts[k])):
+                    heapq.heappush(waiting, (found[0], i, parts[i], parts[k]))
+            h = previous[i]
+            if h >= 0 and (found := joined.get((parts[h], parts[i]))):
+                heapq.heappush(waiting, (found[0], h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
 
 
 def encode(docs: DataFrame, tokenizer: dict, end: bool = True, column: str = "text") -> DataFrame:
     """The rows with ids (in place of a column of that name); with ``end`` a text that has any ids ends with the end token.
 
-    Each task encodes a word once."""
+    Each task encodes a word once, as long as it remembers it; a null text is the empty one."""
     docs = docs.drop("ids", "_words")
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     eot = check_vocabulary(tokenizer) if end else None
@@ -187,20 +317,11 @@ def encode(docs: DataFrame, tokenizer: dict, end: bool = True, column: str = "te
     names = [*[f.name for f in schema][:-1], "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, letters = shared.value["vocab"], byte_letters()
-        ranks = {tuple(m): i for i, m in enumerate(shared.value["merges"])}
-        known: dict[str, list[int]] = {}
+        ids = _Encoder(shared.value).ids
         for b in batches:
             out = []
             for words in b.column(at).to_pylist():
-                own: list[int] = []
-                for w in words:
-                    ids = known.get(w)
-                    if ids is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        ids = known[w] = [vocab[p] for p in _apply([letters[x] for x in w.encode()], ranks)]
-                    own += ids
+                own = [i for w in words for i in ids(w)]
                 if own and eot is not None:
                     own.append(eot)
                 out.append(own)
@@ -267,8 +388,6 @@ def verify(found: str, wanted: str | None) -> None:
 
 def ranks(tokenizer: dict, special: tuple[str, ...] = ("<|endoftext|>",)) -> list[tuple[str, int]]:
     """(base64 of a token's bytes, id) in the order of ids, without special tokens."""
-    from base64 import b64encode
-
     back = {c: b for b, c in enumerate(byte_letters())}
     return [(b64encode(bytes(back[c] for c in t)).decode(), i) for t, i in sorted(tokenizer["vocab"].items(), key=lambda x: x[1]) if t not in special]
 

@@ -20,10 +20,13 @@ def word_counts_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
 
 
-@query(rf"""WITH m AS (SELECT regexp_replace(text, '([{_W}])([{_W}][^{_W}])', '\1' || chr(1) || '\2', 'g') AS t FROM documents)
-    SELECT word, count(*) AS count FROM (SELECT unnest(regexp_extract_all(t, '(?:''s|''t|''re|''ve|''m|''ll|''d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}\x01]+|[{_W}]+')) AS word FROM m) GROUP BY word""")
+# In SQL, which has no look-ahead, a mark is put before the last of several spaces that a word follows.
+_MARKED = rf"regexp_replace(text, '([{_W}])([{_W}][^{_W}])', '\1' || chr(1) || '\2', 'g')"
+_SPLIT = rf"regexp_extract_all({_MARKED}, '(?:''s|''t|''re|''ve|''m|''ll|''d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}\x01]+|[{_W}]+')"
+
+
+@query(f"SELECT word, count(*) AS count FROM (SELECT unnest({_SPLIT}) AS word FROM documents) GROUP BY word")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In SQL, which has no look-ahead, a mark is put before the last of several spaces that a word follows."""
     return tokens.word_counts(table(spark, sf_dir, "documents"))
 
 
@@ -37,6 +40,63 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank long, left string, right string")
 
 
+_NAMES = ["<|endoftext|>", *sorted(tokens.byte_letters())]
+_OF_BYTE = [_NAMES.index(c) for c in tokens.byte_letters()]
+_FIRST = 8
+
+
+def _letters_sql(word: str) -> str:
+    """A word's bytes as ids, each between commas."""
+    return f"array_to_string(list_transform(regexp_extract_all(hex(encode({word})), '..'), lambda h: ',' || {_OF_BYTE}[('0x' || h)::INT + 1] || ','), '')"
+
+
+def _first_merges_sql() -> str:
+    names = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES) + "]"
+    steps = [f"w0 AS (SELECT {_letters_sql('word')} AS s, count(*) AS n FROM (SELECT unnest({_SPLIT}) AS word FROM documents) GROUP BY word)", f"t0 AS (SELECT {names} AS names)"]
+    for i in range(_FIRST):
+        ids = "list_transform(regexp_extract_all(s, '[0-9]+'), lambda x: x::INT)"
+        pairs = f"SELECT a[k] AS l, a[k + 1] AS r, n FROM (SELECT *, unnest(range(1, len(a))) AS k FROM (SELECT {ids} AS a, n FROM w{i}))"
+        steps += [
+            f"p{i} AS MATERIALIZED (SELECT l, r FROM ({pairs}) GROUP BY l, r ORDER BY sum(n) DESC, l, r LIMIT 1)",
+            f"t{i + 1} AS (SELECT list_append(names, names[l + 1] || names[r + 1]) AS names FROM t{i}, p{i})",
+            f"w{i + 1} AS MATERIALIZED (SELECT replace(s, ',' || l || ',,' || r || ',', ',{len(_NAMES) + i},') AS s, n FROM w{i}, p{i})",
+        ]
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS rank, names[l + 1] AS left, names[r + 1] AS right FROM p{i}, t{i}" for i in range(_FIRST))
+
+
+@query(_first_merges_sql())
+def bpe_first_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merges that bpe_merges begins with; in SQL each one is found by counting the pairs anew."""
+    merges = tokens.train(table(spark, sf_dir, "documents"), len(_NAMES) + _FIRST)["merges"]
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank long, left string, right string")
+
+
+#: A small vocabulary: each merge's parts are made by merges before it.
+_FEW = [("e", "r"), ("Ġ", "t"), ("h", "e"), ("Ġt", "he"), ("i", "n"), ("Ġ", "a"), ("a", "n"), ("in", "g"), ("Ġa", "n"), ("an", "d"), ("Ġan", "d"), ("s", "s"), ("l", "l"), ("e", "n"), ("Ã", "©"), ("ss", "e"), ("a", "ll"), ("Ġ", "Ġ"), ("-", "-"), ("ĠĠ", "ĠĠ")]
+
+
+def _few() -> dict:
+    vocab = {n: i for i, n in enumerate(_NAMES)}
+    for a, b in _FEW:
+        vocab.setdefault(a + b, len(vocab))
+    return {"vocab": vocab, "merges": [list(m) for m in _FEW]}
+
+
+def _encoded_sql() -> str:
+    vocab, s = _few()["vocab"], f"array_to_string(list_transform({_SPLIT}, lambda w: {_letters_sql('w')}), '#')"
+    for a, b in _FEW:
+        s = f"replace({s}, ',{vocab[a]},,{vocab[b]},', ',{vocab[a + b]},')"
+    ids = f"regexp_extract_all({s}, '[0-9]+')"
+    return f"SELECT doc_id, len(ids)::INT AS n_ids, array_to_string(ids, ' ') AS ids FROM (SELECT doc_id, CASE WHEN len(i) > 0 THEN list_append(i, '0') ELSE i END AS ids FROM (SELECT doc_id, {ids} AS i FROM documents))"
+
+
+@query(_encoded_sql())
+def encode_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by a small vocabulary that is given, so that SQL can join the parts one merge after the other."""
+    out = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _few())
+    return out.select("doc_id", F.size("ids").alias("n_ids"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 @query()
 def encode_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer(spark, sf_dir)).select("doc_id", F.size("ids").alias("n_ids"), "ids")
