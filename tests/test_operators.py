@@ -7,9 +7,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import arena, chat, corpus, metrics, order, tokens
+from tidewright.operators import arena, chat, corpus, metrics, order, tokens, tournament
+from tidewright.operators.cache import Cache
 from tidewright.sources import registry, sinks, text
-from tidewright.streaming import scan
+from tidewright.streaming import elo, scan
 
 
 def one(spark, column):
@@ -247,6 +248,56 @@ def test_replay_by_groups_and_batches(spark):
     assert got == pytest.approx(want)
 
 
+def match_rows(n, models, seed=1):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a, b = rng.sample(models, 2)
+        rows.append((3 * i, a, b, rng.choice([a, b, "tie", "nobody"])))
+    return rows
+
+
+MATCHES = "seq long, model_a string, model_b string, winner string"
+
+
+def test_bootstrap_of_short_and_of_long_logs(spark):
+    df = spark.createDataFrame(match_rows(300, list("abcdef")), MATCHES).repartition(3)
+    short, long = ({(r.replicate, r.model): r.rating for r in arena.bootstrap(df, 7, 5, sent=sent).collect()} for sent in (1000, 10))
+    assert short == pytest.approx(long) and len(short) == 42
+    assert arena.bootstrap(df.limit(0), 5).count() == 0
+
+
+def test_circles_and_ratings_apart(spark):
+    rows = match_rows(200, [f"a{i}" for i in range(9)], 1) + [(r[0] + 1, *r[1:]) for r in match_rows(90, ["b", "c"], 2)] + [(5000 + i, f"m{i:02}", f"m{i + 1:02}", "tie" if i % 3 else f"m{i:02}") for i in range(40)] + [(9000, "x", "y", "nobody")]
+    df = spark.createDataFrame(rows, MATCHES).repartition(5)
+    found = {r.model: r.circle for r in arena.circles(df).collect()}
+    assert found == {**{f"a{i}": "a0" for i in range(9)}, "b": "b", "c": "b", **{f"m{i:02}": "m00" for i in range(41)}, "x": "x", "y": "x"}
+    whole = {r.model: r.rating for r in arena.ratings(df).collect()}
+    assert {r.model: r.rating for r in arena.ratings_apart(df).collect()} == pytest.approx(whole) and len(whole) == 52
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_ratings_follow_a_log(spark, tmp_path, by):
+    rows = [(i % 3, *r) for i, r in enumerate(match_rows(240, list("abcde")))]
+    schema = f"g long, {MATCHES}"
+    whole = spark.createDataFrame(rows, schema)
+    args = (f"{tmp_path}/log", whole.schema, f"{tmp_path}/state", f"{tmp_path}/checkpoint", by)
+    for a, b in ((0, 1), (1, 100), (100, 101), (101, 240)):
+        spark.createDataFrame(rows[a:b], schema).repartition(3).write.mode("append").json(f"{tmp_path}/log")
+        got = elo.follow(spark, *args)
+        want = arena.replay(spark.createDataFrame(rows[:b], schema), by)
+        key = lambda r: (*[r[c] for c in by], r.model)
+        assert {key(r): (r.rating, r.place, r["last"]) for r in got.collect()} == {key(r): (pytest.approx(r.rating), r.place, r["last"]) for r in want.collect()}
+    assert elo.follow(spark, *args).count() == got.count()
+    # A match that comes too late stops the stream, and what was rated stays.
+    spark.createDataFrame([(0, 4, "a", "b", "a")], schema).write.mode("append").json(f"{tmp_path}/log")
+    with pytest.raises(Exception, match="comes after"):
+        elo.follow(spark, *args)
+    assert elo.rated(spark, f"{tmp_path}/state", got.select(*by).schema if by else None).count() == got.count()
+
+
 def test_published_head_to_head(spark):
     rows = [x for _ in range(45) for x in (("s3", "s8", "j", "", "tie"), ("gpt", "s3", "j", "", "gpt"), ("s8", "s3", "j", "", "tie"))] + [("gpt", "s8", "j", "", "nobody")]
     got = arena.matrix(log(spark, rows)).orderBy("row_model")
@@ -306,7 +357,7 @@ def test_tournament_goes_on_after_a_log(spark):
     for n in "ab":
         reg.player(n, arena.echo)
     reg.judge("coin", arena.coin(1))
-    rows = arena.tournament(spark, reg, ["one"], rounds=2, log=log(spark, ROWS)).collect()
+    rows = tournament.tournament(spark, reg, ["one"], rounds=2, log=log(spark, ROWS)).collect()
     assert [r.seq for r in rows] == [5]
 
 
@@ -348,10 +399,113 @@ def test_tournament(spark):
     with pytest.raises(ValueError):
         reg.player("a", arena.echo, "other")
     reg.judge("coin", arena.coin(3), "v1")
-    rows = arena.tournament(spark, reg, ["one", "two"], rounds=3).collect()
+    rows = tournament.tournament(spark, reg, ["one", "two"], rounds=3).collect()
     assert [r.seq for r in rows] == list(range(len(rows))) and {r.winner for r in rows} <= {"a", "b", "c", "tie"} and len(rows) >= 4
 
 
+def plain_tournament(names, judges, verdicts, prompts, rounds, rating):
+    """One match after the other, as they are played."""
+    rows, every = [], len(names) * (len(names) - 1) // 2
+    for no, prompt in enumerate(prompts):
+        played = set()
+        for turn in range(rounds):
+            if len(played) >= every:
+                break
+            for a, b in arena.pair_up(names, rating, played, turn):
+                for j in judges:
+                    f, r = verdicts(j, prompt, names[a], names[b]), verdicts(j, prompt, names[b], names[a])
+                    pf, pr = {"A": "a", "B": "b"}.get(f, "tie"), {"A": "b", "B": "a"}.get(r, "tie")
+                    slot = pf if pf == pr else "tie"
+                    s = {"a": 1.0, "b": 0.0}.get(slot, 0.5)
+                    gain = 8 * (s - 1 / (1 + 10 ** ((rating[b] - rating[a]) / 400)))
+                    rating[a] += gain
+                    rating[b] -= gain
+                    rows.append((prompt, a, b, f"{prompt}{names[a]}", f"{prompt}{names[b]}", j, {"a": a, "b": b}.get(slot, "tie"), f, r))
+    return rows
+
+
+@pytest.mark.parametrize(("players", "rounds", "waves"), [(5, 3, 6), (4, 5, 6), (6, 2, 0), (6, 2, 1), (1, 3, 6), (2, 3, 6)])
+def test_tournament_is_the_one_played_match_by_match(spark, players, rounds, waves):
+    names = {f"p{i}": f"<{i * 7 % 5}>" for i in range(players)}
+    reg = arena.Registry()
+    for n, mark in names.items():
+        reg.player(n, lambda p, mark=mark: F.concat(p, F.lit(mark)))
+    said = lambda salt, p, x, y: "ABt"[int(hashlib.md5(f"{salt}{p}{x}{y}".encode()).hexdigest()[:6], 16) % 3].replace("t", "tie")
+
+    def judge(salt):
+        pick = lambda p, x, y: F.conv(F.substr(F.md5(F.concat(F.lit(salt), p, x, y).cast("binary")), F.lit(1), F.lit(6)), 16, 10).cast("long") % 3
+        return lambda p, x, y: F.struct(F.when(pick(p, x, y) == 0, "A").when(pick(p, x, y) == 1, "B").otherwise("tie").alias("winner"), F.lit("r").alias("reason"))
+
+    for j in ("j1", "j2"):
+        reg.judge(j, judge(j), "v")
+    prompts = [f"prompt {i}" for i in range(12)] + ["prompt 3"]
+    got = [(r.prompt, r.model_a, r.model_b, r.response_a, r.response_b, r.judge, r.winner, r.verdict_forward, r.verdict_reverse) for r in tournament.tournament(spark, reg, prompts, rounds, waves=waves).orderBy("seq").collect()]
+    verdicts = lambda j, p, x, y: said(j, p, p + x, p + y)
+    want = plain_tournament(names, ("j1", "j2"), verdicts, prompts, rounds, dict.fromkeys(names, 1500.0))
+    assert got == want
+
+
+def test_tournament_again_makes_no_call(spark, tmp_path):
+    reg = arena.Registry()
+    for n in "abc":
+        reg.player(n, arena.from_texts(lambda texts, n=n: [f"{n}{t}" for t in texts]))
+    reg.judge("coin", arena.coin(3), "v1")
+    prompts = [f"q{i}" for i in range(40)]
+    jobs = []
+    tracker = spark.sparkContext.statusTracker()
+    for group, some in (("few", prompts[:4]), ("many", prompts)):
+        spark.sparkContext.setJobGroup(group, group)
+        rows = tournament.tournament(spark, reg, some, folder=f"file://{tmp_path}/{group}").orderBy("seq").collect()
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs[1] <= 2 * jobs[0]
+
+    def broken(texts):
+        raise AssertionError("asked again")
+
+    for n in "abc":
+        reg.players[n] = (arena.from_texts(broken), "")
+    reg.judges["coin"] = (lambda p, a, b: F.struct(F.raise_error(F.lit("judged again")).cast("string").alias("winner"), F.lit("").alias("reason")), "v1")
+    again = tournament.tournament(spark, reg, prompts, folder=f"file://{tmp_path}/many").orderBy("seq").collect()
+    assert again == rows and len(rows) == 120
+
+
+def test_cache_of_two_writers_and_of_one_that_is_lost(spark, tmp_path):
+    path = f"file://{tmp_path}/c"
+    one, two = Cache(spark, path, "v string"), Cache(spark, path, "v string")
+    df = lambda rows: spark.createDataFrame(rows, "key string, v string")
+    held = lambda c: {r.key: r.v for r in c.read().collect()}
+    assert held(one) == {}
+    # Both have looked before either has written.
+    first, second = one._write(df([("a", "1"), ("b", "1")])), two._write(df([("b", "2"), ("c", "2")]))
+    one._commit({"table": first})
+    two._commit({"table": second})
+    assert held(one) == held(two) == {"a": "1", "b": "1", "c": "2"}
+    # A table that was never named, and a number that was taken by a writer who is lost.
+    two._write(df([("z", "9")]))
+    (tmp_path / "c/commits/000000000002").touch()
+    one.put(df([("a", "7"), ("d", "4"), ("d", "3"), (None, "x")]))
+    assert held(one) == {"a": "1", "b": "1", "c": "2", "d": "3"}
+    calls = []
+
+    def call(missing):
+        calls.append(sorted(r.key for r in missing.collect()))
+        return missing.withColumn("v", F.concat("key", F.lit("!")))
+
+    wanted = spark.createDataFrame([("a", 1), ("e", 2), ("e", 3), (None, 4)], "key string, n int")
+    for _ in range(2):
+        got = sorted((r.n, r.key, r.v) for r in two.through(wanted, call).collect())
+        assert got == [(1, "a", "1"), (2, "e", "e!"), (3, "e", "e!"), (4, None, None)]
+    assert calls == [["e"], []]
+    before = held(one)
+    one.compact()
+    assert held(two) == before and len(one._commits()) == 1
+    two.put(df([("f", "6"), ("a", "0")]))
+    one.compact()
+    one.compact()
+    assert held(one) == before | {"f": "6"} and {r.key for r in one.read(df([("f", "")])).collect()} == {"f"}
+
+
 def test_caches(spark):
     logged = spark.createDataFrame([(1, "k", "old"), (2, "k", "new"), (3, "m", "x")], "seq long, key string, value string")
     assert {r.key: r.value for r in arena.last_write(logged).collect()} == {"k": "new", "m": "x"}

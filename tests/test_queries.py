@@ -45,8 +45,8 @@ def test_queries_take_the_operators_defaults(spark, sf, monkeypatch):
     from tidewright.operators import arena, tokens
 
     seen = []
-    resamples = arena.resamples
-    monkeypatch.setattr(arena, "resamples", lambda matches, n, *more: seen.append(n) or resamples(matches, n, *more))
+    bootstrap = arena.bootstrap
+    monkeypatch.setattr(arena, "bootstrap", lambda matches, n=200, *more: seen.append(n) or bootstrap(matches, n, *more))
     QUERIES["leaderboard"](spark, sf)
     QUERIES["bootstrap_ci"](spark, sf)
     assert seen == [200, 200]

@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
 from .order import digest, ordered_index
 
 BASE, K = 1500.0, 8.0
@@ -23,6 +24,7 @@ def expected(a: Column, b: Column) -> Column:
 
 def consolidate(forward: Column, reverse: Column) -> Column:
     """struct of slot (a, b or tie) and reason from a verdict and the one with sides swapped."""
+    # " | swap: " and "swap disagreed" are fixed values of the log's format.
     picks = lambda v, a, b: F.when(v["winner"] == "A", a).when(v["winner"] == "B", b).otherwise("tie")
     f, r = picks(forward, "a", "b"), picks(reverse, "b", "a")
     slot = F.when((f != "tie") & (f == r), f).otherwise("tie")
@@ -85,34 +87,49 @@ def judge_versions(matches: DataFrame) -> DataFrame:
     return matches.groupBy("judge").agg(F.sort_array(F.collect_set(F.coalesce("judge_version", F.lit("")))).alias("versions")).withColumn("mixed", F.size("versions") > 1)
 
 
-def replay(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: float = BASE, unknown: float | None = None) -> DataFrame:
-    """by, model, rating, and place: whether a model was the first, second, ... to be rated in its group.
+def _score(unknown: float | None) -> Column:
+    return F.when(F.col("winner") == F.col("model_a"), 1.0).when(F.col("winner") == F.col("model_b"), 0.0).when(F.col("winner") == "tie", 0.5).otherwise(F.lit(unknown).cast("double"))
+
+
+def replay(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: float = BASE, unknown: float | None = None, start: DataFrame | None = None) -> DataFrame:
+    """by, model, rating, place and last after each group's matches: place is the order in which a group's models were first rated, last
+    the group's last seq.
 
     A replay is sequential. Groups are dealt to tasks, each task reads its groups' matches in order, batch by
     batch, and holds the ratings of one group only, so a log of any length needs no more than its models.
-    A winner that is nobody changes and rates nothing, or scores ``unknown`` if given. Of equal seq the names decide."""
-    score = F.when(F.col("winner") == F.col("model_a"), 1.0).when(F.col("winner") == F.col("model_b"), 0.0).when(F.col("winner") == "tie", 0.5).otherwise(F.lit(unknown).cast("double"))
-    rows = matches.select(*by, "seq", "model_a", "model_b", score.alias("score")).where("score IS NOT NULL")
-    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, "seq", "model_a", "model_b", "score")
+    A winner that is nobody changes and rates nothing, or scores ``unknown`` if given. Of equal seq the names decide.
+    ``start`` is what an earlier replay returned: its groups go on from there, and a match whose seq isn't after the group's last is an error."""
+    one = matches.select(*by, F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), "model_a", "model_b", _score(unknown).alias("score"), F.lit(None).cast("long").alias("last")).where("score IS NOT NULL")
+    if start is not None:
+        one = start.select(*by, F.lit(0).alias("kind"), F.col("place").alias("seq"), F.col("model").alias("model_a"), F.lit(None).cast("string").alias("model_b"), F.col("rating").alias("score"), "last").unionByName(one)
+    rows = (one.repartition(*by) if by else one.repartition(1)).sortWithinPartitions(*by, "kind", "seq", "model_a", "model_b", "score")
     keys = rows.select(*by).schema if by else None
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in keys] if by else []
-    names = [*by, "model", "rating", "place"]
+    names = [*by, "model", "rating", "place", "last"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rated, kinds = None, {}, None
+        group, rated, kinds, before, last = None, {}, None, None, None
 
         def done() -> pa.RecordBatch:
             columns = [pa.array([group[i]] * len(rated), t) for i, t in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(list(rated), pa.string()), pa.array(list(rated.values()), pa.float64()), pa.array(range(len(rated)), pa.int64())], names=names)
+            own = [pa.array(list(rated), pa.string()), pa.array(list(rated.values()), pa.float64()), pa.array(range(len(rated)), pa.int64()), pa.array([last] * len(rated), pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *own], names=names)
 
         for batch in batches:
             kinds = batch.schema.types[: len(by)]
             groups = zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True) if by else [()] * batch.num_rows
-            for key, a, b, s in zip(groups, *[batch.column(len(by) + i).to_pylist() for i in (1, 2, 3)], strict=True):
+            for key, kind, seq, a, b, s, known in zip(groups, *[batch.column(len(by) + i).to_pylist() for i in range(6)], strict=True):
                 if key != group:
                     if rated:
                         yield done()
-                    group, rated = key, {}
+                    group, rated, before, last = key, {}, None, None
+                if not kind:
+                    rated[a], before = s, known
+                    last = known
+                    continue
+                if before is not None and seq is not None and seq <= before:
+                    raise ValueError(f"match {seq} comes after match {before} has been rated")
+                last = seq if last is None or seq is not None and seq > last else last
                 x, y = rated.get(a, base), rated.get(b, base)
                 gain = k * (s - 1 / (1 + 10 ** ((y - x) / 400)))
                 rated[a] = x + gain
@@ -120,12 +137,12 @@ def replay(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: flo
         if rated:
             yield done()
 
-    return rows.mapInArrow(fold, ", ".join([*types, "model string", "rating double", "place long"]))
+    return rows.mapInArrow(fold, ", ".join([*types, "model string", "rating double", "place long", "last long"]))
 
 
 def ratings(matches: DataFrame, by: tuple[str, ...] = (), k: float = K, base: float = BASE, unknown: float | None = None) -> DataFrame:
     """by, model, rating after replaying each group's matches in order (seq); see replay()."""
-    return replay(matches, by, k, base, unknown).drop("place")
+    return replay(matches, by, k, base, unknown).drop("place", "last")
 
 
 def warm_start(matches: DataFrame, k: float = K, base: float = BASE) -> DataFrame:
@@ -133,23 +150,96 @@ def warm_start(matches: DataFrame, k: float = K, base: float = BASE) -> DataFram
     return ratings(matches, (), k, base, 0.5)
 
 
-#: Matches of a log that may be sent to all tasks.
+def circles(matches: DataFrame) -> DataFrame:
+    """model and circle: the least model that it is linked with by matches, directly or through others.
+
+    Pairs that have met are few beside matches, and are found by partial counts. Each round a model takes the least circle of those it
+    has met and that circle's own one, so long chains shrink by half; rounds are written in the shared folder until none changes."""
+    spark = matches.sparkSession
+    folder = shared_folder(spark)
+    met = sides(matches.withColumn("winner", F.lit("tie"))).where("model IS NOT NULL AND other IS NOT NULL").select("model", "other").distinct()
+    met.write.parquet(f"{folder}/met")
+    met = spark.read.schema(met.schema).parquet(f"{folder}/met")
+    now, turn = met.select("model").distinct().withColumn("circle", F.col("model")), 0
+    while True:
+        near = met.join(now.select(F.col("model").alias("other"), F.col("circle").alias("_near")), "other").groupBy("model").agg(F.min("_near").alias("_near"))
+        least = now.join(near, "model").withColumn("_least", F.least("circle", "_near"))
+        jump = now.select(F.col("model").alias("_least"), F.col("circle").alias("_jump"))
+        moved = least.join(jump, "_least").select("model", F.least("_least", "_jump").alias("circle"), (F.least("_least", "_jump") != F.col("circle")).alias("moved"))
+        moved.write.parquet(f"{folder}/{turn}")
+        moved = spark.read.schema(moved.schema).parquet(f"{folder}/{turn}")
+        now, turn = moved.select("model", "circle"), turn + 1
+        if moved.where("moved").isEmpty():
+            return now
+
+
+def ratings_apart(matches: DataFrame, k: float = K, base: float = BASE) -> DataFrame:
+    """The ratings of one log. Models that no match links don't influence each other, so each circle of models is replayed by a
+    task of its own."""
+    which = circles(matches)
+    n = which.limit(SENT + 1).count()
+    placed = matches.join(F.broadcast(which) if n <= SENT else which, F.col("model_a") == F.col("model")).drop("model")
+    return ratings(placed, ("circle",), k, base).drop("circle")
+
+
+#: Matches of a log, or models, that may be sent to all tasks.
 SENT = 1_000_000
 
 
 def resamples(matches: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """n_boot samples of as many matches with replacement: columns of matches, replicate, seq (the draw's place).
 
-    Columns named position, draw or replicate are replaced. The log is cached, as it is counted, cut and joined;
+    Columns named position, draw or replicate are replaced. The log is written in the shared folder, as it is counted, cut and joined;
     it is sent to all tasks if the count shows that it is short."""
-    matches = matches.drop("position", "draw", "replicate").cache()
-    spark, n = matches.sparkSession, matches.count()
+    matches = matches.drop("position", "draw", "replicate")
+    spark, path = matches.sparkSession, f"{shared_folder(matches.sparkSession)}/log"
+    matches.write.parquet(path)
+    matches = spark.read.schema(matches.schema).parquet(path)
+    n = matches.count()
     draws = spark.range(n_boot * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).alias("draw"))
     draws = draws.withColumn("position", digest(F.concat_ws(":", "replicate", "draw"), seed) % n)
     numbered = ordered_index(matches, "seq").drop("seq")
     return draws.join(F.broadcast(numbered) if n <= SENT else numbered, "position").withColumnRenamed("draw", "seq").drop("position")
 
 
+def bootstrap(matches: DataFrame, n_boot: int = 200, seed: int = 0, k: float = K, base: float = BASE, sent: int = SENT) -> DataFrame:
+    """replicate, model, rating: each sample of resamples() replayed.
+
+    A log that a count shows to be short goes to all tasks, as two small numbers and a score for each match, and a task draws and replays its replicates from
+    it: nothing is shuffled. The samples of a longer one are shuffled by replicate."""
+    spark = matches.sparkSession
+    log = matches.select("seq", "model_a", "model_b", "winner")
+    if log.limit(sent + 1).count() > sent:
+        return ratings(resamples(log, n_boot, seed), ("replicate",), k, base)
+    rows = log.select("seq", "model_a", "model_b", _score(None).alias("score")).orderBy("seq", "model_a", "model_b", "score").toArrow()
+    names = sorted({m for c in ("model_a", "model_b") for m in rows[c].unique().to_pylist() if m is not None})
+    place = {m: i for i, m in enumerate(names)}
+    # A match that rates nobody, for want of a winner or a name, has no score.
+    coded = [(place.get(a, -1), place.get(b, -1), s if a is not None and b is not None else None) for a, b, s in zip(rows["model_a"].to_pylist(), rows["model_b"].to_pylist(), rows["score"].to_pylist(), strict=True)]
+    shared = spark.sparkContext.broadcast(coded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        log = shared.value
+        n = len(log)
+        for batch in batches:
+            for replicate in batch.column(0).to_pylist():
+                rated: dict[int, float] = {}
+                for draw in range(n):
+                    a, b, s = log[int(md5(f"{seed}:{replicate}:{draw}".encode()).hexdigest()[:12], 16) % n]
+                    if s is None:
+                        continue
+                    x, y = rated.get(a, base), rated.get(b, base)
+                    gain = k * (s - 1 / (1 + 10 ** ((y - x) / 400)))
+                    rated[a] = x + gain
+                    rated[b] = y - gain
+                yield pa.RecordBatch.from_arrays([pa.array([replicate] * len(rated), pa.int32()), pa.array([names[i] for i in rated], pa.string()), pa.array(list(rated.values()), pa.float64())], names=["replicate", "model", "rating"])
+
+    dealt = spark.range(n_boot, numPartitions=max(1, min(n_boot, 4 * spark.sparkContext.defaultParallelism)))
+    return dealt.mapInArrow(run, "replicate int, model string, rating double")
+
+
 def leaderboard(matches: DataFrame, versions: dict[str, str] | None = None, n_boot: int = 200, seed: int = 0, k: float = K, base: float = BASE) -> DataFrame:
     """model, rating, ci_low, ci_high, wins, losses, draws, games, best first, of equal ratings the one rated first.
 
@@ -158,7 +248,7 @@ def leaderboard(matches: DataFrame, versions: dict[str, str] | None = None, n_bo
     matches = of_version(matches, versions)
     out = replay(matches, (), k, base).join(counts(matches), "model")
     if n_boot:
-        boot = ratings(resamples(matches.select("seq", "model_a", "model_b", "winner"), n_boot, seed), ("replicate",), k, base)
+        boot = bootstrap(matches, n_boot, seed, k, base)
         ci = boot.groupBy("model").agg(F.percentile("rating", F.lit(0.025)).alias("low"), F.percentile("rating", F.lit(0.975)).alias("high"))
         out = out.join(ci, "model", "left")
     else:
@@ -169,7 +259,7 @@ def leaderboard(matches: DataFrame, versions: dict[str, str] | None = None, n_bo
 
 
 def cache_key(*fields: str | Column) -> Column:
-    """SHA-256 over the fields, each followed by a zero byte."""
+    """SHA-256 over the fields, each followed by a zero byte. A null field makes it null, a key that no cache holds."""
     parts = [x for f in fields for x in ((F.col(f) if isinstance(f, str) else f).cast("binary"), F.lit(b"\0"))]
     return F.sha2(F.concat(*parts), 256)
 
@@ -320,40 +410,6 @@ class Registry:
         self.judges[name] = (judge, version)
 
 
-def tournament(spark: SparkSession, registry: Registry, prompts: list[str], rounds: int = 3, k: float = K, base: float = BASE, seed: int = 0, log: DataFrame | None = None) -> DataFrame:
-    """Swiss rounds over every prompt; returns the new rows of the match table.
-
-    Ratings carry over from one prompt to the next and from an earlier ``log``, whose greatest seq the new rows follow. Answers and verdicts of a
-    round are columns of one small table; a round ends early when every pair has met."""
-    rating, first = {n: base for n in registry.players}, 0
-    if log is not None:
-        rating |= {r.model: r.rating for r in warm_start(log, k, base).collect()}
-        first = 1 + (log.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0])
-    rows: list[tuple] = []
-    every = len(registry.players) * (len(registry.players) - 1) // 2
-    for prompt in prompts:
-        played: set[frozenset[str]] = set()
-        for turn in range(rounds):
-            if len(played) >= every:
-                break
-            pairs = pair_up(registry.players, rating, played, seed + turn)
-            one = spark.createDataFrame([(prompt,)], "prompt string")
-            judged = []
-            for a, b in pairs:
-                ra, rb = registry.players[a][0](F.col("prompt")), registry.players[b][0](F.col("prompt"))
-                for name, (judge, version) in registry.judges.items():
-                    c = consolidate(judge(F.col("prompt"), ra, rb), judge(F.col("prompt"), rb, ra))
-                    judged.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(name).alias("judge"), F.lit(version).alias("version"), c["slot"].alias("slot"), c["reason"].alias("reason")))
-            for r in one.select(F.explode(F.array(*judged)).alias("r")).select("r.*").collect():
-                winner = {"a": r.a, "b": r.b}.get(r.slot, "tie")
-                score = {"a": 1.0, "b": 0.0}.get(r.slot, 0.5)
-                gain = k * (score - 1 / (1 + 10 ** ((rating[r.b] - rating[r.a]) / 400)))
-                rating[r.a] += gain
-                rating[r.b] -= gain
-                rows.append((first + len(rows), prompt, r.a, r.b, r.judge, r.version, winner, r.reason))
-    return spark.createDataFrame(rows, "seq long, prompt string, model_a string, model_b string, judge string, judge_version string, winner string, reason string")
-
-
 def derived_log(events: DataFrame) -> DataFrame:
     """A stand-in match table from an event table: neighbours in a user's events meet, types are the players.
 

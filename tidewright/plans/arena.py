@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arena
+from ..operators.cache import Cache
+from ..operators.tournament import tournament
+from ..storage import shared_folder
+from ..streaming.elo import follow
 from .corpus import H
 from .register import query, table
 
@@ -83,9 +87,32 @@ def elo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.ratings(_log(spark, sf_dir)).select("model", F.round("rating", 1).alias("rating"))
 
 
+@query(f"WITH {_LOG}, {_POINT} SELECT model, round(rating, 1) AS rating FROM f")
+def elo_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ratings from a log that is appended in three parts and followed after each."""
+    folder, log = shared_folder(spark), _log(spark, sf_dir)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    args = (f"{folder}/log", log.schema, f"{folder}/state", f"{folder}/checkpoint")
+    for i in range(3):
+        log.where(f"seq > {last * i // 3 - (i == 0)} AND seq <= {last * (i + 1) // 3}").write.mode("append").json(f"{folder}/log")
+        out = follow(spark, *args)
+    return out.select("model", F.round("rating", 1).alias("rating"))
+
+
+# Types of events of users whose numbers leave the same rest: five models in each of eight circles.
+_CIRCLES = _LOG.replace("SELECT event_id, lag(event_type) OVER u AS model_a, event_type AS model_b", "SELECT event_id, user_id % 8 || lag(event_type) OVER u AS model_a, user_id % 8 || event_type AS model_b")
+
+
+@query(f"WITH {_CIRCLES}, {_POINT} SELECT model, round(rating, 1) AS rating FROM f")
+def elo_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of models that fall into circles, each of which is replayed alone."""
+    events = table(spark, sf_dir, "events").withColumn("event_type", F.concat((F.col("user_id") % 8).cast("string"), "event_type"))
+    return arena.ratings_apart(arena.derived_log(events)).select("model", F.round("rating", 1).alias("rating"))
+
+
 @query(f"WITH {_LOG}, {_BOOT} SELECT * FROM c")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boot = arena.ratings(arena.resamples(_log(spark, sf_dir), 200), ("replicate",))
+    boot = arena.bootstrap(_log(spark, sf_dir))
     return boot.groupBy("model").agg(F.round(F.percentile("rating", F.lit(0.025)), 1).alias("ci_low"), F.round(F.percentile("rating", F.lit(0.975)), 1).alias("ci_high"))
 
 
@@ -166,4 +193,19 @@ def tournament_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry.judge("coin", arena.coin(3), "v1")
     registry.judge("model", arena.from_verdicts(lambda texts: ['{"winner": "%s", "reason": "length"}' % "AB"[len(t) % 2] for t in texts]), "v1")
     prompts = sorted(r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
-    return arena.tournament(spark, registry, prompts, log=_log(spark, sf_dir))
+    out = tournament(spark, registry, prompts, log=_log(spark, sf_dir))
+    return out.select("seq", "prompt", "model_a", "model_b", "judge", "judge_version", "winner", "reason")
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, 'x' || doc_id % 3 AS kind FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+    SELECT doc_id, CASE WHEN lang <= 'de' THEN 'kept ' || lang ELSE 'said ' || lang || ' ' || source || ' ' || kind END AS answer, CASE WHEN lang <= 'de' THEN 0 ELSE 1 END::BIGINT AS call FROM d""")
+def cached_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers by language, source and kind through a cache that knows some languages; a second writer and a second run change nothing."""
+    store = Cache(spark, f"{shared_folder(spark)}/cache", "answer string, call long")
+    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL").withColumn("kind", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string")))
+    wanted = docs.select("doc_id", "lang", "source", "kind", arena.cache_key("lang", "source", "kind").alias("key"))
+    store.put(wanted.where("lang <= 'de'").select("key", F.concat(F.lit("kept "), "lang").alias("answer"), F.lit(0).cast("long").alias("call")))
+    says = lambda n: lambda missing: missing.select("key", F.concat_ws(" ", F.lit("said"), "lang", "source", "kind").alias("answer"), F.lit(n).cast("long").alias("call"))
+    store.through(wanted, says(1))
+    store.put(says(9)(wanted))
+    return store.through(wanted, says(2)).select("doc_id", "answer", "call")
