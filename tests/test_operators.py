@@ -53,6 +53,30 @@ def test_combine(spark):
     assert {r.key for r in mixed} == {*range(10), *range(100, 105)}
 
 
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 3.0}, {"a": 5.0, "b": 1.0, None: 2.0}, {"a": 0.01, "b": 1.0}])
+def test_interleave_is_the_one_drawn_row_by_row(spark, weights):
+    draw = lambda key: int(hashlib.md5(f"1337:{key}".encode()).hexdigest()[:12], 16)
+    rows = [(i, "a" if i < 11 else "b" if i < 40 or None not in weights else None) for i in range(55)]
+    order = {n: sorted((i for i, s in rows if s == n), key=lambda i: (draw(i), i)) for n in weights}
+    cuts, total = [], sum(weights.values())
+    for n in weights:
+        cuts.append((cuts[-1] if cuts else 0) + weights[n])
+    want, at, done, i = [], dict.fromkeys(weights, 0), set(), 0
+    while len(done) < len(weights):
+        n = list(weights)[sum(int(c / total * 2**48) <= draw(i) for c in cuts[:-1])]
+        want.append((i, order[n][at[n]], n))
+        at[n] += 1
+        if at[n] == len(order[n]):
+            done.add(n)
+            at[n] = 0
+        i += 1
+    got = corpus.interleave(spark.createDataFrame(rows, "key long, source string").repartition(4), weights, "key").collect()
+    assert sorted((r.output_order, r.key, r.source) for r in got) == want
+    with pytest.raises(ValueError):
+        corpus.interleave(spark.createDataFrame(rows, "key long, source string"), {"a": 1.0, "x": 2.0}, "key")
+    assert corpus.interleave(spark.createDataFrame([], "key long, source string"), weights, "key").count() == 0
+
+
 def test_exact_split_of_null_and_equal_keys(spark):
     rows = [(None, "a"), (None, "b"), (1, "x"), (1, "y"), (1, "y"), (2, "z")]
     df = spark.createDataFrame(rows, "key long, text string")
@@ -523,6 +547,16 @@ def test_schedule(spark):
     assert metrics.horizon(1, 8000, 4, 16) == 125 and metrics.horizon(0, 10, 4, 16) == 1 and metrics.horizon(9, 8000, 4, 16, most=200) == 200
 
 
+def test_draws_and_their_end(spark):
+    p = F.array(*[F.lit(x) for x in (0.0, 0.2, 0.0, 0.5, 0.3, 0.0)])
+    n = {r.place: r["count"] for r in spark.range(20_000).select(metrics.draw(p, F.col("id"), 3).alias("place")).groupBy("place").count().collect()}
+    assert set(n) == {1, 3, 4} and all(abs(n[i] - 20_000 * x) < 400 for i, x in ((1, 0.2), (3, 0.5), (4, 0.3)))
+    assert one(spark, metrics.draw(F.array(F.lit(0.0), F.lit(1e-9), F.lit(0.0)), F.lit(1), 3)) == 1 and one(spark, metrics.draw(F.array().cast("array<double>"), F.lit(1), 3)) is None
+    ids = lambda *x: F.array(*map(F.lit, x))
+    assert [one(spark, metrics.until_end(ids(*x), 0)) for x in ((1, 2, 0, 3), (0, 1), (4, 5))] == [[1, 2], [], [4, 5]]
+    assert one(spark, metrics.horizons(2.0, F.lit(40), 4, 2)) == metrics.horizon(2.0, 40, 4, 2) == 10 and one(spark, metrics.horizons(1.0, F.lit(20), 4, 2)) == metrics.horizon(1.0, 20, 4, 2) == 2
+
+
 def test_top_k_keeps_ties(spark):
     p = one(spark, metrics.top_k_softmax(F.array(*map(F.lit, (1.0, 3.0, 3.0, 2.0))), 1))
     assert p == pytest.approx([0, 0.5, 0.5, 0])
@@ -649,6 +683,17 @@ def test_rare_words_count_as_well(spark):
     assert tokens.train(often.unionByName(rare), 258)["merges"] == [["z", "y"]]
 
 
+def test_windows_of_equal_rows_and_few_ids(spark):
+    rows = [(1, [1, 2, 3])] * 7 + [(2, [4] * 40)] * 3 + [(None, [9, 8])] * 2 + [(2, []), (5, list(range(100, 20_000)))]
+    flat = [9, 8] * 2 + [1, 2, 3] * 7 + [4] * 120 + list(range(100, 20_000))
+    for block in (4, 30, 5000):
+        for r in tokens.windows(spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(5), "doc_id", block, 40).collect():
+            assert r.x == flat[r.start : r.start + block] and r.y == flat[r.start + 1 : r.start + 1 + block]
+    plan = tokens.windows(spark.createDataFrame(rows, "doc_id long, ids array<int>"), "doc_id", 4, 9)._jdf.queryExecution().executedPlan().toString()
+    # Ids are cut where they are joined: no exchange carries them but that of the parts.
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "ids#" in line]
+
+
 def test_windows(spark):
     rows = [(i, list(range(sum(range(i)) + 0, sum(range(i + 1))))) for i in range(60)]
     flat = [x for _, ids in rows for x in ids]

@@ -443,7 +443,7 @@ def export_all(matches: DataFrame, out: str, versions: dict[str, str] | None = N
     board = leaderboard(matches, versions, n_boot)
     reports = {"matches": (matches.orderBy("seq"), MATCH_COLUMNS), "leaderboard": (board, board.columns), "head_to_head": ((m := matrix(matches)).orderBy("row_model"), m.columns)}
     for name, (df, columns) in reports.items():
-        csv(df, columns, f"{out}/{name}")
+        csv(df, columns, f"{out}/{name}", name != "matches")
     return {name: f"{out}/{name}" for name in reports}
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import digest, shuffled_index
+from .order import digest, ordered_index, shuffled_index
 
 #: White space as Python's \s has it: Unicode, and the four separators that Java leaves out.
 WHITE = r"(?U)[\s\x1c-\x1f]+"
@@ -77,12 +77,48 @@ def fraction_split(df: DataFrame, key: str, fraction: float = 0.02, seed: int =
     return exact_split(df, key, max(1, int(df.count() * fraction)), seed)
 
 
-def combine(parts: dict[str, DataFrame], weights: dict[str, float], key: str, seed: int = 1337) -> DataFrame:
-    """One table of several sources, each a table with ``key``; adds ``source`` and ``output_order``. See combine_by().
+def combine(parts: dict[str, DataFrame], weights: dict[str, float], key: str, seed: int = 1337, draws: bool = False) -> DataFrame:
+    """One table of several sources, each a table with ``key``; adds ``source`` and ``output_order``. See combine_by(), or with ``draws`` interleave().
 
     Columns of the sources that are named source or output_order are replaced."""
     tables = [d.drop("output_order").withColumn("source", F.lit(n).cast("string")) for n, d in parts.items()]
-    return combine_by(reduce(DataFrame.unionByName, tables), {n: weights[n] for n in parts}, key, seed)
+    return (interleave if draws else combine_by)(reduce(DataFrame.unionByName, tables), {n: weights[n] for n in parts}, key, seed)
+
+
+def interleave(df: DataFrame, weights: dict[str | None, float], key: str, seed: int = 1337) -> DataFrame:
+    """A table with a ``source`` for each row (one of the names in ``weights``, which may be null), drawn row by row.
+
+    One source passes as it is, and equal weights give a plain union (output_order null). Otherwise each position of the output draws a
+    source by weight and takes its next row in a seeded order, beginning again where it runs out, until every source has been used up once:
+    the last position is the one at which the last source gives its last row for the first time. Positions are made by a
+    range, and their rank among the draws of their source by cells with offsets, so no task walks through the
+    output. The driver sees one count a source. A source that has rows but no weight is an error, as it would never be used up."""
+    df = df.drop("output_order")
+    if len(set(weights.values())) <= 1:
+        return df.withColumn("output_order", F.lit(None).cast("long"))
+    spark = df.sparkSession
+    sizes = {r.source: r["count"] for r in df.groupBy("source").count().collect()}
+    if any(weights.get(n, 0) <= 0 for n in sizes):
+        raise ValueError("every source needs a weight above 0")
+    names = [n for n in weights if n in sizes]
+    total, cuts = sum(weights[n] for n in names), []
+    for n in names[:-1]:
+        cuts.append((cuts[-1] if cuts else 0) + weights[n])
+    ends = F.array(*[F.lit(int(c / total * (1 << 48))) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    length = int(1.1 * max((sizes[n] * total / weights[n] for n in names), default=0)) + 100
+    while True:
+        drawn = spark.range(length).select(F.col("id").alias("output_order"), F.size(F.filter(ends, lambda c: c <= digest(F.col("id"), seed))).alias("_s"))
+        found = {r["_s"]: r["count"] for r in drawn.groupBy("_s").count().collect()}
+        if all(found.get(i, 0) >= sizes[n] for i, n in enumerate(names)):
+            break
+        length *= 2
+    # One row for each source.
+    plan = F.broadcast(spark.createDataFrame([(i, n, sizes[n]) for i, n in enumerate(names)], "_s int, _source string, _n long"))
+    ranked = ordered_index(drawn, "output_order", ["_s"], "_k").join(plan, "_s")
+    last = ranked.where("_k = _n - 1").agg(F.coalesce(F.max("output_order"), F.lit(-1))).first()[0]
+    taken = ranked.where(F.col("output_order") <= last).select("output_order", "_s", (F.col("_k") % F.col("_n")).alias("_i"))
+    rows = shuffled_index(df, key, seed, ["source"], "_i").join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_n")
+    return rows.join(taken, ["_s", "_i"]).drop("_s", "_i")
 
 
 def combine_by(df: DataFrame, weights: dict[str | None, float], key: str, seed: int = 1337) -> DataFrame:

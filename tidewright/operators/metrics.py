@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import digest
+
 
 def perplexity(df: DataFrame, loss: str, tokens: str, by: tuple[str, ...] = ()) -> DataFrame:
     """by, n_tokens, loss (mean over tokens) and perplexity."""
@@ -33,6 +35,27 @@ def horizon(epochs: float, tokens: int, batch: int, block: int, accumulation: in
     return min(steps, most) if most else steps
 
 
+def horizons(epochs: float, tokens: Column, batch: int, block: int, accumulation: int = 1, most: int | None = None) -> Column:
+    """horizon() of a column of token counts."""
+    steps = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(epochs) * tokens / float(batch * block * accumulation)).cast("long"))
+    return F.least(steps, F.lit(most).cast("long")) if most else steps
+
+
+def draw(probabilities: Column, key: Column, seed: int) -> Column:
+    """A place of an array of probabilities, drawn by a digest of ``key``: the first one up to which they sum to more than the draw.
+
+    Rounding may leave the sum below 1; a draw beyond it takes the last place with a probability. Null for an empty array."""
+    u = digest(key, seed) / float(1 << 48)
+    step = lambda acc, p: F.struct((acc["sum"] + p).alias("sum"), (acc["at"] + 1).alias("at"), F.when((p > 0) & ~acc["done"], acc["at"]).otherwise(acc["place"]).alias("place"), (acc["done"] | (acc["sum"] + p > u)).alias("done"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("place"), F.lit(False).alias("done"))
+    return F.aggregate(probabilities, start, step, lambda acc: acc["place"])
+
+
+def until_end(ids: Column, end: int) -> Column:
+    """Ids before the first end token, all of them if there is none."""
+    return F.when(F.array_contains(ids, end), F.slice(ids, 1, F.array_position(ids, end).cast("int") - 1)).otherwise(ids)
+
+
 def top_k_softmax(values: Column, k: int, temperature: float = 1.0) -> Column:
     """Softmax of an array with all below the k-th largest value at 0; ties with the k-th stay."""
     scaled = F.transform(values, lambda v: v.cast("double") / temperature)

@@ -75,9 +75,9 @@ def ordered_index(df: DataFrame, key: str, by: list[str] | None = None, name: st
     return _with_offset(df, by, F.lit(1)).withColumn(name, (within + F.col("_before")).cast("long")).drop("_cell", "_before")
 
 
-def running_total(df: DataFrame, key: str, value: str, name: str = "before") -> DataFrame:
-    """The sum of ``value`` over all rows before each one, in the order of a whole-number key."""
+def running_total(df: DataFrame, key: str, value: str, name: str = "before", then: tuple[str, ...] = ()) -> DataFrame:
+    """The sum of ``value`` over all rows before each one, in the order of a whole-number key, of equal ones of ``then``."""
     df = df.withColumn("_cell", range_cell(df, key))
-    frame = Window.partitionBy("_cell").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    frame = Window.partitionBy("_cell").orderBy(key, *then).rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.sum(value).over(frame), F.lit(0))
     return _with_offset(df, [], F.col(value)).withColumn(name, (within + F.col("_before")).cast("long")).drop("_cell", "_before")

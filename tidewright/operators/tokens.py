@@ -186,7 +186,7 @@ def merges(counted: DataFrame, vocab_size: int = 8192, special: tuple[str, ...]
     """Left and right of the byte-pair merges, in order, of a table of distinct words (word, count), which is read twice.
 
     The most frequent pair is merged first, of equal ones that with the least left id, then right id; special tokens
-    come first, then all bytes. Words are dealt to tasks by hash, and a task keeps its words' letters for the whole training, some 8 bytes
+    come first, then all bytes. Words are dealt evenly to tasks, and a task keeps its words' letters for the whole training, some 8 bytes
     for each. The tasks are a barrier stage: in each round all take the same batch of merges that can't influence each other, apply
     it to their words and add up, through the shared folder, by how much pairs' counts have changed. So every task knows all pairs' counts,
     whose number is bounded by the vocabulary's square and not by the corpus; nothing of it passes the driver. Losing an
@@ -206,13 +206,13 @@ def merges(counted: DataFrame, vocab_size: int = 8192, special: tuple[str, ...]
         counts = np.concatenate([np.zeros(0, np.int64), *[n for _, n in held]])
         # Task 0 names a folder of this attempt.
         attempt = context.allGather(uuid4().hex)[0]
-        total = SharedSum(f"{folder}/{attempt}", context.partitionId(), tasks)
+        total = SharedSum(f"{folder}/{attempt}", context.partitionId(), len(context.getTaskInfos()))
         found = _learn(words, counts, list(names), vocab_size, total.add)
         if context.partitionId() == 0 and found:
             left, right = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["rank", "left", "right"])
 
-    rows = counted.select("word", F.col("count").cast("long").alias("count")).repartition(tasks, "word")
+    rows = counted.select("word", F.col("count").cast("long").alias("count")).repartition(tasks)
     found = rows.mapInArrow(run, "rank long, left string, right string", barrier=True).collect()
     return [(r.left, r.right) for r in sorted(found, key=lambda r: r["rank"])]
 
@@ -252,6 +252,8 @@ def check_vocabulary(tokenizer: dict, end: str = "<|endoftext|>") -> int:
     return tokenizer["vocab"][end]
 
 
+#: Parts of windows up to which their places are sent to all tasks.
+MET = 500_000
 #: Words that a task remembers.
 REMEMBERED = 500_000
 
@@ -354,24 +356,35 @@ def token_totals(encoded: DataFrame) -> DataFrame:
 def windows(encoded: DataFrame, key: str, block: int, n: int, seed: int = 1337) -> DataFrame:
     """n windows of the flat token stream (rows in the order of ``key``), with replacement: draw, start, x, y.
 
-    Starts are drawn by digest from [0, total - block - 1). Rows get their offset by two-phase running sums, and
-    a window is put together from the rows that it meets: the row is joined by range through the blocks
-    that both fall into, so no task holds the stream. A stream without room is an error."""
+    Starts are drawn by digest from [0, total - block - 1). Where rows lie in the stream is found from their sizes alone, and so is
+    which rows a window meets: both are dealt into cells of the stream, and tables of numbers are joined. Then each row that was met gives its part of a
+    window, so only these parts are shuffled. Rows with equal keys stand in the order of a digest of their ids. A stream without room is an error."""
     spark = encoded.sparkSession
-    rows = running_total(encoded.where(F.size("ids") > 0).withColumn("_n", F.size("ids").cast("long")), key, "_n", "_from").select("_from", "ids", "_n")
-    total = encoded.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    some = encoded.where(F.size("ids") > 0).select(F.col(key).alias("_key"), F.xxhash64("ids").alias("_tie"), "ids")
+    # Wholly equal rows are one, which comes several times.
+    sizes = some.groupBy("_key", "_tie", F.size("ids").cast("long").alias("_n")).agg(F.count("*").alias("_times")).withColumn("_span", F.col("_n") * F.col("_times"))
+    path = f"{shared_folder(spark)}/offsets"
+    running_total(sizes, "_key", "_span", "_from", ("_tie", "_n")).write.parquet(path)
+    offsets = spark.read.parquet(path)
+    total = offsets.agg(F.coalesce(F.sum("_span"), F.lit(0))).first()[0]
     room = total - block - 1
     if room <= 0:
         raise ValueError(f"{total} tokens are too few for windows of {block}")
+    cell = max(4 * block, 4096)
     draws = spark.range(n).select(F.col("id").alias("draw")).withColumn("start", digest(F.col("draw"), seed) % room)
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(b / block)))
-    near = rows.withColumn("cell", cells(F.col("_from"), F.col("_from") + F.col("_n") - 1))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
+    near = offsets.withColumn("cell", cells(F.col("_from"), F.col("_from") + F.col("_span") - 1))
     want = draws.withColumn("cell", cells(F.col("start"), F.col("start") + block))
-    first = F.greatest("start", F.col("_from"), F.col("cell") * block)
-    last = F.least(F.col("start") + block + 1, F.col("_from") + F.col("_n"), (F.col("cell") + 1) * block)
-    met = want.join(near, "cell").withColumn("_a", first).withColumn("_b", last).where("_a < _b")
-    pieces = met.select("draw", "start", F.struct("_a", F.slice("ids", (F.col("_a") - F.col("_from") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")).alias("ids")).alias("p"))
-    flat = pieces.groupBy("draw", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["ids"])).alias("ids"))
+    first = F.greatest("start", F.col("_from"), F.col("cell") * cell)
+    last = F.least(F.col("start") + block + 1, F.col("_from") + F.col("_span"), (F.col("cell") + 1) * cell)
+    met = want.join(near, "cell").withColumn("_a", first).withColumn("_b", last).where("_a < _b").select("draw", "start", "_key", "_tie", "_n", "_a", "_b", ((F.col("_a") - F.col("_from")) % F.col("_n")).cast("int").alias("_at"))
+    few = met.limit(MET + 1).count() <= MET
+    rows = some.withColumnsRenamed({"_key": "_k", "_tie": "_t"}).join(F.broadcast(met) if few else met, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")))
+    size = (F.col("_b") - F.col("_a")).cast("int")
+    again = F.flatten(F.array_repeat("ids", F.ceil((F.col("_at") + size) / F.col("_n")).cast("int")))
+    part = F.when(F.col("_at") + size <= F.col("_n"), F.slice("ids", F.col("_at") + 1, size)).otherwise(F.slice(again, F.col("_at") + 1, size))
+    pieces = rows.select("draw", "start", F.struct("_a", part.alias("ids")).alias("p"))
+    flat = pieces.groupBy("draw", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_set("p")), lambda p: p["ids"])).alias("ids"))
     return flat.select("draw", "start", F.slice("ids", 1, block).alias("x"), F.slice("ids", 2, block).alias("y"))
 
 

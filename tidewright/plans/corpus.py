@@ -52,11 +52,15 @@ def shuffle_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.shuffle_select(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-def _mixed(spark: SparkSession, sf_dir: str, weights: tuple[float, ...]) -> DataFrame:
-    """All sources of documents by weights that repeat in the order of their names, a null one last; a row for each comes to the driver."""
+def _weighted(spark: SparkSession, sf_dir: str, weights: tuple[float, ...]) -> tuple[DataFrame, dict]:
+    """All sources of documents and weights that repeat in the order of their names, a null one last; a row for each comes to the driver."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     names = sorted((r.source for r in docs.select("source").distinct().collect()), key=lambda n: (n is None, n or ""))
-    return corpus.combine_by(docs, {n: weights[i % len(weights)] for i, n in enumerate(names)}, "doc_id")
+    return docs, {n: weights[i % len(weights)] for i, n in enumerate(names)}
+
+
+def _mixed(spark: SparkSession, sf_dir: str, weights: tuple[float, ...]) -> DataFrame:
+    return corpus.combine_by(*_weighted(spark, sf_dir, weights), "doc_id")
 
 
 @query("SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source")
@@ -77,6 +81,21 @@ def combine_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.round("output_order", 6).alias("output_order"))
 
 
+@query(f"""
+    WITH w AS (SELECT source, n, [3.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+    c AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS LAST) AS s, floor(sum(weight) OVER (ORDER BY source NULLS LAST) / (SELECT sum(weight) FROM w) * 281474976710656.0::DOUBLE)::BIGINT AS upto FROM w),
+    u AS (SELECT list(upto ORDER BY s) AS cuts FROM c),
+    d AS (SELECT i AS output_order, len(list_filter((SELECT cuts FROM u), lambda x: x <= {H.format(seed=1337, key="i")})) + 1 AS s FROM range((SELECT 100 * count(*) + 1000 FROM documents)) r(i)),
+    k AS (SELECT output_order, s, row_number() OVER (PARTITION BY s ORDER BY output_order) - 1 AS k FROM d),
+    t AS (SELECT max(output_order) AS last FROM k JOIN c USING (s) WHERE k = n - 1),
+    i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {H_DOC}, doc_id) - 1 AS i FROM documents)
+    SELECT doc_id, c.source, output_order FROM k JOIN c USING (s) JOIN i ON i.source IS NOT DISTINCT FROM c.source AND i.i = k % n WHERE output_order <= (SELECT last FROM t)""")
+def interleave_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same weights, a source drawn for each position until all are used up."""
+    docs, weights = _weighted(spark, sf_dir, (3.0, 1.0, 1.0))
+    return corpus.interleave(docs.select("doc_id", "source"), weights, "doc_id")
+
+
 @query(f"""
     WITH s AS (SELECT source, text, CASE WHEN row_number() OVER (ORDER BY {H_DOC}, doc_id) <= 50 THEN 'validation' ELSE 'train' END AS split FROM documents),
     t AS (SELECT source, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'validation') AS val_rows,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from .corpus import H
 from .register import query, table
 
 
@@ -24,8 +25,8 @@ def mean_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, least(greatest(1, round_even(2.0::DOUBLE * sum(n_chars) / (4 * 16 * 2), 0)), 5000)::BIGINT AS steps FROM documents GROUP BY source")
 def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of two epochs of each source, 5000 at most."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")).collect()
-    return spark.createDataFrame([(r.source, metrics.horizon(2.0, r.n, 4, 16, 2, 5000)) for r in rows], "source string, steps long")
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n"))
+    return rows.select("source", metrics.horizons(2.0, F.col("n"), 4, 16, 2, 5000).alias("steps"))
 
 
 @query("""SELECT id AS step, round(CASE WHEN id < 100 THEN 3e-4 * (id + 1) / 101 WHEN id > 900 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (id - 100) / 800.0)) * (3e-4 - 3e-5) END, 10) AS rate FROM range(1000) t(id)""")
@@ -42,6 +43,16 @@ def topk_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.array_max("p"), 6).alias("largest"), F.size(F.filter("p", lambda x: x > 0)).alias("kept"))
 
 
+@query(f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / 0.1) AS a FROM embeddings),
+    e AS (SELECT vec_id, list_transform(a, lambda x: CASE WHEN x >= list_reverse_sort(a)[10] THEN exp(x - list_max(a)) ELSE 0.0 END) AS e FROM s),
+    p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p, {H.format(seed=7, key="vec_id")} / 281474976710656.0::DOUBLE AS u FROM e)
+    SELECT vec_id, coalesce(list_min(list_filter(range(len(p)), lambda i: list_sum(p[1:i + 1]) > u)), list_max(list_filter(range(len(p)), lambda i: p[i + 1] > 0)))::INT AS place FROM p""")
+def topk_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A component of each vector, drawn from the softmax of its ten largest."""
+    kept = table(spark, sf_dir, "embeddings").select("vec_id", metrics.top_k_softmax(F.col("embedding"), 10, 0.1).alias("p"))
+    return kept.select("vec_id", metrics.draw(F.col("p"), F.col("vec_id"), 7).alias("place"))
+
+
 @query("""SELECT vec_id, round(list_max(embedding)::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding) + 1e-5), 6) AS largest FROM embeddings""")
 def rmsnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(metrics.rms_norm(F.col("embedding"))), 6).alias("largest"))

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..storage import arrow_path, exists, put_text
 
 
-def csv(df: DataFrame, columns: list[str], path: str) -> None:
-    """The named columns with a header, one file for a small report; other columns are left out."""
-    df.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def csv(df: DataFrame, columns: list[str], path: str, single: bool = True) -> None:
+    """The named columns with headers, other columns are left out: one file for a report that is small by its nature, else a file for each task, in the order
+    of a sorted table's ranges."""
+    out = df.select(*columns)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).csv(path)
 
 
 def append_json(df: DataFrame, path: str) -> None:
