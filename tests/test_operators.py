@@ -787,6 +787,144 @@ def test_token_files(spark, tmp_path, file_ids):
     assert all(r.x == flat[r.start : r.start + 16] for r in windows)
 
 
+def test_token_source_commits_or_leaves_nothing(spark, tmp_path):
+    from tidewright.sources.token_source import TokenIds
+
+    spark.dataSource.register(TokenIds)
+    path = str(tmp_path / "a folder")
+    rows = [(i, [(i * 31 + j) % 65536 for j in range(i % 9)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key long, ids array<int>")
+    ordered = df.repartitionByRange(4, "key").sortWithinPartitions("key")
+    ordered.write.format("token_ids").mode("append").save(path)
+    flat = [x for _, ids in rows for x in ids]
+    read = lambda **o: [x for r in spark.read.format("token_ids").options(**o).load(path).orderBy("file", "block").collect() for x in r.ids]
+    assert read() == read(block=100, task_bytes=900) == flat
+    names = sorted(p.name for p in (tmp_path / "a folder").iterdir())
+    bad = df.withColumn("ids", F.when(F.col("key") == 1999, F.array(F.lit(65536))).otherwise(F.col("ids")))
+    with pytest.raises(Exception, match="65535"):
+        bad.repartition(3).write.format("token_ids").mode("append").save(path)
+    assert read() == flat and [p for p in names if p[0] != "_"] == sorted(p.name for p in (tmp_path / "a folder").iterdir() if p.name[0] != "_")
+    df.limit(0).write.format("token_ids").mode("append").save(path)
+    ordered.select("ids").write.format("token_ids").mode("append").save(path)
+    assert read() == flat + flat
+    ordered.limit(3).coalesce(1).write.format("token_ids").mode("overwrite").save(path)
+    assert read() == [x for _, ids in rows[:3] for x in ids]
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    plan = text.lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "value" in line]
+
+
+def test_files_of_any_length_have_a_digest(spark, tmp_path):
+    (tmp_path / "small").write_bytes(b"x" * 1000)
+    (tmp_path / "empty").write_bytes(b"")
+    with open(tmp_path / "long", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    got = {r.path.rsplit("/", 1)[1]: r.sha256 for r in text.file_digests(spark, str(tmp_path)).collect()}
+    long = hashlib.sha256()
+    for _ in range(512):
+        long.update(bytes(4 << 20))
+    long.update(bytes(5))
+    assert got == {"small": hashlib.sha256(b"x" * 1000).hexdigest(), "empty": hashlib.sha256(b"").hexdigest(), "long": long.hexdigest()}
+
+
+def test_fetching_goes_on_where_it_stopped(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Lock, Thread
+
+    asked, now, most, lock, down = [], [0], [0], Lock(), {"/7"}
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            import time
+
+            with lock:
+                asked.append(self.path)
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.02)
+            book = f"*** START OF THE PROJECT GUTENBERG EBOOK X ***\n\nA page of book {self.path} that is long enough\n\n*** END OF THE PROJECT GUTENBERG EBOOK X ***"
+            with lock:
+                now[0] -= 1
+            self.send_response(503 if self.path in down else 200)
+            self.end_headers()
+            self.wfile.write(book.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base, folder = f"http://127.0.0.1:{server.server_port}", f"file://{tmp_path}/kept"
+    table = lambda ns: spark.createDataFrame([(f"{base}/{n}",) for n in ns], "url string")
+    first = text.fetch_all(spark, table(range(10)), folder, batch=4, tries=1).collect()
+    assert sum(r.text is None for r in first) == 1 and len(asked) == 10 and most[0] <= 2
+    down.clear()
+    again = text.fetch_all(spark, table([*range(12), 3]), folder, tries=1).collect()
+    assert all(r.text for r in again) and len(again) == 12 and sorted(asked[10:]) == ["/10", "/11", "/7"]
+    rows = text.fetched_books(spark, [1, 2], base + "/{}", folder, min_chars=10).collect()
+    assert sorted(r.text for r in rows) == [f"A page of book /{n} that is long enough" for n in (1, 2)] and len(asked) == 13
+    server.shutdown()
+
+
+def plain_rewrite(text, phrases, endings):
+    import re
+
+    out, at = "", 0
+    while at < len(text):
+        m = re.match(r"[A-Za-z']+", text[at:])
+        if not m:
+            out, at = out + text[at], at + 1
+            continue
+        fits = [p for p in phrases if text[at : at + len(p)].lower() == p and not re.match(r"[A-Za-z']", text[at + len(p) :])]
+        if fits:
+            p = max(fits, key=len)
+            found, other = text[at : at + len(p)], phrases[p]
+            letters = re.sub("[^A-Za-z]", "", found)
+            out += other.upper() if len(letters) > 1 and letters == letters.upper() else other[0].upper() + other[1:] if "A" <= found[0] <= "Z" else other
+            at += len(p)
+            continue
+        word = m.group()
+        for e, o in endings:
+            if word.lower().endswith(e) and len(word) > len(e):
+                word = word[: -len(e)] + (o.upper() if word == word.upper() else o)
+                break
+        out, at = out + word, at + len(m.group())
+    return out
+
+
+def test_phrases_are_rewritten_as_by_hand(spark):
+    import random
+
+    from tidewright.operators.rewrite import rewrite
+
+    rng = random.Random(6)
+    words = ["the", "sea", "old", "my", "friend", "it's", "going", "o'", "wind", "a"]
+    phrases = {" ".join(rng.choices(words, k=rng.randint(1, 4))): f"r{i} x" for i in range(60)}
+    endings = (("ing", "in'"), ("d", "t"))
+    case = lambda w: rng.choice([w, w, w.upper(), w.capitalize()])
+    texts = ["".join(case(rng.choice([*words, "singing", "é"])) + rng.choice([" ", " ", " ", "  ", ", ", "\n", "-"]) for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    table = spark.createDataFrame([*phrases.items(), (None, "x"), ("y", None)], "phrase string, replacement string")
+    want = {i: None if t is None else plain_rewrite(t, phrases, endings) for i, t in enumerate(texts)}
+    for sent in (1000, 5):
+        assert {r.id: r.text for r in rewrite(df, "text", table, endings, sent).collect()} == want
+
+
+def test_a_long_dictionary_takes_one_pass(spark):
+    from tidewright.operators.rewrite import rewrite
+
+    table = spark.range(100_000).select(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.when(F.col("id") % 2 == 0, F.lit(" end")).otherwise(F.lit(""))).alias("phrase"), F.col("id").cast("string").alias("replacement"))
+    name = lambda i: "w" + "".join("abcdefghij"[int(c)] for c in str(i))
+    df = spark.createDataFrame([(" ".join(f"{name(i)} end" for i in range(k, 100_000, 1000)),) for k in range(20)], "text string")
+    want = sorted(" ".join(str(i) if i % 2 == 0 else f"{i} end" for i in range(k, 100_000, 1000)) for k in range(20))
+    assert sorted(r.text for r in rewrite(df, "text", table).collect()) == want
+    convs = spark.createDataFrame([(1, [("user", "wb wb"), ("bot", "wb Wb"), ("user", "x")])], "conv_id long, turns array<struct<role:string,text:string>>")
+    assert [tuple(t) for t in chat.rewrite_bot(convs, table).first().turns] == [("user", "wb wb"), ("bot", "1 1"), ("user", "x")]
+
+
 def test_lines_are_numbered_over_files_and_blocks(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" + ("\n" if i % 3 else "") for i in range(500)))

@@ -36,6 +36,15 @@ def map_bot(turns: Column, rewrite) -> Column:
     return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.when(t["role"] == "bot", rewrite(t["text"])).otherwise(t["text"]).alias("text")))
 
 
+def rewrite_bot(convs: DataFrame, phrases: DataFrame, endings: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(conv_id, turns) with what the bot says rewritten by a table of phrases; see rewrite(). Turns are rewritten as rows and put together again."""
+    from .rewrite import rewrite
+
+    rows = convs.select("conv_id", F.posexplode("turns").alias("_at", "t")).select("conv_id", "_at", F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    new = rewrite(rows.where("role = 'bot'"), "text", phrases, endings).unionByName(rows.where("role <> 'bot'"))
+    return new.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+
 def lead(role: Column, first: Column) -> Column:
     """What stands before a turn's text: a separator but for the first, and the role's prefix."""
     return F.concat(F.when(first, "").otherwise(TURN_SEP), F.when(role == "user", USER_PREFIX).otherwise(BOT_PREFIX))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus
+from ..operators.rewrite import rewrite
 from .register import query, table
 
 #: A seeded order that DuckDB repeats: 48 bits of md5('seed:key').
@@ -135,3 +136,17 @@ def dialect_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, and some short texts that are hard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_HARD, "doc_id long, text string"))
     return docs.select("doc_id", corpus.dialect(F.col("text")).alias("text"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT lower(x) AS phrase FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z'']+')) AS x FROM benchmark)),
+    t AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+|[^A-Za-z'']+') AS p FROM documents)),
+    j AS (SELECT doc_id, i, x, reverse(phrase) AS r, replace(x, '''', '') AS l FROM t LEFT JOIN w ON phrase = lower(x)),
+    k AS (SELECT doc_id, i, CASE WHEN r IS NULL THEN CASE WHEN regexp_matches(x, '^[A-Za-z''].*[iI][nN][gG]$') THEN left(x, -3) || CASE WHEN x = upper(x) THEN 'IN''' ELSE 'in''' END ELSE x END
+          WHEN len(l) > 1 AND l = upper(l) THEN upper(r) WHEN left(x, 1) BETWEEN 'A' AND 'Z' THEN upper(left(r, 1)) || substr(r, 2) ELSE r END AS y FROM j)
+    SELECT doc_id, sha256(coalesce(string_agg(y, '' ORDER BY i), '')) AS sha256 FROM documents d LEFT JOIN k USING (doc_id) WHERE d.text IS NOT NULL GROUP BY doc_id""")
+def phrase_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rewritten by a dictionary of all words of the benchmark, each spelled backwards, and an ending."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z']+"), F.lit(0))).alias("w"))
+    phrases = words.select(F.lower("w").alias("phrase")).distinct().withColumn("replacement", F.reverse("phrase"))
+    out = rewrite(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text", phrases, (("ing", "in'"),))
+    return out.select("doc_id", F.sha2("text", 256).alias("sha256"))

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import arrow_path, exists, put_text
+from ..storage import exists, files, put_text
+from .token_source import TokenIds
 
 
 def csv(df: DataFrame, columns: list[str], path: str, single: bool = True) -> None:
@@ -69,32 +67,18 @@ def token_bytes(encoded: DataFrame, ids: str = "ids") -> DataFrame:
 
 
 def token_files(encoded: DataFrame, key: str, path: str, ids: str = "ids", file_ids: int = 1 << 27) -> list[tuple[str, int]]:
-    """Flat files of little-endian 16-bit ids, part-00000.bin and so on, that make one stream in the order of ``key``.
+    """Flat files of little-endian 16-bit ids, part-00000.bin and so on, that make one stream in the order of ``key``, in place of those in the folder.
 
     Returns each file with its number of ids. Files have about ``file_ids`` ids; one holds the whole stream if it is
-    shorter. Rows are dealt into ranges of the key and each task streams its range into a file of its own, which
-    gets its name when it is complete, so that a task that runs again does no harm. The folder must be one that
-    both Spark and Arrow's file systems reach (local, HDFS, S3 and the like)."""
+    shorter. Rows are dealt into ranges of the key, and each task streams its range into a file of its own; see TokenIds."""
     spark = encoded.sparkSession
     total = encoded.agg(F.coalesce(F.sum(F.size(ids)), F.lit(0))).first()[0]
     n = max(1, -(-total // file_ids))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = arrow_path(path)
-        system.create_dir(folder, recursive=True)
-        part, written = TaskContext.get().partitionId(), 0
-        draft, name = f"{folder}/_part-{part:05d}-{uuid4().hex}", f"{folder}/part-{part:05d}.bin"
-        with system.open_output_stream(draft) as out:
-            for b in batches:
-                data = b"".join(x for x in _bytes(b.column(0)) if x)
-                out.write(data)
-                written += len(data) // 2
-        system.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([written], pa.int64())], names=["file", "n"])
-
-    rows = encoded.select(key, ids).where(F.size(ids) > 0)
-    rows = (rows.repartitionByRange(n, key) if n > 1 else rows.repartition(1)).sortWithinPartitions(key).select(ids)
-    return sorted((r.file, r.n) for r in rows.mapInArrow(write, "file string, n long").collect())
+    rows = encoded.select(key, F.col(ids).alias("ids")).where(F.size("ids") > 0)
+    rows = (rows.repartitionByRange(n, key) if n > 1 else rows.repartition(1)).sortWithinPartitions(key).select("ids")
+    spark.dataSource.register(TokenIds)
+    rows.write.format("token_ids").mode("overwrite").save(path)
+    return [(name.removeprefix("file://"), size // 2) for name, size in files(spark, path, ".bin")] if exists(spark, path) else []
 
 
 def metrics_row(spark: SparkSession, root: str, day: str, model: str, row: dict) -> str:
