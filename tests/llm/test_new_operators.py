@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import audit, codes, idfiles, queries
+from tidewright.llm import audit, codes, html, idfiles, queries
 
 
 def tables(sf):
@@ -200,9 +200,9 @@ def test_words_have_the_librarys_ids(library):
 def test_grammar_round_trip(ids):
     ids = np.array(ids, np.int32)
     terminals, rules, lengths, seq = idfiles.re_pair(ids)
-    assert idfiles.expand(terminals, rules, seq).tolist() == ids.tolist()
+    assert idfiles.expand(terminals, rules, lengths, seq).tolist() == ids.tolist()
     for k in range(len(rules)):
-        assert len(idfiles.expand(terminals, rules, np.array([k + len(terminals)]))) == lengths[k] and rules[k].max() < k + len(terminals)
+        assert len(idfiles.expand(terminals, rules, lengths, np.array([k + len(terminals)]))) == lengths[k] and rules[k].max() < k + len(terminals)
 
 
 def test_grammar_of_random_ids():
@@ -210,8 +210,8 @@ def test_grammar_of_random_ids():
     for n in (3, 50, 2000, 40_000):
         for letters in (2, 3, 10, 1000):
             ids = rng.integers(0, letters, n).astype(np.int32)
-            terminals, rules, _, seq = idfiles.re_pair(ids)
-            assert (idfiles.expand(terminals, rules, seq) == ids).all()
+            terminals, rules, lengths, seq = idfiles.re_pair(ids)
+            assert (idfiles.expand(terminals, rules, lengths, seq) == ids).all()
     repeats = np.tile(rng.integers(0, 9000, 500), 80)
     assert len(idfiles.re_pair(repeats)[3]) < len(repeats) / 50
 
@@ -276,3 +276,33 @@ def test_nothing_holds_all_rows_in_one_task(spark, sf):
     plan = audit.op12(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert audit.op12(spark, sf).agg(F.count("*")).first()[0] % 600 == 0
+
+
+# --- main text: names in camel case and in one word, roles, unseen parts, and names that the text contradicts
+
+LONG = "The harbour pilot wrote down every tide and wind he met on his way to the far islands and back again, and he read it to all who asked for it in winter when the ships lay still in the bay."
+P = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "word", "kept"),
+    [
+        (f"<article>{P}<div class='userComments'><p>SOME {LONG}</p></div></article>", "SOME", False),
+        (f"<article>{P}{P}</article><ol class='commentlist'><li>SOME {LONG}</li></ol>", "SOME", False),
+        (f"<div class='post'>{P}{P}</div><section id='discussion'><p>SOME {LONG}</p></section>", "SOME", False),
+        (f"<div class='post'>{P}{P}</div><section class='responses'><p>SOME {LONG}</p></section>", "SOME", False),
+        (f"<article>{P}<div class='adBox'><p>SOME {LONG}</p></div>{P}</article>", "SOME", False),
+        (f"<div>{P}{P}</div><div class='siteFooter'><p>SOME {LONG}</p></div>", "SOME", False),
+        (f"<div><p>SOME {LONG}</p></div><div role='main'>{P}{P}</div>", "SOME", False),
+        (f"<article>{P}<p style='color:red; display:none'>SOME {LONG}</p></article>", "SOME", False),
+        (f"<article>{P}<div class='menu'><a href='1'>SOME {LONG}</a></div>{P}</article>", "SOME", False),
+        (f"<article><div class='social-history'><p>SOME {LONG}</p></div><p>END {LONG}</p></article>", "SOME", True),
+        (f"<article><p>START {LONG}</p><section class='menu'><p>SOME {LONG}</p></section><p>END {LONG}</p></article>", "SOME", True),
+        (f"<article><div id='search-and-rescue'><p>SOME {LONG}</p></div><p>END {LONG}</p></article>", "SOME", True),
+        (f"<div role='main'><p>SOME {LONG}</p></div>", "SOME", True),
+        (f"<article><p style='display:block'>SOME {LONG}</p></article>", "SOME", True),
+    ],
+)
+def test_names_are_read_by_their_parts(page, word, kept):
+    text = html.main_text(page)
+    assert "harbour" in text and (word in text) == kept

@@ -37,6 +37,8 @@ from .common import read
 
 #: Lines in a block, least block length of a surge, and a region's least share of the longest.
 BLOCK, SURGE, SHARE = 3, 40, 0.2
+#: Letters outside of links of which more are a paragraph.
+PARAGRAPH = 3 * SURGE
 #: Element names of HTML by their part in a page.
 RAW = {"script", "style", "textarea", "title"}
 EMBEDDED = {"noscript", "template", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video"}
@@ -49,17 +51,26 @@ BLOCKS = {
 }
 #: Elements that an end tag of another kind inside of them doesn't close.
 _FENCES = BLOCKS | ASIDE
-#: Parts of class, id and role names of what isn't main text.
-_NAMES = (
-    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|comments?|disqus|replies|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widget|related|recommended|share|sharing|social|search|login|toolbar|pagination|pager|copyright|complementary|contentinfo)"
+#: Parts of class, id and role names of what isn't main text: adverts, readers' words, notices and footers, and lists of links.
+_READERS = r"(?:comments?(?:list|section|area|box|thread|form|wrap|container)?|disqus|repl(?:y|ies)|responses?|discussions?)"
+_HARD = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|comments?(?:list|section|area|box|thread|form|wrap|container)?|disqus|replies|"
+    r"cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|footer|copyright|contentinfo)"
 )
-_READERS = r"(?:comments?|disqus|repl(?:y|ies)|responses?)"
+_LISTS = r"(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|sidebar|side-bar|widget|related|recommended|share|sharing|social|search|login|toolbar|pagination|pager|complementary)"
+_NAMES = rf"(?:{_HARD}|{_LISTS})"
 NAMED = re.compile(rf"(?:^|[\s_-]){_NAMES}(?:$|[\s_-]|\d)", re.I)
 #: The whole of a class, id or role consists of such names.
 EXACT = re.compile(rf"(?:^|\s){_NAMES}(?:[_-]{_NAMES})*(?:$|\s)", re.I)
+#: Names that no amount of text excuses.
+HARD = re.compile(rf"(?:^|[\s_-]){_HARD}(?:$|[\s_-]|\d)", re.I)
 #: Names that part an article or main element from the page's own: readers' words, in part or whole.
 READERS = re.compile(rf"(?:^|[\s_-]){_READERS}(?:$|[\s_-]|\d)", re.I)
+#: The whole of an element's class, id or role is a name of readers' words.
+ONLY_READERS = re.compile(rf"\s*{_READERS}\s*", re.I)
+#: Where a name in camel case has its parts.
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
 #: The inside of a tag: runs of anything else, and values, which alone have quotes.
 _INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+"
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|\Z))|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})(?:>|\Z)", re.S)
@@ -68,11 +79,11 @@ _NAMING = {"class", "id", "role"}
 
 
 class Named:
-    """An element with an aside's name: the named one around it, its offset, its name, and unlinked letters
+    """An element with an aside's name: the named one around it, its offset, its name (soft: one of a list of links), and unlinked letters
     in it (text), in it and inside a marked main part (main), and of main parts that begin in it (held)."""
 
-    def __init__(self, parent: int, offset: int, exact: bool, in_main: bool):
-        self.parent, self.offset, self.exact, self.in_main = parent, offset, exact, in_main
+    def __init__(self, parent: int, offset: int, exact: bool, in_main: bool, soft: bool = False):
+        self.parent, self.offset, self.exact, self.in_main, self.soft = parent, offset, exact, in_main, soft
         self.text = self.main = self.held = 0
 
 
@@ -80,8 +91,9 @@ def wrappers(named: list[Named]) -> frozenset[int]:
     """Offsets of named elements that are wrappers of the page's main text, found from the page inwards.
 
     In a wrapper (or the page) a named element is one if it holds more than half of the text, enough for a region, and is named so in
-    part only, or nothing worth a region is left outside of it. Where nothing is left outside, one that
-    holds a main part is as well; one by an exact name only where no other is. Beside a marked main part with text of its own only elements inside that count."""
+    part only (in a main part: like a list of links), or nothing worth a region is left outside of it. Where nothing is left outside, one that
+    holds a main part is as well; one by an exact name only where no other is. Within a main part an element that is named like a list of links
+    but holds a paragraph without links (PARAGRAPH letters) is no such list. Beside a marked main part with text of its own only elements inside that count."""
     every, held = [x.text for x in named], [x.held for x in named]
     for i in range(len(named) - 1, 0, -1):
         every[named[i].parent] += every[i]
@@ -100,9 +112,10 @@ def wrappers(named: list[Named]) -> frozenset[int]:
         for exact in (False, True):
             if not chosen:
                 for i in some:
-                    most = every[i] > SURGE and 2 * every[i] > every[at] and (alone or not exact)
+                    most = every[i] > SURGE and 2 * every[i] > every[at] and (alone or not exact and (named[i].soft or not named[i].in_main))
                     if named[i].exact == exact and (most or held[i] and alone and (not exact or holders == 1)):
                         chosen.append(i)
+        chosen += [i for i in some if i not in chosen and named[i].in_main and named[i].soft and named[i].text > PARAGRAPH]
         out.update(named[i].offset for i in chosen)
         todo += chosen
     return frozenset(out)
@@ -176,13 +189,13 @@ class Lines:
                     self.end()
                 continue
             self.close_before(name)
-            kind = self.kind(m[3], name) if m[3] and name not in ASIDE and name not in EMBEDDED else ""
+            kind, soft, role = self.kind(m[3], name) if m[3] and name not in ASIDE and name not in EMBEDDED else ("", False, False)
             if kind in ("exact", "part") and m.start() in exempt:
                 kind = ""
             place = 0
             if kind in ("exact", "part") and not self.hard:
                 place = len(self.named)
-                self.named.append(Named(self.within, m.start(), kind == "exact", self.inner > 0))
+                self.named.append(Named(self.within, m.start(), kind == "exact", self.inner > 0, soft))
                 self.within = place
             aside = name in ASIDE or name in EMBEDDED or bool(kind)
             if name in BLOCKS or aside and name not in EMBEDDED:
@@ -192,12 +205,13 @@ class Lines:
                 self.hard += not place
                 if name not in EMBEDDED:
                     self.gap(self.mains > 0)
-            inner = name in MAIN and not self.hard and not place
+            marked = name in MAIN or role
+            inner = marked and not self.hard and not place
             if inner:
                 if not self.inner:
                     home = self.within
                 self.inner += 1
-            main = name in MAIN and not self.asides
+            main = marked and not self.asides
             if main:
                 self.gap(False)
                 self.mains += 1
@@ -209,22 +223,26 @@ class Lines:
         self.end()
 
     @staticmethod
-    def kind(attributes: str, name: str) -> str:
-        """What its attributes make of an element: hidden, an aside by an exact name or by a part of one, or nothing.
+    def kind(attributes: str, name: str) -> tuple[str, bool, bool]:
+        """What its attributes make of an element: hidden, an aside by an exact name or by a part of one, or nothing; whether that name is one of a
+        list of links; whether its role is that of a main part.
 
         An article or main element goes by readers' names, and by others only if they are all of its name."""
         if name in ("html", "body"):
-            return ""
-        out = ""
-        for key, *values in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), "".join(values)
-            if key == "hidden" or key == "aria-hidden" and value == "true":
-                return "" if name in MAIN else "hidden"
+            return "", False, False
+        found = [(key.lower(), "".join(values)) for key, *values in _ATTRIBUTE.findall(attributes)]
+        role = name in BLOCKS and ("role", "main") in found
+        out, soft = "", True
+        for key, value in found:
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _UNSEEN.search(value):
+                return "" if name in MAIN else "hidden", False, role
             if key in _NAMING and out != "exact":
+                value = _CAMEL.sub("-", value)
                 exact = bool(EXACT.search(value))
-                if NAMED.search(value) if name not in MAIN else exact or READERS.search(value):
+                if NAMED.search(value) or ONLY_READERS.fullmatch(value) if name not in MAIN and not role else exact or READERS.search(value):
                     out = "exact" if exact else "part"
-        return out
+                    soft = soft and not HARD.search(value) and not READERS.search(value)
+        return out, bool(out) and soft, role
 
     def close(self, i: int) -> None:
         """End the open element at place i; it stays in the list as None if others are above it."""
