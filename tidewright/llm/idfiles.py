@@ -23,6 +23,7 @@ its file anew and takes its place under the same name, so lost executors cost th
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -42,7 +43,7 @@ END = 1
 #: Ids in a block, and the least count of a pair that a rule replaces.
 BLOCK, LEAST = 1 << 18, 4
 #: A file's bytes of text, and rows, about.
-FILE_BYTES, FILE_ROWS = 64 << 20, 1 << 20
+FILE_BYTES, FILE_ROWS = 32 << 20, 1 << 20
 #: Words that a task remembers, and new ones that are encoded together.
 REMEMBERED, TOGETHER = 1_000_000, 512
 #: A letter that is one token of its own between spaces.
@@ -85,6 +86,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known = _Numbers({b"": 0})
         self.known.new = []
+        self.signs: dict[bytes, list[int]] = {}
         # Word w has the ids from first[w] to first[w + 1].
         self.ids, self.first = np.array([self.end], np.int32), np.array([0, 1], np.int64)
 
@@ -96,7 +98,13 @@ class Encoder:
         tokenize = self.tokenizer.model.tokenize
         ids = [t.id for t in tokenize(stem.lower().decode())]
         if len(stem) < len(word):
-            ids += [t.id for t in tokenize(word[len(stem) :].decode())]
+            signs = word[len(stem) :]
+            tail = self.signs.get(signs)
+            if tail is None:
+                tail = [t.id for t in tokenize(signs.decode())]
+                if len(signs) < 4:
+                    self.signs[signs] = tail
+            ids += tail
         return ids
 
     def _learn(self) -> None:
@@ -139,6 +147,18 @@ class Encoder:
         return np.diff(ends[np.cumsum(counts) - 1], prepend=0) if counts else np.zeros(0, np.int64), flat
 
 
+_KEPT: list[tuple[str, int, Encoder]] = []
+
+
+def encoder(content: str, end: int) -> Encoder:
+    """The encoder of this Python process, which keeps its memory of words from task to task."""
+    if not _KEPT or _KEPT[0][:2] != (content, end):
+        # One thread a task; Spark deals out the work.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _KEPT[:] = [(content, end, Encoder(content, end))]
+    return _KEPT[0][2]
+
+
 def re_pair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Terminals, rules (two symbols each), lengths of the rules and symbols of a block of ids.
 
@@ -193,9 +213,8 @@ def re_pair(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return terminals, np.concatenate(rules), lengths[len(terminals) :], seq
 
 
-def expand(terminals: np.ndarray, rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: all rules at once are opened, as often as they are nested."""
-    n = len(terminals)
+def _opened(n: int, rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The terminals below n that symbols stand for: all rules at once are opened, as often as they are nested."""
     seq = seq.astype(np.int64)
     while len(seq):
         rule = seq >= n
@@ -208,7 +227,20 @@ def expand(terminals: np.ndarray, rules: np.ndarray, seq: np.ndarray) -> np.ndar
         open_ = rules[seq[rule] - n]
         out[first[rule]], out[first[rule] + 1] = open_[:, 0], open_[:, 1]
         seq = out
-    return terminals[seq]
+    return seq
+
+
+def expand(terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for. Of many symbols each kind is opened once, and its ids are taken by the lengths of the rules."""
+    n = len(terminals)
+    if len(seq) < 2 * (n + len(rules)):
+        return terminals[_opened(n, rules, seq)]
+    table = terminals[_opened(n, rules, np.arange(n + len(rules)))]
+    every = np.concatenate([np.ones(n, np.int64), lengths])
+    first = np.cumsum(every) - every
+    size = every[seq]
+    ends = np.cumsum(size)
+    return table[np.repeat(first[seq] - ends + size, size) + np.arange(ends[-1])]
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -278,11 +310,11 @@ class Reader:
         self.ends = np.append(self.places[1:], at)
 
     def block(self, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """n_ids, terminals, rules, lengths of all symbols, and symbols."""
+        """n_ids, terminals, rules, their lengths, and symbols."""
         data = self.data.read_at(int(self.ends[k] - self.places[k]), int(self.places[k]))
         n_ids, t, r, n, width = struct.unpack_from("<5I", data)
         terminals, rules = np.frombuffer(data, "<u4", t, 20), np.frombuffer(data, "<u4", 2 * r, 20 + 4 * t).reshape(r, 2).astype(np.int64)
-        lengths = np.concatenate([np.ones(t, np.int64), np.frombuffer(data, "<u4", r, 20 + 4 * t + 8 * r)])
+        lengths = np.frombuffer(data, "<u4", r, 20 + 4 * t + 8 * r).astype(np.int64)
         return n_ids, terminals, rules, lengths, np.frombuffer(data, f"<u{width}", n, 20 + 4 * t + 12 * r)
 
     def ids(self, start: int, end: int) -> np.ndarray:
@@ -291,10 +323,10 @@ class Reader:
         for k in range(max(0, int(np.searchsorted(self.firsts, start, "right")) - 1), int(np.searchsorted(self.firsts, end))):
             n_ids, terminals, rules, lengths, seq = self.block(k)
             a, b = max(0, start - int(self.firsts[k])), min(n_ids, end - int(self.firsts[k]))
-            ends = np.cumsum(lengths[seq])
+            ends = np.cumsum(np.concatenate([np.ones(len(terminals), np.int64), lengths])[seq])
             i, j = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b)
             before = int(ends[i - 1]) if i else 0
-            out.append(expand(terminals, rules, seq[i : j + 1])[a - before : b - before])
+            out.append(expand(terminals, rules, lengths, seq[i : j + 1])[a - before : b - before])
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def document(self, k: int) -> np.ndarray:
@@ -307,8 +339,7 @@ class Reader:
         for doc_id, known, start, size in zip(self.docs.tolist(), self.known.tolist(), self.starts.tolist(), self.sizes.tolist(), strict=True):
             parts = [held[len(held) - (upto - start) :]] if start < upto else []
             while upto < start + size:
-                _, terminals, rules, _, seq = self.block(k)
-                held = expand(terminals, rules, seq)
+                held = expand(*self.block(k)[1:])
                 parts.append(held)
                 upto, k = upto + len(held), k + 1
             ids = parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)])
@@ -327,7 +358,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end: int = EN
     n = max(1, -(-size.bytes // FILE_BYTES), -(-size.rows // FILE_ROWS), min(spark.sparkContext.defaultParallelism, size.bytes >> 22))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = Encoder(shared.value, end), None
+        own, made = encoder(shared.value, end), None
         part = TaskContext.get().partitionId()
         system, folder = arrow_path(path)
         draft, name = f"{folder}/_{part:06d}-{uuid4().hex}", f"{folder}/part-{part:06d}.ids"
@@ -336,7 +367,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end: int = EN
                 system.create_dir(folder, recursive=True)
                 out = system.open_output_stream(draft)
                 made = Writer(out, block)
-            made.add(b.column(0).to_pylist(), *encoder.encode(utf8(b.column(1))))
+            made.add(b.column(0).to_pylist(), *own.encode(utf8(b.column(1))))
         if made is not None:
             made.close()
             out.close()
