@@ -947,6 +947,15 @@ def test_appended_logs_keep_their_order(spark, tmp_path):
     assert {r.model: r.rating for r in arena.ratings(got).collect()} == pytest.approx(replay(ROWS))
 
 
+def test_memo_and_gallery(spark, tmp_path):
+    (tmp_path / "memo.jsonl").write_text('{"key": "a", "response": "1"}\n# note\n{"key": "b", "response": "2"}\n\n{"key": "a", "response": "3"}\n{"response": "4"}\n')
+    assert {r.key: r.response for r in text.memo(spark, str(tmp_path / "memo.jsonl"), "response string").collect()} == {"a": "3", "b": "2"}
+    prompts = spark.createDataFrame([(1, "the sea"), (2, "a")], "seq long, prompt string")
+    made = sinks.completions(prompts, lambda p: F.concat(p, F.lit(" again")), lambda c: F.split(c, " "))
+    assert [tuple(r) for r in made.orderBy("seq").collect()] == [(1, "the sea", "the sea again", 2, 3), (2, "a", "a again", 1, 2)]
+    assert "the sea again" in sinks.gallery(made, "Samples").first()[0]
+
+
 def test_small_files(spark, tmp_path):
     path = sinks.metrics_row(spark, str(tmp_path), "2025-01-02", "m", {"perplexity": {"loss": 1.5}, "n": 2})
     assert path.endswith("/2025-01-02/m/metrics.json") and json.loads((tmp_path / "2025-01-02/m/metrics.json").read_text()) == {"perplexity": {"loss": 1.5}, "n": 2}

@@ -29,9 +29,12 @@ def horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", metrics.horizons(2.0, F.col("n"), 4, 16, 2, 5000).alias("steps"))
 
 
-@query("""SELECT id AS step, round(CASE WHEN id < 100 THEN 3e-4 * (id + 1) / 101 WHEN id > 900 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (id - 100) / 800.0)) * (3e-4 - 3e-5) END, 10) AS rate FROM range(1000) t(id)""")
+@query("""SELECT event_id, round(CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 101 WHEN step > 900 THEN 3e-5 ELSE 3e-5 + 0.5 * (1 + cos(pi() * (step - 100) / 800.0)) * (3e-4 - 3e-5) END, 10) AS rate
+    FROM (SELECT event_id, event_id % 1000 AS step FROM events)""")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(metrics.learning_rate(F.col("id"), 3e-4, 3e-5, 100, 900), 10).alias("rate"))
+    """The rate at each event's step of a run of 1000."""
+    steps = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("step"))
+    return steps.select("event_id", F.round(metrics.learning_rate(F.col("step"), 3e-4, 3e-5, 100, 900), 10).alias("rate"))
 
 
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / 0.8) AS a FROM embeddings),
@@ -58,9 +61,11 @@ def rmsnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(metrics.rms_norm(F.col("embedding"))), 6).alias("largest"))
 
 
-@query("SELECT p.id AS id, q.pair::INT AS pair, round(cos(p.id / pow(10000.0, 2.0 * q.pair / 64)), 6) AS cos, round(sin(p.id / pow(10000.0, 2.0 * q.pair / 64)), 6) AS sin FROM range(128) p(id), range(32) q(pair)")
+@query("SELECT p.id AS id, q.pair::INT AS pair, round(cos(p.id / pow(10000.0, 2.0 * q.pair / 64)), 6) AS cos, round(sin(p.id / pow(10000.0, 2.0 * q.pair / 64)), 6) AS sin FROM (SELECT DISTINCT turn AS id FROM conversations) p, range(32) q(pair)")
 def rope_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rotary(spark.range(128), 64).select("id", "pair", F.round("cos", 6).alias("cos"), F.round("sin", 6).alias("sin"))
+    """The rotary table at the places that turns have in their conversations."""
+    places = table(spark, sf_dir, "conversations").select(F.col("turn").cast("long").alias("id")).distinct()
+    return metrics.rotary(places, 64).select("id", "pair", F.round("cos", 6).alias("cos"), F.round("sin", 6).alias("sin"))
 
 
 @query("""SELECT source, CASE WHEN n >= 1e9 THEN printf('%.1fB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN n >= 1e3 THEN printf('%.1fK', n / 1e3) ELSE n::VARCHAR END AS label

@@ -88,6 +88,13 @@ def metrics_row(spark: SparkSession, root: str, day: str, model: str, row: dict)
     return path
 
 
+def completions(prompts: DataFrame, play, tokens) -> DataFrame:
+    """seq, prompt, completion, n_in and n_out of (seq, prompt): what a player (a function of a column) says, and the ids of both by ``tokens``
+    (a column's array of ids)."""
+    said = prompts.select("seq", "prompt", play(F.col("prompt")).alias("completion"))
+    return said.withColumn("n_in", F.size(tokens(F.col("prompt")))).withColumn("n_out", F.size(tokens(F.col("completion"))))
+
+
 def gallery(samples: DataFrame, title: str) -> DataFrame:
     """One Markdown text of (seq, prompt, completion, n_in, n_out) in the order of seq; a gallery is read by people, so it is small."""
     part = F.concat(F.lit("## "), "prompt", F.lit("\n\n"), "completion", F.lit("\n\n_"), F.col("n_in").cast("string"), F.lit(" in, "), F.col("n_out").cast("string"), F.lit(" out_\n"))

@@ -78,6 +78,13 @@ def matches(spark: SparkSession, path: str) -> DataFrame:
     return numbered_json(spark, path, MATCH)
 
 
+def memo(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A memo cache that is a log of JSON lines (key and the columns of ``schema``): the last line of each key."""
+    from ..operators.arena import last_write
+
+    return last_write(numbered_json(spark, path, f"key string, {schema}").where("key IS NOT NULL")).drop("seq")
+
+
 def token_file(spark: SparkSession, path: str, block: int = 1 << 16, task_bytes: int = 1 << 26) -> DataFrame:
     """file, block and ids of headerless files of little-endian 16-bit ids: a file, a folder of .bin files or a pattern; see TokenIds."""
     found = files(spark, path, ".bin") or files(spark, path)
