@@ -175,12 +175,32 @@ def model_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(F.col("model").alias("model_a")).join(names.select(F.col("model").alias("model_b")), F.col("model_a") < F.col("model_b"))
 
 
-@query("""WITH n AS (SELECT list(model ORDER BY r, h) AS v FROM (SELECT DISTINCT event_type AS model, 1500 AS r, md5('3:' || event_type) AS h FROM events))
-    SELECT 0 AS turn, v[1] AS model_a, v[2] AS model_b FROM n UNION ALL SELECT 0, v[3], v[4] FROM n""")
+@query(f"""WITH {_LOG}, {_POINT}, n AS (SELECT list(model ORDER BY rating) AS v FROM f)
+    SELECT turn::INT AS turn, v[a] AS model_a, v[b] AS model_b FROM n, (VALUES (0, 1, 2), (0, 3, 4), (1, 1, 3), (1, 2, 4), (2, 1, 4), (2, 2, 3)) t(turn, a, b)""")
 def swiss_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first round of the event types, none of which is rated yet."""
-    names = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
-    return spark.createDataFrame([(0, a, b) for a, b in arena.pair_up(names, {}, set(), 3)], "turn int, model_a string, model_b string")
+    """Three rounds of the five event types by their ratings: neighbours meet, then the nearest that haven't met."""
+    rating, played = {r.model: r.rating for r in arena.ratings(_log(spark, sf_dir)).collect()}, set()
+    rows = [(turn, a, b) for turn in range(3) for a, b in arena.pair_up(rating, rating, played, 3 + turn)]
+    return spark.createDataFrame(rows, "turn int, model_a string, model_b string")
+
+
+@query("""WITH a AS (SELECT DISTINCT text AS prompt FROM benchmark WHERE text IS NOT NULL), j AS (SELECT prompt, 'length' AS judge, 'lower' AS winner FROM a WHERE length(prompt) > 40
+    UNION ALL SELECT prompt, 'length', CASE WHEN length(prompt) < 40 THEN 'forty' ELSE 'tie' END FROM a WHERE length(prompt) <= 40
+    UNION ALL SELECT prompt, 'first', CASE WHEN left(prompt || repeat('~', 40), 40) < lower(prompt) THEN 'forty' WHEN left(prompt || repeat('~', 40), 40) > lower(prompt) THEN 'lower' ELSE 'tie' END FROM a)
+    SELECT prompt, judge, winner, left(prompt || repeat('~', 40), 40) AS answer_forty, lower(prompt) AS answer_lower FROM j""")
+def tournament_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two players and two judges over all texts of the benchmark: one that gives forty letters, and one that gives all in small ones; who wins is
+    the one with more letters, or the one that comes first in the order of the alphabet."""
+    pick = lambda a, b: F.struct(F.when(a, "A").when(b, "B").otherwise("tie").alias("winner"), F.lit("").alias("reason"))
+    registry = arena.Registry()
+    registry.player("forty", lambda p: F.rpad(p, 40, "~"))
+    registry.player("lower", F.lower)
+    registry.judge("length", lambda p, a, b: pick(F.length(a) > F.length(b), F.length(a) < F.length(b)), "v1")
+    registry.judge("first", lambda p, a, b: pick(a < b, a > b), "v1")
+    prompts = sorted(r.text for r in table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("text").distinct().collect())
+    out = tournament(spark, registry, prompts)
+    answer = lambda n: F.when(F.col("model_a") == n, F.col("response_a")).otherwise(F.col("response_b"))
+    return out.select("prompt", "judge", "winner", answer("forty").alias("answer_forty"), answer("lower").alias("answer_lower"))
 
 
 @query()
