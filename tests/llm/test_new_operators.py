@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import audit, codes, html, idfiles, queries
+from tidewright.llm import audit, codes, fingerprint, html, idfiles, queries
 
 
 def tables(sf):
@@ -306,3 +306,19 @@ P = f"<p>{LONG}</p>"
 def test_names_are_read_by_their_parts(page, word, kept):
     text = html.main_text(page)
     assert "harbour" in text and (word in text) == kept
+
+
+# --- ranges of ids by bytes
+
+
+def test_ranges_follow_bytes():
+    cells = [(10, 5), (20, 5), (30, 100), (40, 1), (50, 2), (60, 3), (70, 4)]
+    assert fingerprint.range_ends(cells, 10) == [20, 30, 70] and fingerprint.range_ends(cells, 1000) == [70] and fingerprint.range_ends([], 5) == []
+    assert fingerprint.range_ends([(1, 0), (2, 0)], 0) == [2]
+
+
+def test_long_texts_that_stand_together_are_parted(spark):
+    rows = [(i, "x y " * (100_000 if 40 <= i < 80 else 10)) for i in range(400)]
+    parts = fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT last").groupBy("part").agg(F.sum(F.length("text")).alias("n"))
+    sizes = [r.n for r in parts.collect()]
+    assert len(sizes) >= 2 and max(sizes) <= 12 << 20

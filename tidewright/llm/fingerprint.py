@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import read
+from .common import chunks, read
 
 WINDOW, LEAST, PIECES, RUN = 7, 3, 64, 4
 #: Bytes that the rolling hash handles at once.
@@ -116,23 +116,38 @@ def likeness(a: str, b: str) -> float:
 
 #: Bytes of text in a range of doc_id, which one task reads: LEAST_BYTES in up to FEW ranges, RANGE_BYTES at most in more.
 LEAST_BYTES, FEW, RANGE_BYTES = 8 << 20, 4096, 64 << 20
+#: Cells for each range.
+FINER = 4
 #: Stands for a null doc_id.
 _NULL = -(2**63)
 
 
+def range_ends(cells: list[tuple[int, int]], most: int) -> list[int]:
+    """The greatest ids of ranges of about ``most`` bytes, made of neighbouring cells (greatest id, bytes) in the order of their ids; a cell that has more is a range of its own."""
+    ends, held = [], 0
+    for i, (high, size) in enumerate(cells):
+        held += size
+        if i + 1 == len(cells) or held + cells[i + 1][1] > most:
+            ends.append(high)
+            held = 0
+    return sorted(set(ends))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, doc_id, text, last) dealt into ranges of doc_id, each range with the row that follows it.
 
-    There are as many ranges as the texts' bytes need, one for each task. Their ends come from a sort of the ids alone into ranges, of which the driver sees two
-    numbers each; the one shuffle of texts is by range. Sorted in descending order, a row's next document is the row
+    There are as many ranges as the texts' bytes need, one for each task. Their ends come from a sort of the ids and sizes alone into FINER times as many cells, of
+    which the driver sees two numbers each and joins neighbours to ranges of like bytes, so that long texts that stand together are parted; the one shuffle of texts is by range. Sorted in descending order, a row's next document is the row
     after it: the extra row, of which ``last`` is true, closes each range, so no order over all
     rows is needed and no range waits for another."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("ord"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = int(1 + max(size // RANGE_BYTES, min(size // LEAST_BYTES, FEW)))
-    ends = docs.select("ord").repartitionByRange(n, "ord").select(F.spark_partition_id().alias("p"), "ord").groupBy("p").agg(F.max("ord").alias("high")).collect()
-    shared = sc.broadcast(np.array(sorted({r.high for r in ends}), np.int64))
+    sized = docs.select("ord", F.octet_length("text").cast("long").alias("bytes")).repartitionByRange(FINER * n, "ord")
+    cells = sorted((r.high, r.bytes) for r in sized.select(F.spark_partition_id().alias("p"), "ord", "bytes").groupBy("p").agg(F.max("ord").alias("high"), F.sum("bytes").alias("bytes")).collect())
+    ends = range_ends(cells, -(-size // n))
+    shared = sc.broadcast(np.array(ends, np.int64))
 
     @arrow_udf("array<int>")
     def to(ords: pa.Array) -> pa.Array:
@@ -145,7 +160,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(both[both >= 0], pa.int32()))
 
     dealt = docs.select("ord", "doc_id", "text", F.posexplode(to("ord")).alias("place", "part")).withColumn("last", F.col("place") == 1)
-    return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "last", F.desc("ord"), "text").select("part", "doc_id", "text", "last")
+    return dealt.repartitionById(max(1, len(ends)), F.col("part")).sortWithinPartitions("part", "last", F.desc("ord"), "text").select("part", "doc_id", "text", "last")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -154,7 +169,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for b in batches:
+        for b in chunks(batches):
             out = []
             for part, doc_id, last, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = (part, doc_id, text, fingerprint(text.encode()))
