@@ -662,12 +662,12 @@ def test_long_words_are_encoded_in_little_time(spark):
     ranks = {tuple(m): i for i, m in enumerate(own["merges"])}
     encoder = tokens._Encoder(own)
     for _ in range(500):
-        word = "".join(rng.choices("theindaw ", k=rng.randint(0, 80)))
+        word = "".join(rng.choices("theindaw ", k=rng.randint(0, 120)))
         parts = [tokens.byte_letters()[b] for b in word.encode()]
         while pairs := [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]:
             _, i = min(pairs)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert encoder.ids(word) == [own["vocab"][p] for p in parts]
+        assert encoder.merged([encoder.of_byte[b] for b in word.encode()]) == [own["vocab"][p] for p in parts]
     start = time.time()
     long = "".join(rng.choices("thein", k=1_000_000))
     row = tokens.encode(spark.createDataFrame([(long,), (None,)], "text string"), own, end=False).orderBy(F.col("text").isNull()).collect()
@@ -676,6 +676,19 @@ def test_long_words_are_encoded_in_little_time(spark):
     assert "".join(back[i] for i in row[0].ids) == long
 
 
+def test_a_full_memory_loses_its_older_half(spark, small, monkeypatch):
+    import pyarrow as pa
+
+    own = tokens.train(small, 300)
+    want = {r.doc_id: r.ids for r in tokens.encode(small, own).collect()}
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    encoder = tokens._Encoder(own)
+    rows = small.select("doc_id", tokens.split_words(F.col("text")).alias("w")).orderBy("doc_id").collect()
+    for r in rows:
+        assert encoder.rows(pa.array([r.w, None, []], pa.list_(pa.string())), 0).to_pylist() == [want[r.doc_id], [], []]
+    assert len(encoder.known) < 20 and len(encoder.first) == len(encoder.known) + 1
+
+
 def test_rare_words_count_as_well(spark):
     # More distinct words than the cap that train once had, and a rare one that holds the most frequent pair.
     often = spark.range(2_000_001).select(F.repeat(F.concat(F.lit(" "), F.col("id").cast("string")), 2).alias("text"))

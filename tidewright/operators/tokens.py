@@ -6,7 +6,7 @@ import heapq
 import json
 from base64 import b64encode
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain
 from uuid import uuid4
 
 import numpy as np
@@ -254,62 +254,123 @@ def check_vocabulary(tokenizer: dict, end: str = "<|endoftext|>") -> int:
 
 #: Parts of windows up to which their places are sent to all tasks.
 MET = 500_000
-#: Words that a task remembers.
-REMEMBERED = 500_000
+#: Words that a Python process remembers, and bytes of words that are looked up at once.
+REMEMBERED, CHUNK_BYTES = 600_000, 4 << 20
+#: Bytes of a word up to which its least rank is found by a scan.
+SHORT = 48
+_NONE = 1 << 62
+
+
+class _Numbers(dict):
+    """Numbers of words in the order in which they were first asked for; ``new`` lists the ones that came last."""
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
 
 class _Encoder:
-    """Ids of words by a tokenizer's merges: of all pairs of neighbours that of the least rank is joined first, of equal ones the leftmost."""
+    """Ids of words by a tokenizer's merges: of all pairs of neighbours that of the least rank is joined first, of equal ones the leftmost.
+
+    Words are numbered as they come; word n has ids[first[n] : first[n + 1]]."""
 
     def __init__(self, tokenizer: dict):
         ids = tokenizer["vocab"]
         self.of_byte = [ids[c] for c in byte_letters()]
-        self.joined = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in reversed([*enumerate(tokenizer["merges"])])}
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            found = self.merged([self.of_byte[b] for b in word.encode()])
-            if len(word) < 256:
-                if len(self.known) >= REMEMBERED:
-                    # The older half goes.
-                    self.known = dict(islice(self.known.items(), REMEMBERED // 2, None))
-                self.known[word] = found
+        # A pair of ids -> rank << 32 | id of both joined; ranks begin with 1.
+        self.joined = {ids[a] << 32 | ids[b]: rank << 32 | ids[a + b] for rank, (a, b) in reversed([*enumerate(tokenizer["merges"], 1)])}
+        self.known, self.ids, self.first = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known.new = []
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; their ids are there when this returns. The older half of the memory goes when it is full, before it is asked."""
+        if len(self.known) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
+            half = len(self.known) // 2
+            cut = self.first[half]
+            self.ids, self.first = self.ids[cut:], self.first[half:] - cut
+            self.known = _Numbers((w, n - half) for w, n in self.known.items() if n >= half)
+            self.known.new = []
+        found = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if new := self.known.new:
+            self.known.new = []
+            lists = [self.merged([self.of_byte[b] for b in w.encode()]) for w in new]
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
         return found
 
+    def rows(self, lists: pa.ListArray, end: int | None) -> pa.ListArray:
+        """The ids of each row's words, with ``end`` after those of a row that has any."""
+        coded = lists.flatten().dictionary_encode()
+        which = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        first = self.first[which]
+        size = self.first[which + 1] - first
+        at = np.cumsum(size)
+        flat = self.ids[np.repeat(first - at + size, size) + np.arange(at[-1] if len(at) else 0)]
+        words = np.cumsum([n or 0 for n in lists.value_lengths().to_pylist()])
+        ends = np.concatenate([[0], at])[words]
+        if end is not None:
+            some = np.diff(ends, prepend=0) > 0
+            flat = np.insert(flat, ends[some], end)
+            ends = ends + np.cumsum(some)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, pa.int32()))
+
     def merged(self, parts: list[int]) -> list[int]:
+        """Ids of a word's parts (bytes). A short word keeps its pairs' ranks beside it and looks for the least one at each step."""
+        if len(parts) > SHORT:
+            return self.merged_long(parts)
+        joined = self.joined.get
+        ranks = [joined(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            parts[i : i + 2] = [least & 0xFFFFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = joined(parts[i - 1] << 32 | parts[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = joined(parts[i] << 32 | parts[i + 1], _NONE)
+        return parts
+
+    def merged_long(self, parts: list[int]) -> list[int]:
         """Parts are a list linked both ways, and pairs wait in a heap, so a word of n bytes takes n log n steps.
 
         A pair that has changed since it was put there is passed over."""
-        joined, n = self.joined, len(parts)
+        joined, n = self.joined.get, len(parts)
         following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-        waiting = []
-        for i in range(n - 1):
-            if found := joined.get((parts[i], parts[i + 1])):
-                waiting.append((found[0], i, parts[i], parts[i + 1]))
+        waiting = [(found, i) for i in range(n - 1) if (found := joined(parts[i] << 32 | parts[i + 1]))]
         heapq.heapify(waiting)
         while waiting:
-            _, i, a, b = heapq.heappop(waiting)
+            found, i = heapq.heappop(waiting)
             j = following[i]
-            if j >= n or parts[i] != a or parts[j] != b:
+            if parts[i] < 0 or j >= n or joined(parts[i] << 32 | parts[j]) != found:
                 continue
-            parts[i], parts[j] = joined[a, b][1], -1
+            parts[i], parts[j] = found & 0xFFFFFFFF, -1
             k = following[i] = following[j]
             if k < n:
                 previous[k] = i
-                if found := joined.get((parts[i], parts[k])):
-                    heapq.heappush(waiting, (found[0], i, parts[i], parts[k]))
+                if more := joined(parts[i] << 32 | parts[k]):
+                    heapq.heappush(waiting, (more, i))
             h = previous[i]
-            if h >= 0 and (found := joined.get((parts[h], parts[i]))):
-                heapq.heappush(waiting, (found[0], h, parts[h], parts[i]))
+            if h >= 0 and (more := joined(parts[h] << 32 | parts[i])):
+                heapq.heappush(waiting, (more, h))
         return [p for p in parts if p >= 0]
 
 
+_KEPT: list[tuple[int, _Encoder]] = []
+
+
+def _encoder(tokenizer: dict) -> _Encoder:
+    """The encoder of this Python process, which keeps its memory of words from task to task."""
+    key = hash((tuple(map(tuple, tokenizer["merges"])), tuple(tokenizer["vocab"].items())))
+    if not _KEPT or _KEPT[0][0] != key:
+        _KEPT[:] = [(key, _Encoder(tokenizer))]
+    return _KEPT[0][1]
+
+
 def encode(docs: DataFrame, tokenizer: dict, end: bool = True, column: str = "text") -> DataFrame:
     """The rows with ids (in place of a column of that name); with ``end`` a text that has any ids ends with the end token.
 
-    Each task encodes a word once, as long as it remembers it; a null text is the empty one."""
+    A Python process encodes a word once, as long as it remembers it; a null text is the empty one."""
     docs = docs.drop("ids", "_words")
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     eot = check_vocabulary(tokenizer) if end else None
@@ -319,15 +380,12 @@ def encode(docs: DataFrame, tokenizer: dict, end: bool = True, column: str = "te
     names = [*[f.name for f in schema][:-1], "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Encoder(shared.value).ids
-        for b in batches:
-            out = []
-            for words in b.column(at).to_pylist():
-                own = [i for w in words for i in ids(w)]
-                if own and eot is not None:
-                    own.append(eot)
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.int32()))], names=names)
+        encoder = _encoder(shared.value)
+        for batch in batches:
+            step = max(1, int(batch.num_rows * CHUNK_BYTES / max(batch.nbytes, 1)))
+            for i in range(0, batch.num_rows, step):
+                b = batch.slice(i, step)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], encoder.rows(b.column(at), eot)], names=names)
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
