@@ -421,9 +421,11 @@ def windows(encoded: DataFrame, key: str, block: int, n: int, seed: int = 1337)
     some = encoded.where(F.size("ids") > 0).select(F.col(key).alias("_key"), F.xxhash64("ids").alias("_tie"), "ids")
     # Wholly equal rows are one, which comes several times.
     sizes = some.groupBy("_key", "_tie", F.size("ids").cast("long").alias("_n")).agg(F.count("*").alias("_times")).withColumn("_span", F.col("_n") * F.col("_times"))
-    path = f"{shared_folder(spark)}/offsets"
-    running_total(sizes, "_key", "_span", "_from", ("_tie", "_n")).write.parquet(path)
-    offsets = spark.read.parquet(path)
+    folder = shared_folder(spark)
+    # Numbers only, so that the ids are read twice: for their sizes, and for the parts that windows take.
+    sizes.write.parquet(f"{folder}/sizes")
+    running_total(spark.read.schema(sizes.schema).parquet(f"{folder}/sizes"), "_key", "_span", "_from", ("_tie", "_n")).write.parquet(f"{folder}/offsets")
+    offsets = spark.read.parquet(f"{folder}/offsets")
     total = offsets.agg(F.coalesce(F.sum("_span"), F.lit(0))).first()[0]
     room = total - block - 1
     if room <= 0:
