@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import exists, files, put_text
-from .token_source import TokenIds
+from .token_source import TokenIds, flat_bytes
 
 
 def csv(df: DataFrame, columns: list[str], path: str, single: bool = True) -> None:
@@ -38,7 +38,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def put_new(new: DataFrame, cache_path: str, key: str = "key") -> None:
-    """Append the rows whose keys the cache doesn't hold."""
+    """Append the rows whose keys a cache of JSON lines doesn't hold; for one writer at a time (Cache is for several)."""
     spark = new.sparkSession
     if exists(spark, cache_path):
         new = new.join(spark.read.schema(new.schema).json(cache_path).select(key), key, "left_anti")
@@ -47,10 +47,7 @@ def put_new(new: DataFrame, cache_path: str, key: str = "key") -> None:
 
 def _bytes(ids: pa.ListArray) -> list[bytes | None]:
     """Each list as little-endian 16-bit numbers; an id that doesn't fit is an error."""
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    if len(flat) and not (0 <= flat.min() and flat.max() < 1 << 16):
-        raise ValueError("token ids must be from 0 to 65535")
-    data = flat.astype("<u2").tobytes()
+    data = flat_bytes(ids)
     ends = np.cumsum([0, *[2 * (n or 0) for n in ids.value_lengths().to_pylist()]]).tolist()
     return [data[a:b] if known else None for a, b, known in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
 
