@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chat, corpus
-from .corpus import dialect_sql
+from .corpus import H, dialect_sql
 from .register import query, table
 
 _TURNS = r"""
@@ -94,6 +94,19 @@ def sft_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.batches(built.where("split = 'train'"), 8, 32)
 
 
+@query(f"""WITH {_TURNS}, {_IDS},
+    w AS (SELECT conv_id, flatten(list(ids ORDER BY i)) AS ids, flatten(list(labels ORDER BY i)) AS labels FROM e GROUP BY conv_id),
+    u AS (SELECT conv_id, ids[greatest(len(ids) - 511, 1):] AS ids, labels[greatest(len(ids) - 511, 1):] AS labels FROM w),
+    s AS (SELECT *, row_number() OVER (ORDER BY {H.format(seed=1337, key="conv_id")}, conv_id) AS r, count(*) OVER () AS n FROM u WHERE len(list_filter(labels, lambda x: x <> -100)) > 0),
+    train AS (SELECT row_number() OVER (ORDER BY conv_id) - 1 AS pos, ids[1:511] AS x, (labels || list_transform(range(512 - len(labels)), lambda x: -100::BIGINT))[2:512] AS y FROM s WHERE r > greatest(1, floor(n * 0.02))),
+    d AS (SELECT i // 32 AS batch, i % 32 AS place, {H.format(seed=1337, key="i")} % (SELECT count(*) FROM train) AS pos FROM range(256) r(i))
+    SELECT batch, place, {_SUM.format("x")} AS x_sum, {_SUM.format("y")} AS y_sum FROM d JOIN train USING (pos)""")
+def sft_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of masked, split examples, as sums that depend on the order of what they hold."""
+    built = chat.examples(_conversations(spark, sf_dir), _letters, 0, 512)
+    return chat.batches(built.where("split = 'train'"), 8, 32).select("batch", "place", _sum("x", "x_sum"), _sum("y", "y_sum"))
+
+
 @query(f"""WITH {_TURNS}, {_IDS},
     w AS (SELECT conv_id, flatten(list(ids ORDER BY i)) AS ids, flatten(list(labels ORDER BY i)) AS labels FROM e GROUP BY conv_id),
     x AS (SELECT conv_id, len(ids) > 512 AS truncated FROM w WHERE len(list_filter(labels[greatest(len(ids) - 511, 1):], lambda x: x <> -100)) > 0)
