@@ -233,7 +233,7 @@ def _opened(n: int, rules: np.ndarray, seq: np.ndarray) -> np.ndarray:
 def expand(terminals: np.ndarray, rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for. Of many symbols each kind is opened once, and its ids are taken by the lengths of the rules."""
     n = len(terminals)
-    if len(seq) < 2 * (n + len(rules)):
+    if len(seq) <= 2 * (n + len(rules)):
         return terminals[_opened(n, rules, seq)]
     table = terminals[_opened(n, rules, np.arange(n + len(rules)))]
     every = np.concatenate([np.ones(n, np.int64), lengths])
