@@ -293,6 +293,50 @@ def test_bootstrap_of_short_and_of_long_logs(spark):
     assert arena.bootstrap(df.limit(0), 5).count() == 0
 
 
+def resample(rows, replicate, seed):
+    """The draws of one replicate, one by one."""
+    return [rows[int(hashlib.md5(f"{seed}:{replicate}:{i}".encode()).hexdigest()[:12], 16) % len(rows)] for i in range(len(rows))]
+
+
+def test_bootstrap_of_a_log_beyond_a_million_matches_without_a_shuffle_of_samples(spark, monkeypatch):
+    n = 1_000_003
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    df = spark.range(n).select((n - F.col("id")).alias("seq"), name(F.col("id") % 5).alias("model_a"), name((F.col("id") + 1 + F.col("id") % 3) % 5).alias("model_b"), (F.col("id") * 7919 % 11).alias("r"))
+    df = df.withColumn("winner", F.when(F.col("r") < 5, F.col("model_a")).when(F.col("r") < 8, F.col("model_b")).when(F.col("r") < 10, "tie").otherwise("nobody"))
+    rows = [(f"m{i % 5}", f"m{(i + 1 + i % 3) % 5}", i * 7919 % 11) for i in reversed(range(n))]
+    rows = [(a, b, "", "", a if r < 5 else b if r < 8 else "tie" if r < 10 else "nobody") for a, b, r in rows]
+    monkeypatch.setattr(arena, "resamples", None)
+    got = {(r.replicate, r.model): r.rating for r in arena.bootstrap(df, 2, 3).collect()}
+    assert len(got) == 10 and {m: x for (r, m), x in got.items() if r == 1} == pytest.approx(replay(resample(rows, 1, 3)), abs=1e-7)
+
+
+def test_bootstrap_skips_matches_that_rate_nobody(spark):
+    rows = [(5, "a", "b", "a"), (None, "b", "c", "tie"), (7, "d", "a", "nobody"), (7, None, "a", "a"), (8, "c", "c", "c"), (9, "b", "e", "e")]
+    got = {(r.replicate, r.model): r.rating for r in arena.bootstrap(spark.createDataFrame(rows, MATCHES), 9, 2, base=1000).collect()}
+    want = {}
+    for g in range(9):
+        played = [r for r in resample([rows[i] for i in (1, 0, 3, 2, 4, 5)], g, 2) if r[1] and r[3] != "nobody"]
+        want |= {(g, m): x - 500 for m, x in replay([(a, b, "", "", w) for _, a, b, w in played]).items()}
+    assert got == pytest.approx(want) and {m for _, m in got} == set("abce")
+
+
+def test_pieces_that_do_not_join_are_replayed_in_fewer(monkeypatch):
+    import numpy as np
+
+    rng, shapes, run = np.random.default_rng(1), [], arena._run
+    a = rng.integers(1, 4, (2, 30_000))
+    logs = (a << 4 | (a % 3 + 1) << 2 | rng.integers(0, 4, a.shape)).astype(np.uint8)
+    whole = arena._replays(logs, 4, 8.0, 1500.0, forget=1e9)
+    monkeypatch.setattr(arena, "_run", lambda start, codes, k: shapes.append(codes.shape) or run(start, codes, k))
+    assert arena._replays(logs, 4, 8.0, 1500.0, forget=20) == pytest.approx(whole, abs=1e-7) and shapes[1][1] > shapes[-1][1]
+    assert arena._replays(logs, 4, 800.0, 1500.0, forget=20) == pytest.approx(run(np.full((2, 1, 4), 1500.0), logs[:, None], 800.0)[:, 0])
+
+
+@pytest.mark.parametrize("before,start,stop", [("0:0:", 0, 1203), ("5:199:", 9_990, 10_020), ("-3:12:", 99_998, 125_003), ("7:123456:", 123_456_789_995, 123_456_800_005), ("", 0, 0)])
+def test_digests_by_arrays(before, start, stop):
+    assert order.digests(before, start, stop).tolist() == [int(hashlib.md5(f"{before}{i}".encode()).hexdigest()[:12], 16) for i in range(start, stop)]
+
+
 def test_circles_and_ratings_apart(spark):
     rows = match_rows(200, [f"a{i}" for i in range(9)], 1) + [(r[0] + 1, *r[1:]) for r in match_rows(90, ["b", "c"], 2)] + [(5000 + i, f"m{i:02}", f"m{i + 1:02}", "tie" if i % 3 else f"m{i:02}") for i in range(40)] + [(9000, "x", "y", "nobody")]
     df = spark.createDataFrame(rows, MATCHES).repartition(5)

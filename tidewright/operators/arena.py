@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
-from .order import digest, ordered_index
+from ..storage import arrow_path, files, shared_folder
+from .order import digest, digests, ordered_index
 
 BASE, K = 1500.0, 8.0
 
@@ -185,6 +186,16 @@ def ratings_apart(matches: DataFrame, k: float = K, base: float = BASE) -> DataF
 #: Matches of a log, or models, that may be sent to all tasks.
 SENT = 1_000_000
 
+#: Matches of a log that a task may hold as codes of at most 4 bytes each, models that such codes can name, and bytes of drawn codes held at a time.
+HELD, NAMED, DRAWN = 64_000_000, 30_000, 1 << 27
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """The rows, written in the shared folder and read again, so that what they come from is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def resamples(matches: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """n_boot samples of as many matches with replacement: columns of matches, replicate, seq (the draw's place).
@@ -192,9 +203,7 @@ def resamples(matches: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     Columns named position, draw or replicate are replaced. The log is written in the shared folder, as it is counted, cut and joined;
     it is sent to all tasks if the count shows that it is short."""
     matches = matches.drop("position", "draw", "replicate")
-    spark, path = matches.sparkSession, f"{shared_folder(matches.sparkSession)}/log"
-    matches.write.parquet(path)
-    matches = spark.read.schema(matches.schema).parquet(path)
+    spark, matches = matches.sparkSession, _written(matches)
     n = matches.count()
     draws = spark.range(n_boot * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).alias("draw"))
     draws = draws.withColumn("position", digest(F.concat_ws(":", "replicate", "draw"), seed) % n)
@@ -202,41 +211,106 @@ def resamples(matches: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     return draws.join(F.broadcast(numbered) if n <= SENT else numbered, "position").withColumnRenamed("draw", "seq").drop("position")
 
 
-def bootstrap(matches: DataFrame, n_boot: int = 200, seed: int = 0, k: float = K, base: float = BASE, sent: int = SENT) -> DataFrame:
+def _run(start: np.ndarray, codes: np.ndarray, k: float) -> np.ndarray:
+    """Ratings (log, piece, model) after each piece's matches (log, piece, match) from its start; see bootstrap() for the codes.
+
+    All pieces advance together, match by match."""
+    pieces, models = codes.reshape(-1, codes.shape[-1]), start.shape[-1]
+    bits, first, rated = models.bit_length() - 1, np.arange(len(pieces)) * models, start.flatten()
+    for at in range(0, pieces.shape[1], 64):
+        block = np.ascontiguousarray(pieces[:, at : at + 64].T).astype(np.int64)
+        scored = block & 3
+        for a, b, score, most in zip((block >> bits + 2) + first, (block >> 2 & models - 1) + first, (scored - 1) / 2, k * (scored > 0), strict=True):
+            x, y = rated.take(a), rated.take(b)
+            gain = most * (score - 1 / (1 + 10 ** ((y - x) / 400)))
+            rated[a] = x + gain
+            rated[b] = y - gain
+    return rated.reshape(start.shape)
+
+
+def _replays(logs: np.ndarray, models: int, k: float, base: float, forget: float = 10_000.0, joint: float = 1e-9) -> np.ndarray:
+    """Ratings (log, model) after each log, a row of codes, every match of which is replayed.
+
+    A log is cut into pieces that are replayed side by side. A piece starts at ratings that the end of the piece before it gives from the base, as ratings
+    forget where they came from; then the whole piece before must end within ``joint`` of that start, or else the log is replayed in
+    fewer pieces, and in one at last. Two sets of ratings never part further in a match if k < 694 (a match moves both ratings of a
+    pair by a share of their difference, at most k ln 10 / 1600 of it), so a result is within joint * pieces of the replay in one piece."""
+    rows, n = logs.shape
+    ends = max(1, int(forget * models / k)) if 0 < k < 694 else n
+    pieces, left, out = max(1, n // (8 * ends)), np.arange(rows), np.full((rows, models), float(base))
+    while len(left):
+        length = -(-n // pieces)
+        cut = np.zeros((len(left), pieces, length), logs.dtype)
+        cut.reshape(len(left), -1)[:, :n] = logs[left]
+        start = np.full((len(left), pieces, models), float(base))
+        if pieces > 1:
+            start[:, 1:] = _run(start[:, 1:], cut[:, :-1, -ends:], k)
+        end = _run(start, cut, k)
+        joined = (abs(end[:, :-1] - start[:, 1:]) < joint).all(axis=(1, 2))
+        out[left[joined]] = end[joined, -1]
+        left, pieces = left[~joined], max(1, pieces // 4)
+    return out
+
+
+def _seen(codes: np.ndarray, models: int) -> np.ndarray:
+    """Which models a scored match rates; it looks no further once all are found."""
+    bits, seen = models.bit_length() - 1, np.zeros(models, bool)
+    for at in range(0, len(codes), 1 << 16):
+        some = codes[at : at + (1 << 16)].astype(np.int64)
+        some = some[some & 3 > 0]
+        seen[some >> bits + 2] = seen[some >> 2 & models - 1] = True
+        if seen[1:].all():
+            break
+    return seen
+
+
+def bootstrap(matches: DataFrame, n_boot: int = 200, seed: int = 0, k: float = K, base: float = BASE, sent: int = HELD) -> DataFrame:
     """replicate, model, rating: each sample of resamples() replayed.
 
-    A log that a count shows to be short goes to all tasks, as two small numbers and a score for each match, and a task draws and replays its replicates from
-    it: nothing is shuffled. The samples of a longer one are shuffled by replicate."""
-    spark = matches.sparkSession
-    log = matches.select("seq", "model_a", "model_b", "winner")
-    if log.limit(sent + 1).count() > sent:
+    A log of up to ``sent`` matches is written in the shared folder in its order, as a code of one to four bytes for each match (its models' numbers and its
+    score); a task reads that, and draws and replays its replicates from it, some side by side: nothing is shuffled n_boot times.
+    The samples of a longer one are shuffled by replicate."""
+    spark, log = matches.sparkSession, _written(matches.select("seq", "model_a", "model_b", "winner"))
+    n = log.count()
+    named = log.select(F.explode(F.array("model_a", "model_b")).alias("model")).where("model IS NOT NULL").distinct()
+    names = [None, *sorted(r.model for r in named.limit(NAMED + 1).collect())]
+    if n > sent or len(names) > NAMED:
         return ratings(resamples(log, n_boot, seed), ("replicate",), k, base)
-    rows = log.select("seq", "model_a", "model_b", _score(None).alias("score")).orderBy("seq", "model_a", "model_b", "score").toArrow()
-    names = sorted({m for c in ("model_a", "model_b") for m in rows[c].unique().to_pylist() if m is not None})
-    place = {m: i for i, m in enumerate(names)}
-    # A match that rates nobody, for want of a winner or a name, has no score.
-    coded = [(place.get(a, -1), place.get(b, -1), s if a is not None and b is not None else None) for a, b, s in zip(rows["model_a"].to_pylist(), rows["model_b"].to_pylist(), rows["score"].to_pylist(), strict=True)]
-    shared = spark.sparkContext.broadcast(coded)
+    if len(names) == 1:
+        return spark.createDataFrame([], "replicate int, model string, rating double")
+    bits = (len(names) - 1).bit_length()
+    number = lambda c: F.broadcast(spark.createDataFrame([*enumerate(names)][1:], f"{c}_n long, {c} string"))
+    # A match that rates nobody, for want of a winner or a name, has no score: 0, else 1 to 3.
+    score = F.when(F.col("model_a").isNull() | F.col("model_b").isNull(), 0).otherwise(F.coalesce(1 + 2 * _score(None), F.lit(0))).cast("long")
+    code = F.shiftleft(F.coalesce("model_a_n", F.lit(0)), bits + 2) + F.shiftleft(F.coalesce("model_b_n", F.lit(0)), 2) + score
+    coded = log.join(number("model_a"), "model_a", "left").join(number("model_b"), "model_b", "left").select("seq", code.alias("code"))
+    folder = shared_folder(spark)
+    coded.orderBy("seq", "code").select("code").write.parquet(f"{folder}/codes")
+    parts = [path for path, _ in files(spark, f"{folder}/codes", ".parquet")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import md5
-
-        log = shared.value
-        n = len(log)
+        from pyarrow.parquet import ParquetFile
+
+        log, at, models = np.empty(n, np.min_scalar_type((1 << 2 * bits + 2) - 1)), 0, 1 << bits
+        for path in parts:
+            system, place = arrow_path(path)
+            with system.open_input_file(place) as data:
+                for batch in ParquetFile(data).iter_batches():
+                    log[at : at + batch.num_rows] = batch.column(0).to_numpy()
+                    at += batch.num_rows
+        few = max(1, DRAWN // log.nbytes)
         for batch in batches:
-            for replicate in batch.column(0).to_pylist():
-                rated: dict[int, float] = {}
-                for draw in range(n):
-                    a, b, s = log[int(md5(f"{seed}:{replicate}:{draw}".encode()).hexdigest()[:12], 16) % n]
-                    if s is None:
-                        continue
-                    x, y = rated.get(a, base), rated.get(b, base)
-                    gain = k * (s - 1 / (1 + 10 ** ((y - x) / 400)))
-                    rated[a] = x + gain
-                    rated[b] = y - gain
-                yield pa.RecordBatch.from_arrays([pa.array([replicate] * len(rated), pa.int32()), pa.array([names[i] for i in rated], pa.string()), pa.array(list(rated.values()), pa.float64())], names=["replicate", "model", "rating"])
-
-    dealt = spark.range(n_boot, numPartitions=max(1, min(n_boot, 4 * spark.sparkContext.defaultParallelism)))
+            ids = batch.column(0).to_pylist()
+            for some in (ids[i : i + few] for i in range(0, len(ids), few)):
+                drawn = np.empty((len(some), n), log.dtype)
+                for replicate, row in zip(some, drawn, strict=True):
+                    for i in range(0, n, 1 << 20):
+                        row[i : i + (1 << 20)] = log[digests(f"{seed}:{replicate}:", i, min(n, i + (1 << 20))) % n]
+                for replicate, row, rated in zip(some, drawn, _replays(drawn, models, k, base), strict=True):
+                    (who,) = _seen(row, models).nonzero()
+                    yield pa.RecordBatch.from_arrays([pa.array([replicate] * len(who), pa.int32()), pa.array([names[i] for i in who], pa.string()), pa.array(rated[who])], names=["replicate", "model", "rating"])
+
+    dealt = spark.range(n_boot, numPartitions=max(1, min(n_boot, 2 * spark.sparkContext.defaultParallelism)))
     return dealt.mapInArrow(run, "replicate int, model string, rating double")
 
 
