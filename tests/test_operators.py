@@ -320,6 +320,19 @@ def test_bootstrap_skips_matches_that_rate_nobody(spark):
     assert got == pytest.approx(want) and {m for _, m in got} == set("abce")
 
 
+def test_leaderboard_computes_its_log_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    df = log(spark, ROWS)
+    board = arena.leaderboard(df.mapInArrow(counted, df.schema), n_boot=3).collect()
+    assert sorted(r.model for r in board) == ["a", "b", "c"] and computed.value == len(ROWS)
+
+
 def test_pieces_that_do_not_join_are_replayed_in_fewer(monkeypatch):
     import numpy as np
 

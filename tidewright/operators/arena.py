@@ -320,6 +320,8 @@ def leaderboard(matches: DataFrame, versions: dict[str, str] | None = None, n_bo
     Models that no scored match rates aren't listed. The interval is the 2.5 and 97.5 percentile of the replicates
     that a model plays in (its rating, if there are none); all three are rounded to one digit."""
     matches = of_version(matches, versions)
+    if n_boot:
+        matches = _written(matches.select("seq", "model_a", "model_b", "winner"))
     out = replay(matches, (), k, base).join(counts(matches), "model")
     if n_boot:
         boot = bootstrap(matches, n_boot, seed, k, base)
