@@ -215,14 +215,15 @@ def _run(start: np.ndarray, codes: np.ndarray, k: float) -> np.ndarray:
     """Ratings (log, piece, model) after each piece's matches (log, piece, match) from its start; see bootstrap() for the codes.
 
     All pieces advance together, match by match."""
-    pieces, models = codes.reshape(-1, codes.shape[-1]), start.shape[-1]
+    pieces, models, tenfold = codes.reshape(-1, codes.shape[-1]), start.shape[-1], float(np.log(10)) / 400
     bits, first, rated = models.bit_length() - 1, np.arange(len(pieces)) * models, start.flatten()
     for at in range(0, pieces.shape[1], 64):
         block = np.ascontiguousarray(pieces[:, at : at + 64].T).astype(np.int64)
         scored = block & 3
         for a, b, score, most in zip((block >> bits + 2) + first, (block >> 2 & models - 1) + first, (scored - 1) / 2, k * (scored > 0), strict=True):
             x, y = rated.take(a), rated.take(b)
-            gain = most * (score - 1 / (1 + 10 ** ((y - x) / 400)))
+            # 10 ** (difference / 400); numpy's exp takes a third of the time of its power.
+            gain = most * (score - 1 / (1 + np.exp((y - x) * tenfold)))
             rated[a] = x + gain
             rated[b] = y - gain
     return rated.reshape(start.shape)
